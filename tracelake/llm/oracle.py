@@ -74,4 +74,69 @@ r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN t
 SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS taken FROM r"""
 
 
-ORACLE_SQL = {"op3_decontaminate": op3(), "op5_quality_rules": op5(), "op9_mixing": op9()}
+def op2() -> str:
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    letter = lambda k: f"'{alphabet}'[1 + ((v >> {k}) & 31)]"
+    return f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes,
+       array_to_string(list_transform(list_transform(range(8), lambda i: ('0x' || substr(h, i * 5 + 1, 5))::INT), lambda v: {" || ".join(letter(k) for k in (15, 10, 5, 0))}), '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM f"""
+
+
+def op4(docs: str = "documents") -> str:
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOW}, '{_SPACED}') AS w FROM {docs}),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) c USING (doc_id)"""
+
+
+_SPACE_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _kept_lines(docs: str) -> str:
+    """CTEs ending in kept (doc_id, n_lines, n_dropped, kept)."""
+    return f"""
+l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM {docs})),
+k AS (SELECT *, translate(trim(line, {_SPACE_SQL}), '{UPPER}', '{LOWER}') AS key FROM l),
+often AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+kept AS (SELECT doc_id, count(*) AS n_lines, count(o.key) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (o.key IS NULL), '') AS kept
+         FROM k LEFT JOIN often o ON k.key = o.key GROUP BY doc_id)"""
+
+
+def op6(docs: str = "documents") -> str:
+    return f"WITH {_kept_lines(docs)} SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM kept"
+
+
+def op10(docs: str = "documents", length: int = 400) -> str:
+    return f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM {docs}),
+win AS (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, {2 * length})) AS g FROM (SELECT doc_id, h, unnest(range(0, n - {length} + 1)) AS p FROM d WHERE n >= {length})),
+rep AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY g) AS c FROM win) WHERE c > 1),
+isle AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k
+         FROM (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= {length} THEN 0 ELSE 1 END AS new FROM rep)),
+span AS (SELECT doc_id, min(p) AS a, max(p) + {length} AS b FROM isle GROUP BY doc_id, k),
+gap AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM span
+        UNION ALL SELECT doc_id, coalesce(max(b), 0), any_value(n) FROM d LEFT JOIN span USING (doc_id) GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS rest FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(r.removed, 0)::BIGINT AS n_removed, coalesce(r.spans, 0)::BIGINT AS n_spans, sha256(unhex(rest)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM span GROUP BY 1) r USING (doc_id)"""
+
+
+ORACLE_SQL = {
+    "op2_warc": op2(),
+    "op3_decontaminate": op3(),
+    "op4_jaccard_join": op4(),
+    "op5_quality_rules": op5(),
+    "op6_line_dedup": op6(),
+    "op9_mixing": op9(),
+    "op10_suffix_dedup": op10(),
+}

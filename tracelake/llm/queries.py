@@ -7,8 +7,22 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.common import table
 from tracelake.llm.decontaminate import contamination
+from tracelake.llm.jaccard_join import jaccard_components
+from tracelake.llm.line_dedup import line_dedup
 from tracelake.llm.mixing import mix_rates
 from tracelake.llm.quality_rules import quality_rules
+from tracelake.llm.substring_dedup import substring_dedup
+from tracelake.llm.suffix_dedup import suffix_dedup_report
+from tracelake.llm.warc import round_trip
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_repeated", "n_repeated_chunks", "n_removed", "kept_sha256")
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,13 +30,29 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_rates(table(spark, sf_dir, "documents")).select("doc_id", "_mix.*")
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op5_quality_rules, op9_mixing)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_substring_dedup, op2_warc, op3_decontaminate, op4_jaccard_join, op5_quality_rules, op6_line_dedup, op9_mixing, op10_suffix_dedup)
+}
