@@ -1,0 +1,72 @@
+"""A corpus pipeline: quality rules, line dedup, near duplicates, benchmark decontamination, mixing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again for the next one.
+All but the last return the columns of ``documents``; the last gives each document as often as the mix takes it, numbered
+in ``copy``. Rows with a null doc_id go through every stage: they are judged by their text, and near duplicates and
+contamination, which name documents by id, leave them in unless their texts together are contaminated.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracelake.llm.common import new_folder, table
+from tracelake.llm.decontaminate import remove_contaminated
+from tracelake.llm.jaccard_join import keep_one_per_component
+from tracelake.llm.line_dedup import line_dedup
+from tracelake.llm.mixing import mix
+from tracelake.llm.oracle import pipeline as _pipeline_sql
+from tracelake.llm.quality_rules import quality_rules
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that break no rule."""
+    return quality_rules(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that ten documents or more share go; n_chars follows. Documents left without text stay, empty."""
+    kept = line_dedup(docs.select(*COLUMNS)).select(*COLUMNS)
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of near duplicates."""
+    return keep_one_per_component(docs).select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that don't repeat the benchmark."""
+    return remove_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mix(docs.select(*COLUMNS))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing to target weights", mixing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read back."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            path = new_folder(spark, f"stage-{k}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs
+
+
+ORACLE_SQL = _pipeline_sql()

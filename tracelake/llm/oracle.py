@@ -58,7 +58,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m"""
 
 
-def op9(docs: str = "documents") -> str:
+_TAKEN = "size * (floor(rate)::BIGINT + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS taken"
+
+
+def op9(docs: str = "documents", taken: str = _TAKEN) -> str:
     return f"""
 WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_SPACED}'))::BIGINT AS size FROM {docs}),
 b AS (SELECT source, sum(size)::BIGINT AS source_size, {_list(WEIGHTS).replace("'", "")}[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)}]::BIGINT AS weight FROM s GROUP BY source),
@@ -71,7 +74,7 @@ t AS (SELECT f.source, source_size, CASE WHEN f.k >= level.k THEN (weight * ls):
 r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
         ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / {float(1 << 52)!r} AS u
       FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS taken FROM r"""
+SELECT doc_id, size, source_size, target, {taken} FROM r"""
 
 
 def op2() -> str:
@@ -131,6 +134,17 @@ SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(r.removed, 0)::BIGINT AS n_remov
 FROM d JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM span GROUP BY 1) r USING (doc_id)"""
 
 
+def pipeline() -> str:
+    """The five stages, one after another; each stage's text and numbers come from the one before."""
+    return f"""
+WITH RECURSIVE q AS MATERIALIZED (SELECT d.* FROM documents d JOIN ({op5()}) j USING (doc_id) WHERE j.kept),
+ll AS MATERIALIZED (WITH {_kept_lines("q")} SELECT q.doc_id, kept AS text, lang, source, length(kept)::BIGINT AS n_chars FROM q JOIN kept USING (doc_id)),
+nd AS MATERIALIZED (SELECT ll.* FROM ll JOIN ({op4("ll")}) c USING (doc_id) WHERE c.component_id = doc_id),
+dc AS MATERIALIZED (SELECT nd.* FROM nd JOIN ({op3("nd")}) c USING (doc_id) WHERE NOT c.contaminated),
+mx AS MATERIALIZED ({op9("dc", taken="floor(rate)::BIGINT + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS copies")})
+SELECT doc_id, text, lang, source, n_chars, unnest(range(1, copies + 1)) AS copy FROM dc JOIN mx USING (doc_id) WHERE copies > 0"""
+
+
 ORACLE_SQL = {
     "op2_warc": op2(),
     "op3_decontaminate": op3(),

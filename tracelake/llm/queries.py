@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import table
 from tracelake.llm.decontaminate import contamination
 from tracelake.llm.jaccard_join import jaccard_components
+from tracelake.llm.license_scan import license_scan
 from tracelake.llm.line_dedup import line_dedup
 from tracelake.llm.mixing import mix_rates
 from tracelake.llm.quality_rules import quality_rules
+from tracelake.llm.secret_scan import secret_spans, written_spans
 from tracelake.llm.substring_dedup import substring_dedup
 from tracelake.llm.suffix_dedup import suffix_dedup_report
 from tracelake.llm.warc import round_trip
@@ -43,6 +45,16 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(written_spans(F.col("base")), 256).alias("base_sha256"), written_spans(F.col("spans")).alias("spans"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents")).drop("places")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_rates(table(spark, sf_dir, "documents")).select("doc_id", "_mix.*")
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -54,5 +66,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_warc, op3_decontaminate, op4_jaccard_join, op5_quality_rules, op6_line_dedup, op9_mixing, op10_suffix_dedup)
+    for f in (op1_substring_dedup, op2_warc, op3_decontaminate, op4_jaccard_join, op5_quality_rules, op6_line_dedup, op7_secret_scan, op8_license_scan, op9_mixing, op10_suffix_dedup)
 }
