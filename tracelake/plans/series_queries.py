@@ -2,31 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelake.functions.scalars import stable_key
 from tracelake.operators import align, bins, robust, runs
+from tracelake.plans.registry import Registry, rounded
 from tracelake.plans.views import KEYS, N_BINS, V_FRAMES, V_POINTS, V_SERIES, v_frames, v_points, v_series
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None):
-    def put(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE[name] = sql
-        return f
-
-    return put
-
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
-
+query = Registry()
+QUERIES, ORACLE = query.queries, query.oracle
 
 RULE = bins.CensorRule(n_bins=N_BINS, cap=160.0, cap_fraction=1.0, ratio=0.9)
 
