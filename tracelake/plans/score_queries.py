@@ -119,9 +119,9 @@ def m7_interval_scores(spark, sf_dir):
 
 @query("m8_sigma_deciles", f"""WITH {SCORED}, e AS (SELECT list_distinct(quantile_cont(sigma, [{", ".join(str(k / 10) for k in range(11))}])) AS e FROM scored),
 b AS (SELECT *, greatest(len(list_filter((SELECT e FROM e), lambda x: x < sigma)), 1)::INT AS bin FROM scored)
-SELECT bin, count(*) AS n, round(avg(sigma), 6) AS mean_sigma, round(avg(abs_err), 6) AS mae, round(sqrt(avg(resid * resid)), 6) AS rmse, round({_share('abs(z) <= 1')}, 6) AS coverage_1sigma, round({_share('abs(z) <= 2')}, 6) AS coverage_2sigma, {stepped_sql("quantile_cont(abs(z), 0.9)")} AS p90_abs_z FROM b GROUP BY bin""")
+SELECT bin, count(*) AS n, round(avg(sigma), 6) AS mean_sigma, round(avg(abs_err), 6) AS mae, round(sqrt(avg(resid * resid)), 6) AS rmse, round({_share('abs(z) <= 1')}, 6) AS coverage_1sigma, round({_share('abs(z) <= 2')}, 6) AS coverage_2sigma, {stepped_sql("quantile_cont(abs(z), 0.9)", 4)} AS p90_abs_z FROM b GROUP BY bin""")
 def m8_sigma_deciles(spark, sf_dir):
-    return rounded(score.sigma_deciles(_pred(spark, sf_dir)).withColumn("p90_abs_z", stepped("p90_abs_z")))
+    return rounded(score.sigma_deciles(_pred(spark, sf_dir)).withColumn("p90_abs_z", stepped("p90_abs_z", 4)))
 
 
 @query("m9_ks_statistic", f"WITH {SCORED}, r AS (SELECT grp, pit, row_number() OVER (PARTITION BY grp ORDER BY pit) AS r, count(*) OVER (PARTITION BY grp) AS n FROM scored) SELECT grp, round(max(greatest(r / n - pit, pit - (r - 1) / n)), 6) AS ks, any_value(n) AS n FROM r GROUP BY grp")
