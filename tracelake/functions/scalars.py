@@ -22,7 +22,7 @@ def as_boolean(c: Column, default: bool | None = None) -> Column:
 
 def stable_key(*cols: tuple[Column, bool]) -> Column:
     """Columns joined by a pipe, numbers (flagged True) with six decimals, nulls as <NA>."""
-    return F.concat_ws("|", *[F.coalesce(F.format_string("%.6f", c.cast("double")) if number else c.cast("string"), F.lit("<NA>")) for c, number in cols])
+    return F.concat_ws("|", *[F.coalesce(F.when(c.isNotNull(), F.format_string("%.6f", c.cast("double"))) if number else c.cast("string"), F.lit("<NA>")) for c, number in cols])
 
 
 def time_bin(time: Column, width: float, n_bins: int, start: float = 0.0) -> Column:

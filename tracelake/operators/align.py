@@ -35,7 +35,8 @@ def clean_series(df: DataFrame, keys: list[str], order: str, value: str, *, low:
     idle = (F.col(order) < scan) & (nxt.isNull() | (nxt == 0))
     df = df.withColumn("_idle", idle)
     df = df.withColumn("delay", F.sum(F.col("_idle").cast("int")).over(whole))
-    df = df.withColumn("_v", F.when(~F.col("_idle") & (F.col(order) >= F.col("delay")), F.greatest(F.col(value), F.lit(0.0)) * scale))
+    live = ~F.col("_idle") & (F.col(order) >= F.col("delay")) & F.col(value).isNotNull()  # greatest() would read null as 0
+    df = df.withColumn("_v", F.when(live, F.greatest(F.col(value), F.lit(0.0)) * scale))
     step = F.lead("_v").over(w) - F.col("_v")
     df = df.withColumn("_step", step)
     df = df.withColumn("_cut1", F.min(F.when(F.col("_step") < low, F.col(order))).over(whole))

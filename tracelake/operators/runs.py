@@ -76,7 +76,8 @@ def cut_at_decrease(df: DataFrame, keys: list[str], order: str, value: str, shor
     """Null from one row before the first decrease on (from the first row if that is where it decreases), then drop short rests."""
     w, whole = W.partitionBy(*keys).orderBy(order), W.partitionBy(*keys)
     df = df.withColumn("_down", F.when(F.lead(value).over(w) < F.col(value), F.col(order)))
-    df = df.withColumn("_cut", F.greatest(F.min("_down").over(whole) - 1, F.lit(0)))
+    first = F.min("_down").over(whole)
+    df = df.withColumn("_cut", F.when(first.isNotNull(), F.greatest(first - 1, F.lit(0))))
     df = df.withColumn("_ok", F.col(value).isNotNull() & F.coalesce(F.col(order) < F.col("_cut"), F.lit(True)))
     df = remove_short_true(df, keys, order, "_ok", shortest, "_long")
     return df.withColumn(out, F.when(F.col("_long"), F.col(value))).drop("_down", "_cut", "_ok", "_long")

@@ -178,7 +178,8 @@ def w15_running_max(spark, sf_dir):
 
 
 @query("w16_cut_at_decrease", f"""WITH {V_SERIES}, l AS (SELECT *, lead(value) OVER (PARTITION BY cond, traj ORDER BY pos) AS nx FROM v_series),
-c AS (SELECT *, greatest(min(CASE WHEN nx < value THEN pos END) OVER (PARTITION BY cond, traj) - 1, 0) AS cut FROM l),
+c0 AS (SELECT *, min(CASE WHEN nx < value THEN pos END) OVER (PARTITION BY cond, traj) AS first FROM l),
+c AS (SELECT *, CASE WHEN first IS NOT NULL THEN greatest(first - 1, 0) END AS cut FROM c0),
 k AS (SELECT *, coalesce(pos < cut, TRUE) AS ok FROM c), n AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY cond, traj) AS len FROM k)
 SELECT cond, traj, count(*) FILTER (ok AND len >= 2) AS n_kept, round(max(CASE WHEN ok AND len >= 2 THEN value END), 6) AS top FROM n GROUP BY 1, 2""")
 def w16_cut_at_decrease(spark, sf_dir):
