@@ -16,3 +16,14 @@ def expand_design(design: DataFrame, factors: list[str], id_col: str = "id") ->
     for f in factors:
         number = number * sizes.select(f"_size_{f}").scalar() + F.col(f"_p_{f}")
     return out.select(number.cast("int").alias(id_col), *[F.col(f"_v_{f}").alias(f) for f in factors])
+
+
+def registry(designs: DataFrame, name: str, densities: str, pressures: str) -> DataFrame:
+    """(name, density, pressure) pairs from two parallel arrays per design; designs without both give none."""
+    pairs = F.explode(F.arrays_zip(F.col(densities).alias("density"), F.col(pressures).alias("pressure")))
+    return designs.select(name, pairs.alias("x")).select(name, "x.density", "x.pressure").dropna().distinct()
+
+
+def grouped_conditions(design: DataFrame, groups: str, scalar: list[str]) -> DataFrame:
+    """Conditions listed one by one: the struct array ``groups`` with its own ids."""
+    return design.select(F.inline(groups)).select("id", *scalar)
