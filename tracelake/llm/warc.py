@@ -11,9 +11,9 @@ accepted record it goes on member by member, past the end of its range if the la
 by scanning on from its start.
 
 Files are reached through Arrow's file systems, so the folder may be any that they and Spark share. Null payloads are empty;
-null urls leave the target header out; repeated rows give one record each (equal ids: one of them is the response and the
-others refer to that id). A null id can be written, is the response only where all ids of its payload are null, and comes
-back as null.
+null urls leave the target header out; repeated rows give one record each, and where they share the smallest id of a payload
+all of them are responses. A null id can be written, is a response only where all ids of its payload are null, and comes back
+as null.
 """
 
 from __future__ import annotations
@@ -31,10 +31,9 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import new_folder
+from tracelake.llm.common import new_folder, stored
 
 #: Fixed values of the format.
 MAGIC = b"\x1f\x8b\x08"
@@ -100,18 +99,14 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.sha1(html).alias("digest"))
     large = F.octet_length("html") >= min_bytes
     first = rows.filter(large).groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
-    #: rows that share the smallest id: one of them stays the response
-    twins = rows.filter(large).groupBy("digest", "id").agg(F.count("*").alias("twins")).filter("twins > 1")
-    rows = rows.join(first.withColumn("shared", F.lit(True)), "digest", "left")
-    rows = rows.join(twins.select(F.col("digest").alias("d"), F.col("id").alias("i"), "twins"), (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("i")), "left")
-    shared = F.coalesce(F.col("shared"), F.lit(False)) & large
-    lead = F.col("id").eqNullSafe(F.col("first_id"))
-    alone = rows.filter("twins is null").select("id", "url", "html", (shared & ~lead).alias("revisit"), "first_id")
-    nth = F.row_number().over(W.partitionBy("digest", "id").orderBy("url"))
-    equal = rows.filter("twins is not null").withColumn("nth", nth).select("id", "url", "html", (shared & ~(lead & (F.col("nth") == 1))).alias("revisit"), "first_id")
+    #: stored, so that its size is known before the join is planned
+    first = stored(first.select("digest", "first_id", F.lit(True).alias("shared")), "warc-first")
+    rows = rows.join(first, "digest", "left")
+    revisit = F.coalesce(F.col("shared"), F.lit(False)) & large & ~F.col("id").eqNullSafe(F.col("first_id"))
+    rows = rows.select("id", "url", "html", revisit.alias("revisit"), "first_id")
     store, path = _opened(folder)
     store.create_dir(path, recursive=True)
-    done = alone.union(equal).mapInArrow(partial(_write, folder=folder), "file string, n_records long")
+    done = rows.mapInArrow(partial(_write, folder=folder), "file string, n_records long")
     return done.sparkSession.createDataFrame(done.collect(), "file string, n_records long")
 
 
