@@ -28,7 +28,7 @@ TEMPLATES = {
         "licensed under the apache license version 2 0 [the license]",
     ],
     "gpl-3.0": [
-        "{0,2} licensed under the gnu general public license version 3 [0] [or [at your option any] later [version]]",
+        "licensed under the gnu general public license version 3 [0] [or [at your option any] later [version]]",
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     ],
     "cc-by-4.0": ["licensed under [a] [creative commons] cc by 4 0 [international] [license]"],

@@ -5,7 +5,10 @@ The statements are written from the contracts, not from the operators: they use
 
 from __future__ import annotations
 
+import re
+
 from tracelake.llm.common import LOWER, PLAIN_WORD, SPACED_WORD, UPPER
+from tracelake.llm.license_scan import PHRASES, TEMPLATES
 from tracelake.llm.mixing import MOST, SEED, WEIGHTS
 from tracelake.llm.quality_rules import RULES, STOP_WORDS, SYMBOLS
 
@@ -134,6 +137,29 @@ SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(r.removed, 0)::BIGINT AS n_remov
 FROM d JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM span GROUP BY 1) r USING (doc_id)"""
 
 
+def _markup_pattern(markup: str) -> str:
+    """A template as a regular expression over words that are each led by a space."""
+    parts = {"[": "(?:", "]": ")?"}
+    items = re.findall(r"\[|\]|\{\d+,\d+\}|[^\s\[\]{}]+", markup)
+    return "".join(parts.get(x) or (f"(?: [^ ]+){x}" if x[0] == "{" else f" {x}") for x in items) + " "
+
+
+def op8(docs: str = "documents") -> str:
+    places = []
+    for phrase, label in PHRASES.items():
+        same = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split()))
+        places.append(f"list_transform(list_filter(range(1, len(w) + 1), lambda i: {same}), lambda i: {{'i': i - 1, 'label': '{label}'}})")
+    labels = [f"CASE WHEN regexp_matches(j, '{'|'.join(map(_markup_pattern, many))}') THEN '{label}' END" for label, many in TEMPLATES.items()]
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOW}, '{_PLAIN}') AS w FROM {docs}),
+p AS (SELECT doc_id, len(w) AS n, ' ' || array_to_string(w, ' ') || ' ' AS j, list_concat({", ".join(places)}) AS at_ FROM d),
+l AS (SELECT *, list_distinct(list_transform(at_, lambda x: x.label)) AS base, list_filter([{", ".join(labels)}], lambda x: x IS NOT NULL) AS own FROM p)
+SELECT doc_id, n::BIGINT AS n_words, len(at_)::BIGINT AS n_base, list_min(list_transform(at_, lambda x: x.i))::BIGINT AS first_word, list_max(list_transform(at_, lambda x: x.i))::BIGINT AS last_word,
+       array_to_string(list_sort(base), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(base, own))), ',') AS labels,
+       CASE WHEN len(own) > 0 THEN 1.0 WHEN len(at_) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+FROM l"""
+
+
 def pipeline() -> str:
     """The five stages, one after another; each stage's text and numbers come from the one before."""
     return f"""
@@ -151,6 +177,7 @@ ORACLE_SQL = {
     "op4_jaccard_join": op4(),
     "op5_quality_rules": op5(),
     "op6_line_dedup": op6(),
+    "op8_license_scan": op8(),
     "op9_mixing": op9(),
     "op10_suffix_dedup": op10(),
 }
