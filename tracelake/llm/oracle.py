@@ -5,12 +5,14 @@ The statements are written from the contracts, not from the operators: they use
 
 from __future__ import annotations
 
+import math
 import re
 
 from tracelake.llm.common import LOWER, PLAIN_WORD, SPACED_WORD, UPPER
 from tracelake.llm.license_scan import PHRASES, TEMPLATES
 from tracelake.llm.mixing import MOST, SEED, WEIGHTS
 from tracelake.llm.quality_rules import RULES, STOP_WORDS, SYMBOLS
+from tracelake.llm.secret_scan import ALPHA, BANDS, BIN, ENCODINGS, MOST_Z, PATTERNS, RATE, TOKEN, WRITTEN
 
 _SPACED = SPACED_WORD.replace("\\x20", " ")
 _PLAIN = PLAIN_WORD
@@ -137,6 +139,46 @@ SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(r.removed, 0)::BIGINT AS n_remov
 FROM d JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM span GROUP BY 1) r USING (doc_id)"""
 
 
+def _found(pattern, k: int, docs: str) -> str:
+    """Matches with their places: (doc_id, number, kind, start, end, token)."""
+    regex = pattern.regex.replace("'", "''")
+    return f"""SELECT doc_id, {k} AS number, '{pattern.kind}' AS kind, p[i] AS start, p[i] + length(whole[i]) AS stop, whole[i] AS token, length(value[i]) AS long FROM (
+  SELECT *, list_transform(range(1, len(whole) + 1), lambda i: list_sum(list_transform(gaps[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1 : i - 1], lambda x: length(x))), 0))::INT[] AS p, unnest(range(1, len(whole) + 1)) AS i FROM (
+    SELECT doc_id, string_split_regex(t, '{regex}') AS gaps, regexp_extract_all(t, '{regex}') AS whole, regexp_extract_all(t, '{regex}', {pattern.group}) AS value FROM {docs}))"""
+
+
+def _tail(z: str) -> str:
+    t = f"(1 / (1 + {z} * 0.2316419))"
+    return f"(exp(-({z}) * ({z}) / 2) / {math.sqrt(2 * math.pi)!r} * ({t} * (0.319381530 + {t} * (-0.356563782 + {t} * (1.781477937 + {t} * (-1.821255978 + {t} * 1.330274429))))))"
+
+
+def op7(docs: str = "documents") -> str:
+    encoded = lambda f: "CASE " + " ".join(f"WHEN regexp_matches(token, '{x[0]}') THEN {f(x)}" for x in ENCODINGS[:-1]) + f" ELSE {f(ENCODINGS[-1])} END"
+    band = " + ".join(f"(n >= {x})::INT" for x in BANDS[1:])
+    pairs = "range(2, len(ch) + 1)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM {docs}),
+hits AS ({" UNION ALL ".join(f"SELECT * FROM ({_found(p, k, 'd')}) WHERE long >= {p.least}" for k, p in enumerate(PATTERNS))}),
+toks AS (SELECT * FROM ({_found(TOKEN, len(PATTERNS), "d")}) x WHERE NOT EXISTS (SELECT 1 FROM hits b WHERE b.doc_id = x.doc_id AND b.start < x.stop AND x.start < b.stop)),
+c AS (SELECT *, regexp_split_to_array(regexp_replace(token, '=+$', ''), '') AS ch, {encoded(lambda x: "'" + x[1] + "'")} AS letters, {encoded(lambda x: str([float(y) for y in x[2]]))} AS sizes FROM toks WHERE length(regexp_replace(token, '=+$', '')) > 1),
+e AS (SELECT *, len(ch)::DOUBLE AS n, length(letters)::DOUBLE AS k, list_transform(ch, lambda x: instr(letters, x)::DOUBLE) AS code,
+  list_transform(ch, lambda x: CASE WHEN x BETWEEN '0' AND '9' THEN 1 WHEN x BETWEEN 'A' AND 'Z' THEN 2 WHEN x BETWEEN 'a' AND 'z' THEN 3 ELSE 4 END) AS cls FROM c),
+f AS (SELECT *, k / n * list_sum(list_transform(list_distinct(ch), lambda x: pow(len(list_filter(ch, lambda y: y = x)), 2))) - n AS chi, list_sum(list_transform({pairs}, lambda i: (cls[i] <> cls[i - 1])::INT))::DOUBLE AS changes,
+  list_sum(list_transform(sizes, lambda x: pow(x / k, 2))) AS same, list_sum(code) / n AS mean FROM e),
+g AS (SELECT *, (pow(chi / (k - 1), {1 / 3!r}) - (1 - 2 / (9 * (k - 1)))) / sqrt(2 / (9 * (k - 1))) AS chi_z,
+  coalesce(list_sum(list_transform({pairs}, lambda i: (code[i] - mean) * (code[i - 1] - mean))) / nullif(list_sum(list_transform(code, lambda x: (x - mean) * (x - mean))), 0), 1.0) * sqrt(n) AS serial_z,
+  abs((changes - (n - 1) * (1 - same)) / sqrt((n - 1) * same * (1 - same))) AS runs_z, (changes - 0.5 - (n - 1) * {WRITTEN}) / sqrt((n - 1) * {WRITTEN * (1 - WRITTEN)!r}) AS z FROM f),
+h AS (SELECT *, {band} AS band, floor(least(greatest(z, 0.0), {MOST_Z}) / {BIN})::BIGINT AS bin,
+  (CASE WHEN chi_z > 0 THEN {_tail("chi_z")} ELSE 1.0 END) >= {ALPHA} AND 2 * {_tail("runs_z")} >= {ALPHA} AND 2 * {_tail("abs(serial_z)")} >= {ALPHA} AS random FROM g),
+-- tokens of padding only count in the first band with a score of 0
+cnt AS (SELECT band, bin, count(*) AS n, count(*) FILTER (random) AS r FROM (SELECT band, bin, random FROM h UNION ALL SELECT 0, 0, FALSE FROM toks WHERE length(regexp_replace(token, '=+$', '')) <= 1) GROUP BY 1, 2),
+ov AS (SELECT band, bin, sum(r) OVER (PARTITION BY band ORDER BY bin DESC) AS over_, sum(n) OVER (PARTITION BY band) AS all_ FROM cnt),
+least_ AS (SELECT band, min(bin) AS least_bin FROM ov WHERE (CASE WHEN bin * {BIN} >= 1 THEN exp(-(bin * {BIN}) * (bin * {BIN}) / 2) / (bin * {BIN} * {math.sqrt(2 * math.pi)!r}) ELSE 1.0 END) * all_ <= over_ * {RATE} GROUP BY band),
+spans AS (SELECT doc_id, number, kind, start, stop, TRUE AS base FROM hits UNION ALL SELECT doc_id, number, kind, start, stop, FALSE FROM h JOIN least_ USING (band) WHERE random AND bin >= least_bin),
+j AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{p.kind}') AS n_{p.kind}" for p in PATTERNS)}, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, number, stop) FILTER (base) AS b, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, number, stop) AS spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{p.kind}, 0) AS n_{p.kind}" for p in PATTERNS)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN j USING (doc_id)"""
+
+
 def _markup_pattern(markup: str) -> str:
     """A template as a regular expression over words that are each led by a space."""
     parts = {"[": "(?:", "]": ")?"}
@@ -177,6 +219,7 @@ ORACLE_SQL = {
     "op4_jaccard_join": op4(),
     "op5_quality_rules": op5(),
     "op6_line_dedup": op6(),
+    "op7_secret_scan": op7(),
     "op8_license_scan": op8(),
     "op9_mixing": op9(),
     "op10_suffix_dedup": op10(),
