@@ -8,11 +8,11 @@ enough that each brings the first bound + 1 of its parts in an order both share
 to be rare) to meet in at least one. P and the order are set per band of sizes; a document near a band's upper end also
 joins the next band. No link is lost, and the number of parts brought grows with the text's length only.
 
-Documents with equal sets are one member from the start. Members that meet in a part are first tied to the part's smallest
-member, which is linear in the rows; surviving ties are verified on whole texts and joined to components. A second round
-then looks at members that met but lie in different components, and keeps pairs whose sizes and 256-bit parity sketches
-(Hamming distance again bounds the difference from below) allow a link; these are verified as well. Groups are streamed in
-sorted order, never collected.
+Documents with equal sets are one member from the start. Members that meet in a part are first tied to a centre, which is
+linear in the rows; ties whose sizes and 256-bit parity sketches allow a link (Hamming distance again bounds the difference
+from below) are verified on whole texts and joined to components. After a few rounds with other centres, all pairs of
+members that met but still lie in different components are taken, under the same conditions, and verified as well. Groups
+are streamed in sorted order, never collected.
 
 Texts that are null or without words have an empty set and are linked with nothing. A null doc_id is not linked either and
 gets a null component. Rows that share a doc_id are one document if their texts agree, else each text takes part and both
@@ -36,6 +36,8 @@ WIDTH = 5
 #: Two sets link when DEN * intersection >= NUM * union.
 NUM, DEN = 80, 100
 SKETCH_WORDS = 4
+#: Rounds against centres before the round that takes all pairs left, unless those are no more than FEW for each row.
+ROUNDS, FEW = 2, 2
 
 
 def most_apart(a: int, b: int) -> int:
@@ -183,20 +185,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keys = docs.filter("doc_id is not null").select("text").mapInArrow(_keys, "key long, sid long")
     ties = stored(keys.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_ties, "key long, sid long, centre long"), "jaccard-ties")
 
-    first = stored(_possible(ties.select(F.col("centre").alias("a"), F.col("sid").alias("b")).distinct(), members), "jaccard-pairs")
-    links = stored(_links(first, _texts_of(docs, members, first)), "jaccard-links")
-    parts = connected_components(links)
-
     met = ties.select("key", "sid").union(ties.select("key", F.col("centre").alias("sid"))).distinct()
-    met = met.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    apart = met.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    met = met.join(apart, "key", "left_semi").join(members.drop("doc_id"), "sid")
-    a, b = (met.select("key", *[F.col(c).alias(f"{side}_{c}") for c in met.columns if c != "key"]) for side in "ab")
-    second = a.join(b, "key").filter("a_sid < b_sid and a_component <> b_component").filter(_allowed("a_", "b_"))
-    second = second.select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    second = stored(second, "jaccard-pairs")
-    more = stored(_links(second, _texts_of(docs, members, second)), "jaccard-links")
-    parts = connected_components(links.union(more))
+    size = met.groupBy("key").agg(F.count("*").alias("size"))
+    score = met.join(size, "key").groupBy("sid").agg(F.sum("size").alias("score"))
+    met = stored(met.join(score, "sid").select("key", "sid", "score"), "jaccard-met")
+    parts = _components_of(docs, members, met)
 
     label = members.select("sid", "doc_id").join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -204,6 +197,45 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(label, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def _components_of(docs: DataFrame, members: DataFrame, met: DataFrame) -> DataFrame:
+    """(node, component) over the links among members that met in a part.
+
+    In each round, a part's members that are not yet in the components of its two centres are verified against these: at
+    first the member whose parts are the most shared, which of a family of near copies is the likeliest original, and one by
+    a hash, which families then have in common over their parts. The last round takes all pairs of members in different components that sizes and sketches allow; it comes once
+    they are few against the rows, or after ``ROUNDS``, and misses none.
+    """
+    spark = met.sparkSession
+    links = checked = spark.createDataFrame([], "a long, b long")
+    parts = spark.createDataFrame([], "node long, component long")
+    for k in range(ROUNDS + 1):
+        here = met.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+        held = here.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+        open_keys = held.filter("n * n > same")
+        here = here.join(open_keys.select("key"), "key", "left_semi")
+        left = open_keys.agg(F.sum("n").alias("rows"), F.sum(F.expr("(n * n - same) div 2")).alias("pairs")).first()
+        if not left["rows"]:
+            break
+        last = k == ROUNDS or left["pairs"] <= FEW * left["rows"]
+        if last:
+            full = here.drop("score").join(members.drop("doc_id"), "sid")
+            a, b = (full.select("key", *[F.col(c).alias(f"{side}_{c}") for c in full.columns if c != "key"]) for side in "ab")
+            pairs = a.join(b, "key").filter("a_sid < b_sid and a_component <> b_component").filter(_allowed("a_", "b_"))
+            pairs = pairs.select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).distinct()
+        else:
+            ranks = [F.col("score") if k == 0 else F.xxhash64("sid", F.lit(-k)), F.xxhash64("sid", F.lit(k))]
+            centres = here.groupBy("key").agg(F.array(*[F.max(F.struct(r.alias("rank"), "sid", "component")) for r in ranks]).alias("c")).select("key", F.explode("c").alias("c"))
+            tied = here.join(centres, "key").filter(F.col("component") != F.col("c")["component"]).select("sid", F.col("c")["sid"].alias("centre"))
+            pairs = _possible(tied.select(F.least("sid", "centre").alias("a"), F.greatest("sid", "centre").alias("b")).distinct(), members)
+        pairs = stored(pairs.join(checked, ["a", "b"], "left_anti"), "jaccard-pairs")
+        links = links.union(stored(_links(pairs, _texts_of(docs, members, pairs)), "jaccard-links"))
+        checked = checked.union(pairs)
+        parts = connected_components(links)
+        if last:
+            break
+    return parts
+
+
 def _texts_of(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(sid, text): one text for each set that a pair names."""
     named = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
