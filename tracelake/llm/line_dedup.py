@@ -141,10 +141,10 @@ def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the kept lines as text and ``_n_lines`` and ``_n_dropped``; a document may be left with an empty text."""
-    maps = line_keep_bitmaps(docs, id_col, text_col, **options).withColumnsRenamed({"doc_id": "_id", "print": "_print"})
+    maps = line_keep_bitmaps(docs, id_col, text_col, **options).withColumnsRenamed({"doc_id": "_id", "print": "_print", "keep_bitmap": "_keep_bitmap"})
     same = docs[id_col].cast("long").eqNullSafe(maps["_id"]) & (F.xxhash64(docs[text_col]) == maps["_print"])
     rest = [c for c in docs.columns if c != text_col]
-    both = docs.join(maps, same, "left").select(*rest, docs[text_col].alias("_text"), "keep_bitmap")
+    both = docs.join(maps, same, "left").select(*rest, docs[text_col].alias("_text"), "_keep_bitmap")
     fields = "".join(f"`{c}` {t}, " for c, t in docs.select(*rest).dtypes)
     out = both.mapInArrow(_applied, f"{fields}_text string, _n_lines long, _n_dropped long")
     return out.select(*[F.col("_text").alias(c) if c == text_col else F.col(c) for c in docs.columns], "_n_lines", "_n_dropped")
