@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -98,7 +97,11 @@ def fit_groups(df: DataFrame, keys: list[str], time: str, value: str, kind: str
     """One fit per group; groups with too few points give no row. A group is one trajectory or condition: bounded by its frames."""
     rows = df.select(*keys, F.col(time).cast("double").alias(time), F.col(value).cast("double").alias(value))
     fields = ", ".join(f"`{c}` {t}" for c, t in rows.select(*keys).dtypes)
-    return rows.groupBy(*keys).applyInPandas(partial(_one, keys=keys, time=time, value=value, kind=kind, delta=delta), f"{fields}, {QUARTER if kind == 'quarter' else BLEND}")
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _one(pdf, keys, time, value, kind, delta)
+
+    return rows.groupBy(*keys).applyInPandas(one, f"{fields}, {QUARTER if kind == 'quarter' else BLEND}")
 
 
 def calibrate(df: DataFrame, xs: list[str], y: str, delta: float, keys: list[str] | None = None, rounds: int = 8, weight: str | None = None) -> DataFrame:
