@@ -36,8 +36,11 @@ LEN_BITS = 12
 NULL_ID = -(1 << 63)
 
 
-def gear_hash(data: np.ndarray) -> np.ndarray:
-    """The gear hash h = 2 h + GEAR[byte] (32 bits) after each byte, by doubling the window five times."""
+def gear_hash(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The gear hash h = 2 h + GEAR[byte] (32 bits) after each byte of its text, by doubling the window five times.
+
+    What the bytes before a text add to its first 31 hashes is taken off again, so that equal texts have equal hashes.
+    """
     h = GEAR[data]
     width = 1
     while width < 32:
@@ -45,12 +48,17 @@ def gear_hash(data: np.ndarray) -> np.ndarray:
         h = h.copy()
         h[width:] += shifted
         width *= 2
+    start, end = offsets[:-1], offsets[1:]
+    before = np.where(start > 0, h[np.maximum(start, 1) - 1], 0).astype(np.uint32)
+    for k in range(31):
+        has = start + k < end
+        h[start[has] + k] -= before[has] << np.uint32(k + 1)
     return h
 
 
 def cut_points(data: np.ndarray, offsets: np.ndarray, least: int = LEAST, most: int = MOST) -> list[list[int]]:
     """For each text the ends of its chunks, between ``least`` and ``most`` bytes long (the last may be shorter)."""
-    ends = np.flatnonzero((gear_hash(data) & CUT) == 0) + 1 if len(data) else np.zeros(0, np.int64)
+    ends = np.flatnonzero((gear_hash(data, offsets) & CUT) == 0) + 1 if len(data) else np.zeros(0, np.int64)
     at = np.searchsorted(ends, offsets, side="right").tolist()
     ends = ends.tolist()
     out = []
