@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import SPACED_WORD
+from tracelake.llm.common import SPACED_WORD, stored
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -57,7 +57,8 @@ def mix_rates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """``docs`` with ``_mix``: a struct of size, source_size, target and copies."""
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(SPACED_WORD)).cast("long")
     targets = source_targets(docs.select(F.col(source_col).alias("source"), size.alias("size")), **options)
-    targets = targets.select(F.struct("source", "source_size", "target").alias("_mix"))
+    #: stored, so that its size is known before the join is planned: by broadcast, documents stay where they are
+    targets = stored(targets, "mix-targets").select(F.struct("source", "source_size", "target").alias("_mix"))
     out = docs.join(targets, docs[source_col].eqNullSafe(targets["_mix"]["source"]), "left")
     whole, goal = F.col("_mix")["source_size"], F.col("_mix")["target"]
     rate = F.when(whole > 0, goal / whole).otherwise(0.0)
