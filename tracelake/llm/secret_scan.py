@@ -131,7 +131,11 @@ def _battery(token: Column) -> Column:
         ))
 
     bare = F.regexp_replace(token, "=+$", "")
-    return bound_to(F.struct(F.split(bare, "").alias("chars"), alphabet.alias("letters"), classes.alias("sizes")), tests)
+    none = F.struct(F.lit(0.0).alias("length"), F.lit(0.0).alias("z"), F.lit(False).alias("random"))
+    return bound_to(
+        F.struct(F.split(bare, "").alias("chars"), alphabet.alias("letters"), classes.alias("sizes")),
+        lambda x: F.when(F.size(x["chars"]) > 1, tests(x)).otherwise(none),
+    )
 
 
 def _band(length: Column) -> Column:
