@@ -17,14 +17,14 @@ from tracelake.llm.jaccard_join import keep_one_per_component
 from tracelake.llm.line_dedup import line_dedup
 from tracelake.llm.mixing import mix
 from tracelake.llm.oracle import pipeline as _pipeline_sql
-from tracelake.llm.quality_rules import quality_rules
+from tracelake.llm.quality_rules import keep_good
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that break no rule."""
-    return quality_rules(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
+    return keep_good(docs.select(*COLUMNS))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,43 +84,61 @@ def _repeat_words(words: Column, window: int) -> Column:
     return F.when(F.size(words) > window, found).otherwise(0)
 
 
-def measures(text: Column) -> dict[str, Column]:
-    """The base measures, as long columns, of a text column."""
+def _measured(text: Column) -> Column:
+    """Struct of what the rules read; each scan of the text is written once."""
     text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(SPACED_WORD))
-    words = spaced_words(text)
     bare = lambda w: F.translate(ascii_lower(w), ".,;:!?", "")
-    of_words = bound_to(words, lambda w: F.struct(
+    of_words = bound_to(spaced_words(text), lambda w: F.struct(
         F.size(w).alias("n_words"),
         _repeat_words(w, WINDOW).alias("n_repeat_words"),
         F.size(F.filter(w, lambda x: bare(x).isin(STOP_WORDS))).alias("n_stop_words"),
     ))
     of_lines = bound_to(lines, lambda x: F.struct(F.size(x).alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines")))
-    return {
-        "_words": of_words,
-        "_lines": of_lines,
-        "word_chars": F.length(F.translate(text, SPACE_CHARS, "")).cast("long"),
-        "n_symbols": _removed(text, SYMBOLS).cast("long"),
-        "n_exclamations": _removed(text, "!").cast("long"),
-    }
+    return F.struct(
+        of_words.alias("words"),
+        of_lines.alias("lines"),
+        F.length(F.translate(text, SPACE_CHARS, "")).alias("word_chars"),
+        _removed(text, SYMBOLS).alias("n_symbols"),
+        _removed(text, "!").alias("n_exclamations"),
+    )
 
 
-def _broken(rule: Rule) -> Column:
-    whole = F.lit(1) if rule.whole == "one" else F.col(rule.whole)
-    part, bound = F.col(rule.part) * rule.scale, whole * rule.bound
-    return (F.col("n_words") >= rule.least) & (part < bound if rule.beyond == "<" else part > bound)
+def _broken(rule: Rule, m: dict[str, Column]) -> Column:
+    whole = F.lit(1) if rule.whole == "one" else m[rule.whole]
+    part, bound = m[rule.part] * rule.scale, whole * rule.bound
+    return (m["n_words"] >= rule.least) & (part < bound if rule.beyond == "<" else part > bound)
+
+
+def judgement(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """Struct of the measures (long) and ``broken_rules``.
+
+    One expression that binds what it has measured: a filter on it that is pushed down measures once, not once per rule.
+    """
+
+    def judged(x: Column) -> Column:
+        m = {k: x["words"][k].cast("long") for k in ("n_words", "n_repeat_words", "n_stop_words")}
+        m |= {k: x["lines"][k].cast("long") for k in ("n_lines", "n_dup_lines")}
+        m |= {k: x[k].cast("long") for k in ("word_chars", "n_symbols", "n_exclamations")}
+        broken = F.filter(F.array(*[F.when(_broken(r, m), F.lit(r.name)) for r in rules]), lambda r: r.isNotNull())
+        return F.struct(*[c.alias(k) for k, c in m.items()], broken.alias("broken_rules"))
+
+    return bound_to(_measured(text), judged)
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, base: tuple[str, ...] = BASE_RULES) -> DataFrame:
     """Add the measures, ``broken_rules``, ``base_failed`` and ``kept`` to ``docs``."""
-    out = docs.withColumns(measures(F.col(text_col)))
+    names = ["n_words", "n_repeat_words", "n_stop_words", "n_lines", "n_dup_lines", "word_chars", "n_symbols", "n_exclamations", "broken_rules"]
+    j = F.col("_judgement")
+    out = docs.withColumn("_judgement", judgement(F.col(text_col), rules))
     out = out.withColumns({
-        **{k: F.col("_words")[k].cast("long") for k in ("n_words", "n_repeat_words", "n_stop_words")},
-        **{k: F.col("_lines")[k].cast("long") for k in ("n_lines", "n_dup_lines")},
-    }).drop("_words", "_lines")
-    broken = F.filter(F.array(*[F.when(_broken(r), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
-    out = out.withColumn("broken_rules", broken)
-    return out.withColumns({
-        "base_failed": F.arrays_overlap("broken_rules", F.array(*[F.lit(x) for x in base])),
-        "kept": F.size("broken_rules") == 0,
+        **{k: j[k] for k in names},
+        "base_failed": F.arrays_overlap(j["broken_rules"], F.array(*[F.lit(x) for x in base])),
+        "kept": F.size(j["broken_rules"]) == 0,
     })
+    return out.drop("_judgement")
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``docs`` that break no rule."""
+    return docs.filter(F.size(judgement(F.col(text_col), rules)["broken_rules"]) == 0)
