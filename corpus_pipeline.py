@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again for the next one.
 All but the last return the columns of ``documents``; the last gives each document as often as the mix takes it, numbered
-in ``copy``. Rows with a null doc_id go through every stage: they are judged by their text, and near duplicates and
-contamination, which name documents by id, leave them in unless their texts together are contaminated.
+in ``copy``. Rows with a null doc_id go through every stage: they are judged by their text, also for contamination, and near
+duplicates, which name documents by id, leave them in.
 """
 
 from __future__ import annotations

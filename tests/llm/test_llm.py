@@ -114,6 +114,19 @@ def test_decontaminate(spark, docs, crowded):
     assert contamination(docs.limit(0), bench).count() == 0
 
 
+def test_decontaminate_judges_each_text_of_an_id(spark):
+    """Null and shared ids: a long clean text hides no contaminated one, which takes no clean one with it."""
+    say = lambda k, of: " ".join(f"{of}{j}" for j in range(k))
+    bad, long, short = say(20, "q"), say(900, "a"), say(30, "b")
+    bench = spark.createDataFrame([(1, bad)], "item_id long, text string")
+    data = [(None, bad), (None, long), (None, short), (7, bad), (7, bad), (7, long), (7, None), (8, short)]
+    d = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    n = {bad: (20, 20, True), long: (900, 0, False), short: (30, 0, False), None: (0, 0, False)}
+    want = sorted(((i, *n[t]) for i, t in data), key=str)
+    assert sorted((tuple(r) for r in contamination(d, bench).select("doc_id", "n_words", "n_hit", "contaminated").collect()), key=str) == want
+    assert sorted(map(tuple, remove_contaminated(d, bench).collect()), key=str) == sorted(((i, t) for i, t in data if t != bad), key=str)
+
+
 def test_jaccard_components(spark, docs, crowded):
     want = brute.components(DOCS)
     assert rows(jaccard_components(docs), "doc_id", "n_shingles", "component_id") == want

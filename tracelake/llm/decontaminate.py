@@ -6,7 +6,8 @@ finds the n-gram table small, else by shuffling the few windows that passed). Te
 with true hits plus a share of ``grams / bits`` of the other windows.
 
 Null texts have no words. A benchmark row without words, or with a null text, has no window; a null item_id still marks
-words as hit but isn't listed. Rows that share a doc_id are reported as one document, with the union of their hits.
+words as hit but isn't listed. Rows are told apart by doc_id and a hash of the text, so each text is judged by itself, also
+where ids are null or shared; each row has its own row in the report.
 """
 
 from __future__ import annotations
@@ -53,9 +54,9 @@ def _bit_set(grams: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
 
 
 def window_hits(docs: DataFrame, grams: DataFrame, id_col: str, text_col: str, bits: int) -> DataFrame:
-    """(id, n_words, at, length, item_id): the verified windows; one row with nulls for a document without any."""
+    """(id, print, n_words, first, at, length, item_id): the verified windows, and one ``first`` row for each row of ``docs``."""
     packed, lengths = _bit_set(grams, bits)
-    read = docs.select(F.col(id_col).alias("_id"), _words(F.col(text_col)).alias("words"), packed.scalar().alias("bits"), lengths.scalar().alias("lengths"))
+    read = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_print"), _words(F.col(text_col)).alias("words"), packed.scalar().alias("bits"), lengths.scalar().alias("lengths"))
 
     def passing(w: Column) -> Column:
         def of_length(m: Column) -> Column:
@@ -63,35 +64,47 @@ def window_hits(docs: DataFrame, grams: DataFrame, id_col: str, text_col: str, b
             kept = F.filter(slots, lambda x: F.getbit(F.get("bits", F.shiftright(x["slot"], 6).cast("int")), x["slot"].bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1)
             return F.transform(kept, lambda x: F.struct(x["at"].alias("at"), m.alias("length"), F.concat_ws(" ", F.slice(w, x["at"], m)).alias("gram")))
 
-        return F.flatten(F.transform(F.filter(F.col("lengths"), lambda m: m <= F.size(w)), of_length))
+        found = F.flatten(F.transform(F.filter(F.col("lengths"), lambda m: m <= F.size(w)), of_length))
+        # the null stands for the row itself
+        return F.concat(F.array(F.lit(None)), found)
 
     both = bound_to(F.col("words"), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), passing(w).alias("passed")))
-    seen = read.select("_id", both.alias("x")).select("_id", "x.n_words", F.explode_outer("x.passed").alias("y"))
-    seen = seen.select("_id", "n_words", "y.at", "y.length", "y.gram")
+    seen = read.select("_id", "_print", both.alias("x")).select("_id", "_print", "x.n_words", F.explode("x.passed").alias("y"))
+    seen = seen.select("_id", "_print", "n_words", F.col("y").isNull().alias("first"), "y.at", "y.length", "y.gram")
     known = grams.select("gram", "item_id", F.lit(True).alias("found"))
-    return seen.join(known, "gram", "left").select("_id", "n_words", *[F.when(F.col("found"), F.col(c)).alias(c) for c in ("at", "length", "item_id")])
+    return seen.join(known, "gram", "left").select("_id", "_print", "n_words", "first", *[F.when(F.col("found"), F.col(c)).alias(c) for c in ("at", "length", "item_id")])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, bits: int = BITS) -> DataFrame:
-    """Per document: n_words, hits (sorted word intervals), n_hit, items (sorted strings), contaminated.
 
-    Contaminated: at least one hit, and a twentieth of the words or more are hit.
-    """
+def _verdicts(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, window: int, bits: int) -> DataFrame:
+    """(_id, _print, n_words, hits, items, n_hit, contaminated, copies): one row per id and text, which ``copies`` rows have."""
     grams = benchmark_grams(benchmark, item_col, item_text, window, bits)
     hits = window_hits(docs, grams, id_col, text_col, bits)
-    by = hits.groupBy("_id").agg(
+    by = hits.groupBy("_id", "_print").agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.collect_set(F.when(F.col("at").isNotNull(), F.struct("at", "length")))).alias("hits"),
         F.array_sort(F.collect_set("item_id")).alias("items"),
+        F.count_if("first").alias("copies"),
     )
     zero = F.struct(F.lit(1).alias("end"), F.lit(0).alias("n"))
     step = lambda a, x: F.struct(F.greatest(a["end"], x["at"] + x["length"]).alias("end"), (a["n"] + F.greatest(F.lit(0), x["at"] + x["length"] - F.greatest(a["end"], x["at"]))).alias("n"))
     n_hit = F.aggregate("hits", zero, step, lambda a: a["n"].cast("long"))
-    out = by.select(F.col("_id").alias(id_col), "n_words", "hits", "items", n_hit.alias("n_hit"))
+    out = by.select("_id", "_print", "n_words", "hits", "items", n_hit.alias("n_hit"), "copies")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the contaminated documents; rows with a null id are kept if their texts, taken together, are clean."""
-    bad = contamination(docs, benchmark, id_col=id_col, **options).filter("contaminated").select(F.col(id_col).alias("_bad"))
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, bits: int = BITS) -> DataFrame:
+    """Per row of ``docs``: n_words, hits (sorted word intervals), n_hit, items (sorted strings), contaminated.
+
+    Contaminated: at least one hit, and a twentieth of the words or more are hit.
+    """
+    found = _verdicts(docs, benchmark, id_col, text_col, item_col, item_text, window, bits)
+    each = found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return each.select(F.col("_id").alias(id_col), "n_words", "hits", "items", "n_hit", "contaminated")
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, bits: int = BITS) -> DataFrame:
+    """``docs`` without the rows whose text is contaminated; rows with a null id are judged one by one too."""
+    found = _verdicts(docs, benchmark, id_col, text_col, item_col, item_text, window, bits).filter("contaminated")
+    bad = found.select(F.col("_id").alias("_bad"), F.col("_print").alias("_bad_print"))
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]) & (F.xxhash64(docs[text_col]) == bad["_bad_print"]), "left_anti")
