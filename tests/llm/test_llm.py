@@ -371,6 +371,26 @@ def test_warc_scan_survives_damage():
     assert sorted(halves[0] + halves[1]) == at
 
 
+def test_warc_headers_of_any_length(spark):
+    """Headers beyond 64 KB whose members cross a read, and one beyond a decode of 1 MB."""
+    rng = random.Random(8)
+    urls = ["u", "http://h/" + rng.randbytes(300_000).hex(), "v", "http://h/" + "ab" * 1_500_000, "http://h/" + "ü" * 30_000 + rng.randbytes(200_000).hex()]
+    rec = [warc._record(k, u, b"p%d" % k * 50, warc.base32_sha1(b"p"), None, False) for k, u in enumerate(urls)]
+    data = b"".join(rec)
+    want = [sum(map(len, rec[:k])) for k in range(len(rec))]
+    assert [offset for offset, _ in warc.scan_records(io.BytesIO(data), 0, len(data))] == want
+    pages = spark.createDataFrame([(k, u, f"p{k}") for k, u in enumerate(urls)], "page_id long, url string, html string").coalesce(1)
+    assert rows(warc.round_trip(pages), "page_id", "record_type") == [(k, "response") for k in range(len(urls))]
+
+
+def test_warc_round_trip_counts_records(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "u", "a"), (2, "u", "b")], "page_id long, url string, html string")
+    read = warc.read_warc
+    monkeypatch.setattr(warc, "read_warc", lambda *a, **b: read(*a, **b).limit(1))
+    with pytest.raises(RuntimeError):
+        warc.round_trip(pages)
+
+
 def test_mixing(spark, docs, crowded):
     out = mix_rates(docs).select("doc_id", "source", "_mix.*")
     got = {r["source"]: (r["source_size"], r["target"]) for r in out.collect()}

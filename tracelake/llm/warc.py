@@ -6,7 +6,7 @@ member per record, under a name of its partition, first to a name of the attempt
 one whole file.
 
 Reader. Files are cut into byte ranges; a task scans its range for the gzip magic, accepts a candidate only if the member
-there decodes to a WARC version line and a header with a length, and owns the records that start inside its range. From an
+there decodes to a WARC version line and a header, of any size, with a length, and owns the records that start inside its range. From an
 accepted record it goes on member by member, past the end of its range if the last record does. A damaged member is skipped
 by scanning on from its start.
 
@@ -43,7 +43,6 @@ DATE = datetime(2024, 1, 1, tzinfo=UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 SPLIT_BYTES = 32 << 20
 READ_BYTES = 256 << 10
-HEADER_BYTES = 64 << 10
 
 
 def _opened(uri: str) -> tuple[fs.FileSystem, str]:
@@ -126,7 +125,7 @@ class _Bytes:
         self.data, self.at = self.data[n:], self.at + n
 
 
-def _head(text: bytes) -> dict[str, str] | None:
+def _head(text: bytes | bytearray) -> dict[str, str] | None:
     """The header fields, names in lower case, if ``text`` starts a record and holds its header."""
     if not text.startswith(b"WARC/1."):
         return None
@@ -140,8 +139,7 @@ def _head(text: bytes) -> dict[str, str] | None:
 
 def _member(source: _Bytes) -> tuple[bytes, int] | None:
     """The decoded member at the start of ``source`` and its length in the file, or None if no record starts there."""
-    decoder, out, fed, checked = zlib.decompressobj(31), [], 0, False
-    got = 0
+    decoder, out, fed, checked = zlib.decompressobj(31), bytearray(), 0, False
     while not decoder.eof:
         if fed == len(source.data) and not source.more():
             return None
@@ -151,18 +149,18 @@ def _member(source: _Bytes) -> tuple[bytes, int] | None:
             while piece and not decoder.eof:
                 x = decoder.decompress(piece, 1 << 20)
                 piece = decoder.unconsumed_tail
-                out.append(x)
-                got += len(x)
-                if not checked and (got >= HEADER_BYTES or decoder.eof):
+                got = len(out)
+                out += x
+                if not checked and len(out) >= 7 and not out.startswith(b"WARC/1."):
+                    return None
+                # the header ends at the blank line, however long it is
+                if not checked and out.find(b"\r\n\r\n", max(0, got - 3)) >= 0:
                     checked = True
-                    if _head(b"".join(out)) is None:
+                    if _head(out) is None:
                         return None
-                if not checked and got >= 7 and not b"".join(out).startswith(b"WARC/1."):
-                    return None
         except zlib.error:
             return None
-    whole = b"".join(out)
-    return (whole, fed - len(decoder.unused_data)) if checked or _head(whole) is not None else None
+    return (bytes(out), fed - len(decoder.unused_data)) if checked else None
 
 
 def scan_records(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
@@ -235,20 +233,26 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", min_bytes: int = 0) ->
     """Write ``pages`` as archives, read them back: (id, payload_bytes, payload_digest, record_type, refers_to).
 
     A response's length and digest are taken from the payload read; a revisit's from its headers, as it has no payload.
+    Raises if fewer or more records are read than were written.
     """
     spark = pages.sparkSession
     folder = new_folder(spark, "warc")
-    write_warc(pages, folder, id_col, min_bytes=min_bytes)
+    written = write_warc(pages, folder, id_col, min_bytes=min_bytes).agg(F.coalesce(F.sum("n_records"), F.lit(0))).first()[0]
     found = read_warc(spark, folder, payload=False)
     own = F.col("warc_type") == "response"
     low = lambda c: _id_of(F.col(c))
-    return found.select(
+    out = found.select(
         low("record_id").alias(id_col),
         F.when(own, F.col("payload_bytes")).otherwise(F.col("http_length")).alias("payload_bytes"),
         F.when(own, F.col("payload_sha1")).otherwise(F.col("digest")).alias("payload_digest"),
         F.col("warc_type").alias("record_type"),
         F.when(~own, low("refers_to")).alias("refers_to"),
     )
+    out = stored(out, "warc-read")
+    n = out.count()
+    if n != written:
+        raise RuntimeError(f"{written} records were written to {folder}, {n} were read")
+    return out
 
 
 def _id_of(urn):
