@@ -28,10 +28,11 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import stored
 from tracelake.llm.textkit import U64, numbers, text_slices
 
-MIN_RUN, LEAST, MOST = 128, 16, 1024
+#: Of a repeated passage a run lacks the chunks that straddle its ends: 96 bytes here are about 150 of the passage.
+MIN_RUN, LEAST, MOST = 96, 16, 1024
 GEAR = (numbers(256, 31) >> U64(32)).astype(np.uint32)
-#: Five bits of the rolling hash, of which the highest sees 21 bytes: a cut every 32 bytes on average.
-CUT = np.uint32(0b11111 << 16)
+#: Four bits of the rolling hash, of which the highest sees 21 bytes: a cut every 16 bytes on average, chunks of 30 with LEAST.
+CUT = np.uint32(0b1111 << 17)
 LEN_BITS = 12
 NULL_ID = -(1 << 63)
 
