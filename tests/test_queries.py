@@ -31,3 +31,9 @@ def test_registered():
     names = __spark_entry__.queries()
     assert set(QUERIES) <= set(names)
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_reshaping_has_all_frames(spark):
+    n = spark.read.parquet(f"{DATA}/embeddings.parquet").selectExpr("sum(size(embedding))").first()[0]
+    assert len(QUERIES["a1_long_to_wide_all"](spark, DATA).columns) == 65
+    assert QUERIES["a2_wide_to_long_all"](spark, DATA).count() == n

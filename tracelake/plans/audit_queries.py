@@ -293,6 +293,15 @@ def a37_support_check(spark, sf_dir):
     return rounded(out.select("p_partkey", "z_p_retailprice", "z_p_size", "seen_p_brand", "combo_seen", "severity"), 5)
 
 
+@query("a37_support_check_ordered", ORACLE["a37_support_check"].replace("p_partkey % 3 = 0", "p_partkey IN (SELECT l_partkey FROM lineitem)"))
+def a37_support_check_ordered(spark, sf_dir):
+    """Against all parts that have been ordered; a37_support_check takes every third part, as its SQL."""
+    part = load(spark, sf_dir, "part")
+    ordered = part.join(load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_semi")
+    out = support.support_check(part, ordered, ["p_retailprice", "p_size"], ["p_brand"], ["p_type", "p_size"], z_warn=1.5, z_strong=1.7)
+    return rounded(out.select("p_partkey", "z_p_retailprice", "z_p_size", "seen_p_brand", "combo_seen", "severity"), 5)
+
+
 @query("a38_contingency", "SELECT p_type, count(*) FILTER (p_size <= 16) AS small, count(*) FILTER (p_size BETWEEN 17 AND 33) AS middle, count(*) FILTER (p_size > 33) AS large FROM part GROUP BY p_type")
 def a38_contingency(spark, sf_dir):
     size = F.when(F.col("p_size") <= 16, "small").when(F.col("p_size") <= 33, "middle").otherwise("large")

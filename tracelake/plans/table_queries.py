@@ -30,6 +30,22 @@ def a2_wide_to_long(spark, sf_dir):
     return rounded(reshape.from_columns(wide, ["vec_id"], "v", "v"))
 
 
+N_FRAMES = 64
+
+
+@query("a1_long_to_wide_all", f"WITH {V_FRAMES} SELECT vec_id, {', '.join(f'round(max(v) FILTER (pos = {k}), 6) AS v_{k:03d}' for k in range(N_FRAMES))} FROM v_frames GROUP BY vec_id")
+def a1_long_to_wide_all(spark, sf_dir):
+    """All frames; a1_long_to_wide has the first 8, as its SQL."""
+    return rounded(reshape.to_columns(v_frames(spark, sf_dir), ["vec_id"], "pos", "v", N_FRAMES, "v"))
+
+
+@query("a2_wide_to_long_all", f"WITH {V_FRAMES} SELECT vec_id, pos, round(v, 6) AS v FROM v_frames")
+def a2_wide_to_long_all(spark, sf_dir):
+    """All frames; a2_wide_to_long has the first 8, as its SQL."""
+    wide = v_wide(spark, sf_dir).select("vec_id", *[F.col("series")[k].alias(f"v_{k:03d}") for k in range(N_FRAMES)])
+    return rounded(reshape.from_columns(wide, ["vec_id"], "v", "v"))
+
+
 @query("a2_condition_id", f"WITH {V_FITS}, k AS (SELECT grp, status, dense_rank() OVER (ORDER BY grp, status) - 1 AS id FROM (SELECT DISTINCT grp, status FROM v_fits)) SELECT id::INT AS id, count(*) AS n FROM v_fits JOIN k USING (grp, status) GROUP BY 1")
 def a2_condition_id(spark, sf_dir):
     return reshape.dense_id(v_fits(spark, sf_dir), ["grp", "status"], "id").groupBy("id").agg(F.count("*").alias("n"))
