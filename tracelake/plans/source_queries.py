@@ -46,28 +46,63 @@ def s10_append_master(spark, sf_dir):
 WIDE = V_SERIES + ", w AS (SELECT cond, traj, pos, value, time FROM v_series WHERE traj < 20)"
 
 
+BLOCK = 20
+
+
 def _recording_tree(spark, sf_dir) -> str:
-    """The first trajectories as wide CSV files with JSON sidecars, one file per condition."""
+    """All trajectories as wide CSV files with JSON sidecars, one file per condition and block of 20 trajectories.
+
+    A folder is named by the hexadecimal condition, which any text can be, and the block.
+    """
     root = recordings.scratch(spark, "recordings")
-    s = v_series(spark, sf_dir).filter("traj < 20").select("cond", "pos", "traj", "value")
-    wide = s.groupBy("cond", F.col("pos").alias("frame_idx")).pivot("traj", list(range(20))).agg(F.first("value")).withColumnsRenamed({str(k): f"pen_plume_{k}" for k in range(20)})
-    for cond in ("click", "error", "purchase", "signup", "view"):
-        wide.filter(F.col("cond") == cond).drop("cond").coalesce(1).write.option("header", True).csv(f"{root}/lab/cdf/{cond}")
-    meta = s.groupBy("cond").agg(F.countDistinct("traj").cast("double").alias("plumes"), F.max("pos").cast("double").alias("fps"))
-    meta.repartition(1).write.partitionBy("cond").json(f"{root}-meta/lab/meta")
+    block = F.floor(F.col("traj") / BLOCK).cast("long")
+    s = v_series(spark, sf_dir).select(F.concat_ws("-", F.coalesce(F.hex("cond"), F.lit("null")), block).alias("key"), F.col("pos").alias("frame_idx"), "traj", F.pmod("traj", F.lit(BLOCK)).alias("plume"), "value")
+    wide = s.groupBy("key", "frame_idx").pivot("plume", list(range(BLOCK))).agg(F.first("value")).withColumnsRenamed({str(k): f"pen_plume_{k}" for k in range(BLOCK)})
+    wide.repartition("key").write.partitionBy("key").option("header", True).csv(f"{root}/lab/cdf")
+    meta = s.groupBy("key").agg(F.countDistinct("traj").cast("double").alias("plumes"), F.max("frame_idx").cast("double").alias("fps"))
+    meta.repartition("key").write.partitionBy("key").json(f"{root}-meta/lab/meta")
     return root
 
 
+def _named(df):
+    """``df`` with the condition as folder, and the block, both from the folder's name."""
+    name = F.split(F.regexp_replace("folder", "^key=", ""), "-", 2)
+    return df.withColumns({"folder": F.when(name[0] != "null", F.unhex(name[0]).cast("string")), "block": name[1].cast("long")})
+
+
+def _long(spark, sf_dir):
+    """(folder, plume_idx, n, total) of all trajectories, by their ids."""
+    long = _named(recordings.to_long(recordings.read_wide(spark, _recording_tree(spark, sf_dir))))
+    traj = (F.col("block") * BLOCK + F.col("plume_idx")).cast("int").alias("plume_idx")
+    return rounded(long.groupBy("folder", traj).agg(F.count("*").alias("n"), F.sum("value").alias("total")), 5)
+
+
+def _files(spark, sf_dir):
+    """(folder, block) of each file of the tree."""
+    return _named(recordings.inventory(spark, _recording_tree(spark, sf_dir), "*.csv", 1).filter("n_bytes > 0"))
+
+
 @query("s1_recordings_to_long", f"WITH {WIDE} SELECT cond AS folder, traj::INT AS plume_idx, count(*) AS n, round(sum(value), 5) AS total FROM w GROUP BY 1, 2")
 def s1_recordings_to_long(spark, sf_dir):
-    long = recordings.to_long(recordings.read_wide(spark, _recording_tree(spark, sf_dir)))
-    return rounded(long.groupBy("folder", "plume_idx").agg(F.count("*").alias("n"), F.sum("value").alias("total")), 5)
+    """Of the whole tree the trajectories that its SQL asks for."""
+    return _long(spark, sf_dir).filter("plume_idx < 20")
+
+
+@query("s1_recordings_to_long_all", f"WITH {V_SERIES} SELECT cond AS folder, traj::INT AS plume_idx, count(*) AS n, round(sum(value), 5) AS total FROM v_series GROUP BY 1, 2")
+def s1_recordings_to_long_all(spark, sf_dir):
+    return _long(spark, sf_dir)
 
 
 @query("s14_inventory", "SELECT event_type AS folder, 1 AS n_files FROM events GROUP BY 1")
 def s14_inventory(spark, sf_dir):
-    out = recordings.inventory(spark, _recording_tree(spark, sf_dir), "*.csv", 1)
-    return out.filter("n_bytes > 0").select("folder", F.col("n_files").cast("int").alias("n_files"))
+    """Of the whole tree the first block, one file per condition, as its SQL has it."""
+    out = _files(spark, sf_dir).filter("block = 0")
+    return out.select("folder", F.col("n_files").cast("int").alias("n_files"))
+
+
+@query("s14_inventory_all", f"SELECT event_type AS folder, count(DISTINCT user_id // {BLOCK}) AS n_files FROM events GROUP BY 1")
+def s14_inventory_all(spark, sf_dir):
+    return _files(spark, sf_dir).groupBy("folder").agg(F.sum("n_files").alias("n_files"))
 
 
 @query("s4_design_registry", "SELECT p_brand AS name, d AS density, round(d * 0.11, 6) AS pressure FROM (SELECT DISTINCT p_brand, p_size AS d FROM part)")
