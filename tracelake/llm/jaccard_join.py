@@ -6,13 +6,17 @@ so the number of differing parts is at most the size of the symmetric difference
 (|A| + |B|) / 9. By the pigeonhole principle two linked documents have at least P less that bound parts in common, so it is
 enough that each brings the first bound + 1 of its parts in an order both share (parts of many elements first: the likeliest
 to be rare) to meet in at least one. P and the order are set per band of sizes; a document near a band's upper end also
-joins the next band. No link is lost, and the number of parts brought grows with the text's length only.
-
-Documents with equal sets are one member from the start. Members that meet in a part are first tied to a centre, which is
-linear in the rows; ties whose sizes and 256-bit parity sketches allow a link (Hamming distance again bounds the difference
-from below) are verified on whole texts and joined to components. After a few rounds with other centres, all pairs of
-members that met but still lie in different components are taken, under the same conditions, and verified as well. Groups
-are streamed in sorted order, never collected.
+joins the next band. Sets of under 16 elements differ in three at most: they meet in one of their first elements by hash
+(one more than a fifth of the set) and in one of the four words of a 256-bit parity sketch. No link is lost, and the number
+of parts brought grows with the text's length only.
+
+Documents with equal sets are one member from the start. The members that meet in a part are streamed in sorted order and
+tied to the first, which is linear in the rows; it is the one with the most shared parts (of a family of near copies the
+likeliest original) or one by a hash. Ties whose sizes and 256-bit sketches allow a link (Hamming distance again bounds the difference from below) are
+verified on whole texts and joined to components. At the end all pairs of members that met but lie in different components
+are taken, under the same conditions, and verified as well. A pair that met in many parts comes from one of them: each
+member carries its ``LOW`` smallest part keys, and of those that both carry only the smallest gives the pair; a pair without
+any such key comes from each part. Groups are streamed or joined in sorted order, never collected.
 
 Texts that are null or without words have an empty set and are linked with nothing. A null doc_id is not linked either and
 gets a null component. Rows that share a doc_id are one document if their texts agree, else each text takes part and both
@@ -36,8 +40,13 @@ WIDTH = 5
 #: Two sets link when DEN * intersection >= NUM * union.
 NUM, DEN = 80, 100
 SKETCH_WORDS = 4
-#: Rounds against centres before the round that takes all pairs left, unless those are no more than FEW for each row.
-ROUNDS, FEW = 2, 2
+#: Sets of fewer elements meet in elements, not in parts: small sets would have empty parts in common.
+SMALL = 16
+#: A further round against centres comes if over FEW pairs for each row are left and the last one found a link for TEN rows.
+ROUNDS, FEW, TEN, ORDERS = 4, 8, 10, 32
+LOW = 8
+#: A text that more pairs than this name is repeated in as many partitions of the join as needed.
+HOT = 4096
 
 
 def most_apart(a: int, b: int) -> int:
@@ -47,21 +56,25 @@ def most_apart(a: int, b: int) -> int:
 
 def _bands(n: int) -> list[tuple[int, int, int]]:
     """(band, parts in it, parts that a set of ``n`` elements brings): bands double, and the largest partner is n / 0.8."""
-    own, partner = n.bit_length() - 1, n * DEN // NUM
+    own, partner = max(n, SMALL).bit_length() - 1, n * DEN // NUM
     out = []
     for k in range(own, partner.bit_length()):
         high = (2 << k) - 1
-        widest = most_apart(high, high)
         bring = most_apart(n, min(high, partner)) + 1
-        out.append((k, max(widest + 1, widest * 3 // 2), bring))
+        out.append((k, most_apart(high, high) * 3 // 2 + 6, bring))
     return out
 
 
 def part_keys(values: np.ndarray) -> np.ndarray:
-    """The keys of the parts that a set of hashes brings, over its bands."""
-    out = []
+    """The keys under which a set of hashes meets others, over its bands. Sets of up to 3 elements link with equal ones only."""
+    out = [np.zeros(0, U64)]
     mixed = mix64(values + U64(1))
-    for k, parts, bring in _bands(len(values)):
+    n = len(values)
+    if most_apart(n, n * DEN // NUM) and n < SMALL:
+        first = np.sort(mixed)[: n + 1 + -n * NUM // DEN]
+        words = mix64(_sketch(values).view(U64) + np.arange(SKETCH_WORDS, dtype=U64) * U64(0x9E3779B97F4A7C15))
+        out.append(mix64(first[:, None] + words).ravel())
+    for k, parts, bring in _bands(n):
         slot = ((mixed >> U64(32)) * U64(parts)) >> U64(32)
         order = np.argsort(slot, kind="stable")
         held, first, count = np.unique(slot[order], return_index=True, return_counts=True)
@@ -80,56 +93,77 @@ def _sketch(values: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-MEMBER = "doc_id long, sid long, n long, s0 long, s1 long, s2 long, s3 long"
+SKETCH = [f"s{j}" for j in range(SKETCH_WORDS)]
+MEMBER = "doc_id long, sid long, n long, " + ", ".join(f"{c} long" for c in SKETCH) + ", keys array<long>"
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each text; of equal sets in a batch, one brings its keys. A null id brings none."""
     for batch in batches:
-        ids = batch.column(0)
+        ids, known = batch.column(0).cast(pa.int64()), batch.column(0).is_valid().to_pylist()
+        seen: set[int] = set()
         for a, b, data, offsets in text_slices(batch.column(1)):
-            sids, sizes, bits = [], [], np.zeros((b - a, SKETCH_WORDS), np.int64)
+            sids, sizes, bits, keys = [], [], np.zeros((b - a, SKETCH_WORDS), np.int64), []
             for i, values in enumerate(shingle_sets(data, offsets, WIDTH)):
                 sids.append(set_hash(values) if len(values) else None)
                 sizes.append(len(values))
                 bits[i] = _sketch(values)
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).cast(pa.int64()), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), *[pa.array(bits[:, j]) for j in range(SKETCH_WORDS)]], names=["doc_id", "sid", "n", "s0", "s1", "s2", "s3"])
+                brings = len(values) and known[a + i] and sids[-1] not in seen
+                keys.append(part_keys(values).view(np.int64) if brings else np.zeros(0, np.int64))
+                if brings:
+                    seen.add(sids[-1])
+            ends = np.cumsum([0, *map(len, keys)])
+            yield pa.RecordBatch.from_arrays(
+                [ids.slice(a, b - a), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), *[pa.array(bits[:, j]) for j in range(SKETCH_WORDS)], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), np.concatenate(keys))],
+                names=["doc_id", "sid", "n", *SKETCH, "keys"],
+            )
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, sid) rows; of equal sets in a batch, one brings its parts."""
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in order of (key, sid): those of the keys that have more than one sid, each once."""
+    key0 = sid0 = np.zeros(0, np.int64)  # the last row, which waits for the next
+    joined = False  # whether it has the key of the row before it
+
+    def rows(key: np.ndarray, sid: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(sid)], names=["key", "sid"])
+
     for batch in batches:
-        seen: set[int] = set()
-        for _, _, data, offsets in text_slices(batch.column(0)):
-            keys, sids, counts = [], [], []
-            for values in shingle_sets(data, offsets, WIDTH):
-                if len(values) and (sid := set_hash(values)) not in seen:
-                    seen.add(sid)
-                    keys.append(part_keys(values))
-                    sids.append(sid)
-                    counts.append(len(keys[-1]))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(sids, np.int64), counts))], names=["key", "sid"])
+        if not batch.num_rows:
+            continue
+        key, sid = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate((key0, sid0)))
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])
+        key, sid = key[new], sid[new]
+        same = np.append(joined, key[1:] == key[:-1])
+        keep = (same | np.append(same[1:], False))[:-1]
+        key0, sid0, joined = key[-1:], sid[-1:], bool(same[-1])
+        if keep.any():
+            yield rows(key[:-1][keep], sid[:-1][keep])
+    if joined:
+        yield rows(key0, sid0)
 
 
 def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of (key, sid): (key, sid, centre) for members other than the key's first."""
-    key0, centre0, sid0 = None, None, None
+    """From rows in order of (key, rank): (a, b), a < b, of each member with its key's first, where a link is possible."""
+    key0 = centre0 = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, sid = (batch.column(i).to_numpy() for i in (0, 1))
+        key = batch.column(0).to_numpy()
+        now = np.stack([batch.column(k).to_numpy() for k in range(1, 4 + SKETCH_WORDS)])  # sid, component, n and the sketch
+        if key0 is not None:
+            key, now = np.append(key0, key), np.concatenate([centre0, now], axis=1)
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
-        new[0] = key0 is None or key[0] != key0
-        at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-        centre = np.where(at >= 0, sid[np.maximum(at, 0)], centre0 if centre0 is not None else 0)
-        again = np.zeros(len(key), bool)
-        again[1:] = ~new[1:] & (sid[1:] == sid[:-1])
-        again[0] = not new[0] and sid[0] == sid0
-        keep = (sid != centre) & ~again
-        key0, centre0, sid0 = key[-1], centre[-1], sid[-1]
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, sid, centre)], names=["key", "sid", "centre"])
+        at = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+        centre = now[:, at]
+        key0, centre0 = key[-1:], centre[:, -1:]
+        small, large = np.minimum(now[2], centre[2]), np.maximum(now[2], centre[2])
+        apart = np.bitwise_count((now[3:] ^ centre[3:]).view(U64)).sum(axis=0, dtype=np.int64)
+        keep = (now[1] != centre[1]) & (small * DEN >= large * NUM) & (apart * (DEN + NUM) <= (small + large) * (DEN - NUM))
+        pairs = np.unique(np.sort(np.stack([now[0], centre[0]])[:, keep], axis=0), axis=1)
+        if pairs.shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,94 +190,101 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(keep))
 
 
-def _possible(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sizes and parity sketches allow a link."""
-    cols = ["n", "s0", "s1", "s2", "s3"]
-    for side in ("a", "b"):
-        pairs = pairs.join(members.select(F.col("sid").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in cols]), side)
-    return pairs.filter(_allowed("a_", "b_")).select("a", "b")
-
-
 def _allowed(a: str, b: str) -> F.Column:
+    """Sizes and parity sketches allow a link."""
     small, large, both = F.least(f"{a}n", f"{b}n"), F.greatest(f"{a}n", f"{b}n"), F.col(f"{a}n") + F.col(f"{b}n")
-    apart = sum((F.bit_count(F.col(f"{a}s{j}").bitwiseXOR(F.col(f"{b}s{j}"))) for j in range(SKETCH_WORDS)), F.lit(0))
+    apart = sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in SKETCH), F.lit(0))
     return (small * DEN >= large * NUM) & (apart * (DEN + NUM) <= both * (DEN - NUM))
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    rows = pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b")), "b")
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long")
+def _texts_of(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(sid, text): one text for each set that a pair names."""
+    named = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
+    wanted = stored(members.join(named, "sid", "left_semi").select("doc_id", "sid"), "jaccard-wanted")
+    return stored(docs.join(wanted, "doc_id").select("sid", "text").mapInArrow(_texts, "sid long, text string").dropDuplicates(["sid"]), "jaccard-texts")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row; component_id is the smallest doc_id reachable by links."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = stored(docs.mapInArrow(_members, MEMBER), "jaccard-members")
-    members = rows.filter("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3")])
-    members = stored(members, "jaccard-sets")
-
-    keys = docs.filter("doc_id is not null").select("text").mapInArrow(_keys, "key long, sid long")
-    ties = stored(keys.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_ties, "key long, sid long, centre long"), "jaccard-ties")
+def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs that link. Each text of a pair is joined to it; one that very many pairs name is repeated over partitions."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("sid")).groupBy("sid").agg(F.count("*").alias("_n")).filter(F.col("_n") > HOT)
+    hot = stored(named.select("sid", F.ceil(F.col("_n") / HOT).cast("long").alias("_of")), "jaccard-hot")
+    share = F.coalesce(F.col("_of"), F.lit(1).cast("long"))
+    own = texts.join(hot, "sid", "left").select("sid", "text", F.explode(F.sequence(F.lit(0).cast("long"), share - 1)).alias("_salt"))
+    for side, other in (("a", "b"), ("b", "a")):
+        dealt = pairs.join(hot.withColumnRenamed("sid", side), side, "left").withColumn("_salt", F.pmod(F.xxhash64(other), share)).drop("_of")
+        pairs = dealt.join(own.withColumnsRenamed({"sid": side, "text": f"text_{side}"}), [side, "_salt"]).drop("_salt")
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long")
 
-    met = ties.select("key", "sid").union(ties.select("key", F.col("centre").alias("sid"))).distinct()
-    size = met.groupBy("key").agg(F.count("*").alias("size"))
-    score = met.join(size, "key").groupBy("sid").agg(F.sum("size").alias("score"))
-    met = stored(met.join(score, "sid").select("key", "sid", "score"), "jaccard-met")
-    parts = _components_of(docs, members, met)
 
-    label = members.select("sid", "doc_id").join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    least = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    label = label.join(least, "component").select("sid", "component_id")
-    return rows.join(label, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+def _exploded(sets: DataFrame, parts: DataFrame) -> DataFrame:
+    """``sets`` with their component so far, a row for each key."""
+    here = sets.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    return here.withColumn("key", F.explode("keys")).drop("keys")
 
 
-def _components_of(docs: DataFrame, members: DataFrame, met: DataFrame) -> DataFrame:
-    """(node, component) over the links among members that met in a part.
+def _components_of(docs: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, component) over the links among ``sets``: (sid, n, sketch, keys that others have too).
 
-    In each round, a part's members that are not yet in the components of its two centres are verified against these: at
-    first the member whose parts are the most shared, which of a family of near copies is the likeliest original, and one by
-    a hash, which families then have in common over their parts. The last round takes all pairs of members in different components that sizes and sketches allow; it comes once
-    they are few against the rows, or after ``ROUNDS``, and misses none.
+    In each round, the members of a part are tied to its first by rank: in half of the parts of the first round that is the
+    member of the most shared parts, in the others one by a hash, in one of ``ORDERS`` orders that parts have in common. The
+    last step takes all pairs of members in different components that sizes and sketches allow.
     """
-    spark = met.sparkSession
+    spark = sets.sparkSession
     links = checked = spark.createDataFrame([], "a long, b long")
     parts = spark.createDataFrame([], "node long, component long")
-    for k in range(ROUNDS + 1):
-        here = met.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-        held = here.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        open_keys = held.filter("n * n > same")
-        here = here.join(open_keys.select("key"), "key", "left_semi")
-        left = open_keys.agg(F.sum("n").alias("rows"), F.sum(F.expr("(n * n - same) div 2")).alias("pairs")).first()
+    for k in range(ROUNDS):
+        here = _exploded(sets.withColumn("n_keys", F.size("keys")), parts)
+        if k:
+            here = here.join(open_keys, "key", "left_semi")
+        order = F.pmod("key", F.lit(ORDERS))
+        rank = F.when((F.lit(k) == 0) & (order % 2 == 0), -F.col("n_keys")).otherwise(F.xxhash64("sid", order, F.lit(k)))
+        here = here.select("key", "sid", "component", "n", *SKETCH, rank.alias("rank"))
+        pairs = here.repartition("key").sortWithinPartitions("key", "rank", "sid").drop("rank").mapInArrow(_ties, "a long, b long")
+        pairs = stored(pairs.distinct().join(checked, ["a", "b"], "left_anti"), "jaccard-pairs")
+        found = stored(_links(pairs, _texts_of(docs, members, pairs)), "jaccard-links")
+        links, checked = links.union(found), checked.union(pairs)
+        parts = stored(connected_components(links), "jaccard-parts")
+        held = _exploded(sets.select("sid", "keys"), parts).groupBy("key", "component").agg(F.count("*").alias("n"))
+        held = held.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")).filter("n * n > same")
+        open_keys = stored(held, "jaccard-open")
+        left = open_keys.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sum(F.expr("(n * n - same) div 2")).alias("pairs")).first()
+        open_keys = open_keys.select("key")
         if not left["rows"]:
+            return parts
+        if left["pairs"] <= FEW * left["rows"] or TEN * found.count() < left["rows"]:
             break
-        last = k == ROUNDS or left["pairs"] <= FEW * left["rows"]
-        if last:
-            full = here.drop("score").join(members.drop("doc_id"), "sid")
-            a, b = (full.select("key", *[F.col(c).alias(f"{side}_{c}") for c in full.columns if c != "key"]) for side in "ab")
-            pairs = a.join(b, "key").filter("a_sid < b_sid and a_component <> b_component").filter(_allowed("a_", "b_"))
-            pairs = pairs.select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).distinct()
-        else:
-            ranks = [F.col("score") if k == 0 else F.xxhash64("sid", F.lit(-k)), F.xxhash64("sid", F.lit(k))]
-            centres = here.groupBy("key").agg(F.array(*[F.max(F.struct(r.alias("rank"), "sid", "component")) for r in ranks]).alias("c")).select("key", F.explode("c").alias("c"))
-            tied = here.join(centres, "key").filter(F.col("component") != F.col("c")["component"]).select("sid", F.col("c")["sid"].alias("centre"))
-            pairs = _possible(tied.select(F.least("sid", "centre").alias("a"), F.greatest("sid", "centre").alias("b")).distinct(), members)
-        pairs = stored(pairs.join(checked, ["a", "b"], "left_anti"), "jaccard-pairs")
-        links = links.union(stored(_links(pairs, _texts_of(docs, members, pairs)), "jaccard-links"))
-        checked = checked.union(pairs)
-        parts = connected_components(links)
-        if last:
-            break
-    return parts
+    low = sets.withColumn("low", F.slice(F.sort_array("keys"), 1, LOW))
+    full = stored(_exploded(low, parts).join(open_keys, "key", "left_semi"), "jaccard-left")
+    a, b = (full.select("key", *[F.col(c).alias(f"{side}_{c}") for c in full.columns if c != "key"]) for side in "ab")
+    least = F.array_min(F.array_intersect("a_low", "b_low"))
+    pairs = a.join(b, "key").filter("a_sid < b_sid and a_component <> b_component").filter(_allowed("a_", "b_")).filter(F.coalesce(least, "key") == F.col("key"))
+    pairs = pairs.select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).distinct()
+    pairs = stored(pairs.join(checked, ["a", "b"], "left_anti"), "jaccard-pairs")
+    found = stored(_links(pairs, _texts_of(docs, members, pairs)), "jaccard-links")
+    return parts if found.isEmpty() else connected_components(links.union(found))
 
 
-def _texts_of(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(sid, text): one text for each set that a pair names."""
-    named = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    wanted = members.join(named, "sid", "left_semi").select("doc_id", "sid")
-    return stored(docs.join(wanted, "doc_id").select("sid", "text").mapInArrow(_texts, "sid long, text string").dropDuplicates(["sid"]), "jaccard-texts")
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row; component_id is the smallest doc_id reachable by links."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = stored(docs.mapInArrow(_members, MEMBER), "jaccard-members")
+    members = rows.filter("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", *SKETCH)])
+    members = stored(members, "jaccard-sets")
+
+    keys = rows.select("sid", F.explode("keys").alias("key")).select("key", "sid")
+    met = keys.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_met, "key long, sid long")
+    sets = stored(met.groupBy("sid").agg(F.collect_list("key").alias("keys")).join(members.drop("doc_id"), "sid"), "jaccard-met")
+    parts = _components_of(docs, members, sets)
+
+    label = members.select("sid", "doc_id").join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    least = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    label = label.join(least, "component").select("sid", "component_id")
+    return rows.join(label, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that are linked to one of a smaller id; rows with a null id stay."""
-    gone = jaccard_components(docs, id_col, text_col).filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
+    gone = jaccard_components(docs, id_col, text_col).filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    #: stored, so that its size is known before the join is planned
+    gone = stored(gone, "jaccard-gone")
     return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
