@@ -124,7 +124,7 @@ def op6(docs: str = "documents") -> str:
     return f"WITH {_kept_lines(docs)} SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM kept"
 
 
-def op10(docs: str = "documents", length: int = 400) -> str:
+def op10(docs: str = "documents", length: int = 400, shown: int = 288) -> str:
     return f"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM {docs}),
 win AS (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, {2 * length})) AS g FROM (SELECT doc_id, h, unnest(range(0, n - {length} + 1)) AS p FROM d WHERE n >= {length})),
@@ -134,9 +134,12 @@ isle AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k
 span AS (SELECT doc_id, min(p) AS a, max(p) + {length} AS b FROM isle GROUP BY doc_id, k),
 gap AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM span
         UNION ALL SELECT doc_id, coalesce(max(b), 0), any_value(n) FROM d LEFT JOIN span USING (doc_id) GROUP BY doc_id),
-kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS rest FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
-SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(r.removed, 0)::BIGINT AS n_removed, coalesce(r.spans, 0)::BIGINT AS n_spans, sha256(unhex(rest)) AS kept_sha256
-FROM d JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM span GROUP BY 1) r USING (doc_id)"""
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS rest FROM gap JOIN d USING (doc_id) GROUP BY doc_id),
+less AS (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, {2 * shown})) AS g FROM (SELECT doc_id, h, unnest(range(0, n - {shown} + 1)) AS p FROM d WHERE n >= {shown})),
+also AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY g) AS c FROM less) WHERE c > 1),
+near AS (SELECT doc_id, sum(least({shown}, next - p)) AS repeated FROM (SELECT doc_id, p, coalesce(lead(p) OVER (PARTITION BY doc_id ORDER BY p), p + {shown}) AS next FROM also) GROUP BY doc_id)
+SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(r.removed, 0)::BIGINT AS n_removed, coalesce(r.spans, 0)::BIGINT AS n_spans, sha256(unhex(rest)) AS kept_sha256, coalesce(near.repeated, 0)::BIGINT AS n_repeated
+FROM d JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM span GROUP BY 1) r USING (doc_id) LEFT JOIN near USING (doc_id)"""
 
 
 def _found(pattern, k: int, docs: str) -> str:

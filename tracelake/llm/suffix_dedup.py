@@ -1,20 +1,23 @@
 """Suffix-array dedup: every byte covered by a repeated string of ``LENGTH`` bytes is removed.
 
 Suffixes are ordered only through the first ``LENGTH`` bytes, by passes from the most significant digit on, and suffixes
-alone in their group leave after each pass; the groups left after the last pass are exactly the repeated windows. Digits
-are 64-bit hashes of stretches of bytes. Not every suffix takes part: of the windows in a stretch of text, only the anchors
-do, the positions whose ``KMER`` bytes have the smallest hash in some window. Equal windows have equal anchors at equal
-offsets, so no repeat is lost, and there is about one anchor for ``LENGTH / 2`` bytes.
+alone in their group leave after each pass; the groups left after the last pass are exactly the repeated windows. The first
+digits reach through ``SHOWN`` bytes: repeats of that length are reported (passages of about 50 words), and only texts with
+a run of them as long as ``LENGTH`` go on. The next digits reach through ``LENGTH``: these repeats are removed. Digits are
+64-bit hashes of stretches of bytes. Not every suffix takes part: of the windows in a stretch of text, only the anchors do,
+the positions whose ``KMER`` bytes have the smallest hash in some window. Equal windows have equal anchors at equal offsets,
+so no repeat is lost, and there is about one anchor for half a window. For each of the two depths:
 
 1. Digit ``KMER``: anchors are grouped by their k-mer. Lone anchors leave.
 2. Digit context: an anchor stands for the windows that chose it, which together span a context. Equal contexts repeat in
    full. Copies in one batch are settled there, and one of them stands for the rest in the shuffle.
-3. The other contexts, with one row for each group of equal ones, are cut into cores of ``LENGTH - STEP + 1`` bytes on a grid
-   around the anchor. Lone cores leave.
+3. The other contexts, with one row for each group of equal ones, are cut into cores, ``STEP - 1`` bytes shorter than a
+   window, on a grid around the anchor. Lone cores leave.
 4. In each group of equal cores, the ``STEP`` windows around it are compared by the bytes left and right of the core.
 
 Texts are joined to the few rows of steps 3 and 4 and to the final spans by document; nothing unbounded is collected. In
-step 4 a core's group is held in a task with about 64 bytes for each distinct pair of margins.
+step 4 a group of up to ``HELD`` rows is compared within a task, at about 450 bytes a row; the rows of a larger one go on as
+hashes of their windows, which are counted by an aggregation.
 
 Null texts are empty. Rows are told apart by doc_id and a hash of the text, so ids may repeat or be null: two rows with the
 same id and text are two texts, and repeat each other.
@@ -35,7 +38,8 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import stored
 from tracelake.llm.textkit import U64, Prefix, mix64, text_slices
 
-LENGTH, KMER, STEP = 400, 32, 25
+LENGTH, SHOWN, KMER, STEP = 400, 288, 32, 25
+HELD = 20_000
 
 
 def _window_choice(order: np.ndarray, width: int) -> np.ndarray:
@@ -134,51 +138,81 @@ def _margin(column: pa.Array, step: int, from_right: bool) -> tuple[np.ndarray,
     return out, held
 
 
-def _same_windows(core: np.ndarray, left: pa.Array, right: pa.Array, step: int) -> np.ndarray:
-    """Bit i of a row: the window that takes i bytes on the left occurs in another row."""
+def _window_keys(core: np.ndarray, left: pa.Array, right: pa.Array, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows of each row, the i-th taking i bytes on the left, and which of them there are."""
     lh, ln = _margin(left, step, True)
     rh, rn = _margin(right, step, False)
+    keys = mix64(core[:, None] + lh * U64(0x9E3779B97F4A7C15) + rh[:, ::-1] * U64(0xD6E8FEB86659FD93) + np.arange(step, dtype=U64))
+    at = np.arange(step)
+    return keys, (ln[:, None] >= at) & (rn[:, None] >= step - 1 - at)
+
+
+def _same_windows(core: np.ndarray, left: pa.Array, right: pa.Array, step: int) -> np.ndarray:
+    """Bit i of a row: the window that takes i bytes on the left occurs in another row."""
+    keys, has = _window_keys(core, left, right, step)
     mask = np.zeros(len(core), np.int64)
     for i in range(step):
-        rows = np.flatnonzero((ln >= i) & (rn >= step - 1 - i))
+        rows = np.flatnonzero(has[:, i])
         if len(rows) < 2:
             continue
-        key = mix64(core[rows] + lh[rows, i] * U64(0x9E3779B97F4A7C15) + rh[rows, step - 1 - i] * U64(0xD6E8FEB86659FD93))
-        _, back, count = np.unique(key, return_inverse=True, return_counts=True)
+        _, back, count = np.unique(keys[rows, i], return_inverse=True, return_counts=True)
         mask[rows[count[back] > 1]] |= 1 << i
     return mask
 
 
-def _repeats(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[pa.RecordBatch]:
-    """From rows in order of core: (doc_id, print, at, mask) of the rows with a repeated window. A group may span batches."""
+REPEAT = "doc_id long, print long, at int, mask long, windows array<long>"
+
+
+def _repeats(batches: Iterator[pa.RecordBatch], step: int, most: int) -> Iterator[pa.RecordBatch]:
+    """From rows in order of core: the rows with a repeated window by ``mask``; of groups over ``most``, all by ``windows``."""
 
-    def settle(table: pa.Table) -> pa.RecordBatch | None:
-        table = table.combine_chunks()
-        core = table.column(0).to_numpy().view(U64)
+    def row(one: pa.RecordBatch, mask: np.ndarray, windows: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([one.column(3), one.column(4), one.column(5), pa.array(mask), windows], names=["doc_id", "print", "at", "mask", "windows"])
+
+    def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        core = table.combine_chunks().column(0).to_numpy()
         same = np.zeros(len(core), bool)
         same[1:] = core[1:] == core[:-1]
         same[:-1] |= core[1:] == core[:-1]
-        table = table.filter(pa.array(same)).combine_chunks()
-        if not table.num_rows:
-            return None
-        one = table.to_batches()[0]
-        mask = _same_windows(one.column(0).to_numpy().view(U64), one.column(1), one.column(2), step)
-        out = pa.RecordBatch.from_arrays([one.column(3), one.column(4), one.column(5), pa.array(mask)], names=["doc_id", "print", "at", "mask"])
-        return out.filter(pa.array(mask != 0))
-
-    held: list[pa.RecordBatch] = []
+        for one in table.filter(pa.array(same)).combine_chunks().to_batches():
+            if not one.num_rows:
+                continue
+            mask = _same_windows(one.column(0).to_numpy().view(U64), one.column(1), one.column(2), step)
+            yield row(one, mask, pa.nulls(len(mask), pa.list_(pa.int64()))).filter(pa.array(mask != 0))
+
+    def loose(one: pa.RecordBatch) -> pa.RecordBatch:
+        keys, has = _window_keys(one.column(0).to_numpy().view(U64), one.column(1), one.column(2), step)
+        ends = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * step)
+        return row(one, np.zeros(len(keys), np.int64), pa.ListArray.from_arrays(ends, pa.array(keys.ravel().view(np.int64), mask=~has.ravel())))
+
+    held: list[pa.RecordBatch] = []  # the rows of the last group, which may go on
+    n, large = 0, None  # how many they are, or the group that is too large to hold
     for batch in batches:
         if not batch.num_rows:
             continue
         core = batch.column(0).to_numpy()
-        cut = int(np.searchsorted(core, core[-1]))  # the last group may go on
-        if held and core[0] != held[-1].column(0)[-1].as_py() or cut:
-            if (out := settle(pa.Table.from_batches([*held, batch.slice(0, cut)]))) is not None:
-                yield out
-            held = []
+        if large is not None:
+            k = int(np.searchsorted(core, large, side="right")) if core[0] == large else 0
+            if k:
+                yield loose(batch.slice(0, k))
+                batch, core = batch.slice(k), core[k:]
+                if not len(core):
+                    continue
+            large = None
+        cut = int(np.searchsorted(core, core[-1]))
+        if held and (cut or core[0] != held[-1].column(0)[-1].as_py()):
+            yield from settle(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            held, n = [], 0
+        elif cut:
+            yield from settle(pa.Table.from_batches([batch.slice(0, cut)]))
         held.append(batch.slice(cut))
-    if held and (out := settle(pa.Table.from_batches(held))) is not None:
-        yield out
+        n += len(core) - cut
+        if n > most:
+            for x in held:
+                yield loose(x)
+            held, n, large = [], 0, core[-1]
+    if held:
+        yield from settle(pa.Table.from_batches(held))
 
 
 def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -212,7 +246,7 @@ def _same(a: DataFrame, b: DataFrame):
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["print"] == b["print"])
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, kmer: int = KMER, step: int = STEP) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, kmer: int = KMER, step: int = STEP, held: int = HELD) -> DataFrame:
     """(doc_id, print, spans): the byte runs, of documents that have any, that repeated strings cover."""
     read = _printed(docs, id_col, text_col)
     anchors = stored(read.filter(F.octet_length("text") >= length).mapInArrow(partial(_anchors, length=length, kmer=kmer), ANCHOR), "anchors")
@@ -230,7 +264,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = met.filter("open").groupBy("doc_id", "print").agg(place)
     cores = read.join(wanted, _same(read, wanted)).select(read["doc_id"], read["print"], "text", "places")
     cores = cores.mapInArrow(partial(_cores, length=length, step=step), "core long, left binary, right binary, doc_id long, print long, at int")
-    repeats = cores.repartition("core").sortWithinPartitions("core").mapInArrow(partial(_repeats, step=step), "doc_id long, print long, at int, mask long")
+    repeats = stored(cores.repartition("core").sortWithinPartitions("core").mapInArrow(partial(_repeats, step=step, most=held), REPEAT), "repeats")
+    windows = repeats.filter("windows is not null").select("doc_id", "print", "at", F.posexplode("windows").alias("i", "window")).filter("window is not null")
+    twice = windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
+    loose = windows.join(twice, "window").groupBy("doc_id", "print", "at").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
+    repeats = repeats.filter("windows is null").select("doc_id", "print", "at", "mask").union(loose)
 
     full = anchors.filter("settled").select("doc_id", "print", "low", "high").union(met.filter("twice").select("doc_id", "print", "low", "high"))
     none = lambda kind: F.lit(None).cast(kind)
@@ -240,30 +278,57 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return by.mapInArrow(partial(_spans, length=length, step=step), "doc_id long, print long, spans array<struct<start:int,end:int>>")
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _without(raw: bytes, spans: list[dict]) -> bytes:
+    parts, at = [], 0
+    for x in spans:
+        parts.append(raw[at : x["start"]])
+        at = x["end"]
+    return b"".join([*parts, raw[at:]])
+
+
+def _through_shown(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, n_bytes, n_repeated, kept_sha256, text): texts with a run of ``length`` bytes go on, others get their digest."""
     for batch in batches:
-        texts, spans = batch.column(1), batch.column(2)
         rows = []
-        for text, cut in zip(texts, spans):
-            raw = (text.as_py() or "").encode()
-            cut = cut.as_py() or []
-            parts, at = [], 0
-            for x in cut:
-                parts.append(raw[at : x["start"]])
-                at = x["end"]
-            rest = b"".join([*parts, raw[at:]])
-            rows.append((len(raw), len(raw) - len(rest), len(cut), hashlib.sha256(rest).hexdigest()))
-        n_bytes, n_removed, n_spans, digest = zip(*rows) if rows else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)], pa.array(digest, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-
-def with_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, spans) for every row of ``docs``; null where nothing repeats."""
-    read = _printed(docs, id_col, text_col)
-    return read.join(spans, _same(read, spans), "left").select(read["doc_id"], "text", "spans")
+        for text, spans in zip(batch.column(1), batch.column(2)):
+            raw, spans = (text.as_py() or "").encode(), spans.as_py() or []
+            on = any(x["end"] - x["start"] >= length for x in spans)
+            rows.append((len(raw), sum(x["end"] - x["start"] for x in spans), None if on else hashlib.sha256(raw).hexdigest(), text.as_py() if on else None))
+        columns = list(zip(*rows)) if rows else [()] * 4
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()))]], names=["doc_id", "n_bytes", "n_repeated", "kept_sha256", "text"])
 
 
-def suffix_dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row; the digest is of the bytes that stay."""
-    out = with_spans(docs, repeated_spans(docs, id_col, text_col, **options), id_col, text_col)
-    return out.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for text, spans in zip(batch.column(1), batch.column(2)):
+            raw, spans = text.as_py().encode(), spans.as_py() or []
+            rest = _without(raw, spans)
+            rows.append((len(raw), len(raw) - len(rest), len(spans), hashlib.sha256(rest).hexdigest()))
+        columns = list(zip(*rows)) if rows else [()] * 4
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, t) for x, t in zip(columns, (*[pa.int64()] * 3, pa.string()))], batch.column(3)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated"])
+
+
+def with_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """(doc_id, text, spans) and the columns ``more`` for every row of ``docs``; spans are null where nothing repeats."""
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"), *more)
+    return read.join(spans, _same(read, spans), "left").select(read["doc_id"], "text", "spans", *more)
+
+
+def suffix_dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shown: int | None = None, **options) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated) for each row; the digest is of the bytes that stay.
+
+    n_repeated counts the bytes that repeated strings of ``shown`` bytes cover (288 for a length of 400): those removed, and
+    passages too short to go.
+    """
+    shown = shown or length * SHOWN // LENGTH
+    if shown > length:
+        raise ValueError("shown must not be over length")
+    first = with_spans(docs, repeated_spans(docs, id_col, text_col, shown, **options), id_col, text_col)
+    first = stored(first.mapInArrow(partial(_through_shown, length=length), "doc_id long, n_bytes long, n_repeated long, kept_sha256 string, text string"), "suffixes-shown")
+    deep = first.filter("text is not null")
+    removed = with_spans(deep, repeated_spans(deep, length=length, **options), "doc_id", "text", "n_repeated")
+    removed = removed.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long")
+    zero = F.lit(0).cast("long")
+    whole = first.filter("text is null").select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), "kept_sha256", "n_repeated")
+    return whole.unionByName(removed)
