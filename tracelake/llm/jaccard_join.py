@@ -66,11 +66,11 @@ def _bands(n: int) -> list[tuple[int, int, int]]:
 
 
 def part_keys(values: np.ndarray) -> np.ndarray:
-    """The keys under which a set of hashes meets others, over its bands. Sets of up to 3 elements link with equal ones only."""
-    out = [np.zeros(0, U64)]
+    """The keys under which a set of hashes meets others, over its bands."""
+    out = []
     mixed = mix64(values + U64(1))
     n = len(values)
-    if most_apart(n, n * DEN // NUM) and n < SMALL:
+    if n < SMALL:
         first = np.sort(mixed)[: n + 1 + -n * NUM // DEN]
         words = mix64(_sketch(values).view(U64) + np.arange(SKETCH_WORDS, dtype=U64) * U64(0x9E3779B97F4A7C15))
         out.append(mix64(first[:, None] + words).ravel())
