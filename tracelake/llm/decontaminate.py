@@ -1,9 +1,10 @@
 """Benchmark decontamination with built-in functions only.
 
-The benchmark's n-gram windows are hashed into a bit set of fixed size, which every task gets; one projection over each
-text keeps the windows whose bit is set, and an equi-join on the full n-gram text verifies them (by broadcast where Spark
-finds the n-gram table small, else by shuffling the few windows that passed). Texts are never shuffled; what is, grows
-with true hits plus a share of ``grams / bits`` of the other windows.
+The benchmark's n-gram windows are hashed into a bit set, which every task gets; one projection over each text keeps the
+windows whose bit is set, and an equi-join on the full n-gram text verifies them (by broadcast where Spark finds the n-gram
+table small, else by shuffling the few windows that passed). The bit set has about 16 bits for each window of the benchmark,
+but at most ``MOST_BITS`` (4 MB): beyond two million windows more of the others pass the first test, none is lost. Texts are
+never shuffled here, and documents without a passing window take no part in the join.
 
 Null texts have no words. A benchmark row without words, or with a null text, has no window; a null item_id still marks
 words as hit but isn't listed. Rows are told apart by doc_id and a hash of the text, so each text is judged by itself, also
@@ -15,11 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import PLAIN_WORD, ascii_lower, bound_to
+from tracelake.llm.common import PLAIN_WORD, ascii_lower, bound_to, stored
 
 WINDOW = 13
-#: 2 MB of bits at most, whatever the benchmark's size.
-BITS = 1 << 20
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 25
 
 
 def _words(text: Column) -> Column:
@@ -30,21 +30,27 @@ def _starts(words: Column, length: Column) -> Column:
     return F.sequence(F.lit(1), F.size(words) - length + 1)
 
 
-def _slot(words: Column, start: Column, length: Column, bits: int) -> Column:
-    return F.pmod(F.xxhash64(F.slice(words, start, length)), F.lit(bits))
+def _hash(words: Column, start: Column, length: Column) -> Column:
+    return F.xxhash64(F.slice(words, start, length))
 
 
-def benchmark_grams(benchmark: DataFrame, item_col: str, text_col: str, window: int, bits: int) -> DataFrame:
-    """(gram, length, slot, item_id) for each distinct window of each item."""
+def benchmark_grams(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
+    """(gram, length, hash, item_id) for each distinct window of each item."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), _words(F.col(text_col)).alias("words")).filter(F.size("words") > 0)
     length = F.least(F.size("words"), F.lit(window))
     items = items.withColumn("length", length)
-    at = F.transform(_starts(F.col("words"), F.col("length")), lambda i: F.struct(F.concat_ws(" ", F.slice("words", i, F.col("length"))).alias("gram"), _slot(F.col("words"), i, F.col("length"), bits).alias("slot")))
-    return items.select("item_id", "length", F.explode(at).alias("x")).select("x.gram", "length", "x.slot", "item_id").distinct()
+    at = F.transform(_starts(F.col("words"), F.col("length")), lambda i: F.struct(F.concat_ws(" ", F.slice("words", i, F.col("length"))).alias("gram"), _hash(F.col("words"), i, F.col("length")).alias("hash")))
+    return items.select("item_id", "length", F.explode(at).alias("x")).select("x.gram", "length", "x.hash", "item_id").distinct()
+
+
+def bits_for(n: int) -> int:
+    """A power of two of at least 16 bits for each of ``n`` windows, within bounds."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (16 * n - 1).bit_length() if n else 0))
 
 
 def _bit_set(grams: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
     """One row with the bit set as an array of longs, and one with the window lengths that occur."""
+    grams = grams.withColumn("slot", F.pmod("hash", F.lit(bits)))
     word = F.shiftright("slot", 6).alias("id")
     bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
     full = grams.groupBy(word).agg(F.bit_or(bit).alias("bits"))
@@ -60,7 +66,7 @@ def window_hits(docs: DataFrame, grams: DataFrame, id_col: str, text_col: str, b
 
     def passing(w: Column) -> Column:
         def of_length(m: Column) -> Column:
-            slots = F.transform(_starts(w, m), lambda i: F.struct(i.alias("at"), _slot(w, i, m, bits).alias("slot")))
+            slots = F.transform(_starts(w, m), lambda i: F.struct(i.alias("at"), F.pmod(_hash(w, i, m), F.lit(bits)).alias("slot")))
             kept = F.filter(slots, lambda x: F.getbit(F.get("bits", F.shiftright(x["slot"], 6).cast("int")), x["slot"].bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1)
             return F.transform(kept, lambda x: F.struct(x["at"].alias("at"), m.alias("length"), F.concat_ws(" ", F.slice(w, x["at"], m)).alias("gram")))
 
@@ -71,15 +77,17 @@ def window_hits(docs: DataFrame, grams: DataFrame, id_col: str, text_col: str, b
     both = bound_to(F.col("words"), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), passing(w).alias("passed")))
     seen = read.select("_id", "_print", both.alias("x")).select("_id", "_print", "x.n_words", F.explode("x.passed").alias("y"))
     seen = seen.select("_id", "_print", "n_words", F.col("y").isNull().alias("first"), "y.at", "y.length", "y.gram")
-    known = grams.select("gram", "item_id", F.lit(True).alias("found"))
-    return seen.join(known, "gram", "left").select("_id", "_print", "n_words", "first", *[F.when(F.col("found"), F.col(c)).alias(c) for c in ("at", "length", "item_id")])
-
+    seen = stored(seen, "windows-passed")
+    hits = seen.filter("gram is not null").join(grams.select("gram", "item_id"), "gram")
+    hits = hits.select("_id", "_print", "n_words", F.lit(False).alias("first"), "at", "length", "item_id")
+    none = F.lit(None)
+    return hits.union(seen.filter("first").select("_id", "_print", "n_words", "first", none.cast("int"), none.cast("int"), none.cast("string")))
 
 
-def _verdicts(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, window: int, bits: int) -> DataFrame:
+def _verdicts(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, window: int, bits: int | None) -> DataFrame:
     """(_id, _print, n_words, hits, items, n_hit, contaminated, copies): one row per id and text, which ``copies`` rows have."""
-    grams = benchmark_grams(benchmark, item_col, item_text, window, bits)
-    hits = window_hits(docs, grams, id_col, text_col, bits)
+    grams = stored(benchmark_grams(benchmark, item_col, item_text, window), "grams")
+    hits = window_hits(docs, grams, id_col, text_col, bits or bits_for(grams.count()))
     by = hits.groupBy("_id", "_print").agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.collect_set(F.when(F.col("at").isNotNull(), F.struct("at", "length")))).alias("hits"),
@@ -93,7 +101,7 @@ def _verdicts(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, bits: int = BITS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, bits: int | None = None) -> DataFrame:
     """Per row of ``docs``: n_words, hits (sorted word intervals), n_hit, items (sorted strings), contaminated.
 
     Contaminated: at least one hit, and a twentieth of the words or more are hit.
@@ -103,8 +111,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     return each.select(F.col("_id").alias(id_col), "n_words", "hits", "items", "n_hit", "contaminated")
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, bits: int = BITS) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, bits: int | None = None) -> DataFrame:
     """``docs`` without the rows whose text is contaminated; rows with a null id are judged one by one too."""
     found = _verdicts(docs, benchmark, id_col, text_col, item_col, item_text, window, bits).filter("contaminated")
-    bad = found.select(F.col("_id").alias("_bad"), F.col("_print").alias("_bad_print"))
+    #: stored, so that its size is known before the join is planned
+    bad = stored(found.select(F.col("_id").alias("_bad"), F.col("_print").alias("_bad_print")), "contaminated")
     return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]) & (F.xxhash64(docs[text_col]) == bad["_bad_print"]), "left_anti")
