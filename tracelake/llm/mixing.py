@@ -1,11 +1,12 @@
 """Mixing sources to target weights.
 
 Token counts are summed by source; each source's target gives a repetition rate, and a document is taken floor(rate)
-times plus once more if a hash of (seed, key) falls under the rate's fraction. Only (key, source, size) is shuffled, with
+times plus once more if a hash of (seed, id, text) falls under the rate's fraction. Only (key, source, size) is shuffled, with
 map-side sums, so a source that holds most rows costs no more than another; the rates are joined back, by broadcast where
 Spark finds that table small.
 
-A null text has size 0; a null source is a source of its own and comes last; repeated rows with one key are taken alike.
+A null text has size 0; a null source is a source of its own and comes last; rows that agree in id and text are taken alike,
+and rows with a null or shared id are told apart by their text.
 Sources whose documents have no words get the target 0. Extra columns pass through unchanged.
 """
 
@@ -62,7 +63,8 @@ def mix_rates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     out = docs.join(targets, docs[source_col].eqNullSafe(targets["_mix"]["source"]), "left")
     whole, goal = F.col("_mix")["source_size"], F.col("_mix")["target"]
     rate = F.when(whole > 0, goal / whole).otherwise(0.0)
-    extra = (hash_uniform(seed, F.col(id_col)) < rate - F.floor(rate)).cast("long")
+    key = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    extra = (hash_uniform(seed, key) < rate - F.floor(rate)).cast("long")
     return out.withColumn("_mix", F.struct(size.alias("size"), whole.alias("source_size"), goal.alias("target"), (F.floor(rate) + extra).alias("copies")))
 
 

@@ -68,7 +68,7 @@ _TAKEN = "size * (floor(rate)::BIGINT + CASE WHEN u < rate - floor(rate) THEN 1
 
 def op9(docs: str = "documents", taken: str = _TAKEN) -> str:
     return f"""
-WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_SPACED}'))::BIGINT AS size FROM {docs}),
+WITH s AS (SELECT doc_id, source, md5(coalesce(text, '')) AS print, len(regexp_extract_all(coalesce(text, ''), '{_SPACED}'))::BIGINT AS size FROM {docs}),
 b AS (SELECT source, sum(size)::BIGINT AS source_size, {_list(WEIGHTS).replace("'", "")}[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)}]::BIGINT AS weight FROM s GROUP BY source),
 o AS (SELECT *, row_number() OVER (ORDER BY ({MOST} * source_size)::DOUBLE / weight::DOUBLE, source NULLS LAST) AS k FROM b),
 f AS (SELECT o.*, (SELECT sum(source_size) FROM o) - coalesce(sum({MOST} * source_size) OVER before, 0) AS left_size,
@@ -77,7 +77,7 @@ f AS (SELECT o.*, (SELECT sum(source_size) FROM o) - coalesce(sum({MOST} * sourc
 level AS (SELECT arg_min(left_size, k) AS ls, arg_min(left_weight, k) AS lw, min(k) AS k FROM f WHERE weight * left_size < {MOST} * source_size * left_weight),
 t AS (SELECT f.source, source_size, CASE WHEN f.k >= level.k THEN (weight * ls)::DOUBLE / lw::DOUBLE ELSE ({MOST} * source_size)::DOUBLE END AS target FROM f CROSS JOIN level),
 r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-        ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / {float(1 << 52)!r} AS u
+        ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || print), 1, 13))::BIGINT::DOUBLE / {float(1 << 52)!r} AS u
       FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, {taken} FROM r"""
 
