@@ -137,3 +137,18 @@ def quality(text):
     rep = {k for i in range(len(w) - 4) if wins[tuple(w[i : i + 5])] > 1 for k in range(i, i + 5)}
     failed = len(w) < 10 or 100 * len(rep) > 20 * len(w)
     return len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(rep), failed
+
+
+def targets(sizes, weights=(5, 2, 1), most=3):
+    """{source: size} -> {source: target}: shares by weight, what is over a bound reshared until none is."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    full = set()
+    while True:
+        left = sum(sizes.values()) - sum(most * sizes[s] for s in full)
+        free = sum(w for s, w in weight.items() if s not in full)
+        level = {s: most * sizes[s] if s in full else left * weight[s] / free for s in order}
+        over = {s for s in order if s not in full and level[s] > most * sizes[s]}
+        if not over:
+            return level
+        full |= over

@@ -14,7 +14,7 @@ from tracelake.llm.components import connected_components
 from tracelake.llm.decontaminate import contamination, remove_contaminated
 from tracelake.llm.jaccard_join import jaccard_components, keep_one_per_component, most_apart, part_keys
 from tracelake.llm.line_dedup import line_dedup
-from tracelake.llm.mixing import mix, mix_rates
+from tracelake.llm.mixing import mix, mix_rates, source_targets
 from tracelake.llm.oracle import ORACLE_SQL
 from tracelake.llm.quality_rules import quality_rules
 from tracelake.llm.queries import QUERIES
@@ -127,6 +127,23 @@ def test_decontaminate_judges_each_text_of_an_id(spark):
     assert sorted(map(tuple, remove_contaminated(d, bench).collect()), key=str) == sorted(((i, t) for i, t in data if t != bad), key=str)
 
 
+def test_decontaminate_bit_set():
+    """At least 16 bits for each window, up to the bound."""
+    from tracelake.llm.decontaminate import LEAST_BITS, MOST_BITS, bits_for
+
+    for n in (0, 1, 4096, 4097, 100_000, 10**9):
+        bits = bits_for(n)
+        assert bits & (bits - 1) == 0 and LEAST_BITS <= bits <= MOST_BITS and (bits >= 16 * n or bits == MOST_BITS)
+
+
+def test_decontaminate_with_few_bits(spark, docs):
+    """Windows that only share a bit with a benchmark's are sorted out by the join."""
+    w = brute.plain(next(t for i, t in DOCS if i % 10 == 6))
+    items = [(1, " ".join(w[5:45])), (2, "one two three")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert rows(contamination(docs, bench, bits=64), "doc_id", "n_words", "n_hit") == [x[:3] for x in brute.decontaminate(DOCS, items)]
+
+
 def test_jaccard_components(spark, docs, crowded):
     want = brute.components(DOCS)
     assert rows(jaccard_components(docs), "doc_id", "n_shingles", "component_id") == want
@@ -429,6 +446,25 @@ def test_mixing_of_empty_texts(spark):
     assert got == {1: (0, 0.0), 2: (0, 0.0), None: (2, 2.0)}
 
 
+def test_mixing_targets_same_as_resharing(spark):
+    rng = random.Random(4)
+    for n in (1, 2, 5, 30):
+        sizes = {None if k == 3 else f"s{k}": rng.choice((1, 10, 1000, 5000)) for k in range(n)}
+        d = spark.createDataFrame([(s, k) for s, k in sizes.items()], "source string, size long")
+        got = {r["source"]: r["target"] for r in source_targets(d).collect()}
+        assert got == pytest.approx(brute.targets(sizes))
+
+
+def test_mixing_tells_texts_of_null_ids_apart(spark):
+    """Of many documents without an id, a rate's share is taken, not all or none."""
+    data = [(None, f"a{k} b", "one") for k in range(400)] + [(7, f"c{k} d e", "two") for k in range(400)]
+    d = spark.createDataFrame(data, "doc_id long, text string, source string")
+    by = mix_rates(d).groupBy("source").agg(F.first("_mix.target").alias("target"), F.sum(F.col("_mix.size") * F.col("_mix.copies")).alias("taken")).collect()
+    assert len(by) == 2
+    for r in by:
+        assert abs(r["taken"] - r["target"]) < 0.1 * r["target"]
+
+
 # -- helpers
 
 

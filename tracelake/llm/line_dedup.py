@@ -117,7 +117,8 @@ def line_keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     order = ["h1", "h2", "doc_id", "print", "line"]
     ranged = lines.filter("shown").select(*order).repartitionByRange(parts, "h1", "h2").sortWithinPartitions(*order)
     repeated = ranged.mapInArrow(partial(_repeated, min_docs=min_docs), "h1 long, h2 long, first_id long, first_print long, first_line int")
-    lost = lines.join(repeated, ["h1", "h2"])
+    #: stored, so that its size is known before the join is planned
+    lost = lines.join(stored(repeated, "lines-repeated"), ["h1", "h2"])
     if keep == "first":
         lost = lost.filter(~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("print") == F.col("first_print")) & (F.col("line") == F.col("first_line"))))
     return lost.groupBy("doc_id", "print").agg(F.collect_set("line").alias("lost")).mapInArrow(_bitmaps, "doc_id long, print long, keep_bitmap binary")
