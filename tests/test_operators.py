@@ -218,3 +218,11 @@ def test_support_warns_only_while_fine(spark):
 def test_nearest_refuses_large_sides(spark):
     with pytest.raises(ValueError):
         support.nearest_combos(spark.range(1).selectExpr("id k", "1.0 a"), spark.range(20).selectExpr("cast(id as double) a"), "k", ["a"], 1, most_combos=10)
+
+
+def test_hampel_needs_five_valid_points(spark):
+    short = [("a", k, float(k), v) for k, v in enumerate((1.0, 1.1, 1.2, 50.0))]
+    longer = [("b", k, float(k), v) for k, v in enumerate((1.0, 1.1, 1.2, 1.1, 1.0, 50.0))]
+    d = spark.createDataFrame(short + longer, "id string, pos int, time double, value double")
+    out = {(r["id"], r["pos"]) for r in align.hampel(d, ["id"], "pos", "time", "value", 10.0, 3.0).collect() if r["spike"]}
+    assert out == {("b", 5)}

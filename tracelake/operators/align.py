@@ -151,7 +151,8 @@ def hampel(df: DataFrame, keys: list[str], order: str, time: str, value: str, ha
     n = F.size("_near")
     mad = (F.get(dev, F.floor((n - 1) / 2).cast("int")) + F.get(dev, F.floor(n / 2).cast("int"))) / 2
     med = med.withColumn("_mad", mad * 1.4826)
-    return med.select(*keys, order, ((n >= 3) & (F.col("_mad") > 0) & (F.abs(F.col("_v") - F.col("_m")) > sigmas * F.col("_mad"))).alias("spike"))
+    valid = F.count("_v").over(W.partitionBy(*keys))
+    return med.select(*keys, order, ((n >= 3) & (valid >= 5) & (F.col("_mad") > 0) & (F.abs(F.col("_v") - F.col("_m")) > sigmas * F.col("_mad"))).alias("spike"))
 
 
 def resample_nearest(df: DataFrame, keys: list[str], time: str, value: str, step: float, n: int) -> DataFrame:

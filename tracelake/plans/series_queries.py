@@ -353,7 +353,7 @@ def w28_rate_and_integral(spark, sf_dir):
 @query("w12_hampel", f"""WITH {V_SERIES}, p AS (SELECT a.cond, a.traj, a.pos, a.value, b.value AS v2 FROM v_series a JOIN v_series b ON a.cond = b.cond AND a.traj = b.traj AND abs(a.time - b.time) <= 2.0),
 m AS (SELECT *, median(v2) OVER (PARTITION BY cond, traj, pos) AS med, count(*) OVER (PARTITION BY cond, traj, pos) AS n FROM p),
 g AS (SELECT cond, traj, pos, any_value(value) AS v, any_value(med) AS med, any_value(n) AS n, median(abs(v2 - med)) * 1.4826 AS mad FROM m GROUP BY 1, 2, 3)
-SELECT cond, traj, pos, (n >= 3 AND mad > 0 AND abs(v - med) > 3.0 * mad) AS spike FROM g""")
+SELECT cond, traj, pos, (n >= 3 AND count(v) OVER (PARTITION BY cond, traj) >= 5 AND mad > 0 AND abs(v - med) > 3.0 * mad) AS spike FROM g""")
 def w12_hampel(spark, sf_dir):
     return align.hampel(v_series(spark, sf_dir), KEYS, "pos", "time", "value", 2.0, 3.0)
 
