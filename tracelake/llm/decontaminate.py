@@ -2,8 +2,8 @@
 
 The benchmark's n-gram windows are hashed into a bit set, which every task gets; one projection over each text keeps the
 windows whose bit is set, and an equi-join on the full n-gram text verifies them (by broadcast where Spark finds the n-gram
-table small, else by shuffling the few windows that passed). The bit set has about 16 bits for each window of the benchmark,
-but at most ``MOST_BITS`` (4 MB): beyond two million windows more of the others pass the first test, none is lost. Texts are
+table small, else by shuffling the few windows that passed). The bit set has 128 bits or more for each window of the
+benchmark, but at most ``MOST_BITS`` (4 MB): beyond 262,144 windows more of the others pass the first test, none is lost. Texts are
 never shuffled here, and documents without a passing window take no part in the join.
 
 Null texts have no words. A benchmark row without words, or with a null text, has no window; a null item_id still marks
@@ -44,8 +44,8 @@ def benchmark_grams(benchmark: DataFrame, item_col: str, text_col: str, window:
 
 
 def bits_for(n: int) -> int:
-    """A power of two of at least 16 bits for each of ``n`` windows, within bounds."""
-    return min(MOST_BITS, max(LEAST_BITS, 1 << (16 * n - 1).bit_length() if n else 0))
+    """A power of two of at least 128 bits for each of ``n`` windows, within bounds."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (128 * n).bit_length()))
 
 
 def _bit_set(grams: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
