@@ -85,12 +85,15 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
                 payload = (html.as_py() or "").encode()
                 out.write(_record(number.as_py(), url.as_py(), payload, base32_sha1(payload), refers_to.as_py(), revisit.as_py()))
                 n += 1
-    store.move(attempt, f"{path}/{name}")
+    if store.get_file_info(f"{path}/{name}").type == fs.FileType.NotFound:
+        store.move(attempt, f"{path}/{name}")
+    else:  # an earlier attempt of this task has moved its whole file and was lost after that
+        store.delete_file(attempt)
     yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([n], pa.int64())], names=["file", "n_records"])
 
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """Write one record per row into ``folder`` and return (file, n_records), which is computed when this returns.
+    """Write one record per row into ``folder`` and return the stored table (file, n_records).
 
     Payloads of ``min_bytes`` or more that are equal become one response and revisits; smaller ones are all responses.
     """
@@ -105,15 +108,14 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     rows = rows.select("id", "url", "html", revisit.alias("revisit"), "first_id")
     store, path = _opened(folder)
     store.create_dir(path, recursive=True)
-    done = rows.mapInArrow(partial(_write, folder=folder), "file string, n_records long")
-    return done.sparkSession.createDataFrame(done.collect(), "file string, n_records long")
+    return stored(rows.mapInArrow(partial(_write, folder=folder), "file string, n_records long"), "warc-manifest")
 
 
 class _Bytes:
     """A file as a sliding stretch of bytes."""
 
     def __init__(self, file, start: int):
-        self.file, self.at, self.data = file, start, b""
+        self.file, self.at, self.data = file, start, bytearray()
         file.seek(start)
 
     def more(self) -> bool:
@@ -122,7 +124,8 @@ class _Bytes:
         return bool(x)
 
     def drop(self, n: int) -> None:
-        self.data, self.at = self.data[n:], self.at + n
+        del self.data[:n]
+        self.at += n
 
 
 def _head(text: bytes | bytearray) -> dict[str, str] | None:
