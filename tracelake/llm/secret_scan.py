@@ -9,8 +9,8 @@ changes at a rate of at most ``WRITTEN`` between neighbours: the number of chang
 raise far. In each band of lengths, the Benjamini-Hochberg rule at ``RATE`` over all tokens of the corpus sets the score from
 which candidates are spans. The scores are counted in bins, a table of fixed size, whatever the corpus.
 
-Null texts are empty. Rows are judged one by one, so ids may repeat or be null. A text's cost grows with its length, plus
-the square of its number of matches in array copies. One row per document is stored between the two steps, without texts.
+Null texts are empty. Rows are judged one by one, so ids may repeat or be null. Matches are placed and compared in chunks of
+``CHUNK``, so a text's cost grows with its length and its matches, plus the square of its number of chunks. One row per document is stored between the two steps, without texts.
 """
 
 from __future__ import annotations
@@ -57,6 +57,12 @@ ENCODINGS = (
 BANDS = (20, 32, 48, 80)
 ALPHA, WRITTEN, RATE = 0.001, 0.15, 0.01
 BIN, MOST_Z = 0.05, 40.0
+CHUNK = 256
+
+
+def _chunks(values: Column) -> Column:
+    """``values`` cut into arrays of up to ``CHUNK``."""
+    return bound_to(values, lambda v: F.transform(F.sequence(F.lit(0), F.greatest(F.size(v) - 1, F.lit(0)), F.lit(CHUNK)), lambda k: F.slice(v, k + 1, CHUNK)))
 
 
 def _match_spans(text: Column, p: Pattern) -> Column:
@@ -75,7 +81,15 @@ def _match_spans(text: Column, p: Pattern) -> Column:
             span = F.struct(start.alias("start"), end.alias("end"), F.lit(p.kind).alias("kind"), F.when(F.lit(p.kind == TOKEN.kind), x["whole"]).alias("token"))
             return F.struct(end.alias("at"), F.when(x["long"] >= p.least, F.concat(a["spans"], F.array(span))).otherwise(a["spans"]).alias("spans"))
 
-        return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda a: a["spans"])
+        def placed(chunks: Column) -> Column:
+            """Each chunk's spans from where the chunk starts, so that no array grows with all the matches."""
+            sizes = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + x["gap"] + F.length(x["whole"])))
+            zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+            starts = F.aggregate(sizes, zero, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")), lambda a: a["starts"])
+            both = F.arrays_zip(starts.alias("at"), chunks.alias("pieces"))
+            return F.flatten(F.transform(both, lambda c: F.aggregate(c["pieces"], F.struct(c["at"].alias("at"), empty.alias("spans")), step, lambda a: a["spans"])))
+
+        return bound_to(_chunks(pieces), placed)
 
     empty = F.array().cast("array<struct<start:int,end:int,kind:string,token:string>>")
     #: what must occur for the pattern to match with a group long enough
@@ -168,7 +182,15 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = found.select("id", F.concat(*[_match_spans(F.col("t"), p) for p in PATTERNS]).alias("base"), _match_spans(F.col("t"), TOKEN).alias("tokens"))
 
     def apart(x: Column) -> Column:
-        free = F.filter(x["tokens"], lambda t: ~F.exists(x["base"], lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+        meets = lambda s, b: (b["start"] < s["end"]) & (s["start"] < b["end"])
+
+        def alone(c: Column) -> Column:
+            """A chunk's tokens that no base span meets; only the base spans in the chunk's stretch are looked at."""
+            stretch = F.struct(F.get(c, 0)["start"].alias("start"), F.element_at(c, -1)["end"].alias("end"))
+            near = bound_to(stretch, lambda s: F.filter(x["base"], lambda b: meets(s, b)))
+            return bound_to(near, lambda n: F.filter(c, lambda t: ~F.exists(n, lambda b: meets(t, b))))
+
+        free = F.when(F.size(x["tokens"]) > 0, F.flatten(F.transform(_chunks(x["tokens"]), alone))).otherwise(x["tokens"])
         scored = F.transform(free, lambda t: bound_to(_battery(t["token"]), lambda s: F.struct(t["start"].alias("start"), t["end"].alias("end"), s["length"].alias("length"), s["z"].alias("z"), s["random"].alias("random"))))
         return F.struct(x["base"].alias("base"), scored.alias("tokens"))
 
