@@ -129,7 +129,7 @@ def test_decontaminate_judges_each_text_of_an_id(spark):
 
 def test_decontaminate_bit_set():
     """At least 128 bits for each window, up to the bound."""
-    from tracelake.llm.decontaminate import LEAST_BITS, MOST_BITS, bits_for
+    from tracelake.llm.common import LEAST_BITS, MOST_BITS, bits_for
 
     for n in (0, 1, 4096, 4097, 100_000, 10**9):
         bits = bits_for(n)

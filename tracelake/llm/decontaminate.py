@@ -16,10 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import PLAIN_WORD, ascii_lower, bound_to, stored
+from tracelake.llm.common import PLAIN_WORD, ascii_lower, bit_set, bits_for, bound_to, has_bit, stored
 
 WINDOW = 13
-LEAST_BITS, MOST_BITS = 1 << 16, 1 << 25
 
 
 def _words(text: Column) -> Column:
@@ -43,31 +42,15 @@ def benchmark_grams(benchmark: DataFrame, item_col: str, text_col: str, window:
     return items.select("item_id", "length", F.explode(at).alias("x")).select("x.gram", "length", "x.hash", "item_id").distinct()
 
 
-def bits_for(n: int) -> int:
-    """A power of two of at least 128 bits for each of ``n`` windows, within bounds."""
-    return min(MOST_BITS, max(LEAST_BITS, 1 << (128 * n).bit_length()))
-
-
-def _bit_set(grams: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
-    """One row with the bit set as an array of longs, and one with the window lengths that occur."""
-    grams = grams.withColumn("slot", F.pmod("hash", F.lit(bits)))
-    word = F.shiftright("slot", 6).alias("id")
-    bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
-    full = grams.groupBy(word).agg(F.bit_or(bit).alias("bits"))
-    dense = grams.sparkSession.range(0, bits // 64, 1, 1).join(full, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
-    packed = dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bits"))
-    return packed, grams.agg(F.array_sort(F.collect_set("length")).alias("lengths"))
-
-
 def window_hits(docs: DataFrame, grams: DataFrame, id_col: str, text_col: str, bits: int) -> DataFrame:
     """(id, print, n_words, first, at, length, item_id): the verified windows, and one ``first`` row for each row of ``docs``."""
-    packed, lengths = _bit_set(grams, bits)
+    packed, lengths = bit_set(grams, bits), grams.agg(F.array_sort(F.collect_set("length")).alias("lengths"))
     read = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_print"), _words(F.col(text_col)).alias("words"), packed.scalar().alias("bits"), lengths.scalar().alias("lengths"))
 
     def passing(w: Column) -> Column:
         def of_length(m: Column) -> Column:
             slots = F.transform(_starts(w, m), lambda i: F.struct(i.alias("at"), F.pmod(_hash(w, i, m), F.lit(bits)).alias("slot")))
-            kept = F.filter(slots, lambda x: F.getbit(F.get("bits", F.shiftright(x["slot"], 6).cast("int")), x["slot"].bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1)
+            kept = F.filter(slots, lambda x: has_bit(F.col("bits"), x["slot"]))
             return F.transform(kept, lambda x: F.struct(x["at"].alias("at"), m.alias("length"), F.concat_ws(" ", F.slice(w, x["at"], m)).alias("gram")))
 
         found = F.flatten(F.transform(F.filter(F.col("lengths"), lambda m: m <= F.size(w)), of_length))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import stored
+from tracelake.llm.common import bit_set, bits_for, has_bit, stored
 from tracelake.llm.components import connected_components
 from tracelake.llm.textkit import U64, mix64, set_hash, shingle_sets, text_slices
 
@@ -198,9 +198,12 @@ def _allowed(a: str, b: str) -> F.Column:
 
 
 def _texts_of(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(sid, text): one text for each set that a pair names."""
+    """(sid, text): one text for each set that a pair names. A bit set of their ids keeps most other texts from the shuffle."""
     named = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
     wanted = stored(members.join(named, "sid", "left_semi").select("doc_id", "sid"), "jaccard-wanted")
+    bits = bits_for(wanted.count())
+    packed = bit_set(wanted.select(F.xxhash64("doc_id").alias("hash")), bits)
+    docs = docs.withColumn("bits", packed.scalar()).filter(has_bit(F.col("bits"), F.pmod(F.xxhash64("doc_id"), F.lit(bits))))
     return stored(docs.join(wanted, "doc_id").select("sid", "text").mapInArrow(_texts, "sid long, text string").dropDuplicates(["sid"]), "jaccard-texts")
 
 
