@@ -25,9 +25,11 @@ def path_part(path: Column, back: int) -> Column:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share (``spark.checkpoint.dir``); a temporary one where it is unset."""
+    """A new folder that driver and executors share (``spark.checkpoint.dir``); where it is unset, a temporary one under a local master."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-tracelake-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
