@@ -27,33 +27,90 @@ TEMPLATES = {
     "apache-2.0": [
         "licensed under the apache license version 2 0 [the license]",
     ],
+    "apache-2.0-notice": [
+        "you may not use {1,6} except in compliance with the license you may obtain a copy of the license at [http] [https] [www] apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    ],
+    "gpl-2.0-notice": [
+        "is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation [either] version 2 [of the license] [or at your option any later version]",
+    ],
     "gpl-3.0": [
         "licensed under the gnu general public license version 3 [0] [or [at your option any] later [version]]",
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        "is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    ],
+    "lgpl-2.1-notice": [
+        "is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation [either] version 2 1 [of the license] [or at your option any later version]",
+    ],
+    "lgpl-3.0-notice": [
+        "is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation [either] version 3 [of the license] [or at your option any later version]",
+    ],
+    "agpl-3.0-notice": [
+        "is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation [either] version 3 [of the license] [or at your option any later version]",
+    ],
+    "gpl-warranty": [
+        "is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu [lesser] [affero] general public license for more details",
+    ],
+    "mpl-2.0-notice": [
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at [http] [https] [www] mozilla org mpl 2 0",
+    ],
+    "cc-by-4.0": [
+        "licensed under [a] [creative commons] cc by 4 0 [international] [license]",
+        "licensed under [a] [the] creative commons attribution 4 0 international [public] [license]",
+    ],
+    "cc-by-nc-4.0": [
+        "licensed under [a] [creative commons] cc by nc 4 0 [international] [license]",
+        "licensed under [a] [the] creative commons attribution noncommercial 4 0 international [public] [license]",
+        "licensed under [a] [the] creative commons attribution non commercial 4 0 international [public] [license]",
+    ],
+    "cc-by-sa-4.0": [
+        "licensed under [a] [creative commons] cc by sa 4 0 [international] [license]",
+        "licensed under [a] [the] creative commons attribution sharealike 4 0 international [public] [license]",
+        "licensed under [a] [the] creative commons attribution share alike 4 0 international [public] [license]",
+    ],
+    "cc0-1.0": [
+        "to the extent possible under law {1,12} waived all copyright and related or neighboring rights to",
     ],
-    "cc-by-4.0": ["licensed under [a] [creative commons] cc by 4 0 [international] [license]"],
-    "cc-by-nc-4.0": ["licensed under [a] [creative commons] cc by nc 4 0 [international] [license]"],
-    "cc-by-sa-4.0": ["licensed under [a] [creative commons] cc by sa 4 0 [international] [license]"],
     "mit-notice": ["released under the [terms of the] mit license"],
     "mit-text": [
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [including the next paragraph] shall be included in all copies or substantial portions of the software [the software is provided as is without warranty of any kind express or implied {0,80}]",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [including the next paragraph] shall be included in all copies or substantial portions of the software [the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall {1,12} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software]",
     ],
     "isc-text": [
-        "permission to use copy modify and [or] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        "permission to use copy modify and [or] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies [the software is provided as is and {1,8} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {1,8} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software]",
+    ],
+    "0bsd-text": [
+        "permission to use copy modify and [or] distribute this software for any purpose with or without fee is hereby granted the software is provided as is and {1,8} disclaims all warranties with regard to this software",
     ],
     "bsd-text": [
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [1] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [2] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution [[3] neither the name of {1,20} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission]",
     ],
+    "bsd-3-clause": [
+        "neither the name of {1,20} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    ],
+    "bsd-disclaimer": [
+        "this software is provided by the {1,8} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {1,12} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    ],
+    "bsl-1.0-text": [
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so",
+    ],
+    "zlib-text": [
+        "this software is provided as is without any express or implied warranty in no event will {1,8} be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    ],
+    "unlicense-text": [
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    ],
 }
 
 
 @dataclass
 class Automaton:
-    """``steps[s]``: (word or None for any, next state); ``jumps[s]``: states reached without a word; the last state accepts."""
+    """``steps[s]``: (word or None for any, next state); ``jumps[s]``: states reached without a word; the last state accepts.
+
+    ``needed``: the words outside all ``[ ]``, without which the last state can't be reached.
+    """
 
     label: str
     steps: list[list[tuple[bytes | None, int]]] = field(default_factory=lambda: [[]])
     jumps: list[list[int]] = field(default_factory=lambda: [[]])
+    needed: set[bytes] = field(default_factory=set)
 
     def grow(self) -> int:
         self.steps.append([])
@@ -109,27 +166,13 @@ def compile_template(label: str, markup: str) -> Automaton:
             nxt = out.grow()
             out.steps[now].append((item.encode(), nxt))
             now = nxt
+            if not opened:
+                out.needed.add(item.encode())
     if opened:
         raise ValueError(f"unclosed [ in a template of {label}")
     return out
 
 
-def _mandatory(a: Automaton) -> set[bytes]:
-    """Words without which the automaton can't reach its end."""
-    out = set()
-    for x in {w for s in a.steps for w, _ in s if w is not None}:
-        seen, todo = {0}, [0]
-        while todo:
-            s = todo.pop()
-            for t in [*a.jumps[s], *[t for w, t in a.steps[s] if w != x]]:
-                if t not in seen:
-                    seen.add(t)
-                    todo.append(t)
-        if len(a.steps) - 1 not in seen:
-            out.add(x)
-    return out
-
-
 _TABLE = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i > 127 else 32 for i in range(256))
 
 
@@ -142,14 +185,13 @@ class Scanner:
         self.automata = [compile_template(label, x) for label, all_of in templates.items() for x in all_of]
         self.phrases = [(tuple(p.encode().split()), label) for p, label in phrases.items()]
         self.first = [a.first_words() for a in self.automata]
-        self.needed = [_mandatory(a) for a in self.automata]
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, str]], list[tuple[int, int, str]]]:
         """Places (start, label) of the phrases; accepted templates (start, end, label)."""
         places, accepted = [], []
         held = set(words)
         phrases = [(p, label) for p, label in self.phrases if held.issuperset(p)]
-        need = [(a, first) for a, first, needed in zip(self.automata, self.first, self.needed) if held.issuperset(needed)]
+        need = [(a, first) for a, first in zip(self.automata, self.first) if held.issuperset(a.needed)]
         if not phrases and not need:
             return places, accepted
         for p, label in phrases:
