@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -115,6 +116,20 @@ def base_licenses(text):
     return len(w), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in at}))
 
 
+def licenses(text, templates):
+    """Labels of the templates that a regular expression finds in the words, each led by an underscore."""
+
+    def regex(markup):
+        out = ""
+        for x in re.sub(r"([\[\]])", r" \1 ", markup).split():
+            gap = re.fullmatch(r"\{(\d+),(\d+)\}", x)
+            out += "(?:" if x == "[" else ")?" if x == "]" else f"(?:_[^_]+){{{gap[1]},{gap[2]}}}" if gap else f"_{x}"
+        return out + "_"
+
+    flat = "".join(f"_{w}" for w in plain(text)) + "_"
+    return {label for label, many in templates.items() if any(re.search(regex(x), flat) for x in many)}
+
+
 def suffix_dedup(docs, length=400):
     raw = [(i, (t or "").encode()) for i, t in docs]
     count = Counter(x[p : p + length] for _, x in raw for p in range(len(x) - length + 1))
@@ -152,3 +167,53 @@ def targets(sizes, weights=(5, 2, 1), most=3):
         if not over:
             return level
         full |= over
+
+
+def _tail(z):
+    return math.erfc(z / math.sqrt(2)) / 2
+
+
+def _scores(token):
+    """(length, log bin of the combined p-value, bin of the score against a written token) or None."""
+    upper, lower, digit = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for regex, letters, sizes in (("[0-9a-f]+", digit + "abcdef", (10, 6)), ("[0-9A-F]+", digit + "ABCDEF", (10, 6)), ("[A-Z2-7]+=*", upper + "234567", (26, 6)), ("[A-Za-z0-9]+", upper + lower + digit, (26, 26, 10)), (".*", upper + lower + digit + "+/_-", (26, 26, 10, 4))):
+        if re.fullmatch(regex, token):
+            break
+    x = token.rstrip("=")
+    n, k = len(x), len(letters)
+    if n < 2:
+        return None
+    chi, free = sum((c - n / k) ** 2 for c in [x.count(a) for a in letters]) / (n / k) if set(x) <= set(letters) else k / n * sum(c * c for c in Counter(x).values()) - n, k - 1
+    chi_z = ((chi / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free))
+    kind = [1 if c in digit else 2 if c in upper else 3 if c in lower else 4 for c in x]
+    changes, same = sum(a != b for a, b in zip(kind, kind[1:])), sum((s / k) ** 2 for s in sizes)
+    code = [letters.find(c) + 1 for c in x]
+    mean = sum(code) / n
+    spread = sum((c - mean) ** 2 for c in code)
+    serial = sum((a - mean) * (b - mean) for a, b in zip(code, code[1:])) / spread if spread else 1.0
+    runs = (changes - (n - 1) * (1 - same)) / math.sqrt((n - 1) * same * (1 - same))
+    m = min(_tail(chi_z) if chi_z > 0 else 1.0, 2 * _tail(abs(runs)), 2 * _tail(abs(serial * math.sqrt(n))))
+    p = 1 - (1 - m) ** 3 if m > 1e-6 else 3 * m
+    z = (changes - 0.5 - (n - 1) * 0.15) / math.sqrt((n - 1) * 0.15 * 0.85)
+    return n, int(min(-math.log(max(p, 1e-300)), 40.0) / 0.1 + 1e-9), int(min(max(z, 0.0), 40.0) / 0.05 + 1e-9)
+
+
+def secrets(docs):
+    """{id: base and random spans}: in each band of lengths, two Benjamini-Hochberg rules over all free tokens."""
+    base = {i: base_secrets(t) for i, t in docs}
+    free = []
+    for i, t in docs:
+        for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", t or ""):
+            if not any(a < m.end() and m.start() < b for _, a, b in base[i]) and (s := _scores(m[0])):
+                free.append((i, m.start(), m.end(), sum(s[0] >= x for x in (32, 48, 80)), *s[1:]))
+    out = {i: [(a, 0, b, kind) for kind, a, b in spans] for i, spans in base.items()}
+    for band in range(4):
+        here = [x for x in free if x[3] == band]
+        dismissed = [g for g in range(401) if any(x[4] == g for x in here) and math.exp(-g * 0.1) * len(here) <= 0.01 * sum(x[4] >= g for x in here)]
+        left = [x for x in here if not dismissed or x[4] < min(dismissed)]
+        tail = lambda z: math.exp(-z * z / 2) / (z * math.sqrt(2 * math.pi)) if z >= 1 else 1.0
+        passed = [g for g in range(801) if any(x[5] == g for x in here) and tail(g * 0.05) * len(here) <= 0.01 * sum(x[5] >= g for x in left)]
+        for i, a, b, _, _, g in left:
+            if passed and g >= min(passed):
+                out[i].append((a, 3, b, "random"))
+    return {i: [(kind, a, b) for a, _, b, kind in sorted(spans)] for i, spans in out.items()}

@@ -348,6 +348,30 @@ def test_secret_base_spans(spark, docs, crowded):
     assert found == {i: brute.base_secrets(t) for i, t in given}
 
 
+def test_secret_spans_against_brute_force(spark, docs):
+    """Both Benjamini-Hochberg rules over random, written and mixed tokens of all bands and encodings."""
+    rng = random.Random(12)
+    alphabets = ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    words = ["value", "Index", "2024", "some", "Of", "http", "v2", "data", "_", "-", "/", "Item7"]
+
+    def token(k):
+        n = rng.choice([20, 24, 36, 44, 60, 90])
+        if k % 3 == 0:
+            return "".join(rng.choice(alphabets[k % 4]) for _ in range(n)) + "=" * (k % 2)
+        text = ""
+        while len(text) < n:
+            text += rng.choice(words) if k % 3 == 1 or rng.random() < 0.5 else "".join(rng.choice(alphabets[2]) for _ in range(5))
+        return text
+
+    made = [(i, " é ".join(token(rng.randrange(12)) for _ in range(rng.randint(0, 6)))) for i in range(400)] + [(1000, "=" * 40), (1001, None)]
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secret_scan.secret_spans(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    want = brute.secrets(made)
+    assert got == want and sum(len(x) for x in want.values()) > 100
+    given = given_docs(spark)
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secret_scan.secret_spans(common.table(spark, DATA, "documents")).collect()}
+    assert got == brute.secrets(given)
+
+
 def test_secrets_of_a_text_with_many_matches(spark):
     """Hashes and free tokens in turn: all hashes are base spans, and no token that touches one is added."""
     import time
@@ -404,6 +428,35 @@ def test_license_templates():
     assert [x for *_, x in accepted] == ["mit-text"] and not places
 
 
+def test_license_templates_against_regexes(spark):
+    """Each template's words, with optional parts in or out, gaps filled and now and then one word changed, in other text."""
+    rng, many = random.Random(8), license_scan.TEMPLATES
+    made = []
+
+    def write(markup):
+        parts, keep = [], [True]
+        for x in markup.replace("[", " [ ").replace("]", " ] ").split():
+            if x == "[":
+                keep.append(keep[-1] and rng.random() < 0.5)
+            elif x == "]":
+                keep.pop()
+            elif keep[-1]:
+                low, high = map(int, x[1:-1].split(",")) if x[0] == "{" else (1, 1)
+                parts += [rng.choice(["acme", "the", "é1"]) for _ in range(rng.randint(low, high + 1))] if x[0] == "{" else [x]
+        if rng.random() < 0.3:
+            parts[rng.randrange(len(parts))] = "other"
+        return ", ".join(parts).title()
+
+    for x in [x for all_of in many.values() for x in all_of]:
+        made += [f"{rng.choice(['', 'Copyright 2020 A. B. This program '])}{write(x)}{rng.choice(['', '. The end'])}" for _ in range(12)]
+    made += ["words " * 200_000 + made[0] + " permission is hereby granted" * 20_000, "", None]
+    d = spark.createDataFrame(list(enumerate(made)), "doc_id int, text string")
+    got = {r["doc_id"]: {p["label"] for p in r["places"]} for r in license_scan.license_scan(d).collect()}
+    assert got == {i: brute.licenses(t, many) for i, t in enumerate(made)}
+    assert set().union(*got.values()) == set(many)
+    assert license_scan.license_scan(d.limit(0)).count() == 0
+
+
 def test_warc_round_trip(spark):
     html = lambda k: "<p>" + "é%d " % k * 400 + "</p>"
     pages = [(i, f"http://h/{i} ü\r\nX: y" if i % 7 else None, [html(i), html(i % 5), None, "", "x"][i % 5]) for i in range(120)] + [(-3, "u", html(1))]

@@ -12,7 +12,7 @@ from tracelake.llm.common import LOWER, PLAIN_WORD, SPACED_WORD, UPPER
 from tracelake.llm.license_scan import PHRASES, TEMPLATES
 from tracelake.llm.mixing import MOST, SEED, WEIGHTS
 from tracelake.llm.quality_rules import RULES, STOP_WORDS, SYMBOLS
-from tracelake.llm.secret_scan import ALPHA, BANDS, BIN, ENCODINGS, MOST_Z, PATTERNS, RATE, TOKEN, WRITTEN
+from tracelake.llm.secret_scan import BANDS, BIN, ENCODINGS, LOG_BIN, MISSED, MOST_LOG, MOST_Z, PATTERNS, RATE, TOKEN, WRITTEN
 
 _SPACED = SPACED_WORD.replace("\\x20", " ")
 _PLAIN = PLAIN_WORD
@@ -172,12 +172,14 @@ g AS (SELECT *, (pow(chi / (k - 1), {1 / 3!r}) - (1 - 2 / (9 * (k - 1)))) / sqrt
   coalesce(list_sum(list_transform({pairs}, lambda i: (code[i] - mean) * (code[i - 1] - mean))) / nullif(list_sum(list_transform(code, lambda x: (x - mean) * (x - mean))), 0), 1.0) * sqrt(n) AS serial_z,
   abs((changes - (n - 1) * (1 - same)) / sqrt((n - 1) * same * (1 - same))) AS runs_z, (changes - 0.5 - (n - 1) * {WRITTEN}) / sqrt((n - 1) * {WRITTEN * (1 - WRITTEN)!r}) AS z FROM f),
 h AS (SELECT *, {band} AS band, floor(least(greatest(z, 0.0), {MOST_Z}) / {BIN})::BIGINT AS bin,
-  (CASE WHEN chi_z > 0 THEN {_tail("chi_z")} ELSE 1.0 END) >= {ALPHA} AND 2 * {_tail("runs_z")} >= {ALPHA} AND 2 * {_tail("abs(serial_z)")} >= {ALPHA} AS random FROM g),
--- tokens of padding only count in the first band with a score of 0
-cnt AS (SELECT band, bin, count(*) AS n, count(*) FILTER (random) AS r FROM (SELECT band, bin, random FROM h UNION ALL SELECT 0, 0, FALSE FROM toks WHERE length(regexp_replace(token, '=+$', '')) <= 1) GROUP BY 1, 2),
+  least(CASE WHEN chi_z > 0 THEN {_tail("chi_z")} ELSE 1.0 END, 2 * {_tail("runs_z")}, 2 * {_tail("abs(serial_z)")}) AS m FROM g),
+hb AS (SELECT *, floor(least(-ln(greatest(least(m * (3 - 3 * m + m * m), 1.0), 1e-300)), {MOST_LOG}) / {LOG_BIN})::BIGINT AS log_ FROM h),
+lg AS (SELECT band, log_, sum(count(*)) OVER (PARTITION BY band ORDER BY log_ DESC) AS over_, sum(count(*)) OVER (PARTITION BY band) AS all_ FROM hb GROUP BY 1, 2),
+dis AS (SELECT band, coalesce(min(log_) FILTER (exp(-log_ * {LOG_BIN}) * all_ <= over_ * {MISSED}), {int(MOST_LOG / LOG_BIN) + 1}) AS least_log FROM lg GROUP BY 1),
+cnt AS (SELECT band, bin, count(*) AS n, count(*) FILTER (log_ < least_log) AS r FROM hb JOIN dis USING (band) GROUP BY 1, 2),
 ov AS (SELECT band, bin, sum(r) OVER (PARTITION BY band ORDER BY bin DESC) AS over_, sum(n) OVER (PARTITION BY band) AS all_ FROM cnt),
 least_ AS (SELECT band, min(bin) AS least_bin FROM ov WHERE (CASE WHEN bin * {BIN} >= 1 THEN exp(-(bin * {BIN}) * (bin * {BIN}) / 2) / (bin * {BIN} * {math.sqrt(2 * math.pi)!r}) ELSE 1.0 END) * all_ <= over_ * {RATE} GROUP BY band),
-spans AS (SELECT doc_id, number, kind, start, stop, TRUE AS base FROM hits UNION ALL SELECT doc_id, number, kind, start, stop, FALSE FROM h JOIN least_ USING (band) WHERE random AND bin >= least_bin),
+spans AS (SELECT doc_id, number, kind, start, stop, TRUE AS base FROM hits UNION ALL SELECT doc_id, number, kind, start, stop, FALSE FROM hb JOIN dis USING (band) JOIN least_ USING (band) WHERE log_ < least_log AND bin >= least_bin),
 j AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{p.kind}') AS n_{p.kind}" for p in PATTERNS)}, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, number, stop) FILTER (base) AS b, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, number, stop) AS spans FROM spans GROUP BY doc_id)
 SELECT d.doc_id, {", ".join(f"coalesce(n_{p.kind}, 0) AS n_{p.kind}" for p in PATTERNS)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN j USING (doc_id)"""
 

@@ -3,11 +3,13 @@
 Patterns are found by splitting the text at them: the lengths of the pieces and matches give the places. The battery looks
 at tokens of 20 or more characters of ``[A-Za-z0-9+/_=-]`` that no pattern covers. Each token's encoding is inferred (hex of
 either case, base 32, base 62, base 64) and three tests are made with that alphabet: chi-squared uniformity of the
-characters, the number of runs of character classes, and the serial correlation of neighbouring code values. A token is a
-candidate if none of them rejects randomness at ``ALPHA``. Against it stands the hypothesis of a written token, whose class
-changes at a rate of at most ``WRITTEN`` between neighbours: the number of changes gives a z score that short tokens can't
-raise far. In each band of lengths, the Benjamini-Hochberg rule at ``RATE`` over all tokens of the corpus sets the score from
-which candidates are spans. The scores are counted in bins, a table of fixed size, whatever the corpus.
+characters, the number of runs of character classes, and the serial correlation of neighbouring code values. Their three
+p-values are combined (the smallest, with Sidak's correction), and in each band of lengths the Benjamini-Hochberg rule at
+``MISSED`` over all tokens of the corpus dismisses those that aren't random: of the dismissed, that share at most is random.
+What stays is a candidate. Against it stands the hypothesis of a written token, whose class changes at a rate of at most
+``WRITTEN`` between neighbours: the number of changes gives a z score that short tokens can't raise far. The same rule at
+``RATE``, again by band, sets the score from which candidates are spans. Both scores are
+counted in bins, a table of bounded size, whatever the corpus. Tokens of one character before their padding aren't tested.
 
 Null texts are empty. Rows are judged one by one, so ids may repeat or be null. Matches are placed and compared in chunks of
 ``CHUNK``, so a text's cost grows with its length and its matches, plus the square of its number of chunks. One row per document is stored between the two steps, without texts.
@@ -55,8 +57,9 @@ ENCODINGS = (
     ("^[A-Za-z0-9+/_-]+=*$", UPPERS + LOWERS + DIGITS + "+/_-", (26, 26, 10, 4)),
 )
 BANDS = (20, 32, 48, 80)
-ALPHA, WRITTEN, RATE = 0.001, 0.15, 0.01
+MISSED, WRITTEN, RATE = 0.01, 0.15, 0.01
 BIN, MOST_Z = 0.05, 40.0
+LOG_BIN, MOST_LOG = 0.1, 40.0
 CHUNK = 256
 
 
@@ -109,7 +112,7 @@ def _two_sided(z: Column) -> Column:
 
 
 def _battery(token: Column) -> Column:
-    """Struct (length, z, random): the score against a written token, and whether no test rejects randomness."""
+    """Struct (length, z, p): the score against a written token, and the combined p-value of randomness."""
     alphabet = F.lit(ENCODINGS[-1][1])
     classes = F.array(*[F.lit(float(x)) for x in ENCODINGS[-1][2]])
     for regex, letters, sizes in reversed(ENCODINGS[:-1]):
@@ -136,16 +139,19 @@ def _battery(token: Column) -> Column:
             ))
 
         z_serial = F.coalesce(bound_to(codes, serial), F.lit(1.0)) * F.sqrt(n)
-        return bound_to(changes, lambda c: F.struct(
+        least = lambda c: F.least(
+            F.when(chi_z > 0, _normal_tail(chi_z)).otherwise(1.0),
+            _two_sided((c - (n - 1) * (1 - same)) / F.sqrt((n - 1) * same * (1 - same))),
+            _two_sided(z_serial),
+        )
+        return bound_to(F.struct(changes.alias("c"), bound_to(changes, least).alias("m")), lambda v: F.struct(
             n.alias("length"),
-            ((c - 0.5 - (n - 1) * WRITTEN) / F.sqrt((n - 1) * WRITTEN * (1 - WRITTEN))).alias("z"),
-            ((F.when(chi_z > 0, _normal_tail(chi_z)).otherwise(1.0) >= ALPHA)
-             & (_two_sided((c - (n - 1) * (1 - same)) / F.sqrt((n - 1) * same * (1 - same))) >= ALPHA)
-             & (_two_sided(z_serial) >= ALPHA)).alias("random"),
+            ((v["c"] - 0.5 - (n - 1) * WRITTEN) / F.sqrt((n - 1) * WRITTEN * (1 - WRITTEN))).alias("z"),
+            F.least(v["m"] * (3 - 3 * v["m"] + v["m"] * v["m"]), F.lit(1.0)).alias("p"),
         ))
 
     bare = F.regexp_replace(token, "=+$", "")
-    none = F.struct(F.lit(0.0).alias("length"), F.lit(0.0).alias("z"), F.lit(False).alias("random"))
+    none = F.struct(F.lit(0.0).alias("length"), F.lit(0.0).alias("z"), F.lit(0.0).alias("p"))
     return bound_to(
         F.struct(F.split(bare, "").alias("chars"), alphabet.alias("letters"), classes.alias("sizes")),
         lambda x: F.when(F.size(x["chars"]) > 1, tests(x)).otherwise(none),
@@ -160,18 +166,31 @@ def _bin(z: Column) -> Column:
     return F.floor(F.least(F.greatest(z, F.lit(0.0)), F.lit(MOST_Z)) / BIN).cast("long")
 
 
+def _log_bin(p: Column) -> Column:
+    return F.floor(F.least(-F.log(F.greatest(p, F.lit(1e-300))), F.lit(MOST_LOG)) / LOG_BIN).cast("long")
+
+
 def score_bounds(found: DataFrame) -> DataFrame:
-    """One row: ``bounds``, the least score bin of a span by band of lengths (a bin beyond all where none is)."""
-    beyond = int(MOST_Z / BIN) + 1
-    tokens = found.select(F.explode("tokens").alias("t"))
-    by = tokens.groupBy(_band(F.col("t")["length"]).alias("band"), _bin(F.col("t")["z"]).alias("bin")).agg(F.count("*").alias("n"), F.count_if(F.col("t")["random"]).alias("random"))
-    down = W.partitionBy("band").orderBy(F.col("bin").desc())
-    by = by.select("band", "bin", F.sum("random").over(down).alias("over"), F.sum("n").over(W.partitionBy("band")).alias("all"))
+    """One row: ``bounds``, by band of lengths the log bin from which tokens are dismissed and the least score bin of a span.
+
+    Where none is, the bin is beyond all.
+    """
+    tokens = found.select(F.explode("tokens").alias("t")).filter(F.col("t")["length"] > 0)
+    cells = tokens.groupBy(_band(F.col("t")["length"]).alias("band"), _log_bin(F.col("t")["p"]).alias("log"), _bin(F.col("t")["z"]).alias("bin")).agg(F.count("*").alias("n"))
+    band, by_log, by_bin = (W.partitionBy("band"), *(W.partitionBy("band").orderBy(F.col(x).desc()) for x in ("log", "bin")))
+    cells = cells.select("*", F.sum("n").over(band).alias("all"), F.sum("n").over(by_log).alias("over"))
+    #: the largest p-value of the bin
+    cells = cells.select("*", F.exp(-F.col("log") * LOG_BIN).alias("p"))
+    cells = cells.withColumn("least_log", F.coalesce(F.min(F.when(F.col("p") * F.col("all") <= F.col("over") * MISSED, F.col("log"))).over(band), F.lit(int(MOST_LOG / LOG_BIN) + 1)))
+    cells = cells.withColumn("random", F.sum(F.when(F.col("log") < F.col("least_log"), F.col("n")).otherwise(0)).over(by_bin))
     #: an upper bound of the normal tail at the bin's lower edge
     z = F.col("bin") * BIN
     tail = F.when(z >= 1, F.exp(-z * z / 2) / (z * math.sqrt(2 * math.pi))).otherwise(1.0)
-    least = by.filter(tail * F.col("all") <= F.col("over") * RATE).groupBy("band").agg(F.min("bin").alias("bin"))
-    return least.agg(*[F.coalesce(F.max(F.when(F.col("band") == k, F.col("bin"))), F.lit(beyond).cast("long")).alias(f"b{k}") for k in range(len(BANDS))]).select(F.array(*[f"b{k}" for k in range(len(BANDS))]).alias("bounds"))
+    by = cells.groupBy("band").agg(
+        F.max("least_log").cast("long").alias("log"),
+        F.coalesce(F.min(F.when(tail * F.col("all") <= F.col("random") * RATE, F.col("bin"))), F.lit(int(MOST_Z / BIN) + 1)).cast("long").alias("bin"),
+    )
+    return by.agg(F.array(*[F.max(F.when(F.col("band") == k, F.struct("log", "bin"))) for k in range(len(BANDS))]).alias("bounds"))
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,13 +210,14 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             return bound_to(near, lambda n: F.filter(c, lambda t: ~F.exists(n, lambda b: meets(t, b))))
 
         free = F.when(F.size(x["tokens"]) > 0, F.flatten(F.transform(_chunks(x["tokens"]), alone))).otherwise(x["tokens"])
-        scored = F.transform(free, lambda t: bound_to(_battery(t["token"]), lambda s: F.struct(t["start"].alias("start"), t["end"].alias("end"), s["length"].alias("length"), s["z"].alias("z"), s["random"].alias("random"))))
+        scored = F.transform(free, lambda t: bound_to(_battery(t["token"]), lambda s: F.struct(t["start"].alias("start"), t["end"].alias("end"), s["length"].alias("length"), s["z"].alias("z"), s["p"].alias("p"))))
         return F.struct(x["base"].alias("base"), scored.alias("tokens"))
 
     found = found.select("id", bound_to(F.struct("base", "tokens"), apart).alias("x")).select("id", "x.base", "x.tokens")
     found = stored(found, "secrets")
     found = found.select("id", "base", "tokens", score_bounds(found).scalar().alias("bounds"))
-    new = F.filter("tokens", lambda t: t["random"] & (_bin(t["z"]) >= F.get("bounds", _band(t["length"]))))
+    bound = lambda t: F.get("bounds", _band(t["length"]))
+    new = F.filter("tokens", lambda t: (t["length"] > 0) & (_log_bin(t["p"]) < bound(t)["log"]) & (_bin(t["z"]) >= bound(t)["bin"]))
     spans = lambda a: F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     added = F.transform(new, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(TOKEN.kind).alias("kind")))
 
