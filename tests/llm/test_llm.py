@@ -12,7 +12,7 @@ from tests.llm import brute
 from tracelake.llm import common, license_scan, secret_scan, substring_dedup, suffix_dedup, textkit, warc
 from tracelake.llm.components import connected_components
 from tracelake.llm.decontaminate import contamination, remove_contaminated
-from tracelake.llm.jaccard_join import jaccard_components, keep_one_per_component, most_apart, part_keys
+from tracelake.llm.jaccard_join import _merged, jaccard_components, keep_one_per_component, most_apart, part_keys
 from tracelake.llm.line_dedup import line_dedup
 from tracelake.llm.mixing import mix, mix_rates, source_targets
 from tracelake.llm.oracle import ORACLE_SQL
@@ -189,6 +189,21 @@ def test_linked_sets_share_a_part():
                 assert len(np.intersect1d(part_keys(np.unique(a)), part_keys(np.unique(b))))
 
 
+def test_components_in_two_steps(spark):
+    draw = random.Random(5)
+    for n_links in (60, 150):
+        links = [(draw.randrange(120), draw.randrange(120)) for _ in range(n_links)] + [(k, k + 1) for k in range(200, 215)]
+        least = {x: x for pair in links for x in pair if pair[0] != pair[1]}
+        for _ in least:
+            for a, b in links:
+                if a != b:
+                    least[a] = least[b] = min(least[a], least[b])
+        draw.shuffle(links)
+        first, second = (spark.createDataFrame(x, "a long, b long") for x in (links[::2], links[1::2]))
+        assert rows(connected_components(first.union(second)), "node", "component") == sorted(least.items())
+        assert rows(_merged(connected_components(first), second), "node", "component") == sorted(least.items())
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (3, 2), (5, 5), (7, 8), (8, 9), (9, 10), (10, 11), (None, 4)], "a long, b long")
     assert rows(connected_components(links), "node", "component") == [(1, 1), (2, 1), (3, 1), (7, 7), (8, 7), (9, 7), (10, 7), (11, 7)]

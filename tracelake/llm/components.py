@@ -21,17 +21,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = moved.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return out.filter("u <> v").distinct()
+    return out.filter("u <> v")
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether no node is the end of one link and the start of another, or the start of two. One aggregation."""
+    ends = edges.select("u", F.lit(1).alias("starts"), F.lit(0).alias("ends")).union(edges.select("v", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("u").agg(F.sum("starts").alias("starts"), F.max("ends").alias("ends"))
+    return not nodes.filter("starts > 1 or (starts = 1 and ends = 1)").agg(F.count("*")).first()[0]
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for the nodes of ``links``; component is the smallest node reachable. Loops and nulls are ignored."""
     edges = stored(links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "components")
-    #: done when the links are stars: no node is the end of one link and the start of another, or the start of two
-    while True:
-        starts = edges.groupBy("u").agg(F.count("*").alias("n"))
-        bad = edges.select("v").distinct().join(starts, F.col("v") == F.col("u"), "left_semi").limit(1).count() or starts.filter("n > 1").limit(1).count()
-        if not bad:
-            break
-        edges = stored(_star(_star(edges, True), False), "components")
+    while not _stars(edges):
+        edges = stored(_star(_star(edges, True), False).distinct(), "components")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -225,6 +225,11 @@ def _exploded(sets: DataFrame, parts: DataFrame) -> DataFrame:
     return here.withColumn("key", F.explode("keys")).drop("keys")
 
 
+def _merged(parts: DataFrame, found: DataFrame) -> DataFrame:
+    """``parts`` after the links ``found``: each component so far counts as a star, so its links aren't followed again."""
+    return connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
+
+
 def _components_of(docs: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, component) over the links among ``sets``: (sid, n, sketch, keys that others have too).
 
@@ -233,7 +238,7 @@ def _components_of(docs: DataFrame, members: DataFrame, sets: DataFrame) -> Data
     last step takes all pairs of members in different components that sizes and sketches allow.
     """
     spark = sets.sparkSession
-    links = checked = spark.createDataFrame([], "a long, b long")
+    checked = spark.createDataFrame([], "a long, b long")
     parts = spark.createDataFrame([], "node long, component long")
     for k in range(ROUNDS):
         here = _exploded(sets.withColumn("n_keys", F.size("keys")), parts)
@@ -245,8 +250,8 @@ def _components_of(docs: DataFrame, members: DataFrame, sets: DataFrame) -> Data
         pairs = here.repartition("key").sortWithinPartitions("key", "rank", "sid").drop("rank").mapInArrow(_ties, "a long, b long")
         pairs = stored(pairs.distinct().join(checked, ["a", "b"], "left_anti"), "jaccard-pairs")
         found = stored(_links(pairs, _texts_of(docs, members, pairs)), "jaccard-links")
-        links, checked = links.union(found), checked.union(pairs)
-        parts = stored(connected_components(links), "jaccard-parts")
+        checked = checked.union(pairs)
+        parts = stored(_merged(parts, found), "jaccard-parts")
         held = _exploded(sets.select("sid", "keys"), parts).groupBy("key", "component").agg(F.count("*").alias("n"))
         held = held.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")).filter("n * n > same")
         open_keys = stored(held, "jaccard-open")
@@ -264,7 +269,7 @@ def _components_of(docs: DataFrame, members: DataFrame, sets: DataFrame) -> Data
     pairs = pairs.select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).distinct()
     pairs = stored(pairs.join(checked, ["a", "b"], "left_anti"), "jaccard-pairs")
     found = stored(_links(pairs, _texts_of(docs, members, pairs)), "jaccard-links")
-    return parts if found.isEmpty() else connected_components(links.union(found))
+    return parts if found.isEmpty() else _merged(parts, found)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
