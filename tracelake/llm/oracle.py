@@ -207,6 +207,27 @@ SELECT doc_id, n::BIGINT AS n_words, len(at_)::BIGINT AS n_base, list_min(list_t
 FROM l"""
 
 
+def op12(docs: str = "documents") -> str:
+    share = lambda n, size: f"(1 + 1000000000 * ({n}::HUGEINT + 1) // ({size} + v))"
+    excess = lambda p, q: f"(({p} - {q}) * ({p} - {q}) // {q})"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOW} AS t FROM {docs}),
+w AS (SELECT k, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY 1, 2 HAVING count(DISTINCT k) >= 3),
+v AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+size AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS size FROM g LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(n, 0) AS n, {share("coalesce(n, 0)", "size")} AS p FROM g JOIN kept USING (lang) JOIN size USING (lang, source) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+l AS (SELECT lang, sum(size)::HUGEINT AS size FROM size GROUP BY 1),
+q AS (SELECT lang, term, {share("n", "size")} AS q FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY 1, 2) JOIN l USING (lang) JOIN v USING (lang)),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+         LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum({excess("x.p", "y.p")}) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY 1, 2, 3) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, {excess("p", "q")}::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT * FROM r WHERE part = 'pair' OR rank <= 200"""
+
+
 def pipeline() -> str:
     """The five stages, one after another; each stage's text and numbers come from the one before."""
     return f"""
@@ -228,4 +249,5 @@ ORACLE_SQL = {
     "op8_license_scan": op8(),
     "op9_mixing": op9(),
     "op10_suffix_dedup": op10(),
+    "op12_source_audit": op12(),
 }

@@ -13,6 +13,7 @@ from tracelake.llm.line_dedup import line_dedup
 from tracelake.llm.mixing import mix_rates
 from tracelake.llm.quality_rules import quality_rules
 from tracelake.llm.secret_scan import secret_spans, written_spans
+from tracelake.llm.source_audit import source_divergence
 from tracelake.llm.substring_dedup import substring_dedup
 from tracelake.llm.suffix_dedup import suffix_dedup_report
 from tracelake.llm.warc import round_trip
@@ -64,7 +65,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_warc, op3_decontaminate, op4_jaccard_join, op5_quality_rules, op6_line_dedup, op7_secret_scan, op8_license_scan, op9_mixing, op10_suffix_dedup)
+    for f in (op1_substring_dedup, op2_warc, op3_decontaminate, op4_jaccard_join, op5_quality_rules, op6_line_dedup, op7_secret_scan, op8_license_scan, op9_mixing, op10_suffix_dedup, op12_source_audit)
 }
