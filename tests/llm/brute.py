@@ -4,8 +4,12 @@ import base64
 import hashlib
 import math
 import re
+import struct
+import zlib
 from collections import Counter, defaultdict
 
+import xxhash
+
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -217,3 +221,135 @@ def secrets(docs):
             if passed and g >= min(passed):
                 out[i].append((a, 3, b, "random"))
     return {i: [(kind, a, b) for a, _, b, kind in sorted(spans)] for i, spans in out.items()}
+
+
+def xx(*values):
+    """Spark's xxhash64: strings as bytes, (n,) as 4 bytes, n as 8."""
+    seed = 42
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else struct.pack("<i", *v) if isinstance(v, tuple) else struct.pack("<q", v)
+        seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def order_minhash(text, width=3, tuples=64):
+    w = spaced(text)
+    kmers = [xx(*w[i : i + width]) for i in range(len(w) - width + 1)] if len(w) >= width else [xx(" ".join(w))] if w else []
+    if not kmers:
+        return "0" * 4 * tuples
+    seen, least = Counter(), {}
+    for at, h in enumerate(kmers):
+        v = xx(h, (seen[h],))
+        seen[h] += 1
+        least[(v >> 57) + 64] = min(least.get((v >> 57) + 64, (1 << 70, 0)), (v, at))
+    n = 2 * tuples
+    dense = [least[next(k % n for k in range(j, j + n) if k % n in least)] for j in range(n)]
+    out = ""
+    for a, b in zip(dense[:tuples], dense[tuples:]):
+        p, q = (a, b) if a[1] <= b[1] else (b, a)
+        out += f"{(xx(p[0], q[0]) % (1 << 64)) >> 48:04x}"
+    return out
+
+
+def alike(a, b, tuples=64):
+    return sum(a[4 * i : 4 * i + 4] == b[4 * i : 4 * i + 4] for i in range(tuples)) / tuples
+
+
+def fingerprints(docs):
+    key = lambda d: (d[0] is not None, d[0] or 0, xx(d[1] or ""))
+    order = sorted({key(d): d[1] or "" for d in docs}.items())
+    after = {k: order[(i + 1) % len(order)][1] for i, (k, _) in enumerate(order)}
+    out = []
+    for d in docs:
+        text, other = d[1] or "", after[key(d)]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + other[:half]
+        a, b = order_minhash(text), order_minhash(edited)
+        out.append((d[0], len(text), sha(edited), a, b, alike(a, b), alike(a, order_minhash(other))))
+    return out
+
+
+def divergences(docs, min_docs=3, most_rank=200):
+    """docs: (text, lang, source)."""
+    read = [(re.findall("[^\x00-\x40\x5b-\x60\x7b-\x7f]+", (t or "").translate(LOWER)), x or "", s or "") for t, x, s in docs]
+    out = []
+    for lang in {x for _, x, _ in read}:
+        here = [(w, s) for w, x, s in read if x == lang]
+        df = Counter(t for w, _ in here for t in set(w))
+        kept = {t for t in df if df[t] >= min_docs}
+        counts = {s: Counter() for _, s in here}
+        for w, s in here:
+            counts[s].update(t for t in w if t in kept)
+        share = lambda c, t: 1 + 1000000000 * (c[t] + 1) // (sum(c.values()) + len(kept))
+        p = {s: {t: share(c, t) for t in kept} for s, c in counts.items()}
+        whole = sum(counts.values(), Counter())
+        q = {t: share(whole, t) for t in kept}
+        f = lambda a, b: (a - b) * (a - b) // b
+        for s in counts:
+            pair = [(o, sum(f(p[s][t], p[o][t]) for t in kept)) for o in counts if o != s]
+            term = [(t, f(p[s][t], q[t])) for t in kept if counts[s][t] and p[s][t] > q[t]]
+            for part, found, most in (("pair", pair, len(pair)), ("term", term, most_rank)):
+                found.sort(key=lambda x: (-x[1], x[0].encode()))
+                out += [(lang, s, part, item, value, k + 1) for k, (item, value) in enumerate(found[:most])]
+    return sorted(out)
+
+
+def damage(rows):
+    """rows: (conv_id, turn, role, text)."""
+    said = lambda v: " " if v is None else str(v)
+    out = []
+    for c, t, role, text in rows:
+        kind = zlib.crc32(f"{said(c)}:{said(t)}".encode()) % 20
+        role, text = "user" if kind == 4 else said(role), "" if kind == 1 else re.sub("[.!?]", "", said(text)) if kind == 2 else said(text)
+        out += [(c, t, role, text)] * (0 if kind == 0 else 2 if kind == 3 else 1)
+    return out
+
+
+def _repair(rows):
+    """rows: (turn, role, text) in order. Back from the end, the least (cost, audit) for each role read last."""
+    seen, faults = set(), []
+    for _, role, text in rows:
+        end = text.rstrip(SPACE)[-1:]
+        faults.append("blank" if not end else "duplicate" if (role, text) in seen else "" if end in ".!?" else "truncated")
+        seen.add((role, text))
+    legal, name = {("", "s"), ("", "u"), ("s", "u"), ("u", "a"), ("a", "u")}, {"u": "user", "a": "assistant"}
+    given = {x: "a" if x == "u" else "u" for x in ("", "s", "u", "a")}
+    after = {}
+    for i in range(len(rows), -1, -1):
+        ways = {x: [] for x in given}
+        for x in given:
+            step = lambda to, cost, letter, line, x=x: ways[x].append((cost + after[to][0], letter + after[to][1], (line, after[to][2]) if line else after[to][2]))
+            if i == len(rows):
+                ways[x] += [(0, "", ())] * (x in ("", "a"))
+                continue
+            _, role, text = rows[i]
+            step(x, 2, "D", None)
+            if faults[i] not in ("blank", "duplicate"):
+                more = 5 * (faults[i] == "truncated")
+                if (x, role[:1]) in legal:
+                    step(role[:1], more, "K", f"{role}:{text}")
+                step(given[x], 1 + more, "R", f"{name[given[x]]}:{text}")
+        now = {x: min(w, key=lambda v: v[:2]) for x, w in ways.items() if w}
+        for _ in range(3):
+            for x, to in given.items():
+                if to in now:
+                    way = (5 + now[to][0], "I" + now[to][1], (f"{name[to]}:", now[to][2]))
+                    now[x] = min(now.get(x, way), way, key=lambda v: v[:2])
+        after = now
+    cost, audit, chain = after[""]
+    lines = []
+    while chain:
+        lines.append(chain[0])
+        chain = chain[1]
+    turns = {t for t, _, _ in rows} - {None}
+    initials = [role[:1] for _, role, _ in rows]
+    illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
+    return (max(turns) - min(turns) + 1 - len(turns) if turns else 0, faults.count("blank"), faults.count("duplicate"), faults.count("truncated"), illegal, cost, audit, sha("\n".join(lines)))
+
+
+def conversations(rows, hurt=True):
+    by = defaultdict(list)
+    for c, t, role, text in damage(rows) if hurt else rows:
+        by[c].append((t, " " if role is None else role, " " if text is None else text))
+    order = lambda x: (x[0] is not None, x[0] or 0, x[1].encode(), x[2].encode())
+    return [(c, *(_repair(sorted(by[c], key=order)) if by[c] else (0, 0, 0, 0, 0, 0, "", sha("")))) for c in {r[0] for r in rows}]

@@ -228,6 +228,40 @@ r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY valu
 SELECT * FROM r WHERE part = 'pair' OR rank <= 200"""
 
 
+def op13() -> str:
+    said = lambda c: f"coalesce({c}::VARCHAR, ' ')"
+    given = {"": "u", "s": "u", "u": "a", "a": "u"}
+    name = {"u": "user", "a": "assistant"}
+    line = lambda role: f"chr(10) || '{name[role]}:'"
+    #: rows put in before one that is read: none, one or two
+    pre = [(s, s, 0, "", "''") for s in given] + [(s, given[s], 5, "I", line(given[s])) for s in given] + [(s, given[given[s]], 10, "II", f"{line(given[s])} || {line(given[given[s]])}") for s in given]
+    pre = ", ".join(f"('{s}', '{to}', {cost}, '{audit}', {text})" for s, to, cost, audit, text in pre)
+    ways = [(s, "*", s, 2, "D", "") for s in given] + [(s, c, c, 0, "K", "") for s, c in (("", "s"), ("", "u"), ("s", "u"), ("u", "a"), ("a", "u"))] + [(s, "*", given[s], 1, "R", name[given[s]]) for s in given]
+    ways = ", ".join(str(x) for x in ways)
+    return f"""
+WITH RECURSIVE crcs AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crcs),
+k AS (SELECT conv_id, turn, {said("role")} AS role, {said("text")} AS text,
+        xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({said("conv_id")} || ':' || {said("turn")}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(crcs[1 + (xor(c, b) & 255)], c >> 8))) % 20 AS kind
+      FROM conversations, crcs),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, rtrim(text, {_SPACE_SQL}) AS t FROM d),
+e AS (SELECT *, left(role, 1) AS init, CASE WHEN t = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(t, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM o),
+m AS (SELECT *, lag(init) OVER (PARTITION BY conv_id ORDER BY i) || init NOT IN ('su', 'ua', 'au') AS illegal FROM e),
+stats AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal FROM m GROUP BY 1),
+pre(s, mid, cost, audit, said) AS (VALUES {pre}),
+ways(s, init, nxt, cost, audit, role) AS (VALUES {ways}),
+f AS (SELECT conv_id, 0::BIGINT AS i, '' AS s, {{'cost': 0::BIGINT, 'audit': '', 'said': ''}} AS best FROM stats
+      UNION ALL
+      SELECT f.conv_id, f.i + 1, nxt, min({{'cost': best.cost + pre.cost + ways.cost + CASE WHEN fault = 'truncated' AND ways.audit <> 'D' THEN 5 ELSE 0 END, 'audit': best.audit || pre.audit || ways.audit,
+          'said': best.said || pre.said || CASE WHEN ways.audit = 'D' THEN '' ELSE chr(10) || CASE WHEN ways.audit = 'K' THEN e.role ELSE ways.role END || ':' || e.text END}})
+      FROM f JOIN e ON e.conv_id IS NOT DISTINCT FROM f.conv_id AND e.i = f.i + 1 JOIN pre ON pre.s = f.s JOIN ways ON ways.s = pre.mid AND ways.init IN ('*', e.init) AND (ways.audit = 'D' OR fault NOT IN ('blank', 'duplicate'))
+      GROUP BY f.conv_id, f.i, nxt),
+last AS (SELECT f.conv_id, min({{'cost': best.cost + pre.cost, 'audit': best.audit || pre.audit, 'said': best.said || pre.said}}) AS best FROM f JOIN stats ON stats.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = n JOIN pre ON pre.s = f.s AND pre.mid IN ('', 'a') GROUP BY 1)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+       coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(substr(best.said, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN stats ON stats.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN last ON last.conv_id IS NOT DISTINCT FROM a.conv_id"""
+
+
 def pipeline() -> str:
     """The five stages, one after another; each stage's text and numbers come from the one before."""
     return f"""
@@ -250,4 +284,5 @@ ORACLE_SQL = {
     "op9_mixing": op9(),
     "op10_suffix_dedup": op10(),
     "op12_source_audit": op12(),
+    "op13_conversation_repair": op13(),
 }

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import table
+from tracelake.llm.conversation_repair import repair_damaged
 from tracelake.llm.decontaminate import contamination
 from tracelake.llm.jaccard_join import jaccard_components
 from tracelake.llm.license_scan import license_scan
 from tracelake.llm.line_dedup import line_dedup
 from tracelake.llm.mixing import mix_rates
+from tracelake.llm.order_minhash import fingerprints
 from tracelake.llm.quality_rules import quality_rules
 from tracelake.llm.secret_scan import secret_spans, written_spans
 from tracelake.llm.source_audit import source_divergence
@@ -65,11 +67,19 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op11_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_warc, op3_decontaminate, op4_jaccard_join, op5_quality_rules, op6_line_dedup, op7_secret_scan, op8_license_scan, op9_mixing, op10_suffix_dedup, op12_source_audit)
+    for f in (op1_substring_dedup, op2_warc, op3_decontaminate, op4_jaccard_join, op5_quality_rules, op6_line_dedup, op7_secret_scan, op8_license_scan, op9_mixing, op10_suffix_dedup, op11_order_minhash, op12_source_audit, op13_conversation_repair)
 }
