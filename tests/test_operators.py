@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.functions import models, scalars
-from tracelake.operators import align, bins, fit, quality, regress, reshape, robust, runs, score, support
+from tracelake.operators import align, bins, fit, quality, regress, reshape, robust, runs, score, select, support
 
 
 def flags(spark, text):
@@ -226,3 +226,32 @@ def test_hampel_needs_five_valid_points(spark):
     d = spark.createDataFrame(short + longer, "id string, pos int, time double, value double")
     out = {(r["id"], r["pos"]) for r in align.hampel(d, ["id"], "pos", "time", "value", 10.0, 3.0).collect() if r["spike"]}
     assert out == {("b", 5)}
+
+
+def test_order_code_is_exact(spark):
+    import random
+
+    draw = random.Random(4)
+    xs = [0.0, 1.0, -2.0, 1e308, -1.7976931348623157e308, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, float("inf"), float("-inf"), 1 - 2**-53, 1 + 2**-52, 1023.9999999999999, 1024.0]
+    xs += [draw.uniform(-1, 1) * 10.0 ** draw.randint(-300, 300) for _ in range(500)] + [2.0**k for k in range(-1074, 1024, 53)]
+    code = select.order_code(F.col("x"))
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", code.alias("c"), select.from_code(code).alias("y")).collect()
+    assert all(r["x"] == r["y"] for r in got)
+    got.sort(key=lambda r: r["x"])
+    assert all((a["x"] < b["x"]) == (a["c"] < b["c"]) for a, b in zip(got, got[1:]))
+
+
+def test_quantiles_of_groups(spark):
+    import random
+
+    draw = random.Random(5)
+    rows = [(draw.choice(["a", None, "b"]), draw.choice([None, 1.0, 2.0, draw.gauss(0, 1) * 10.0 ** draw.randint(-5, 5)])) for _ in range(3000)]
+    df = spark.createDataFrame([*rows, ("lone", 3.0), ("none", None), ("same", 7.0), ("same", 7.0)], "k string, x double").repartition(4)
+    ps = [0, 0.05, 0.25, 0.5, 0.9, 1]
+    want = {r["k"]: r["q"] for r in df.groupBy("k").agg(F.percentile("x", F.array(*[F.lit(p) for p in ps])).alias("q")).collect() if r["q"] is not None}
+    assert {r["k"]: r["q"] for r in select.quantiles(df, ["k"], {"q": "x"}, {"q": ps}).collect()} == want
+    two = select.quantiles(df, [], {"a": "x", "b": -F.col("x")}, {"a": [0.1], "b": [0.9]}).first()
+    assert two["a"][0] == pytest.approx(-two["b"][0])
+    spread = {r["k"]: (r["med"], r["mad"]) for r in select.median_spread(df, ["k"], "x").collect()}
+    assert spread["same"] == (7.0, 0.0) and spread["lone"] == (3.0, 0.0) and "none" not in spread
+    assert select.medians(df.limit(0), ["k"], {"m": "x"}).count() == 0

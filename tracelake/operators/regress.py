@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.scalars import ratio
+from tracelake.operators.select import joined, median_spread, stored
 
 
 def gram(df: DataFrame, keys: list[str], xs: list[str], y: str, weight: Column | None = None) -> DataFrame:
@@ -128,10 +129,9 @@ def circle(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 def sigma_by_bin(df: DataFrame, bin_col: str, resid: str, n_bins: int, min_count: int, floor: float) -> DataFrame:
     """Robust residual sigma per bin: bins with too few rows take the overall one; never under the floor."""
-    med = df.groupBy(bin_col).agg(F.median(resid).alias("m"), F.count(F.lit(1)).alias("n"))
-    rows = df.join(med, bin_col).groupBy(bin_col).agg(F.first("n").alias("n"), (1.4826 * F.median(F.abs(F.col(resid) - F.col("m")))).alias("sigma"))
-    whole = df.agg(F.median(resid)).scalar()
-    overall = df.agg((1.4826 * F.median(F.abs(F.col(resid) - whole)))).scalar()
+    spread = median_spread(df, [bin_col], resid).select(bin_col, (1.4826 * F.col("mad")).alias("sigma"))
+    rows = joined(df.groupBy(bin_col).agg(F.count(F.lit(1)).alias("n")), spread, [bin_col])
+    overall = stored(median_spread(df, [], resid), "sigma").select(1.4826 * F.col("mad")).scalar()
     grid = df.sparkSession.range(n_bins).select(F.col("id").cast("int").alias(bin_col))
     out = grid.join(rows, bin_col, "left").fillna(0, ["n"])
     return out.withColumn("sigma", F.greatest(F.when(F.col("n") >= min_count, F.col("sigma")).otherwise(overall), F.lit(floor)))

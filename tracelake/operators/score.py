@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelake.functions.scalars import normal_cdf, normal_pdf, ratio
+from tracelake.operators.select import joined, quantiles, stored
 
 FLOOR = 1e-9
 LEVELS = tuple(round(0.025 + 0.95 * k / 18, 12) for k in range(19))
@@ -38,19 +39,19 @@ def share(condition: Column) -> Column:
     return F.avg(F.when(condition, 1.0).otherwise(0.0))
 
 
-def point_measures(floor: float = 5.0, truth: str = "truth", sigma: str = "sigma") -> list[Column]:
-    """Aggregates over a scored frame."""
-    rel = F.col("abs_err") / F.greatest(F.abs(F.col(truth)), F.lit(floor))
+def point_metrics(df: DataFrame, keys: list[str], floor: float = 5.0, truth: str = "truth", sigma: str = "sigma") -> DataFrame:
+    """Point measures of a scored frame by group; the quantiles are exact and selected by counting passes."""
+    df = df.withColumn("rel_err", F.col("abs_err") / F.greatest(F.abs(F.col(truth)), F.lit(floor)))
     rmse, span = F.sqrt(F.avg(F.col("resid") * F.col("resid"))), F.max(truth) - F.min(truth)
-    q = lambda c, p: F.percentile(c, F.lit(p))
-    return [
-        F.count("resid").alias("n_points"), rmse.alias("rmse"), F.avg("abs_err").alias("mae"), F.avg("resid").alias("bias"),
-        q("abs_err", 0.5).alias("median_abs_err"), q("abs_err", 0.9).alias("p90_abs_err"), q("abs_err", 0.95).alias("p95_abs_err"), F.max("abs_err").alias("max_abs_err"),
+    sums = df.groupBy(*keys).agg(
+        F.count("resid").alias("n_points"), rmse.alias("rmse"), F.avg("abs_err").alias("mae"), F.avg("resid").alias("bias"), F.max("abs_err").alias("max_abs_err"),
         *[share(F.col("abs_err") <= k * F.col("sig")).alias(f"coverage_{k}sigma") for k in (1, 2, 3)],
-        F.avg(sigma).alias("mean_sigma"), q(sigma, 0.25).alias("p25_sigma"), q(sigma, 0.5).alias("median_sigma"), q(sigma, 0.75).alias("p75_sigma"),
-        F.avg(rel).alias("mean_rel_err"), q(rel, 0.5).alias("median_rel_err"), F.min(truth).alias("truth_min"), F.max(truth).alias("truth_max"), span.alias("truth_range"), ratio(rmse, span).alias("nrmse_range"),
+        F.avg(sigma).alias("mean_sigma"), F.avg("rel_err").alias("mean_rel_err"), F.min(truth).alias("truth_min"), F.max(truth).alias("truth_max"), span.alias("truth_range"), ratio(rmse, span).alias("nrmse_range"),
         *[share(F.abs("z") <= QUANTILES[round(0.5 + level / 2, 3)]).alias(f"coverage_central_{round(level * 100)}") for level in (0.5, 0.8, 0.9, 0.95)],
-    ]
+    )
+    names = {"a": ("median_abs_err", "p90_abs_err", "p95_abs_err"), "s": ("p25_sigma", "median_sigma", "p75_sigma"), "r": ("median_rel_err",)}
+    q = quantiles(df, keys, {"a": "abs_err", "s": sigma, "r": "rel_err"}, {"a": (0.5, 0.9, 0.95), "s": (0.25, 0.5, 0.75), "r": (0.5,)})
+    return joined(sums, q.select(*keys, *[F.col(k)[i].alias(n) for k, many in names.items() for i, n in enumerate(many)]), keys)
 
 
 def additive_measures() -> list[Column]:
@@ -71,14 +72,21 @@ def pinball(q: float, truth: str = "truth", mu: str = "mu") -> Column:
 
 
 def sharp_measures(sigma: str = "sigma") -> list[Column]:
+    """The probabilistic measures that are sums."""
     return [
-        F.avg("nll").alias("nll"), F.avg("crps").alias("crps_mean"), F.stddev_pop("crps").alias("crps_std"), F.percentile("crps", F.lit(0.5)).alias("crps_median"), F.percentile("crps", F.lit(0.9)).alias("crps_p90"),
+        F.avg("nll").alias("nll"), F.avg("crps").alias("crps_mean"), F.stddev_pop("crps").alias("crps_std"),
         F.avg(sigma).alias("sharpness"), F.avg(F.abs("z")).alias("mean_abs_z"), F.avg("z").alias("z_mean"), F.var_pop("z").alias("z_var"),
         (F.sum(F.col("z") * F.col("z") - 1) / F.sqrt(2.0 * F.count("z"))).alias("spiegelhalter_z"),
         *[interval_score(x).alias(f"interval_score_{round(x * 100)}") for x in (0.5, 0.9)], *[pinball(x).alias(f"pinball_q{round(x * 100)}") for x in (0.1, 0.5, 0.9)],
     ]
 
 
+def sharp_metrics(df: DataFrame, keys: list[str], sigma: str = "sigma") -> DataFrame:
+    """Probabilistic measures by group, with exact quantiles of the crps."""
+    q = quantiles(df, keys, {"c": "crps"}, {"c": (0.5, 0.9)})
+    return joined(df.groupBy(*keys).agg(*sharp_measures(sigma)), q.select(*keys, F.col("c")[0].alias("crps_median"), F.col("c")[1].alias("crps_p90")), keys)
+
+
 def reliability(df: DataFrame, keys: list[str] = [], levels: tuple[float, ...] = LEVELS, weight: str | None = None) -> DataFrame:  # noqa: B006
     """Per level: the (weighted) share of PIT values at or under it. One pass: a conditional sum for each level."""
     w = F.lit(1.0) if weight is None else F.when(F.col(weight) > 0, F.col(weight)).otherwise(0.0)
@@ -108,13 +116,15 @@ def coverage_curve(df: DataFrame, keys: list[str], ks: tuple[float, ...]) -> Dat
 
 def sigma_deciles(df: DataFrame, sigma: str = "sigma", n: int = 10) -> DataFrame:
     """Calibration by quantile bin of sigma: right-closed bins between distinct quantile edges, the first closed on the left too."""
-    edges = df.agg(F.array_distinct(F.percentile(sigma, F.array(*[F.lit(k / n) for k in range(n + 1)]))).alias("e"))
-    df = df.withColumn("_e", edges.scalar())
-    at = F.greatest(F.size(F.filter("_e", lambda e: e < F.col(sigma))), F.lit(1))
-    return df.withColumn("bin", at).groupBy("bin").agg(
+    edges = stored(quantiles(df, [], {"e": sigma}, {"e": [k / n for k in range(n + 1)]}), "edges")
+    df = df.withColumn("_e", edges.select(F.array_distinct("e")).scalar())
+    df = df.withColumn("bin", F.greatest(F.size(F.filter("_e", lambda e: e < F.col(sigma))), F.lit(1)))
+    out = df.groupBy("bin").agg(
         F.count(F.lit(1)).alias("n"), F.avg(sigma).alias("mean_sigma"), F.avg("abs_err").alias("mae"), F.sqrt(F.avg(F.col("resid") * F.col("resid"))).alias("rmse"),
-        share(F.abs("z") <= 1).alias("coverage_1sigma"), share(F.abs("z") <= 2).alias("coverage_2sigma"), F.percentile(F.abs("z"), F.lit(0.9)).alias("p90_abs_z"),
+        share(F.abs("z") <= 1).alias("coverage_1sigma"), share(F.abs("z") <= 2).alias("coverage_2sigma"),
     )
+    q = quantiles(df, ["bin"], {"q": F.abs("z")}, {"q": (0.9,)})
+    return joined(out, q.select("bin", F.col("q")[0].alias("p90_abs_z")), ["bin"])
 
 
 def ks_statistic(df: DataFrame, keys: list[str], cells: int = 4096) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracelake.operators.select import joined, medians, stored
+
 
 def column_support(df: DataFrame, cols: list[str]) -> DataFrame:
     """(feature, n, mean, std, min, max) of each column, in one pass."""
@@ -64,9 +66,16 @@ def tolerance_match(left: DataFrame, right: DataFrame, a: str, b: str, tol: floa
 
 
 def representative(df: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:
-    """The row of each group that is closest to the group's median."""
-    df = df.withColumn("_d", F.abs(F.col(value) - F.median(value).over(W.partitionBy(*keys))))
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy("_d", tie))).filter("_n = 1").drop("_n", "_d")
+    """The row of each group that is closest to the group's median; the smallest ``tie`` among equals. Groups without values have none."""
+    near = nearest_to_median(df, keys, value)
+    rest = [c for c in df.columns if c not in keys]
+    return near.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("_d", tie)).alias("_r")).select(*keys, "_r.*").select(*df.columns)
+
+
+def nearest_to_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``df`` with ``_d``, the distance of each value from its group's median."""
+    mid = stored(medians(df, keys, {"_m": value}), "medians")
+    return joined(df.filter(F.col(value).isNotNull()), mid, keys).withColumn("_d", F.abs(F.col(value) - F.col("_m"))).drop("_m")
 
 
 def seeded_rank(seed: str, *cols: str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelake.functions.scalars import as_boolean, ratio
-from tracelake.operators import align, quality, robust, support
+from tracelake.operators import align, quality, robust, select, support
 from tracelake.plans.registry import Registry, rounded
 from tracelake.plans.series_queries import CENSOR, DISTINCT_T, Z, _by_time, _censor_bins
 from tracelake.plans.views import KEYS, V_FITS, V_POINTS, V_SERIES, load, v_fits, v_points, v_series
@@ -190,8 +190,9 @@ def a25_error_pivot(spark, sf_dir):
 
 @query("a26_robust_residual", f"WITH {V_POINTS}, m AS (SELECT *, median(value) OVER (PARTITION BY bin) AS med FROM v_points) SELECT bin, count(*) AS n, round(any_value(med), 5) AS median, round(median(abs(value - med)), 5) AS mad, round(1.4826 * median(abs(value - med)), 5) AS sigma FROM m GROUP BY bin HAVING count(*) >= 20")
 def a26_robust_residual(spark, sf_dir):
-    rows = v_points(spark, sf_dir).withColumn("med", F.median("value").over(W.partitionBy("bin")))
-    rows = rows.groupBy("bin").agg(F.count("*").alias("n"), F.first("med").alias("median"), F.median(F.abs(F.col("value") - F.col("med"))).alias("mad"))
+    points = v_points(spark, sf_dir)
+    spread = select.median_spread(points, ["bin"], "value").withColumnRenamed("med", "median")
+    rows = select.joined(points.groupBy("bin").agg(F.count("*").alias("n")), spread, ["bin"])
     return rounded(rows.filter("n >= 20").withColumn("sigma", 1.4826 * F.col("mad")), 5)
 
 
@@ -330,9 +331,8 @@ def t1_representative_row(spark, sf_dir):
 
 @query("t2_robust_rows", f"WITH {Z}, s AS (SELECT *, CASE WHEN 1.4826 * mad = 0 THEN 1.0 ELSE 1.4826 * mad END AS sg FROM z) SELECT cond, count(*) FILTER (abs(value - med) / sg <= 2.0) AS n_kept, count(*) AS n FROM s GROUP BY cond")
 def t2_robust_rows(spark, sf_dir):
-    whole = W.partitionBy("cond")
-    df = v_points(spark, sf_dir).withColumn("med", F.median("value").over(whole))
-    df = df.withColumn("sg", 1.4826 * F.median(F.abs(F.col("value") - F.col("med"))).over(whole))
+    points = v_points(spark, sf_dir)
+    df = select.joined(points, select.median_spread(points, ["cond"], "value"), ["cond"]).withColumn("sg", 1.4826 * F.col("mad"))
     z = F.abs(F.col("value") - F.col("med")) / F.when(F.col("sg") == 0, 1.0).otherwise(F.col("sg"))
     return df.groupBy("cond").agg(F.count_if(z <= 2.0).alias("n_kept"), F.count("*").alias("n"))
 
@@ -452,9 +452,9 @@ def u6_except(spark, sf_dir):
 @query("j20_class_imputation", f"WITH {V_FITS}, b AS (SELECT *, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE bal END AS x FROM v_fits), g AS (SELECT grp, median(x) AS m FROM b GROUP BY 1) SELECT grp, count(*) AS n, round(avg(coalesce(x, m)), 5) AS mean FROM b JOIN g USING (grp) GROUP BY grp")
 def j20_class_imputation(spark, sf_dir):
     fits = v_fits(spark, sf_dir).withColumn("x", F.when(F.col("o_orderkey") % 7 != 0, F.col("bal")))
-    med = fits.groupBy("grp").agg(F.median("x").alias("m"))
-    whole = fits.agg(F.median("x")).scalar()
-    return rounded(fits.join(med, "grp", "left").withColumn("v", F.coalesce("x", "m", whole)).groupBy("grp").agg(F.count("*").alias("n"), F.avg("v").alias("mean")), 5)
+    med = select.medians(fits, ["grp"], {"m": "x"})
+    whole = select.stored(select.medians(fits, [], {"m": "x"}), "median").scalar()
+    return rounded(select.joined(fits, med, ["grp"]).withColumn("v", F.coalesce("x", "m", whole)).groupBy("grp").agg(F.count("*").alias("n"), F.avg("v").alias("mean")), 5)
 
 
 @query("p21_fill_metadata", f"WITH {V_SERIES}, b AS (SELECT *, CASE WHEN value > 90 THEN value END AS x FROM v_series), f AS (SELECT *, coalesce(last_value(x IGNORE NULLS) OVER a, first_value(x IGNORE NULLS) OVER b) AS y FROM b WINDOW a AS (PARTITION BY cond, traj ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY cond, traj ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT cond, count(y) AS n_known, round(avg(y), 5) AS mean FROM f GROUP BY cond")

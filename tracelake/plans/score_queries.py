@@ -67,7 +67,7 @@ LEVELS_SQL = "lv AS (SELECT unnest([" + ", ".join(map(repr, score.LEVELS)) + "])
 
 @query("m1_point_metrics", f"WITH {SCORED} SELECT grp, count(*) AS n_points, {_r(POINT)} FROM scored GROUP BY grp")
 def m1_point_metrics(spark, sf_dir):
-    return rounded(_pred(spark, sf_dir).groupBy("grp").agg(*score.point_measures()))
+    return rounded(score.point_metrics(_pred(spark, sf_dir), ["grp"]))
 
 
 @query("m2_column_scores", f"WITH {SCORED} SELECT cluster, point, {stepped_sql("z")} AS z, {stepped_sql("pit")} AS pit, {stepped_sql("crps", 4)} AS crps, {stepped_sql("nll")} AS nll FROM scored")
@@ -77,7 +77,7 @@ def m2_column_scores(spark, sf_dir):
 
 @query("m3_probabilistic_summary", f"WITH {SCORED} SELECT grp, {_r(SHARP)} FROM scored GROUP BY grp")
 def m3_probabilistic_summary(spark, sf_dir):
-    return rounded(_pred(spark, sf_dir).groupBy("grp").agg(*score.sharp_measures()))
+    return rounded(score.sharp_metrics(_pred(spark, sf_dir), ["grp"]))
 
 
 @query("m4_reliability_table", f"WITH {SCORED}, {LEVELS_SQL} SELECT grp, round(level, 6) AS level, round({_share('pit <= level')}, 6) AS share, round(abs({_share('pit <= level')} - level), 6) AS error FROM scored CROSS JOIN lv GROUP BY grp, level")

@@ -201,15 +201,16 @@ def a4_robust_z(spark, sf_dir):
 @query("p22_outliers", f"""WITH {Z}, q AS (SELECT *, avg(value) OVER w AS mu, stddev_pop(value) OVER w AS sd, quantile_cont(value, 0.25) OVER w AS q1, quantile_cont(value, 0.75) OVER w AS q3 FROM z WINDOW w AS (PARTITION BY cond))
 SELECT cond, count(*) FILTER (abs(value - mu) <= 2.5 * sd) AS n_z, count(*) FILTER (value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS n_iqr, count(*) FILTER (abs(z) <= 3.0) AS n_mad FROM q GROUP BY 1""")
 def p22_outliers(spark, sf_dir):
-    df = v_points(spark, sf_dir).withColumns({"z_ok": robust.zscore_inlier(["cond"], "value", 2.5), "iqr_ok": robust.iqr_inlier(["cond"], "value", 1.5)})
-    df = robust.mad_inlier(df, ["cond"], "value", 3.0, "mad_ok")
+    df = robust.zscore_inlier(v_points(spark, sf_dir).select("cond", "value"), ["cond"], "value", 2.5, "z_ok")
+    df = robust.mad_inlier(robust.iqr_inlier(df, ["cond"], "value", 1.5, "iqr_ok"), ["cond"], "value", 3.0, "mad_ok")
     return df.groupBy("cond").agg(F.count_if("z_ok").alias("n_z"), F.count_if("iqr_ok").alias("n_iqr"), F.count_if("mad_ok").alias("n_mad"))
 
 
 @query("p23_scaling", f"""WITH {V_POINTS}, q AS (SELECT *, min(value) OVER w AS lo, max(value) OVER w AS hi, quantile_cont(value, 0.05) OVER w AS q1, quantile_cont(value, 0.95) OVER w AS q2 FROM v_points WINDOW w AS (PARTITION BY cond))
 SELECT event_id, round((value - lo) / (hi - lo), 6) AS unit, round(least(greatest((value - q1) / (q2 - q1), 0), 1), 6) AS clipped FROM q""")
 def p23_scaling(spark, sf_dir):
-    return v_points(spark, sf_dir).select("event_id", F.round(robust.min_max(["cond"], "value"), 6).alias("unit"), F.round(robust.percentile_scale(["cond"], "value", 0.05, 0.95), 6).alias("clipped"))
+    df = robust.min_max(v_points(spark, sf_dir), ["cond"], "value", "unit")
+    return robust.percentile_scale(df, ["cond"], "value", 0.05, 0.95, "clipped").select("event_id", F.round("unit", 6).alias("unit"), F.round("clipped", 6).alias("clipped"))
 
 
 @query("a5_trace_summary", f"WITH {V_SERIES} SELECT cond, traj, count(*) AS n, round(min(time), 6) AS t_min, round(max(time), 6) AS t_max, round(max(value), 6) AS v_max, round(arg_max(value, pos), 6) AS v_last, round(arg_max(time, value), 6) AS t_of_max FROM v_series GROUP BY 1, 2")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import models
 from tracelake.functions.scalars import clean_number, first_known
-from tracelake.operators import align, pixels, reshape, runs
+from tracelake.operators import align, pixels, reshape, runs, support
 from tracelake.plans.registry import Registry, rounded
 from tracelake.plans.series_queries import CLEAN, _cleaned
 from tracelake.sources.design import expand_design
@@ -335,8 +335,8 @@ def w35_regime_weights(spark, sf_dir):
 
 @query("t3_selected_rows", f"WITH {V_FITS}, d AS (SELECT *, abs(price - median(price) OVER (PARTITION BY grp)) AS d FROM v_fits), r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY d, o_orderkey) AS k FROM d) SELECT dense_rank() OVER (ORDER BY grp) - 1 AS id, grp, o_orderkey, k = 1 AS representative FROM r WHERE k <= 5")
 def t3_selected_rows(spark, sf_dir):
-    d = v_fits(spark, sf_dir).withColumn("d", F.abs(F.col("price") - F.median("price").over(W.partitionBy("grp"))))
-    r = d.withColumn("k", F.row_number().over(W.partitionBy("grp").orderBy("d", "o_orderkey"))).filter("k <= 5")
+    d = support.nearest_to_median(v_fits(spark, sf_dir), ["grp"], "price")
+    r = d.withColumn("k", F.row_number().over(W.partitionBy("grp").orderBy("_d", "o_orderkey"))).filter("k <= 5")
     return reshape.dense_id(r, ["grp"], "id").select("id", "grp", "o_orderkey", (F.col("k") == 1).alias("representative"))
 
 
