@@ -125,7 +125,7 @@ def test_normal_cdf(spark):
 def test_scores_of_exact_predictions(spark):
     df = spark.createDataFrame([(float(i), float(i), 0.0, 1.0) for i in range(10)], "truth double, mu double, sigma double, w double")
     s = score.scored(df)
-    row = s.agg(*score.point_measures()).first()
+    row = score.point_metrics(s, []).first()
     assert row["rmse"] == 0 and row["coverage_1sigma"] == 1
     weighted = {round(r["level"], 6): r["share"] for r in score.reliability(s, weight="w").collect()}
     assert weighted == {round(r["level"], 6): r["share"] for r in score.reliability(s).collect()}

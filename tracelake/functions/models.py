@@ -33,11 +33,11 @@ def blend_slope(t: Column, k_sqrt: Column, k_quarter: Column, t0: Column, s: Col
 LIQUID = 840.0
 
 
-def breakup_time(d: Column, dp: Column, rho: Column, kbt: float) -> Column:
+def breakup_time(d: Column, dp: Column, rho: Column, kbt: float | Column) -> Column:
     return kbt * LIQUID * d / F.sqrt(rho * dp)
 
 
-def breakup_curve(t: Column, d: Column, dp: Column, rho: Column, kv: float, kp: float, kbt: float, t_inj: Column | None = None) -> Column:
+def breakup_curve(t: Column, d: Column, dp: Column, rho: Column, kv: float | Column, kp: float | Column, kbt: float | Column, t_inj: Column | None = None) -> Column:
     """Linear before break-up, square-root after; past twice the injection time, if given, a quarter-root stage."""
     pos = F.greatest(t, F.lit(0.0))
     early = kv * F.sqrt(2 * dp / LIQUID) * pos
@@ -50,7 +50,7 @@ def breakup_curve(t: Column, d: Column, dp: Column, rho: Column, kv: float, kp:
     return F.when(t > 2 * ti, late).otherwise(out)
 
 
-def delay_curve(t: Column, k: float, delay: float, a: Column, angle: Column | None = None) -> Column:
+def delay_curve(t: Column, k: float | Column, delay: float | Column, a: Column, angle: Column | None = None) -> Column:
     """k A sqrt(t - delay), times tan(angle / 2)^(-1/2) if an angle is given."""
     out = k * a * F.sqrt(F.greatest(t - delay, F.lit(0.0)))
     return out if angle is None else out / F.sqrt(F.tan(angle / 2))

@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.operators.score import replicated
+from tracelake.operators.select import joined, stored
+
 
 def _expit(x: np.ndarray) -> np.ndarray:
     return np.where(x >= 0, 1 / (1 + np.exp(-np.abs(x))), np.exp(-np.abs(x)) / (1 + np.exp(-np.abs(x))))
@@ -104,26 +107,50 @@ def fit_groups(df: DataFrame, keys: list[str], time: str, value: str, kind: str
     return rows.groupBy(*keys).applyInPandas(one, f"{fields}, {QUARTER if kind == 'quarter' else BLEND}")
 
 
+def _weighted(rows: DataFrame, state: DataFrame | None, keys: list[str], xs: list[str], y: str, delta: float, base) -> DataFrame:
+    """``rows`` with ``_w``: the base weight times the Huber weight of the residual under the coefficients in ``state``."""
+    if state is None:
+        return rows.withColumn("_w", base)
+    rows = joined(rows, state, keys, "inner")
+    r = F.abs(F.col(y) - sum((F.col(f"b_{x}") * F.col(x) for x in xs), F.lit(0.0)))
+    return rows.withColumn("_w", base * F.when(r <= delta, 1.0).otherwise(delta / r)).drop(*[f"b_{x}" for x in xs])
+
+
+def _products(xs: list[str], y: str) -> dict:
+    """Sums of weighted products, by the names that the solution reads."""
+    return {f"{i}_{j}": F.sum(F.col("_w") * F.col(a) * F.col(b)) for i, a in enumerate(xs) for j, b in enumerate(xs) if j >= i} | {f"{i}_y": F.sum(F.col("_w") * F.col(a) * F.col(y)) for i, a in enumerate(xs)}
+
+
+def _rounds(df: DataFrame, xs: list[str], y: str, delta: float, keys: list[str], rounds: int, weight: str | None) -> tuple[DataFrame, DataFrame]:
+    """(rows with the weights of the last round, its coefficients)."""
+    base = F.lit(1.0) if weight is None else F.col(weight)
+    rows, state = stored(df, "calibration"), None
+    for _ in range(rounds):
+        now = _weighted(rows, state, keys, xs, y, delta, base)
+        sums = now.groupBy(*keys).agg(*[c.alias(k) for k, c in _products(xs, y).items()])
+        state = stored(sums.select(*keys, *[c.alias(f"b_{x}") for x, c in zip(xs, _cramer(len(xs)))]), "coefficients")
+    return now, state
+
+
 def calibrate(df: DataFrame, xs: list[str], y: str, delta: float, keys: list[str] | None = None, rounds: int = 8, weight: str | None = None) -> DataFrame:
     """Huber regression of y on xs without intercept, by iterated reweighting; per key if given.
 
-    Each round is one aggregation of weighted products (at most three regressors) over the same rows, and the coefficients
-    come back as a small table with one row per key. Nothing is collected.
+    The rows are written once; each round is one aggregation of weighted products over them (at most three regressors), and the
+    coefficients come back as a small table with one row per key. Nothing is collected.
     """
-    keys = keys or []
-    base = F.lit(1.0) if weight is None else F.col(weight)
-    state = None
-    for _ in range(rounds):
-        if state is None:
-            rows, w = df, base
-        else:
-            rows = df.join(state, keys) if keys else df.withColumns({f"b_{x}": state.select(f"b_{x}").scalar() for x in xs})
-            r = F.abs(F.col(y) - sum((F.col(f"b_{x}") * F.col(x) for x in xs), F.lit(0.0)))
-            w = base * F.when(r <= delta, 1.0).otherwise(delta / r)
-        sums = [F.sum(w * F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(xs) for j, b in enumerate(xs) if j >= i] + [F.sum(w * F.col(a) * F.col(y)).alias(f"{i}_y") for i, a in enumerate(xs)]
-        g = rows.groupBy(*keys).agg(*sums)
-        state = g.select(*keys, *[c.alias(f"b_{x}") for x, c in zip(xs, _cramer(len(xs)))])
-    return state
+    return _rounds(df, xs, y, delta, keys or [], rounds, weight)[1]
+
+
+def calibration_bootstrap(df: DataFrame, xs: list[str], y: str, delta: float, cluster: str, reps: int, seed: str, rounds: int = 8) -> DataFrame:
+    """(rep, b_<x>): coefficients of cluster replicates under the robust weights of the whole fit.
+
+    Clusters are reduced once to their weighted products at the last round's weights; a replicate is a weighted sum of these.
+    """
+    rows, _ = _rounds(df, xs, y, delta, [], rounds, None)
+    products = _products(xs, y)
+    each = rows.groupBy(cluster).agg(*[c.alias(k) for k, c in products.items()])
+    sums = replicated(each, cluster, reps, seed).groupBy("rep").agg(*[F.sum(F.col("w") * F.col(k)).alias(k) for k in products])
+    return sums.select("rep", *[c.alias(f"b_{x}") for x, c in zip(xs, _cramer(len(xs)))])
 
 
 def _cramer(p: int) -> list:

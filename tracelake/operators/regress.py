@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.scalars import ratio
+from tracelake.operators.score import replicated
 from tracelake.operators.select import joined, median_spread, stored
 
 
@@ -76,15 +77,11 @@ def leave_one_out(df: DataFrame, keys: list[str], group: str, xs: list[str], y:
     return fits.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_fits"), *[f(f"b_{x}").alias(f"{name}_{x}") for x in xs for name, f in (("min", F.min), ("max", F.max))])
 
 
-def cluster_bootstrap(df: DataFrame, keys: list[str], cluster: str, xs: list[str], y: str, reps: int, weight) -> DataFrame:
-    """Percentile intervals of the coefficients: clusters are reduced to their sums once, replicates reweight them.
-
-    ``weight(rep, cluster)`` gives the count of a cluster in a replicate.
-    """
+def cluster_bootstrap(df: DataFrame, keys: list[str], cluster: str, xs: list[str], y: str, reps: int, seed: str) -> DataFrame:
+    """Percentile intervals of the coefficients: clusters are reduced to their sums once, replicates reweight them."""
     each = gram(df, [*keys, cluster], xs, y)
     cols = additive(xs, y)
-    drawn = each.select("*", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).withColumn("w", weight(F.col("rep"), F.col(cluster))).filter("w > 0")
-    sums = drawn.groupBy(*keys, "rep").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in cols])
+    sums = replicated(each, cluster, reps, seed).groupBy(*keys, "rep").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in cols])
     fits = solve(sums, [*keys, "rep"], xs, y, errors=False)
     return fits.groupBy(*keys).agg(*[F.percentile(f"b_{x}", F.lit(p)).alias(f"{name}_{x}") for x in xs for name, p in (("low", 0.025), ("high", 0.975))])
 

@@ -149,9 +149,8 @@ def weighted_mean(value: str | Column, weight: str) -> Column:
     return ratio(F.sum(F.when(ok, v * F.col(weight))), F.sum(F.when(ok, F.col(weight))))
 
 
-def poisson_weight(seed: str, rep: Column, key: Column) -> Column:
-    """A Poisson(1) count by inverting a hash of (seed, replicate, key): the same on every run."""
-    u = (F.xxhash64(F.lit(seed), rep, key).bitwiseAND(F.lit((1 << 52) - 1))).cast("double") / float(1 << 52)
+def poisson_count(u: Column) -> Column:
+    """A Poisson(1) count by inverting a uniform number."""
     out, p, total = F.lit(0), math.exp(-1), math.exp(-1)
     for k in range(1, 12):
         out = out + F.when(u >= total, 1).otherwise(0)
@@ -160,15 +159,29 @@ def poisson_weight(seed: str, rep: Column, key: Column) -> Column:
     return out
 
 
+def replicated(df: DataFrame, key: str | Column, reps: int, seed: str) -> DataFrame:
+    """Each row of ``df`` once for each replicate that takes it, with ``rep`` from 1 and its Poisson count ``w``.
+
+    Counts come from MD5 digests of (seed, block, key), a digest serving the four replicates of a block: the same on every run
+    and in every engine. Apply it to rows that are reduced to one per cluster.
+    """
+    k = F.coalesce((F.col(key) if isinstance(key, str) else key).cast("string"), F.lit("null"))
+    blocks = df.select("*", F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // 4))).alias("_b"))
+    blocks = blocks.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col("_b").cast("string"), F.lit(":"), k)))
+    u = lambda i: F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("double") / float(1 << 32)
+    four = F.array(*[F.struct((F.col("_b") * 4 + (i + 1)).alias("rep"), poisson_count(u(i)).alias("w")) for i in range(4)])
+    return blocks.select(*df.columns, F.inline(four)).filter(f"w > 0 and rep <= {reps}")
+
+
 def bootstrap_ci(df: DataFrame, keys: list[str], cluster: str, reps: int, seed: str, level: float = 0.95) -> DataFrame:
     """Percentile intervals of rmse, mae and bias by a cluster bootstrap.
 
-    Clusters are reduced to (n, sum, sum of absolutes, sum of squares) once; a replicate only reweights these rows.
+    Clusters are reduced to (n, sum, sum of absolutes, sum of squares) once; a replicate only reweights these rows, and its
+    sums are combined before they are shuffled.
     """
     sums = df.groupBy(*keys, cluster).agg(F.count("resid").alias("n"), F.sum("resid").alias("s"), F.sum("abs_err").alias("a"), F.sum(F.col("resid") * F.col("resid")).alias("q"))
-    drawn = sums.select("*", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    drawn = drawn.withColumn("w", poisson_weight(seed, F.col("rep"), F.col(cluster))).filter("w > 0")
-    each = drawn.groupBy(*keys, "rep").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in "nsaq"])
+    each = replicated(sums, cluster, reps, seed).groupBy(*keys, "rep").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in "nsaq"])
     each = each.select(*keys, F.sqrt(F.col("q") / F.col("n")).alias("rmse"), (F.col("a") / F.col("n")).alias("mae"), (F.col("s") / F.col("n")).alias("bias"))
     low, high = (1 - level) / 2, (1 + level) / 2
+    #: one row a replicate is left
     return each.groupBy(*keys).agg(*[F.percentile(c, F.lit(p)).alias(f"{c}_{side}") for c in ("rmse", "mae", "bias") for side, p in (("low", low), ("high", high))])

@@ -79,20 +79,21 @@ def nearest_to_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def seeded_rank(seed: str, *cols: str) -> Column:
-    """A hash to order by: the same on every run."""
-    return F.xxhash64(F.lit(seed), *cols)
+    """A hash to order by: the same on every run and in every engine."""
+    return F.md5(F.concat_ws(":", F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in cols]))
 
 
 def split_by_group(df: DataFrame, group: str, seed: str, val: float, test: float) -> DataFrame:
     """Whole groups go to test, val or train: groups ranked by a seeded hash, cut at floors of the shares.
 
-    The rank is taken within cells of the hash with the counts of the cells before, so no task sorts all groups.
+    The rank is taken within cells of the hash (its first three digits) with the counts of the cells before, so no task sorts
+    all groups. A null group is one group.
     """
     groups = df.select(group).distinct().withColumn("_h", seeded_rank(seed, group))
-    groups = groups.withColumn("_cell", F.pmod(F.shiftright("_h", 40), F.lit(1 << 12)))
+    groups = groups.withColumn("_cell", F.substring("_h", 1, 3))
     sizes = groups.groupBy("_cell").agg(F.count(F.lit(1)).alias("_k"))
     sizes = sizes.withColumns({"_before": F.sum("_k").over(W.orderBy("_cell")) - F.col("_k"), "_all": F.sum("_k").over(W.partitionBy())}).drop("_k")
     ranked = groups.join(sizes, "_cell").withColumn("_r", F.row_number().over(W.partitionBy("_cell").orderBy("_h", group)) + F.col("_before"))
     n_test, n_val = F.floor(F.col("_all") * test), F.floor(F.col("_all") * val)
     split = F.when(F.col("_r") <= n_test, "test").when(F.col("_r") <= n_test + n_val, "val").otherwise("train")
-    return df.join(ranked.select(group, split.alias("split")), group)
+    return joined(df, ranked.select(group, split.alias("split")), [group], "inner").select(group, *[c for c in df.columns if c != group], "split")

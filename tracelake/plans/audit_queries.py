@@ -372,7 +372,13 @@ def t14_best_result(spark, sf_dir):
     return each.agg(F.min_by("grp", "s").alias("best"), F.round(F.min("s"), 4).alias("metric"))
 
 
-@query("t8_seeded_sample")
+def _split_sql(source: str, group: str, seed: str, val: float, test: float) -> str:
+    """A statement for the split of ``source`` by whole groups."""
+    return f"""SELECT s.*, CASE WHEN r <= floor(n * {test}) THEN 'test' WHEN r <= floor(n * {test}) + floor(n * {val}) THEN 'val' ELSE 'train' END AS split
+FROM {source} s JOIN (SELECT g, row_number() OVER (ORDER BY md5('{seed}:' || g), g) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT {group} AS g FROM {source})) x ON x.g = s.{group}"""
+
+
+@query("t8_seeded_sample", "SELECT o_orderkey, o_custkey FROM orders ORDER BY md5('sample:' || o_orderkey), o_orderkey LIMIT 200")
 def t8_seeded_sample(spark, sf_dir):
     return load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").orderBy(support.seeded_rank("sample", "o_orderkey"), "o_orderkey").limit(200)
 
@@ -381,24 +387,27 @@ def _split(spark, sf_dir):
     return support.split_by_group(load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey", "split", 0.15, 0.15)
 
 
-@query("t9_group_split")
+ORDERS = "o AS (SELECT o_orderkey, o_custkey FROM orders)"
+
+
+@query("t9_group_split", f"WITH {ORDERS} {_split_sql('o', 'o_custkey', 'split', 0.15, 0.15)}")
 def t9_group_split(spark, sf_dir):
     return _split(spark, sf_dir)
 
 
-@query("t10_leave_one_out")
+@query("t10_leave_one_out", f"WITH {V_FITS}, rest AS (SELECT o_orderkey, o_custkey FROM v_fits WHERE grp <> 'BUILDING') SELECT o_orderkey, split FROM ({_split_sql('rest', 'o_custkey', 'loo', 0.2, 0.0)}) UNION ALL SELECT o_orderkey, 'test' FROM v_fits WHERE grp = 'BUILDING'")
 def t10_leave_one_out(spark, sf_dir):
     fits = v_fits(spark, sf_dir).select("o_orderkey", "o_custkey", "grp")
     rest = support.split_by_group(fits.filter("grp <> 'BUILDING'"), "o_custkey", "loo", 0.2, 0.0)
     return rest.select("o_orderkey", "split").union(fits.filter("grp = 'BUILDING'").select("o_orderkey", F.lit("test")))
 
 
-@query("t11_row_split")
+@query("t11_row_split", f"WITH o AS (SELECT o_orderkey FROM orders) {_split_sql('o', 'o_orderkey', 'rows', 0.1, 0.1)}")
 def t11_row_split(spark, sf_dir):
     return support.split_by_group(load(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", "rows", 0.1, 0.1)
 
 
-@query("t13_rows_per_split")
+@query("t13_rows_per_split", f"WITH {ORDERS}, sp AS ({_split_sql('o', 'o_custkey', 'split', 0.15, 0.15)}) SELECT o_orderkey, o_custkey, split FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY md5('few:' || o_orderkey), o_orderkey) AS k FROM sp) WHERE k <= 100")
 def t13_rows_per_split(spark, sf_dir):
     rank = F.row_number().over(W.partitionBy("split").orderBy(support.seeded_rank("few", "o_orderkey"), "o_orderkey"))
     return _split(spark, sf_dir).withColumn("k", rank).filter("k <= 100").drop("k")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import models
 from tracelake.functions.scalars import time_bin
-from tracelake.operators import fit, regress, score
-from tracelake.plans.registry import Registry, rounded
+from tracelake.operators import fit, regress, solve
+from tracelake.plans.registry import Registry, replicated_sql, rounded
 from tracelake.plans.series_queries import DISTINCT_T, _by_time
 from tracelake.plans.views import KEYS, V_POINTS, V_PRED, V_REG, V_SERIES, load, v_points, v_pred, v_reg, v_series
 
@@ -17,12 +17,12 @@ QUERIES, ORACLE = query.queries, query.oracle
 XS = ["x1", "x2", "x3"]
 
 
-def _ols_sql(source: str, keys: str, y: str = "y") -> str:
-    """CTEs gm and fit_ for y on x1, x2, x3 by centred cofactors."""
+def _ols_sql(source: str, keys: str, y: str = "y", w: str = "1") -> str:
+    """CTEs gm and fit_ for y on x1, x2, x3 by centred cofactors, rows counting ``w`` times."""
     pairs = [("x1", "x1"), ("x1", "x2"), ("x1", "x3"), ("x2", "x2"), ("x2", "x3"), ("x3", "x3"), ("x1", y), ("x2", y), ("x3", y), (y, y)]
-    c = ", ".join(f"sum({a} * {b}) - sum({a}) * sum({b}) / count(*) AS c_{a}_{b}" for a, b in pairs)
+    c = ", ".join(f"sum({w} * {a} * {b}) - sum({w} * {a}) * sum({w} * {b}) / sum({w}) AS c_{a}_{b}" for a, b in pairs)
     return f"""
-gm AS (SELECT {keys}, count(*) AS n, sum(x1) AS s1, sum(x2) AS s2, sum(x3) AS s3, sum({y}) AS sy, {c} FROM {source} GROUP BY {keys}),
+gm AS (SELECT {keys}, sum({w}) AS n, sum({w} * x1) AS s1, sum({w} * x2) AS s2, sum({w} * x3) AS s3, sum({w} * {y}) AS sy, {c} FROM {source} GROUP BY {keys}),
 cf AS (SELECT *, c_x2_x2 * c_x3_x3 - c_x2_x3 * c_x2_x3 AS i00, -(c_x1_x2 * c_x3_x3 - c_x2_x3 * c_x1_x3) AS i01, c_x1_x2 * c_x2_x3 - c_x2_x2 * c_x1_x3 AS i02,
   c_x1_x1 * c_x3_x3 - c_x1_x3 * c_x1_x3 AS i11, -(c_x1_x1 * c_x2_x3 - c_x1_x2 * c_x1_x3) AS i12, c_x1_x1 * c_x2_x2 - c_x1_x2 * c_x1_x2 AS i22 FROM gm),
 dt_ AS (SELECT *, c_x1_x1 * i00 + c_x1_x2 * i01 + c_x1_x3 * i02 AS det FROM cf),
@@ -31,7 +31,7 @@ fit_ AS (SELECT *, (sy - b1 * s1 - b2 * s2 - b3 * s3) / n AS b0, 1 - (c_{y}_{y}
   (c_{y}_{y} - b1 * c_x1_{y} - b2 * c_x2_{y} - b3 * c_x3_{y}) / greatest(n - 4, 1) AS s2_ FROM b_)"""
 
 
-OLS_OUT = "n, round(b0, 5) AS b0, round(b1, 5) AS b_x1, round(b2, 5) AS b_x2, round(b3, 5) AS b_x3, round(r2, 5) AS r2, round(sqrt(greatest(s2_ * i00 / det, 0)), 5) AS se_x1, round(sqrt(greatest(s2_ * i11 / det, 0)), 5) AS se_x2, round(sqrt(greatest(s2_ * i22 / det, 0)), 5) AS se_x3"
+OLS_OUT = "n::BIGINT AS n, round(b0, 5) AS b0, round(b1, 5) AS b_x1, round(b2, 5) AS b_x2, round(b3, 5) AS b_x3, round(r2, 5) AS r2, round(sqrt(greatest(s2_ * i00 / det, 0)), 5) AS se_x1, round(sqrt(greatest(s2_ * i11 / det, 0)), 5) AS se_x2, round(sqrt(greatest(s2_ * i22 / det, 0)), 5) AS se_x3"
 
 
 @query("r1_loglog_ols", f"WITH {V_REG}, {_ols_sql('v_reg', 'grp')} SELECT grp, {OLS_OUT} FROM fit_")
@@ -49,7 +49,7 @@ def r2_binned_screen(spark, sf_dir):
     return rounded(out, 5)
 
 
-@query("r3_windowed_exponents", f"WITH {V_REG}, md AS (SELECT win, grp, median(y) AS y, median(x1) AS x1, median(x2) AS x2, median(x3) AS x3 FROM v_reg GROUP BY 1, 2), {_ols_sql('md', 'win')} SELECT win, n, round(b1, 4) AS b_x1, round(b2, 4) AS b_x2, round(b3, 4) AS b_x3, round(r2, 4) AS r2 FROM fit_")
+@query("r3_windowed_exponents", f"WITH {V_REG}, md AS (SELECT win, grp, median(y) AS y, median(x1) AS x1, median(x2) AS x2, median(x3) AS x3 FROM v_reg GROUP BY 1, 2), {_ols_sql('md', 'win')} SELECT win, n::BIGINT AS n, round(b1, 4) AS b_x1, round(b2, 4) AS b_x2, round(b3, 4) AS b_x3, round(r2, 4) AS r2 FROM fit_")
 def r3_windowed_exponents(spark, sf_dir):
     med = v_reg(spark, sf_dir).groupBy("win", "grp").agg(*[F.median(c).alias(c) for c in ("y", *XS)])
     return rounded(regress.ols(med, ["win"], XS, "y", errors=False).drop("b0"), 4)
@@ -61,13 +61,15 @@ def r3_leave_one_out_range(spark, sf_dir):
     return out.select("n_fits", *[F.round(f"{m}_{x}", 5 if x == "x1" else 4).alias(f"{m}_{x}") for x in XS for m in ("min", "max")])
 
 
-@query("r3_cluster_bootstrap")
+REP_ENDS = ", ".join(f"round(quantile_cont(b{x[1]}, {p}), 4) AS {name}_{x}" for x in XS for name, p in (("low", "0.025"), ("high", "0.975")))
+
+
+@query("r3_cluster_bootstrap", f"""WITH {V_REG}, gs AS (SELECT DISTINCT grp FROM v_reg), dr AS ({replicated_sql("gs", "grp", 50, "reg")}), bw AS (SELECT v.*, rep, w FROM v_reg v JOIN dr USING (grp)), {_ols_sql("bw", "win, rep", w="w")} SELECT win, {REP_ENDS} FROM fit_ GROUP BY win""")
 def r3_cluster_bootstrap(spark, sf_dir):
-    draw = lambda rep, cluster: score.poisson_weight("reg", rep, cluster)
-    return rounded(regress.cluster_bootstrap(v_reg(spark, sf_dir), ["win"], "grp", XS, "y", 50, draw), 5)
+    return rounded(regress.cluster_bootstrap(v_reg(spark, sf_dir), ["win"], "grp", XS, "y", 50, "reg"), 4)
 
 
-@query("r4_parameter_scaling", f"WITH {V_REG}, u AS (SELECT 'y' AS target, y AS yy, x1, x2, x3 FROM v_reg UNION ALL SELECT 'win', win, x1, x2, x3 FROM v_reg), {_ols_sql('u', 'target', 'yy')} SELECT target, n, round(b1, 5) AS b_x1, round(b2, 5) AS b_x2, round(b3, 5) AS b_x3, round(r2, 5) AS r2 FROM fit_")
+@query("r4_parameter_scaling", f"WITH {V_REG}, u AS (SELECT 'y' AS target, y AS yy, x1, x2, x3 FROM v_reg UNION ALL SELECT 'win', win, x1, x2, x3 FROM v_reg), {_ols_sql('u', 'target', 'yy')} SELECT target, n::BIGINT AS n, round(b1, 5) AS b_x1, round(b2, 5) AS b_x2, round(b3, 5) AS b_x3, round(r2, 5) AS r2 FROM fit_")
 def r4_parameter_scaling(spark, sf_dir):
     rows = v_reg(spark, sf_dir).select(*XS, "y", "win").unpivot(XS, ["y", "win"], "target", "v")
     return rounded(regress.ols(rows, ["target"], XS, "v", errors=False).drop("b0"), 5)
@@ -177,17 +179,75 @@ def _calibration(spark, sf_dir):
     return v_reg(spark, sf_dir).select(F.lit(1.0).alias("one"), "x1", "x2", "y", "grp")
 
 
-@query("r12_robust_calibration")
+CAL_XS = ("one", "x1", "x2")
+
+
+def _huber_sql(rounds: int, delta: float) -> str:
+    """CTEs ending in b<rounds - 1>: iterated reweighting of y on one, x1, x2, and cal, the rows with the weights of the last round."""
+    at = lambda i, j: f"g{min(i, j)}{max(i, j)}"
+    minor = lambda i, j: "({} * {} - {} * {})".format(*(lambda r, c: (at(r[0], c[0]), at(r[1], c[1]), at(r[0], c[1]), at(r[1], c[0])))([k for k in range(3) if k != i], [k for k in range(3) if k != j]))
+    sign = lambda i, j: "-" if (i + j) % 2 else ""
+    det = " + ".join(f"{at(0, j)} * {sign(0, j)}{minor(0, j)}" for j in range(3))
+    solved = ", ".join(f"({' + '.join(f'{sign(i, j)}{minor(i, j)} * gy{j}' for j in range(3))}) / ({det}) AS c{i}" for i in range(3))
+    sums = ", ".join([f"sum(w * {a} * {b}) AS g{i}{j}" for i, a in enumerate(CAL_XS) for j, b in enumerate(CAL_XS) if j >= i] + [f"sum(w * {a} * y) AS gy{i}" for i, a in enumerate(CAL_XS)])
+    out = ["h0 AS (SELECT 1.0 AS one, x1, x2, y, grp, 1.0 AS w FROM v_reg)"]
+    for k in range(rounds):
+        out.append(f"b{k} AS (SELECT {solved} FROM (SELECT {sums} FROM h{k}))")
+        if k + 1 < rounds:
+            r = "abs(y - c0 - c1 * x1 - c2 * x2)"
+            out.append(f"h{k + 1} AS (SELECT one, x1, x2, y, grp, CASE WHEN {r} <= {delta} THEN 1.0 ELSE {delta} / {r} END AS w FROM h{k}, b{k})")
+    reps = f"cg AS (SELECT grp, {sums} FROM h{rounds - 1} GROUP BY grp), dr AS ({replicated_sql('cg', 'grp', 100, 'cal')}), rs AS (SELECT {', '.join(f'sum(w * {c}) AS {c}' for c in [*(f'g{i}{j}' for i in range(3) for j in range(i, 3)), *(f'gy{i}' for i in range(3))])} FROM dr GROUP BY rep), rb AS (SELECT {solved} FROM rs)"
+    return ",\n".join([*out, reps])
+
+
+@query("r12_robust_calibration", f"WITH {V_REG}, {_huber_sql(4, 0.05)} SELECT round(c0, 5) AS b_one, round(c1, 5) AS b_x1, round(c2, 5) AS b_x2 FROM b3")
 def r12_robust_calibration(spark, sf_dir):
-    return rounded(fit.calibrate(_calibration(spark, sf_dir), ["one", "x1", "x2"], "y", 0.05, rounds=4))
+    return rounded(fit.calibrate(_calibration(spark, sf_dir), list(CAL_XS), "y", 0.05, rounds=4), 5)
+
+
+CAL_ENDS = ", ".join(f"round(quantile_cont(c{i}, {p}), 5) AS {x}_{side}" for i, x in enumerate(CAL_XS) for side, p in (("low", "0.025"), ("high", "0.975")))
 
 
-@query("r13_bootstrap_calibration")
+@query("r13_bootstrap_calibration", f"WITH {V_REG}, {_huber_sql(4, 0.05)} SELECT {CAL_ENDS} FROM rb")
 def r13_bootstrap_calibration(spark, sf_dir):
-    rows = _calibration(spark, sf_dir).select("*", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("rep"))
-    rows = rows.withColumn("w", score.poisson_weight("cal", F.col("rep"), F.col("grp")).cast("double")).filter("w > 0")
-    fits = fit.calibrate(rows, ["one", "x1", "x2"], "y", 0.05, keys=["rep"], rounds=2, weight="w")
-    return rounded(fits.agg(*[F.percentile(f"b_{x}", F.lit(p)).alias(f"{x}_{n}") for x in ("one", "x1", "x2") for n, p in (("low", 0.025), ("high", 0.975))]))
+    fits = fit.calibration_bootstrap(_calibration(spark, sf_dir), list(CAL_XS), "y", 0.05, "grp", 100, "cal", rounds=4)
+    return rounded(fits.agg(*[F.percentile(f"b_{x}", F.lit(p)).alias(f"{x}_{n}") for x in CAL_XS for n, p in (("low", 0.025), ("high", 0.975))]), 5)
+
+
+BREAKUP = [solve.Parameter("kv", 0.39, 0.05, 10.0), solve.Parameter("kp", 2.95, 0.3, 30.0), solve.Parameter("kbt", 15.8, 1.0, 500.0, switch=True)]
+DELAY = [solve.Parameter("k", 20.0, 1e-4, 1e6), solve.Parameter("delay", 0.0, -0.1, 5.0, log=False)]
+
+
+def _breakup(spark, sf_dir):
+    """Values as millimetres over time in ten-thousandths of a day, under the operating points of x3."""
+    rows = v_points(spark, sf_dir).select((F.col("time") / 10000).alias("t"), (20.0 + F.col("traj") % 7).alias("rho"), F.col("value").alias("y"), F.col("traj").alias("cluster"))
+    return rows, lambda p: 1000 * models.breakup_curve(F.col("t"), F.lit(0.0003), F.lit(1e8), F.col("rho"), p["kv"], p["kp"], p["kbt"])
+
+
+def _delay(spark, sf_dir):
+    rows = v_points(spark, sf_dir).select(F.col("time").alias("t"), (3 + F.col("traj") % 5).cast("double").alias("a"), F.col("value").alias("y"), F.col("traj").alias("cluster"))
+    return rows, lambda p: models.delay_curve(F.col("t"), p["k"], p["delay"], F.col("a"))
+
+
+@query("r12_breakup_calibration")
+def r12_breakup_calibration(spark, sf_dir):
+    """Bounded robust calibration of the break-up correlation."""
+    rows, model = _breakup(spark, sf_dir)
+    return rounded(solve.calibrate(rows, model, "y", BREAKUP, 1.0).table(spark), 4)
+
+
+@query("r12_delay_calibration")
+def r12_delay_calibration(spark, sf_dir):
+    rows, model = _delay(spark, sf_dir)
+    return rounded(solve.calibrate(rows, model, "y", DELAY, 1.0).table(spark), 4)
+
+
+@query("r13_delay_bootstrap")
+def r13_delay_bootstrap(spark, sf_dir):
+    """Intervals of the delay correlation's parameters over trajectories."""
+    rows, model = _delay(spark, sf_dir)
+    found = solve.calibrate(rows, model, "y", DELAY, 1.0)
+    return rounded(solve.bootstrap(found, "cluster", 200, "delay"), 4)
 
 
 @query("a34_collapse_bins", f"WITH {DISTINCT_T}, n AS (SELECT cond, traj, time, value / max(value) OVER (PARTITION BY cond, traj) AS u FROM dt), b AS (SELECT cond, least(floor(time / 3), 9)::INT AS bin, count(*) AS n, avg(u) AS mean FROM n GROUP BY 1, 2) SELECT cond, bin, n, round(mean, 6) AS mean, round(mean / avg(mean) OVER (PARTITION BY bin), 6) AS ratio FROM b")

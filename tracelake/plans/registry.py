@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,3 +37,15 @@ def stepped(c, digits: int = 6):
 
 def stepped_sql(c: str, digits: int = 6) -> str:
     return f"(floor(({c}) * {float(10**digits)} + 0.5) / {float(10**digits)})"
+
+
+def replicated_sql(source: str, key: str, reps: int, seed: str) -> str:
+    """A statement that gives the rows of :func:`tracelake.operators.score.replicated`."""
+    steps, p, total = [], math.exp(-1), math.exp(-1)
+    for k in range(1, 12):
+        steps.append(f"(u >= {total!r})::INT")
+        p /= k
+        total += p
+    u = f"('0x' || substr(md5('{seed}:' || b_ || ':' || coalesce(({key})::VARCHAR, 'null')), 8 * p_ + 1, 8))::BIGINT::DOUBLE / {float(1 << 32)!r}"
+    drawn = f"SELECT *, 4 * b_ + p_ + 1 AS rep, {u} AS u FROM {source}, (SELECT unnest(range({(reps - 1) // 4 + 1})) AS b_), (SELECT unnest(range(4)) AS p_)"
+    return f"SELECT * FROM (SELECT *, {' + '.join(steps)} AS w FROM ({drawn}) WHERE rep <= {reps}) WHERE w > 0"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.scalars import normal_cdf_sql
 from tracelake.operators import score
-from tracelake.plans.registry import Registry, rounded, stepped, stepped_sql
+from tracelake.plans.registry import Registry, replicated_sql, rounded, stepped, stepped_sql
 from tracelake.plans.views import V_PRED, v_pred
 
 query = Registry()
@@ -142,13 +142,21 @@ def m11_overall_summary(spark, sf_dir):
     return rounded(_pred(spark, sf_dir).agg(F.count("*").alias("n_points"), F.countDistinct("grp").alias("n_groups"), F.countDistinct("cluster").alias("n_clusters"), F.sqrt(F.avg(F.col("resid") * F.col("resid"))).alias("rmse"), F.avg("crps").alias("crps")))
 
 
-@query("m12_bootstrap_ci")
+def _ci_sql(source: str, cluster: str, reps: int, seed: str, out=("rmse", "mae", "bias")) -> str:
+    """CTEs and select of percentile intervals; ``source`` has grp, resid and abs_err."""
+    ends = ", ".join(f"round(quantile_cont({c}, {p}), 6) AS {c}_{side}" for c in out for side, p in (("low", "0.025"), ("high", "0.975")))
+    return f"""cs AS (SELECT grp, {cluster} AS c, count(resid) AS n, sum(resid) AS s, sum(abs_err) AS a, sum(resid * resid) AS q FROM {source} GROUP BY 1, 2),
+dr AS ({replicated_sql("cs", "c", reps, seed)}), ea AS (SELECT grp, rep, sqrt(sum(w * q) / sum(w * n)) AS rmse, sum(w * a) / sum(w * n) AS mae, sum(w * s) / sum(w * n) AS bias FROM dr GROUP BY 1, 2)
+SELECT grp, {ends} FROM ea GROUP BY grp"""
+
+
+@query("m12_bootstrap_ci", f"WITH {SCORED}, {_ci_sql('scored', "cluster || ':' || point", 20, 'points')}")
 def m12_bootstrap_ci(spark, sf_dir):
-    df = _pred(spark, sf_dir).withColumn("row", F.xxhash64("cluster", "point"))
+    df = _pred(spark, sf_dir).withColumn("row", F.concat_ws(":", "cluster", "point"))
     return rounded(score.bootstrap_ci(df, ["grp"], "row", 20, "points"))
 
 
-@query("m13_cluster_bootstrap_ci")
+@query("m13_cluster_bootstrap_ci", f"WITH {SCORED}, {_ci_sql('scored', 'cluster', 50, 'clusters')}")
 def m13_cluster_bootstrap_ci(spark, sf_dir):
     return rounded(score.bootstrap_ci(_pred(spark, sf_dir), ["grp"], "cluster", 50, "clusters"))
 
@@ -201,10 +209,10 @@ def m19_fold_mean_std(spark, sf_dir):
     return rounded(each.groupBy("grp").agg(F.avg("rmse").alias("mean_rmse"), F.stddev_samp("rmse").alias("std_rmse"), F.count("*").alias("n_folds")))
 
 
-@query("m20_seed_bootstrap")
+@query("m20_seed_bootstrap", f"WITH {SCORED}, sd AS (SELECT grp, round(tax * 100)::INT AS seed, sqrt(avg(resid * resid)) AS resid, 0.0 AS abs_err FROM scored GROUP BY 1, 2), {_ci_sql('sd', 'seed', 200, 'seeds', ('bias',))}")
 def m20_seed_bootstrap(spark, sf_dir):
-    each = _pred(spark, sf_dir).groupBy("grp", "tax").agg(F.sqrt(F.avg(F.col("resid") * F.col("resid"))).alias("resid"))
-    return rounded(score.bootstrap_ci(each.withColumn("abs_err", F.abs("resid")), ["grp"], "tax", 200, "seeds").select("grp", "bias_low", "bias_high"))
+    each = _pred(spark, sf_dir).groupBy("grp", F.round(F.col("tax") * 100).cast("int").alias("seed")).agg(F.sqrt(F.avg(F.col("resid") * F.col("resid"))).alias("resid"))
+    return rounded(score.bootstrap_ci(each.withColumn("abs_err", F.abs("resid")), ["grp"], "seed", 200, "seeds").select("grp", "bias_low", "bias_high"))
 
 
 @query("m21_known_number_guard", f"WITH {SCORED}, c AS (SELECT grp, sqrt(avg(resid * resid)) AS rmse FROM scored GROUP BY 1), x AS (SELECT * FROM (VALUES ('A', 27000.0, 2000.0), ('N', 1.0, 0.5), ('Z', 1.0, 0.5)) AS t(grp, want, tol)) SELECT x.grp, CASE WHEN rmse IS NULL THEN 'SKIP' WHEN abs(rmse - want) <= tol THEN 'PASS' ELSE 'FAIL' END AS verdict FROM x LEFT JOIN c USING (grp)")
