@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.functions import models, scalars
-from tracelake.operators import align, bins, fit, quality, regress, reshape, robust, runs, score, select, support
+from tracelake.operators import align, bins, fit, quality, regress, reshape, robust, runs, score, select, solve, support
 
 
 def flags(spark, text):
@@ -255,3 +255,50 @@ def test_quantiles_of_groups(spark):
     spread = {r["k"]: (r["med"], r["mad"]) for r in select.median_spread(df, ["k"], "x").collect()}
     assert spread["same"] == (7.0, 0.0) and spread["lone"] == (3.0, 0.0) and "none" not in spread
     assert select.medians(df.limit(0), ["k"], {"m": "x"}).count() == 0
+
+
+HEAT = [solve.Parameter("kv", 0.39, 0.05, 10.0), solve.Parameter("kp", 2.95, 0.3, 30.0), solve.Parameter("kbt", 15.8, 1.0, 500.0, switch=True)]
+
+
+def _breakup(p):
+    return 1000 * models.breakup_curve(F.col("t"), F.col("d"), F.col("dp"), F.col("rho"), p["kv"], p["kp"], p["kbt"])
+
+
+def test_breakup_calibration_recovers(spark):
+    base = spark.range(3000).selectExpr("id", "(id % 200 + 1) / 200.0D * 0.002 as t", "0.0002 + 0.0001 * (id % 3) as d", "5e7 + 1e7 * (id % 11) as dp", "10.0 + id % 13 as rho")
+    true = {"kv": 0.5, "kp": 2.4, "kbt": 22.0}
+    noisy = _breakup({k: F.lit(v) for k, v in true.items()}) + 0.3 * F.sin(F.col("id") * 12.9898) + F.when(F.col("id") % 23 == 0, 80.0).otherwise(0.0)
+    df = base.withColumn("y", noisy).select("t", "d", "dp", "rho", "y")
+    found = solve.calibrate(df, _breakup, "y", HEAT, 1.0)
+    assert found.values == pytest.approx(true, rel=1e-2)
+    assert found.converged and abs(found.gradient / found.n).max() < 1e-6 and not any(found.bound(k) for k in range(3))
+    #: a bound that cuts the best value off is where the parameter stops, with the gradient pointing out
+    tight = [HEAT[0], solve.Parameter("kp", 2.95, 2.6, 30.0), HEAT[2]]
+    held = solve.calibrate(df, _breakup, "y", tight, 1.0, cycles=3)
+    assert held.values["kp"] == pytest.approx(2.6) and held.bound(1) == "low" and held.gradient[1] > 0
+
+
+def test_delay_calibration_and_its_bootstrap(spark):
+    model = lambda p: models.delay_curve(F.col("t"), p["k"], p["delay"], F.col("a"))
+    ps = [solve.Parameter("k", 20.0, 1e-4, 1e6), solve.Parameter("delay", 0.0, -0.1, 5.0, log=False)]
+    df = spark.range(2000).selectExpr("id % 40 as g", "id", "(id % 97) / 20.0D as t", "3.0D + id % 5 as a")
+    df = df.withColumn("y", model({"k": F.lit(11.0), "delay": F.lit(0.7)}) + F.sin(F.col("id") * 78.233) + 0.8 * F.sin(F.col("g") * 12.9898)).select("g", "t", "a", "y")
+    found = solve.calibrate(df, model, "y", ps, 1.0)
+    assert found.values == pytest.approx({"k": 11.0, "delay": 0.7}, rel=2e-2) and found.converged
+    ends = {r["parameter"]: r for r in solve.bootstrap(found, "g", 100, "s").collect()}
+    assert all(r["low"] < r["high"] and r["low"] <= r["value"] * 1.01 and r["value"] <= r["high"] * 1.01 for r in ends.values())
+    #: one step from the whole fit is close to a fit of the replicate
+    drawn = score.replicated(df.select("g").distinct(), "g", 100, "s").filter("rep <= 2")
+    spread = ends["k"]["high"] - ends["k"]["low"]
+    for rep in (1, 2):
+        refit = solve.calibrate(df.join(drawn.filter(F.col("rep") == rep), "g").select("t", "a", "y", "w"), model, "y", ps, 1.0, weight="w")
+        assert ends["k"]["low"] - spread < refit.values["k"] < ends["k"]["high"] + spread
+    none = solve.calibrate(df.limit(0), model, "y", ps, 1.0)
+    assert none.values == pytest.approx({"k": 20.0, "delay": 0.0}) and not none.converged
+
+
+def test_replicates_are_poisson(spark):
+    drawn = score.replicated(spark.range(2000), "id", 6, "x")
+    got = drawn.groupBy("rep").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("w")).alias("q")).collect()
+    assert sorted(r["rep"] for r in got) == [1, 2, 3, 4, 5, 6]
+    assert all(abs(r["n"] / 2000 - 1) < 0.1 and abs(r["q"] / 2000 - 2) < 0.3 for r in got)

@@ -45,7 +45,7 @@ class Parameter:
         return math.log(value) if self.log else value
 
     def value(self, code: float) -> float:
-        return math.exp(code) if self.log else code
+        return math.exp(code) if self.log else float(code)
 
 
 @dataclass
@@ -91,44 +91,53 @@ class _Problem:
         self.low, self.high = (np.array([p.code(getattr(p, end)) if not p.log or getattr(p, end) > 0 else -math.inf for p in parameters]) for end in ("low", "high"))
         self.smooth = [k for k, p in enumerate(parameters) if not p.switch]
         self.passes = 0
+        self._build()
 
-    def predicted(self, points: list[np.ndarray]) -> list[Column]:
-        """The model at each of ``points``.
+    def predicted(self, place: Column) -> Column:
+        """The model at the point that begins at ``place`` of the array ``_at``.
 
-        Their values are items of one constant array, at places that a column of zeros makes unknown to the optimizer: so the
-        code that is generated for a pass doesn't hold the values, and is compiled once for all passes.
+        The values are items of a column, at places that the optimizer doesn't know: so expressions are built once, and the code
+        that is generated for a pass doesn't hold the values and is compiled once for all passes.
         """
-        p = len(self.parameters)
-        values = F.array(*[F.lit(float(q.value(c))) for at in points for q, c in zip(self.parameters, at)])
-        return [self.model({q.name: F.get(values, F.col("_zero") + (i * p + k)) for k, q in enumerate(self.parameters)}) for i in range(len(points))]
+        return self.model({q.name: F.get("_at", place + k) for k, q in enumerate(self.parameters)})
+
+    def _point(self, at: np.ndarray) -> list[float]:
+        return [float(q.value(c)) for q, c in zip(self.parameters, at)]
+
+    def _given(self, numbers: list[float]) -> DataFrame:
+        return self.rows.withColumn("_at", F.array(*[F.lit(x) for x in numbers]))
 
     def products(self, at: np.ndarray) -> DataFrame:
         """The rows with cost, weight, residual and derivatives."""
-        points, width = [at], []
+        numbers, width = self._point(at), []
         for k in self.smooth:
             h = 1e-5 * max(1.0, abs(at[k]))
             up, down = at.copy(), at.copy()
             up[k], down[k] = min(at[k] + h, self.high[k]), max(at[k] - h, self.low[k])
-            points += [up, down]
-            width.append(up[k] - down[k])
-        here, *sides = self.predicted(points)
-        widths = F.array(*[F.lit(float(x)) for x in width or [1.0]])
-        cols = {"_r": here - self.y, "_v": self.weight}
-        for i, k in enumerate(self.smooth):
-            cols[f"_j{k}"] = (sides[2 * i] - sides[2 * i + 1]) / F.get(widths, F.col("_zero") + i)
-        fine = F.lit(True)
-        for c in cols:
-            fine = fine & F.col(c).isNotNull() & ~F.isnan(c)
-        return self.rows.withColumns(cols).filter(fine).withColumns({"_c": F.col("_v") * _huber(F.col("_r"), self.delta), "_w": F.col("_v") * F.when(F.abs("_r") <= self.delta, 1.0).otherwise(self.delta / F.abs("_r"))})
+            numbers += self._point(up) + self._point(down)
+            width.append(float(up[k] - down[k]))
+        return self._given(numbers + width).withColumns(self.columns).filter(self.fine).withColumns(self.weights)
 
-    def names(self) -> dict[str, Column]:
+    def _build(self) -> None:
+        p, zero = len(self.parameters), F.col("_zero")
+        self.columns = {"_r": self.predicted(zero) - self.y, "_v": self.weight}
+        for i, k in enumerate(self.smooth):
+            step = F.get("_at", zero + (p * (1 + 2 * len(self.smooth)) + i))
+            self.columns[f"_j{k}"] = (self.predicted(zero + p * (1 + 2 * i)) - self.predicted(zero + p * (2 + 2 * i))) / step
+        self.fine = F.lit(True)
+        for c in self.columns:
+            self.fine = self.fine & F.col(c).isNotNull() & ~F.isnan(c)
+        self.weights = {"_c": F.col("_v") * _huber(F.col("_r"), self.delta), "_w": F.col("_v") * F.when(F.abs("_r") <= self.delta, 1.0).otherwise(self.delta / F.abs("_r"))}
         s = self.smooth
-        return {f"a{i}_{j}": F.sum(F.col("_w") * F.col(f"_j{i}") * F.col(f"_j{j}")) for i in s for j in s if j >= i} | {f"g{i}": F.sum(F.col("_w") * F.col("_r") * F.col(f"_j{i}")) for i in s}
+        self.names = {f"a{i}_{j}": F.sum(F.col("_w") * F.col(f"_j{i}") * F.col(f"_j{j}")) for i in s for j in s if j >= i} | {f"g{i}": F.sum(F.col("_w") * F.col("_r") * F.col(f"_j{i}")) for i in s}
+        self.totals = [F.sum("_c").alias("cost"), F.count("*").alias("n"), *[c.alias(k) for k, c in self.names.items()]]
+        r = self.predicted(F.col("_g") * p) - self.y
+        self.cost = F.sum(F.when(r.isNotNull() & ~F.isnan(r), self.weight * _huber(r, self.delta))).alias("cost")
 
     def sums(self, at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, int]:
         """(cost, gradient, J'WJ, rows): one aggregation."""
         self.passes += 1
-        got = self.products(at).agg(F.sum("_c").alias("cost"), F.count("*").alias("n"), *[c.alias(k) for k, c in self.names().items()]).first()
+        got = self.products(at).agg(*self.totals).first()
         p = len(self.parameters)
         g, a = np.zeros(p), np.zeros((p, p))
         for i in self.smooth:
@@ -138,15 +147,15 @@ class _Problem:
         return (math.inf if got["cost"] is None else got["cost"]), g, a, got["n"]
 
     def scan(self, at: np.ndarray, k: int, codes: np.ndarray) -> np.ndarray:
-        """The cost at each value of one parameter: one aggregation."""
+        """The cost at each value of one parameter: one aggregation, which sums before it shuffles."""
         self.passes += 1
         points = np.repeat(at[None, :], len(codes), 0)
         points[:, k] = codes
-        costs = []
-        for there in self.predicted(list(points)):
-            r = there - self.y
-            costs.append(F.sum(F.when(r.isNotNull() & ~F.isnan(r), self.weight * _huber(r, self.delta))))
-        return np.array([math.inf if x is None else x for x in self.rows.agg(F.array(*costs)).first()[0]])
+        grid = self._given([x for there in points for x in self._point(there)]).withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(len(codes) - 1))))
+        out = np.full(len(codes), math.inf)
+        for row in grid.groupBy("_g").agg(self.cost).collect():
+            out[row["_g"]] = math.inf if row["cost"] is None else row["cost"]
+        return out
 
 
 def _descend(problem: _Problem, at: np.ndarray, steps: int) -> tuple[np.ndarray, tuple, bool]:
@@ -216,7 +225,7 @@ def bootstrap(found: Calibration, cluster: str, reps: int, seed: str, level: flo
     """
     problem = _Problem(found.rows, found.model, found.y, found.parameters, found.delta, found.weight)
     free = [k for k in problem.smooth if not found.bound(k)]
-    names = problem.names()
+    names = problem.names
     each = problem.products(found.at).groupBy(cluster).agg(*[c.alias(k) for k, c in names.items()])
     sums = replicated(each, cluster, reps, seed).groupBy("rep").agg(*[F.sum(F.col("w") * F.col(k)).alias(k) for k in names])
     #: by elimination, as column expressions
