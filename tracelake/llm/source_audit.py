@@ -33,7 +33,7 @@ from tracelake.llm.common import stored
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
 _TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 MIN_DOCS, MOST_RANK, SCALE = 3, 200, 1_000_000_000
-MOST_ENTRIES, BLOCK_CELLS = 1 << 19, 1 << 20
+MOST_ENTRIES, BLOCK_CELLS, MOST_PAIRS = 1 << 19, 1 << 20, 1 << 22
 STRIPE = "lang string, term string, df long, sources array<string>, counts array<long>"
 _ARROW = pa.schema([("lang", pa.string()), ("term", pa.string()), ("df", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
@@ -159,24 +159,26 @@ def _term_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pair_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each pair of sources and run of blocks of one language."""
-    lang, names, total = None, [], None
-
-    def done() -> pa.RecordBatch:
-        a, b = np.nonzero(~np.eye(len(names), dtype=bool))
-        column = pa.array(names, pa.string())
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(a), pa.string()), column.take(pa.array(a)), column.take(pa.array(b)), pa.array(total[a, b])], schema=_TERMS)
-
-    for new, sources, sizes, v, _, counts in _blocks(batches):
-        if new != lang:
-            if lang is not None:
-                yield done()
-            lang, names, total = new, sources, np.zeros((len(sources), len(sources)), np.int64)
+    """One row for each pair of sources of each language in the task; more often only where a task holds more pairs than ``MOST_PAIRS``."""
+    totals: dict[str, tuple[list[str], np.ndarray]] = {}
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for lang, (names, total) in totals.items():
+            a, b = np.nonzero(~np.eye(len(names), dtype=bool))
+            column = pa.array(names, pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(a), pa.string()), column.take(pa.array(a)), column.take(pa.array(b)), pa.array(total[a, b])], schema=_TERMS)
+        totals.clear()
+
+    for lang, names, sizes, v, _, counts in _blocks(batches):
+        if lang not in totals:
+            if sum(len(names) ** 2 for names, _ in totals.values()) > MOST_PAIRS:
+                yield from rows()
+            totals[lang] = (names, np.zeros((len(names), len(names)), np.int64))
+        total = totals[lang][1]
         p = _shares(counts, sizes, v)
         for k in range(len(names)):
             total[k] += _excess(p[:, k : k + 1], p).sum(axis=0)
-    if lang is not None:
-        yield done()
+    yield from rows()
 
 
 def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = MIN_DOCS, most_rank: int = MOST_RANK, most_entries: int = MOST_ENTRIES) -> DataFrame:
