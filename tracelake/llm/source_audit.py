@@ -23,6 +23,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,60 +39,88 @@ STRIPE = "lang string, term string, df long, sources array<string>, counts array
 _ARROW = pa.schema([("lang", pa.string()), ("term", pa.string()), ("df", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 
 
-def _rows(found: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], f.type) for k, f in enumerate(schema)], schema=schema)
+def _lists(values: pa.Array, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
 
 
 def _stripes(batches: Iterator[pa.RecordBatch], most_entries: int) -> Iterator[pa.RecordBatch]:
     """From (lang, source, text): stripes, each key once a spill."""
-    counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
+    counts: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
     docs: dict[str, Counter] = defaultdict(Counter)
 
     def spill() -> Iterator[pa.RecordBatch]:
-        table: dict[tuple[str, bytes], tuple[list, list]] = {}
-        for (lang, source), terms in counts.items():
-            for term, n in terms.items():
-                sources, ns = table.setdefault((lang, term), ([], []))
-                sources.append(source)
-                ns.append(n)
-        found = [(lang, term.decode("utf-8", "replace"), docs[lang][term], *stripe) for (lang, term), stripe in table.items()]
+        for lang, by in counts.items():
+            entries = pa.array([t for terms in by.values() for t in terms], pa.binary()).dictionary_encode()
+            if not len(entries):
+                continue
+            #: entries by term, so that each term's counts by source are next to each other
+            code = entries.indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            source = np.repeat(np.arange(len(by)), [len(terms) for terms in by.values()])[order]
+            n = np.fromiter((c for terms in by.values() for c in terms.values()), np.int64, len(code))[order]
+            terms = entries.dictionary
+            df = np.fromiter(map(docs[lang].__getitem__, terms.to_pylist()), np.int64, len(terms))
+            sizes = np.bincount(code, minlength=len(terms))
+            whole = [pa.array([lang] * len(terms), pa.string()), terms.cast(pa.string()), pa.array(df), _lists(pa.array(list(by), pa.string()).take(pa.array(source)), sizes), _lists(pa.array(n), sizes)]
+            batch = pa.RecordBatch.from_arrays(whole, schema=_ARROW)
+            for k in range(0, len(terms), 1 << 16):
+                yield batch.slice(k, 1 << 16)
         counts.clear()
         docs.clear()
-        for k in range(0, len(found), 1 << 16):
-            yield _rows(found[k : k + (1 << 16)], _ARROW)
 
     held = 0
     for batch in batches:
         for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
-            terms = Counter(_TERM.findall(text.translate(_TO_LOWER)))
-            stripe = counts[lang, source]
+            words = _TERM.findall(text.translate(_TO_LOWER))
+            stripe = counts[lang][source]
             held -= len(stripe)
-            stripe.update(terms)
+            stripe.update(words)
             held += len(stripe)
-            docs[lang].update(terms.keys())
+            docs[lang].update(set(words))
             if held >= most_entries:
                 yield from spill()
                 held = 0
     yield from spill()
 
 
+def _merge(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+    """Neighbouring rows of one (lang, term) made one: (merged stripes, their documents)."""
+    lang, term, df, sources, counts = batch.columns
+    new = np.ones(len(batch), bool)
+    if len(batch) > 1:
+        same = pc.and_(pc.equal(lang.slice(1), lang.slice(0, len(batch) - 1)), pc.equal(term.slice(1), term.slice(0, len(batch) - 1)))
+        new[1:] = ~same.to_numpy(zero_copy_only=False)
+    first = np.flatnonzero(new)
+    total = np.add.reduceat(df.to_numpy(), first)
+    group = np.repeat(np.cumsum(new) - 1, sources.value_lengths().to_numpy())
+    coded = sources.flatten().dictionary_encode()
+    width = max(1, len(coded.dictionary))
+    cell, at = np.unique(group * width + coded.indices.to_numpy(), return_inverse=True)
+    n = np.zeros(len(cell), np.int64)
+    np.add.at(n, at.reshape(-1), counts.flatten().to_numpy())
+    sizes = np.bincount(cell // width, minlength=len(first))
+    index = pa.array(first)
+    columns = [lang.take(index), term.take(index), pa.array(total), _lists(coded.dictionary.take(pa.array(cell % width)), sizes), _lists(pa.array(n), sizes)]
+    return pa.RecordBatch.from_arrays(columns, schema=_ARROW), total
+
+
 def _merged(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[pa.RecordBatch]:
     """From stripes in order of (lang, term): one for each term of at least ``min_docs`` documents."""
-    key, df, stripe = None, 0, Counter()
+    last = None
     for batch in batches:
-        out: list[tuple] = []
-        for lang, term, n, sources, counts in zip(*[c.to_pylist() for c in batch.columns]):
-            if (lang, term) != key:
-                if df >= min_docs:
-                    out.append((*key, df, list(stripe), list(stripe.values())))
-                key, df, stripe = (lang, term), 0, Counter()
-            df += n
-            for s, c in zip(sources, counts):
-                stripe[s] += c
-        if out:
-            yield _rows(out, _ARROW)
-    if df >= min_docs:
-        yield _rows([(*key, df, list(stripe), list(stripe.values()))], _ARROW)
+        batch = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, _ARROW)], schema=_ARROW)
+        if last is not None:
+            batch = pa.concat_batches([last, batch])
+        if not len(batch):
+            continue
+        whole, df = _merge(batch)
+        #: the last term may go on in the next batch, as one stripe
+        last = whole.slice(len(whole) - 1)
+        keep = np.flatnonzero(df[:-1] >= min_docs)
+        if len(keep):
+            yield whole.take(pa.array(keep))
+    if last is not None and last.column(2)[0].as_py() >= min_docs:
+        yield last
 
 
 def term_stripes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = MIN_DOCS, most_entries: int = MOST_ENTRIES) -> DataFrame:
