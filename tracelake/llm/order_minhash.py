@@ -105,14 +105,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The edited text has the last half of its characters replaced by the first as many of the next document's.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    read = docs.select(F.col(id_col).alias("doc_id"), F.col(id_col).isNotNull().alias("known"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).cast("long").alias("id"), F.xxhash64(text).alias("print"), F.length(text).cast("long").alias("n_chars"), text.alias("text"))
-    before = _before(read)
+    #: only the key and the text, so that both joins read one and the same shuffle of the texts
+    read = docs.select(F.col(id_col).isNotNull().alias("known"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).cast("long").alias("id"), F.xxhash64(text).alias("print"), text.alias("text"))
+    doc_id, n_chars = F.when(F.col("known"), F.col("id")).cast(docs.schema[id_col].dataType), F.length("text").cast("long")
+    before = _before(read.withColumn("n_chars", n_chars))
     here = read.join(before, KEY)
     half = F.floor(F.col("before")["n_chars"] / 2).cast("int")
     heads = here.select(*[F.col("before")[k].alias(k) for k in KEY], F.substring(F.col("text"), F.lit(1), half).alias("head")).dropDuplicates(KEY)
-    kept = (F.col("n_chars") - F.floor(F.col("n_chars") / 2)).cast("int")
+    kept = (n_chars - F.floor(n_chars / 2)).cast("int")
     edited = here.join(heads, KEY).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), kept), F.col("head")))
-    made = edited.select("doc_id", *KEY, "before", "n_chars", F.unhex(F.sha2("edited", 256)).alias("sha"), order_minhash(F.col("text"), width).alias("f"), order_minhash(F.col("edited"), width).alias("e"))
+    made = edited.select(doc_id.alias("doc_id"), *KEY, "before", n_chars.alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("sha"), order_minhash(F.col("text"), width).alias("f"), order_minhash(F.col("edited"), width).alias("e"))
     made = stored(made, "fingerprints")
     after = made.select(*[F.col("before")[k].alias(k) for k in KEY], F.col("f").alias("next")).dropDuplicates(KEY)
     hexed = lambda c: F.lower(F.hex(c))
