@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -75,3 +76,51 @@ def binary_measures(px: DataFrame, frame: str, x: str, on: Column, least: int) -
 
 def region_stats(px: DataFrame, label: str, x: str, y: str) -> DataFrame:
     return px.groupBy(label).agg(F.count(F.lit(1)).alias("volume"), F.avg(x).alias("cx"), F.avg(y).alias("cy"), *[f(c).alias(f"{c}_{n}") for c in (x, y) for n, f in (("min", F.min), ("max", F.max))])
+
+
+def best_cuts(n: np.ndarray, total: np.ndarray, squares: np.ndarray, k: int) -> list[int]:
+    """The last cells of the first k - 1 of k runs of cells with the least sum of squares about their means.
+
+    Exact, by dynamic programming; of equal cuts the one whose last run begins first, and so on back.
+    """
+    n, total, squares = (np.concatenate([[0.0], np.cumsum(x)]) for x in (n, total, squares))
+    cells = len(n) - 1
+
+    def cost(a: np.ndarray, b: int) -> np.ndarray:
+        count, s = n[b] - n[a], total[b] - total[a]
+        return squares[b] - squares[a] - np.divide(s * s, count, out=np.zeros_like(s), where=count > 0)
+
+    best, back = np.array([0.0, *[cost(np.array([0]), b)[0] for b in range(1, cells + 1)]]), []
+    for _ in range(1, k):
+        now, at = np.full(cells + 1, np.inf), np.zeros(cells + 1, int)
+        for b in range(1, cells + 1):
+            ways = best[1:b] + cost(np.arange(1, b), b)
+            if len(ways):
+                at[b] = 1 + int(ways.argmin())
+                now[b] = ways[at[b] - 1]
+        best = now
+        back.append(at)
+    cuts, b = [], cells
+    for at in reversed(back):
+        b = at[b]
+        cuts.append(b - 1)
+    return cuts[::-1]
+
+
+def brightness_clusters(px: DataFrame, v: str, k: int, cells: int = 256) -> DataFrame:
+    """``px`` with ``label``: the brightness cluster of each value, from 0 for the darkest.
+
+    One-dimensional k-means is a cut of the ordered values into k runs. Values are counted by equal cells of their range, with
+    the sums that a run's cost needs, and the best cuts between cells are found exactly; only these ``cells`` rows come to the
+    driver. With fewer filled cells than clusters, labels stop short; a table without values keeps null labels.
+    """
+    low, high = px.agg(F.min(v).alias("low"), F.max(v).alias("high")).first()
+    width = (high - low) / cells if low is not None and high > low else 1.0
+    at = F.least(F.floor((F.col(v) - F.lit(low)) / width), F.lit(cells - 1)).cast("int")
+    found = px.groupBy(at.alias("cell")).agg(F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(F.col(v) * F.col(v)).alias("q")).filter("cell is not null").collect()
+    sums = np.zeros((3, cells))
+    for r in found:
+        sums[:, r["cell"]] = r["n"], r["s"], r["q"]
+    cuts = best_cuts(*sums, k) if found else []
+    label = F.when(at.isNotNull(), sum(((at > c).cast("int") for c in cuts), F.lit(0)))
+    return px.withColumn("label", label)

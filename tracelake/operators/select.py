@@ -116,8 +116,13 @@ def medians(df: DataFrame, keys: Sequence[str], values: Mapping[str, Column | st
     return out.select(*keys, *[F.get(k, F.lit(0)).alias(k) for k in values])
 
 
+def median_spreads(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """(keys, med_<value>, mad_<value>): the median of each value, and the median distance from it."""
+    mid = stored(medians(df, keys, {f"med_{v}": v for v in values}), "medians")
+    far = joined(df.select(*keys, *values), mid, keys).select(*keys, *[F.abs(F.col(v) - F.col(f"med_{v}")).alias(v) for v in values])
+    return joined(mid, stored(medians(far, keys, {f"mad_{v}": v for v in values}), "spreads"), keys)
+
+
 def median_spread(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """(keys, med, mad): the median, and the median distance from it."""
-    mid = stored(medians(df, keys, {"med": value}), "medians")
-    far = joined(df.select(*keys, value), mid, keys).withColumn("_d", F.abs(F.col(value) - F.col("med")))
-    return joined(mid, stored(medians(far, keys, {"mad": "_d"}), "spreads"), keys)
+    """(keys, med, mad) of one value."""
+    return median_spreads(df, keys, [value]).withColumnsRenamed({f"med_{value}": "med", f"mad_{value}": "mad"})

@@ -116,6 +116,25 @@ def p18_filter_masks(spark, sf_dir):
     return _fits(spark, sf_dir).select("o_orderkey", "mask_basic", "mask_far", "mask_outlier", "clean", F.round("z_log", 5).alias("z_log"))
 
 
+QUALITY_SQL = V_FITS + """, f0 AS (SELECT o_orderkey, grp, status <> 'P' AS success, o_orderkey % 60 AS n, price / 6e8 AS t0, (bal + 1200) / 1.1e7 AS s, price / 1e5 AS rmse, price / 7e3 AS cost, ln(60 + o_orderkey % 1100) AS log_k, ln(price / 6e8) AS log_t0, ln(greatest((bal + 1200) / 1.1e7, 1e-12)) AS log_s FROM v_fits),
+f1 AS (SELECT *, 2 * cost / greatest(n, 1) AS cpp, CASE WHEN success THEN exp(log_k) * pow(0.005, 0.25) / (1 + exp(-(0.005 - exp(log_t0)) / exp(log_s))) END AS far FROM f0),
+f2 AS (SELECT *, coalesce(success AND n >= 10 AND t0 > 0 AND t0 < (SELECT max(t0) FROM f0) AND s > 0 AND s < 1e-3 AND t0 < 0.8e-3, FALSE) AS mask_basic, coalesce(far BETWEEN 18.0 AND 300.0, FALSE) AS mask_penetration_far, ln(1 + rmse) AS lr, ln(1 + cpp) AS lc FROM f1),
+f3 AS (SELECT *, median(t0) OVER w AS m1, median(lr) OVER w AS m2, median(lc) OVER w AS m3 FROM f2 WINDOW w AS (PARTITION BY grp)),
+f4 AS (SELECT *, median(abs(t0 - m1)) OVER w AS d1, median(abs(lr - m2)) OVER w AS d2, median(abs(lc - m3)) OVER w AS d3 FROM f3 WINDOW w AS (PARTITION BY grp)),
+f5 AS (SELECT *, """ + ", ".join(f"CASE WHEN d{i} < 1e-12 THEN 0.0 ELSE 0.6745 * ({v} - m{i}) / (d{i} + 1e-12) END AS {z}" for i, v, z in ((1, "t0", "z_t0"), (2, "lr", "z_rmse"), (3, "lc", "z_cost"))) + """ FROM f4),
+f6 AS (SELECT *, abs(z_t0) > 3 OR abs(z_rmse) > 3 OR abs(z_cost) > 3 AS mask_outlier FROM f5)"""
+
+
+@query("p18_fit_quality", f"WITH {QUALITY_SQL} SELECT o_orderkey, round(cpp, 5) AS cost_per_point, round(far, 5) AS penetration_far, round(z_t0, 5) AS z_t0, round(z_rmse, 5) AS z_rmse, round(z_cost, 5) AS z_cost, mask_basic, mask_penetration_far, mask_outlier, NOT mask_basic OR NOT mask_penetration_far OR mask_outlier AS flag_bad_fit FROM f6")
+def p18_fit_quality(spark, sf_dir):
+    """All nine columns of the fit masks, over fit rows made of the orders."""
+    c = F.col
+    s = (c("bal") + 1200) / 1.1e7
+    fits = v_fits(spark, sf_dir).select("o_orderkey", "grp", (c("status") != "P").alias("success"), (c("o_orderkey") % 60).alias("n"), (c("price") / 6e8).alias("t0"), s.alias("s"), (c("price") / 1e5).alias("rmse"), (c("price") / 7e3).alias("cost"), F.ln(60 + c("o_orderkey") % 1100).alias("log_k"), F.ln(c("price") / 6e8).alias("log_t0"), F.ln(F.greatest(s, F.lit(1e-12))).alias("log_s"))
+    cols = ("cost_per_point", "penetration_far", "z_t0", "z_rmse", "z_cost")
+    return rounded(robust.fit_masks(fits, ["grp"]).select("o_orderkey", *cols, "mask_basic", "mask_penetration_far", "mask_outlier", "flag_bad_fit"), 5)
+
+
 @query("a15_fit_report", f"WITH {MASKS} SELECT grp, count(*) AS n, count(*) FILTER (clean) AS n_clean, count(*) FILTER (NOT clean) AS n_flagged, round(100.0 * count(*) FILTER (status = 'F') / count(*), 6) AS success_pct, round(median(price), 6) AS median_price FROM fits GROUP BY grp")
 def a15_fit_report(spark, sf_dir):
     return rounded(_fits(spark, sf_dir).groupBy("grp").agg(F.count("*").alias("n"), F.count_if("clean").alias("n_clean"), F.count_if(~F.col("clean")).alias("n_flagged"), (100.0 * F.count_if(F.col("status") == "F") / F.count("*")).alias("success_pct"), F.median("price").alias("median_price")))

@@ -441,12 +441,13 @@ def v14_region_stats(spark, sf_dir):
     return rounded(pixels.region_stats(_square(spark, sf_dir).filter("v > 1.1").withColumn("label", F.col("frame") % 20), "label", "x", "y"))
 
 
-@query("v15_brightness_clusters")
+@query("v15_brightness_clusters", f"""WITH {V_PIXELS}, e AS (SELECT min(v) AS lo, (max(v) - min(v)) / 256 AS w FROM v_pixels), c AS (SELECT v, least(floor((v - lo) / w), 255)::INT AS cell FROM v_pixels, e),
+h AS (SELECT i AS cell, count(v) AS n, coalesce(sum(v), 0) AS s, coalesce(sum(v * v), 0) AS q FROM (SELECT unnest(range(256))::INT AS i) LEFT JOIN c ON cell = i GROUP BY i),
+p AS (SELECT cell, sum(n) OVER o AS n, sum(s) OVER o AS s, sum(q) OVER o AS q FROM h WINDOW o AS (ORDER BY cell)),
+k AS (SELECT i.cell AS i, j.cell AS j, i.q - i.s * i.s / i.n + (j.q - i.q - CASE WHEN j.n > i.n THEN (j.s - i.s) * (j.s - i.s) / (j.n - i.n) ELSE 0 END) + (t.q - j.q - CASE WHEN t.n > j.n THEN (t.s - j.s) * (t.s - j.s) / (t.n - j.n) ELSE 0 END) AS cost
+  FROM p i JOIN p j ON i.cell < j.cell JOIN p t ON t.cell = 255 WHERE j.cell < 255),
+b AS (SELECT i, j FROM k ORDER BY cost, j, i LIMIT 1)
+SELECT (cell > i)::INT + (cell > j)::INT AS label, round(avg(v), 6) AS centre, count(*) AS n FROM c, b GROUP BY 1""")
 def v15_brightness_clusters(spark, sf_dir):
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = VectorAssembler(inputCols=["v"], outputCol="features").transform(v_pixels(spark, sf_dir))
-    out = KMeans(k=3, seed=7, maxIter=20).fit(rows).transform(rows)
-    centres = out.groupBy("prediction").agg(F.avg("v").alias("centre"), F.count("*").alias("n"))
-    return centres.select(F.row_number().over(W.orderBy("centre")).alias("label"), F.round("centre", 4).alias("centre"), "n")
+    out = pixels.brightness_clusters(v_pixels(spark, sf_dir), "v", 3)
+    return out.groupBy("label").agg(F.round(F.avg("v"), 6).alias("centre"), F.count("*").alias("n"))

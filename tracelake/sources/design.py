@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -24,6 +25,20 @@ def registry(designs: DataFrame, name: str, densities: str, pressures: str) -> D
     return designs.select(name, pairs.alias("x")).select(name, "x.density", "x.pressure").dropna().distinct()
 
 
-def grouped_conditions(design: DataFrame, groups: str, scalar: list[str]) -> DataFrame:
-    """Conditions listed one by one: the struct array ``groups`` with its own ids."""
-    return design.select(F.inline(groups)).select("id", *scalar)
+def grouped_conditions(designs: DataFrame, name: str, groups: str, levels: list[str], scalars: list[str]) -> DataFrame:
+    """(name, id, level values, scalars) of designs that are arrays of groups.
+
+    A group with an ``id`` is one condition of that id, with the group's scalars; ``levels`` are then null. A group whose
+    ``expansion`` is cartesian is every combination of its ``levels`` (arrays), numbered on from 1 within the design over all such
+    groups, in the order of groups and positions. Other groups give nothing; an empty array gives no combination.
+    """
+    g = designs.select(name, F.posexplode(groups).alias("_g", "_s"))
+    one = g.filter("_s.id is not null").select(name, F.col("_s.id").cast("long").alias("id"), *[F.lit(None).cast(designs.schema[groups].dataType.elementType[f].dataType.elementType).alias(f) for f in levels], *[F.col(f"_s.{c}").alias(c) for c in scalars])
+    many, order = g.filter("_s.id is null and _s.expansion = 'cartesian'"), ["_g"]
+    for f in levels:
+        many = many.select("*", F.posexplode(f"_s.{f}").alias(f"_p_{f}", f"_v_{f}"))
+        order.append(f"_p_{f}")
+    #: a design is a short list
+    number = F.row_number().over(W.partitionBy(name).orderBy(*order)).cast("long")
+    many = many.select(name, number.alias("id"), *[F.col(f"_v_{f}").alias(f) for f in levels], *[F.col(f"_s.{c}").alias(c) for c in scalars])
+    return one.unionByName(many)

@@ -11,8 +11,10 @@ from pyspark.sql import types as T
 
 from tracelake.functions.scalars import clean_number
 
+#: The fields that a sidecar may have.
 META = T.StructType([
     *[T.StructField(c, T.DoubleType()) for c in ("plumes", "diameter_mm", "umbrella_angle_deg", "fps", "chamber_pressure_bar", "injection_duration_us", "injection_pressure_bar", "control_backpressure_bar", "mm_per_px_scale")],
+    T.StructField("occupied_angle_total_deg", T.DoubleType()),
     T.StructField("occupied_angle_segment_count", T.IntegerType()),
     T.StructField("occupied_angle_segment_widths_deg", T.ArrayType(T.DoubleType())),
 ])
@@ -42,13 +44,6 @@ def read_wide(spark: SparkSession, root: str) -> DataFrame:
     return df.select("*", path_part(path, 4).alias("dataset"), path_part(path, 3).alias("source"), path_part(path, 2).alias("folder"), F.regexp_replace(path_part(path, 1), r"\.csv$", "").alias("file_stem"))
 
 
-def read_sidecars(spark: SparkSession, root: str) -> DataFrame:
-    """One row per ``<stem>.meta.json``, with a fixed schema; absent fields are null."""
-    df = spark.read.schema(META).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.meta.json").json(root)
-    path = F.col("_metadata.file_path")
-    return df.select(path_part(path, 4).alias("dataset"), path_part(path, 2).alias("folder"), F.regexp_replace(path_part(path, 1), r"\.meta\.json$", "").alias("file_stem"), *META.names)
-
-
 def to_long(wide: DataFrame, frame_col: str = "frame_idx") -> DataFrame:
     """Rows of (place, plume, frame, metric, value) from ``<metric>_plume_<n>`` columns; values that are no numbers are left out."""
     place = ["dataset", "source", "folder", "file_stem", frame_col]
@@ -57,11 +52,6 @@ def to_long(wide: DataFrame, frame_col: str = "frame_idx") -> DataFrame:
     return long.select("dataset", "source", "folder", "file_stem", F.regexp_extract("_name", r"_plume_(\d+)$", 1).cast("int").alias("plume_idx"), F.col(frame_col).cast("int").alias("frame_idx"), F.regexp_extract("_name", r"^(.*)_plume_\d+$", 1).alias("metric"), "value")
 
 
-def with_sidecars(long: DataFrame, meta: DataFrame, cols: list[str]) -> DataFrame:
-    """Scalars of the sidecar on every row of its recording; null where there is none."""
-    return long.join(meta.select("dataset", "folder", "file_stem", *cols), ["dataset", "folder", "file_stem"], "left")
-
-
 def write_points(points: DataFrame, path: str, by: list[str] = [], mode: str = "errorifexists") -> None:  # noqa: B006
     out = points.write.mode(mode)
     (out.partitionBy(*by) if by else out).parquet(path)
@@ -79,18 +69,7 @@ def append_master(rows: DataFrame, path: str) -> DataFrame:
     return rows.sparkSession.read.parquet(path)
 
 
-def pending(inputs: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
-    """Inputs whose outputs don't exist yet."""
-    return inputs.join(done.select(*keys).distinct(), keys, "left_anti")
-
-
 def inventory(spark: SparkSession, root: str, glob: str, back: int) -> DataFrame:
     """Files and bytes by the folder that is ``back`` places before the file's name; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).select("path", "length")
     return files.groupBy(path_part(F.col("path"), back + 1).alias("folder")).agg(F.count("*").alias("n_files"), F.sum("length").alias("n_bytes"))
-
-
-def parity(meta: DataFrame) -> DataFrame:
-    """Sidecars whose number of widths differs from their count."""
-    n = F.coalesce(F.size("occupied_angle_segment_widths_deg"), F.lit(0))
-    return meta.filter(~n.eqNullSafe(F.coalesce("occupied_angle_segment_count", F.lit(0))))
