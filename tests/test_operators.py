@@ -2,6 +2,7 @@
 
 import math
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,9 +216,36 @@ def test_support_warns_only_while_fine(spark):
     assert [r["severity"] for r in out.orderBy("c", "a").collect()] == ["ok", "strong", "strong"]
 
 
-def test_nearest_refuses_large_sides(spark):
-    with pytest.raises(ValueError):
-        support.nearest_combos(spark.range(1).selectExpr("id k", "1.0 a"), spark.range(20).selectExpr("cast(id as double) a"), "k", ["a"], 1, most_combos=10)
+def all_pairs(samples, combos, k):
+    import numpy as np
+
+    c = np.unique(np.array(combos, float), axis=0)
+    sd = np.where(c.std(axis=0) > 1e-12, c.std(axis=0), 1.0)
+    out = []
+    for key, *x in samples:
+        d = np.sqrt((((c - np.array(x)) / sd) ** 2).sum(axis=1))
+        order = np.lexsort((*c.T[::-1], d))[:k]
+        out += [(key, r + 1, *c[i], d[i]) for r, i in enumerate(order)]
+    return out
+
+
+@pytest.mark.parametrize("n, m, dims", [(3000, 40, 3), (200_000, 60, 2), (3, 10, 2), (1, 4, 1)])
+def test_nearest_combos_as_all_pairs(spark, n, m, dims):
+    import numpy as np
+
+    draw = np.random.default_rng(n)
+    #: uneven: half of the combinations in a corner, some far out, with ties on a grid
+    combos = np.round(np.where(draw.random((n, 1)) < 0.5, draw.normal(0, 0.05, (n, dims)), draw.normal(5, 3, (n, dims)) ** 3), 2)
+    samples = [(i, *map(float, row)) for i, row in enumerate(np.round(draw.normal(2, 4, (m, dims)), 2))]
+    names = [f"c{j}" for j in range(dims)]
+    fields = ", ".join(f"{c} double" for c in names)
+    df = spark.createDataFrame(pd.DataFrame(combos, columns=names))
+    asked = spark.createDataFrame([*samples, (999, None, *[1.0] * (dims - 1))], f"k int, {fields}")
+    got = sorted(map(tuple, support.nearest_combos(asked, df, "k", names, 5).collect()))
+    want = all_pairs(samples, combos, 5)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert np.allclose([g[2:] for g in got], [w[2:] for w in want], rtol=1e-9, atol=1e-9)
+    assert support.nearest_combos(asked, df.limit(0), "k", names, 5).count() == 0
 
 
 def test_hampel_needs_five_valid_points(spark):

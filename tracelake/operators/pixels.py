@@ -116,7 +116,7 @@ def brightness_clusters(px: DataFrame, v: str, k: int, cells: int = 256) -> Data
     """
     low, high = px.agg(F.min(v).alias("low"), F.max(v).alias("high")).first()
     width = (high - low) / cells if low is not None and high > low else 1.0
-    at = F.least(F.floor((F.col(v) - F.lit(low)) / width), F.lit(cells - 1)).cast("int")
+    at = F.when(F.col(v).isNotNull(), F.least(F.floor((F.col(v) - F.lit(low)) / width), F.lit(cells - 1))).cast("int")
     found = px.groupBy(at.alias("cell")).agg(F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(F.col(v) * F.col(v)).alias("q")).filter("cell is not null").collect()
     sums = np.zeros((3, cells))
     for r in found:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,21 +42,53 @@ def support_check(samples: DataFrame, train: DataFrame, cont: list[str], discret
     return out.withColumn("severity", F.when(F.col("combo_seen"), F.col("severity")).otherwise("strong"))
 
 
-def nearest_combos(samples: DataFrame, combos: DataFrame, key: str, cols: list[str], k: int, most_combos: int = 100_000) -> DataFrame:
-    """The k nearest known combinations by deviation-scaled distance: (key, rank, combination, distance).
+def nearest_combos(samples: DataFrame, combos: DataFrame, key: str, cols: list[str], k: int) -> DataFrame:
+    """The k nearest known combinations by deviation-scaled distance: (key, rank, combination, distance); ties by the combination.
 
-    The combinations are the side whose size is checked: up to ``most_combos`` they are broadcast and each sample keeps its
-    k smallest in a bounded array; beyond that the call is refused, since every sample meets every combination.
+    The combinations lie in a tree of boxes whose sides halve from level to level. Each sample goes down it and keeps, at every
+    level, the boxes that may hold one of its k nearest: those no further than the distance within which k combinations are
+    certain to lie (from the boxes' greatest distances and counts). Only what is in the last boxes is measured. No sample meets
+    combinations that can't be among its nearest, no side is collected or broadcast by a hint, and the result is that of all
+    pairs. Samples and combinations with a null coordinate have no distance and are left out; of fewer than k all are given.
     """
-    if combos.limit(most_combos + 1).count() > most_combos:
-        raise ValueError(f"more than {most_combos} combinations")
-    sd = combos.agg(*[F.coalesce(F.when(F.stddev_pop(c) > 1e-12, F.stddev_pop(c)), F.lit(1.0)).alias(c) for c in cols])
-    table = combos.agg(F.array_sort(F.collect_set(F.struct(*[F.col(c).cast("double").alias(c) for c in cols]))).alias("all"))
-    out = samples.select(key, *cols, table.scalar().alias("_all"), sd.select(F.struct(*cols)).scalar().alias("_sd"))
-    dist = lambda x: F.sqrt(sum((F.pow((F.col(c) - x[c]) / F.col("_sd")[c], F.lit(2.0)) for c in cols), F.lit(0.0)))
-    near = F.slice(F.array_sort(F.transform("_all", lambda x: F.struct(dist(x).alias("distance"), x.alias("combo")))), 1, k)
-    rows = out.select(key, F.posexplode(near).alias("rank", "x"))
-    return rows.select(key, (F.col("rank") + 1).alias("rank"), *[F.col("x")["combo"][c].alias(f"near_{c}") for c in cols], F.col("x")["distance"].alias("distance"))
+    number = {c: F.col(c).cast("double") for c in cols}
+    known = F.lit(True)
+    for c in cols:
+        known = known & F.col(c).isNotNull() & ~F.isnan(c)
+    points = stored(combos.select(*[x.alias(c) for c, x in number.items()]).filter(known).distinct(), "combos")
+    one = points.agg(F.count("*").alias("n"), *[f(c).alias(f"{name}_{c}") for c in cols for name, f in (("sd", F.stddev_pop), ("low", F.min), ("high", F.max))]).first()
+    scale = {c: one[f"sd_{c}"] if (one[f"sd_{c}"] or 0) > 1e-12 else 1.0 for c in cols}
+    low = {c: one[f"low_{c}"] or 0.0 for c in cols}
+    span = max(((one[f"high_{c}"] or 0.0) - low[c]) / scale[c] for c in cols) * (1 + 1e-6) or 1.0
+    #: about one combination to a box at the last level, were they even
+    levels = min(30, math.ceil(math.log2(max(one["n"], 2)) / len(cols)) + 2)
+    boxes = {c: f"_b_{c}" for c in cols}
+    place = lambda c: (F.col(c) - F.lit(low[c])) / F.lit(scale[c])
+    points = points.select(*cols, *[F.floor(place(c) / (span / 2**levels)).cast("long").alias(b) for c, b in boxes.items()])
+    last = stored(points.groupBy(*boxes.values()).agg(F.count("*").alias("_n")), "combo-boxes")
+    asked = stored(samples.select(F.monotonically_increasing_id().alias("_id"), key, *[x.alias(c) for c, x in number.items()]).filter(known), "combo-samples")
+    search = asked.select("_id", *cols, *[F.lit(0).cast("long").alias(b) for b in boxes.values()])
+    for level in range(1, levels + 1):
+        up = levels - level
+        inner = last.groupBy(*[F.shiftright(b, up).alias(f"{b}_") for b in boxes.values()]).agg(F.sum("_n").alias("_n"))
+        inner = inner.withColumns({b: F.shiftright(f"{b}_", 1) for b in boxes.values()})
+        search = search.join(inner, list(boxes.values())).select("_id", *cols, *[F.col(f"{b}_").alias(b) for b in boxes.values()], "_n")
+        side, near, far = span / 2**level, F.lit(0.0), F.lit(0.0)
+        for c, b in boxes.items():
+            start, end, x = F.col(b) * side, (F.col(b) + 1) * side, place(c)
+            near = near + F.pow(F.greatest(start - x, x - end, F.lit(0.0)), F.lit(2.0))
+            far = far + F.pow(F.greatest(x - start, end - x), F.lit(2.0))
+        own = W.partitionBy("_id")
+        search = search.withColumns({"_near": near, "_far": far}).withColumn("_sure", F.sum("_n").over(own.orderBy("_far")))
+        search = search.withColumn("_bound", F.min(F.when(F.col("_sure") >= k, F.col("_far"))).over(own))
+        #: a little slack, as places are rounded
+        search = search.filter(F.col("_bound").isNull() | (F.col("_near") <= F.col("_bound") * (1 + 1e-9) + 1e-12))
+        search = stored(search.select("_id", *cols, *boxes.values()), "combo-search")
+    met = search.withColumnsRenamed({c: f"_x_{c}" for c in cols}).join(points, list(boxes.values()))
+    distance = F.sqrt(sum((F.pow((F.col(f"_x_{c}") - F.col(c)) / F.lit(scale[c]), F.lit(2.0)) for c in cols), F.lit(0.0)))
+    met = met.select("_id", distance.alias("distance"), *cols)
+    best = met.withColumn("rank", F.row_number().over(W.partitionBy("_id").orderBy("distance", *cols))).filter(F.col("rank") <= k)
+    return asked.select("_id", key).join(best, "_id").select(key, "rank", *[F.col(c).alias(f"near_{c}") for c in cols], "distance")
 
 
 def tolerance_match(left: DataFrame, right: DataFrame, a: str, b: str, tol: float) -> DataFrame:
