@@ -180,6 +180,49 @@ def test_quarter_fit_recovers(spark):
     assert row["converged"]
 
 
+def test_blend_fit_recovers(spark):
+    true = {"k_sqrt": 30.0, "k_quarter": 60.0, "t0": 2.0, "s": 0.3}
+    t = spark.range(1, 201).selectExpr("id % 2 as g", "id / 40.0D as t").withColumn("y", models.blend_curve(F.col("t"), *map(F.lit, true.values())))
+    rows = fit.fit_groups(t, ["g"], "t", "y", kind="blend").collect()
+    assert len(rows) == 2
+    for row in rows:
+        assert row["converged"] and {k: row[k] for k in true} == pytest.approx(true, rel=1e-2)
+
+
+def test_fits_at_once_are_those_of_each_group(spark):
+    """Groups of all lengths in one block, null keys, bad points and groups that can't be fitted; against each group by itself."""
+    import numpy as np
+
+    draw = np.random.default_rng(6)
+    rows, true = [], {}
+    for g in [None, *range(60)]:
+        k, t0, s = draw.uniform(20, 60), draw.uniform(0.3, 2), draw.uniform(0.1, 0.6)
+        true[g] = (k, t0, s)
+        for t in np.sort(draw.uniform(0, 6, int(draw.integers(25, 120)))):
+            y = k * t**0.25 / (1 + np.exp(-(t - t0) / s)) + (200 if draw.random() < 0.03 else draw.normal(0, 0.2))
+            rows.append((g, float(t), float(y)))
+        rows += [(g, None, 1.0), (g, 1.0, float("nan")), (g, -1.0, 5.0)]
+    rows += [(100, 1.0, 1.0), (101, 0.0, 1.0), (101, 0.0, 2.0), (101, 0.0, 3.0), (101, 0.0, 4.0), *[(102, float(j), -1.0) for j in range(9)]]
+    df = spark.createDataFrame(rows, "g int, t double, y double")
+    got = {r["g"]: r for r in fit.fit_groups(df, ["g"], "t", "y", delta=1.0).collect()}
+    assert set(got) == set(true)
+    for g in true:
+        assert (got[g]["k"], got[g]["t0"], got[g]["s"]) == pytest.approx(true[g], rel=0.15)
+        pts = sorted((t, y) for k, t, y in rows if k == g and t is not None and t >= 0 and y == y)
+        alone = fit._fitted([(np.array([t for t, _ in pts]), np.array([y for _, y in pts]))], "quarter", 1.0)
+        assert (got[g]["k"], got[g]["t0"], got[g]["s"], got[g]["cost"]) == pytest.approx(tuple(float(alone[c][0]) for c in ("k", "t0", "s", "cost")), rel=1e-6)
+        assert got[g]["n"] == len(pts)
+    assert fit.fit_groups(df.limit(0), ["g"], "t", "y").count() == 0
+
+
+def test_condition_fit_follows_the_medians(spark):
+    """Medians over repeats of a condition, fitted as one curve."""
+    rows = spark.range(1, 1601).selectExpr("id % 20 as rep", "floor((id - 1) / 20) / 16.0D + 0.1 as t").withColumn("y", models.quarter_curve(F.col("t"), F.lit(40.0), F.lit(1.5), F.lit(0.4)) + (F.col("rep") - 9.5) / 10)
+    mid = select.medians(rows.withColumn("c", F.lit(1)), ["c", "t"], {"p50": "y"})
+    row = fit.fit_groups(mid, ["c"], "t", "p50").first()
+    assert (row["k"], row["t0"], row["s"]) == pytest.approx((40.0, 1.5, 0.4), rel=1e-2)
+
+
 def test_calibration_recovers(spark):
     df = spark.range(500).selectExpr("cast(id % 17 as double) as a", "cast(id % 5 as double) as b").withColumn("y", 2 * F.col("a") + 0.5 * F.col("b"))
     df = df.withColumn("y", F.when(F.rand(3) < 0.02, F.col("y") + 100).otherwise(F.col("y")))

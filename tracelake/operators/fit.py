@@ -1,9 +1,9 @@
-"""Iterative fits: a trajectory or condition per group in Arrow batches, and global robust calibration by repeated aggregates."""
+"""Iterative fits: many trajectories or conditions at once in Arrow batches, and global robust calibration by repeated aggregates."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -15,96 +15,190 @@ from tracelake.operators.select import joined, stored
 
 
 def _expit(x: np.ndarray) -> np.ndarray:
-    return np.where(x >= 0, 1 / (1 + np.exp(-np.abs(x))), np.exp(-np.abs(x)) / (1 + np.exp(-np.abs(x))))
+    e = np.exp(-np.abs(x))
+    return np.where(x >= 0, 1, e) / (1 + e)
 
 
 def quarter_model(p: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """p: logs of k, t0, s."""
-    k, t0, s = np.exp(p)
+    """p: logs of k, t0, s by fit, over times by fit."""
+    k, t0, s = (np.exp(p[:, j : j + 1]) for j in range(3))
     return _expit((t - t0) / s) * k * np.maximum(t, 0) ** 0.25
 
 
 def blend_model(p: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """p: logs of k_sqrt, k_quarter, t0, s."""
-    a, b, t0, s = np.exp(p)
+    """p: logs of k_sqrt, k_quarter, t0, s by fit, over times by fit."""
+    a, b, t0, s = (np.exp(p[:, j : j + 1]) for j in range(4))
     w, pos = _expit((t - t0) / s), np.maximum(t, 0)
     return (1 - w) * a * np.sqrt(pos) + w * b * pos**0.25
 
 
-def robust_fit(model: Callable, t: np.ndarray, y: np.ndarray, start: np.ndarray, delta: float, steps: int = 60) -> dict:
-    """Levenberg-Marquardt under Huber weights in log parameters, with errors and correlations from the last Jacobian."""
-    p, damp, h = start.astype(float), 1e-2, 1e-6
+@dataclass
+class Fits:
+    """Parameters, their deviations and correlations, costs, and whether a fit came to rest, by fit."""
 
-    def state(q: np.ndarray) -> tuple[np.ndarray, float]:
-        r = model(q, t) - y
+    p: np.ndarray
+    sd: np.ndarray
+    corr: np.ndarray
+    cost: np.ndarray
+    converged: np.ndarray
+
+
+def robust_fits(model: Callable, t: np.ndarray, y: np.ndarray, on: np.ndarray, start: np.ndarray, delta: float, steps: int = 60) -> Fits:
+    """Levenberg-Marquardt under Huber weights for many fits at once.
+
+    ``t``, ``y`` and ``on`` (which points count) are arrays by fit and point; ``start`` by fit and parameter. Each fit has its own
+    damping; normal equations are solved as a stack, and fits that have come to rest leave it.
+    """
+    n_fits, n = start.shape
+    p, damp, h, eye = start.astype(float), np.full(n_fits, 1e-2), 1e-6, np.eye(n)
+
+    def state(q: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        r = np.where(on[at], model(q, t[at]) - y[at], 0.0)
         a = np.abs(r)
-        return r, float(np.where(a <= delta, 0.5 * r * r, delta * (a - 0.5 * delta)).sum())
+        return r, np.where(a <= delta, 0.5 * r * r, delta * (a - 0.5 * delta)).sum(axis=1)
 
-    r, cost = state(p)
-    done = False
+    r, cost = state(p, np.arange(n_fits))
+    weights, normal, done = np.ones_like(r), np.zeros((n_fits, n, n)), np.zeros(n_fits, bool)
     for _ in range(steps):
-        jac = np.stack([(model(p + h * e, t) - model(p - h * e, t)) / (2 * h) for e in np.eye(len(p))], axis=1)
-        w = np.where(np.abs(r) <= delta, 1.0, delta / np.maximum(np.abs(r), 1e-300))
-        a, g = jac.T @ (jac * w[:, None]), jac.T @ (w * r)
+        at = np.flatnonzero(~done)
+        if not len(at):
+            break
+        jac = np.stack([np.where(on[at], (model(p[at] + h * e, t[at]) - model(p[at] - h * e, t[at])) / (2 * h), 0.0) for e in eye], axis=2)
+        w = np.where(np.abs(r[at]) <= delta, 1.0, delta / np.maximum(np.abs(r[at]), 1e-300))
+        a, g = np.einsum("fti,ft,ftj->fij", jac, w, jac), np.einsum("fti,ft->fi", jac, w * r[at])
+        weights[at], normal[at] = w, a
+        scale = np.einsum("fii->fi", a)[:, :, None] * eye + 1e-12 * eye
+        left = np.arange(len(at))
         for _ in range(12):
+            here = at[left]
+            m = a[left] + damp[here][:, None, None] * scale[left]
             try:
-                step = -np.linalg.solve(a + damp * (np.diag(np.diag(a)) + 1e-12 * np.eye(len(p))), g)
+                step = -np.linalg.solve(m, g[left][:, :, None])[:, :, 0]
             except np.linalg.LinAlgError:
-                damp *= 10
-                continue
-            q = np.clip(p + np.clip(step, -2, 2), -30, 30)
-            r2, cost2 = state(q)
-            if np.isfinite(cost2) and cost2 <= cost:
-                done = cost - cost2 <= 1e-12 * max(cost, 1e-300)
-                p, r, cost, damp = q, r2, cost2, max(damp / 5, 1e-12)
+                step = -(np.linalg.pinv(m) @ g[left][:, :, None])[:, :, 0]
+            q = np.clip(p[here] + np.clip(step, -2, 2), -30, 30)
+            r2, cost2 = state(q, here)
+            better = np.isfinite(cost2) & (cost2 <= cost[here])
+            good = here[better]
+            done[good] = cost[good] - cost2[better] <= 1e-12 * np.maximum(cost[good], 1e-300)
+            p[good], r[good], cost[good] = q[better], r2[better], cost2[better]
+            damp[good] = np.maximum(damp[good] / 5, 1e-12)
+            damp[here[~better]] *= 5
+            left = left[~better]
+            if not len(left):
                 break
-            damp *= 5
-        else:
-            done = True
-        if done:
-            break
-    cov = np.linalg.pinv(a) * (r @ (w * r)) / max(len(t) - len(p), 1)
-    sd = np.sqrt(np.clip(np.diag(cov), 0, None))
-    corr = cov / np.where(np.outer(sd, sd) > 0, np.outer(sd, sd), np.nan)
-    return {"p": p, "sd": sd, "corr": corr, "cost": cost, "converged": bool(done)}
+        #: no step brings anything more
+        done[at[left]] = True
+    count = on.sum(axis=1)
+    cov = np.linalg.pinv(normal) * ((r * weights * r).sum(axis=1) / np.maximum(count - n, 1))[:, None, None]
+    sd = np.sqrt(np.clip(np.einsum("fii->fi", cov), 0, None))
+    both = sd[:, :, None] * sd[:, None, :]
+    return Fits(p, sd, cov / np.where(both > 0, both, np.nan), cost, done)
 
 
 QUARTER = "k double, t0 double, s double, std_log_k double, std_log_t0 double, std_log_s double, corr_k_t0 double, corr_k_s double, corr_t0_s double, cost double, n long, converged boolean"
 BLEND = "k_sqrt double, k_quarter double, t0 double, s double, cost double, n long, converged boolean"
 
 
-def _one(pdf: pd.DataFrame, keys: list[str], time: str, value: str, kind: str, delta: float) -> pd.DataFrame:
-    pdf = pdf.sort_values([time, value])
-    t, y = pdf[time].to_numpy(float), pdf[value].to_numpy(float)
-    ok = np.isfinite(t) & np.isfinite(y) & (t >= 0)
-    t, y = t[ok], y[ok]
-    head = {k: pdf[k].iloc[0] for k in keys}
-    free = 3 if kind == "quarter" else 4
-    if len(t) <= free or not t.max() > 0 or not y.max() > 0:
-        return pd.DataFrame([])
-    k0 = max(float(np.median(y[t > 0] / t[t > 0] ** 0.25)), 1e-6)
-    mid = math.log(max(float(t.max()) / 10, 1e-9))
+BLOCK_POINTS, MOST_CELLS = 1 << 16, 1 << 18
+
+
+def _median(x: np.ndarray, on: np.ndarray) -> np.ndarray:
+    return np.nanmedian(np.where(on, x, np.nan), axis=1)
+
+
+def _fitted(groups: list[tuple[np.ndarray, np.ndarray]], kind: str, delta: float) -> dict[str, np.ndarray]:
+    """Fits of (t, y) pairs as columns; pairs are padded to the longest, so pass ones of like length."""
+    n = np.array([len(t) for t, _ in groups])
+    on = np.arange(n.max())[None, :] < n[:, None]
+    t, y = np.zeros(on.shape), np.zeros(on.shape)
+    t[on], y[on] = np.concatenate([g[0] for g in groups]), np.concatenate([g[1] for g in groups])
+    later = on & (t > 0)
+    root = np.where(later, t, 1.0)
+    k0 = np.maximum(_median(y / root**0.25, later), 1e-6)
+    mid = np.log(np.maximum(np.where(on, t, 0).max(axis=1) / 10, 1e-9))
     if kind == "quarter":
-        best = robust_fit(quarter_model, t, y, np.array([math.log(k0), mid, mid]), delta)
-        k, t0, s = np.exp(best["p"])
-        c = best["corr"]
-        head |= {"k": k, "t0": t0, "s": s, "std_log_k": best["sd"][0], "std_log_t0": best["sd"][1], "std_log_s": best["sd"][2], "corr_k_t0": c[0, 1], "corr_k_s": c[0, 2], "corr_t0_s": c[1, 2]}
+        f = robust_fits(quarter_model, t, y, on, np.stack([np.log(k0), mid, mid], 1), delta)
+        named = dict(zip(("k", "t0", "s"), np.exp(f.p).T)) | dict(zip(("std_log_k", "std_log_t0", "std_log_s"), f.sd.T))
+        named |= {"corr_k_t0": f.corr[:, 0, 1], "corr_k_s": f.corr[:, 0, 2], "corr_t0_s": f.corr[:, 1, 2]}
     else:
-        ks = max(float(np.median(y[t > 0] / np.sqrt(t[t > 0]))), 1e-6)
-        best = robust_fit(blend_model, t, y, np.array([math.log(ks), math.log(k0), mid, mid]), delta)
-        head |= dict(zip(("k_sqrt", "k_quarter", "t0", "s"), np.exp(best["p"])))
-    return pd.DataFrame([head | {"cost": best["cost"], "n": len(t), "converged": best["converged"]}])
+        ks = np.maximum(_median(y / np.sqrt(root), later), 1e-6)
+        f = robust_fits(blend_model, t, y, on, np.stack([np.log(ks), np.log(k0), mid, mid], 1), delta)
+        named = dict(zip(("k_sqrt", "k_quarter", "t0", "s"), np.exp(f.p).T))
+    return named | {"cost": f.cost, "n": n, "converged": f.converged}
+
+
+def _fit_block(pdf: pd.DataFrame, keys: list[str], time: str, value: str, kind: str, delta: float) -> pd.DataFrame:
+    """All groups of rows that lie together by key."""
+    new = np.zeros(len(pdf), bool)
+    new[0] = True
+    for k in keys:
+        c = pdf[k]
+        same = (c == c.shift()) | (c.isna() & c.shift().isna())
+        new[1:] |= ~same.to_numpy()[1:]
+    first = np.flatnonzero(new)
+    t, y = pdf[time].to_numpy(float), pdf[value].to_numpy(float)
+    fine = np.isfinite(t) & np.isfinite(y) & (t >= 0)
+    free = 3 if kind == "quarter" else 4
+    found = []
+    for i, (a, b) in enumerate(zip(first, np.append(first[1:], len(pdf)))):
+        on = fine[a:b]
+        ti, yi = t[a:b][on], y[a:b][on]
+        if len(ti) > free and ti.max() > 0 and yi.max() > 0:
+            found.append((i, ti, yi))
+    found.sort(key=lambda x: len(x[1]))
+    out, a = [], 0
+    while a < len(found):
+        b = a + 1
+        while b < len(found) and (b + 1 - a) * len(found[b][1]) <= MOST_CELLS:
+            b += 1
+        columns = _fitted([x[1:] for x in found[a:b]], kind, delta)
+        heads = pdf.iloc[first[[x[0] for x in found[a:b]]]][keys].reset_index(drop=True)
+        out.append(pd.concat([heads, pd.DataFrame(columns)], axis=1))
+        a = b
+    return pd.concat(out) if out else pd.DataFrame([])
 
 
 def fit_groups(df: DataFrame, keys: list[str], time: str, value: str, kind: str = "quarter", delta: float = 10.0) -> DataFrame:
-    """One fit per group; groups with too few points give no row. A group is one trajectory or condition: bounded by its frames."""
+    """One fit per group; groups with too few points give no row. A group is one trajectory or condition: bounded by its frames.
+
+    Rows are dealt and sorted by key; a task fits blocks of many groups at once (see :func:`robust_fits`).
+    """
     rows = df.select(*keys, F.col(time).cast("double").alias(time), F.col(value).cast("double").alias(value))
     fields = ", ".join(f"`{c}` {t}" for c, t in rows.select(*keys).dtypes)
+    schema = f"{fields}, {QUARTER if kind == 'quarter' else BLEND}"
+    names = [*keys, *[x.split()[0] for x in (QUARTER if kind == "quarter" else BLEND).split(", ")]]
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        size = 0
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _one(pdf, keys, time, value, kind, delta)
+        def fitted(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            out = _fit_block(pdf, keys, time, value, kind, delta)
+            if len(out):
+                yield out[names]
 
-    return rows.groupBy(*keys).applyInPandas(one, f"{fields}, {QUARTER if kind == 'quarter' else BLEND}")
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            held.append(pdf)
+            size += len(pdf)
+            if size < BLOCK_POINTS:
+                continue
+            whole = pd.concat(held, ignore_index=True)
+            #: the last group may go on in the next batch
+            tail = whole[keys].iloc[-1]
+            same = np.ones(len(whole), bool)
+            for k in keys:
+                same &= (whole[k].isna() if pd.isna(tail[k]) else whole[k] == tail[k]).to_numpy()
+            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            if cut:
+                yield from fitted(whole.iloc[:cut].reset_index(drop=True))
+            held, size = [whole.iloc[cut:]], len(whole) - cut
+        if held:
+            yield from fitted(pd.concat(held, ignore_index=True))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, time, value).mapInPandas(blocks, schema)
 
 
 def _weighted(rows: DataFrame, state: DataFrame | None, keys: list[str], xs: list[str], y: str, delta: float, base) -> DataFrame:
