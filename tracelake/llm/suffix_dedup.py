@@ -1,12 +1,10 @@
 """Suffix-array dedup: every byte covered by a repeated string of ``LENGTH`` bytes is removed.
 
 Suffixes are ordered only through the first ``LENGTH`` bytes, by passes from the most significant digit on, and suffixes
-alone in their group leave after each pass; the groups left after the last pass are exactly the repeated windows. The first
-digits reach through ``SHOWN`` bytes: repeats of that length are reported (passages of about 50 words), and only texts with
-a run of them as long as ``LENGTH`` go on. The next digits reach through ``LENGTH``: these repeats are removed. Digits are
+alone in their group leave after each pass; the groups left after the last pass are exactly the repeated windows. Digits are
 64-bit hashes of stretches of bytes. Not every suffix takes part: of the windows in a stretch of text, only the anchors do,
 the positions whose ``KMER`` bytes have the smallest hash in some window. Equal windows have equal anchors at equal offsets,
-so no repeat is lost, and there is about one anchor for half a window. For each of the two depths:
+so no repeat is lost, and there is about one anchor for half a window.
 
 1. Digit ``KMER``: anchors are grouped by their k-mer. Lone anchors leave.
 2. Digit context: an anchor stands for the windows that chose it, which together span a context. Equal contexts repeat in
@@ -38,7 +36,7 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import stored
 from tracelake.llm.textkit import U64, Prefix, mix64, text_slices
 
-LENGTH, SHOWN, KMER, STEP = 400, 288, 32, 25
+LENGTH, KMER, STEP = 400, 32, 25
 HELD = 20_000
 
 
@@ -286,49 +284,24 @@ def _without(raw: bytes, spans: list[dict]) -> bytes:
     return b"".join([*parts, raw[at:]])
 
 
-def _through_shown(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n_bytes, n_repeated, kept_sha256, text): texts with a run of ``length`` bytes go on, others get their digest."""
-    for batch in batches:
-        rows = []
-        for text, spans in zip(batch.column(1), batch.column(2)):
-            raw, spans = (text.as_py() or "").encode(), spans.as_py() or []
-            on = any(x["end"] - x["start"] >= length for x in spans)
-            rows.append((len(raw), sum(x["end"] - x["start"] for x in spans), None if on else hashlib.sha256(raw).hexdigest(), text.as_py() if on else None))
-        columns = list(zip(*rows)) if rows else [()] * 4
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()))]], names=["doc_id", "n_bytes", "n_repeated", "kept_sha256", "text"])
-
-
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for text, spans in zip(batch.column(1), batch.column(2)):
-            raw, spans = text.as_py().encode(), spans.as_py() or []
+            raw, spans = (text.as_py() or "").encode(), spans.as_py() or []
             rest = _without(raw, spans)
             rows.append((len(raw), len(raw) - len(rest), len(spans), hashlib.sha256(rest).hexdigest()))
         columns = list(zip(*rows)) if rows else [()] * 4
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, t) for x, t in zip(columns, (*[pa.int64()] * 3, pa.string()))], batch.column(3)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated"])
-
-
-def with_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
-    """(doc_id, text, spans) and the columns ``more`` for every row of ``docs``; spans are null where nothing repeats."""
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"), *more)
-    return read.join(spans, _same(read, spans), "left").select(read["doc_id"], "text", "spans", *more)
-
-
-def suffix_dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shown: int | None = None, **options) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated) for each row; the digest is of the bytes that stay.
-
-    n_repeated counts the bytes that repeated strings of ``shown`` bytes cover (288 for a length of 400): those removed, and
-    passages too short to go.
-    """
-    shown = shown or length * SHOWN // LENGTH
-    if shown > length:
-        raise ValueError("shown must not be over length")
-    first = with_spans(docs, repeated_spans(docs, id_col, text_col, shown, **options), id_col, text_col)
-    first = stored(first.mapInArrow(partial(_through_shown, length=length), "doc_id long, n_bytes long, n_repeated long, kept_sha256 string, text string"), "suffixes-shown")
-    deep = first.filter("text is not null")
-    removed = with_spans(deep, repeated_spans(deep, length=length, **options), "doc_id", "text", "n_repeated")
-    removed = removed.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated long")
-    zero = F.lit(0).cast("long")
-    whole = first.filter("text is null").select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), "kept_sha256", "n_repeated")
-    return whole.unionByName(removed)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, t) for x, t in zip(columns, (*[pa.int64()] * 3, pa.string()))]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+def with_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, spans) for every row of ``docs``; spans are null where nothing repeats."""
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
+    return read.join(spans, _same(read, spans), "left").select(read["doc_id"], "text", "spans")
+
+
+def suffix_dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **options) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row; the digest is of the bytes that stay."""
+    found = with_spans(docs, repeated_spans(docs, id_col, text_col, length, **options), id_col, text_col)
+    return found.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
