@@ -162,3 +162,35 @@ def test_ranks_order_nodes_by_their_audits():
 
         _, code, _ = paths.path(np.array([0]), np.array([0]))
         assert (int(paths.cost[0, 0]), conversation_repair._LETTERS[code].tobytes().decode()) == min(walks(0, 0))
+
+
+# -- names that clash, and null ids, in the earlier operators
+
+
+def test_names_of_own_columns(spark):
+    """Columns named as an operator's own pass through, and its own output can go in again."""
+    from tracelake.llm.line_dedup import line_dedup
+    from tracelake.llm.mixing import mix, mix_rates
+
+    rows = [(i, f"same line\nown {i} {'w ' * (i % 5)}", "en", f"s{i % 3}") for i in range(40)]
+    d = table_of(spark, rows, "doc_id long, text string, lang string, source string")
+    clash = ["_id", "_doc_id", "_print", "_text", "_keep_bitmap", "_n_lines", "_n_dropped", "_mix", "_MIX2", "copy"]
+    crowded = d.withColumns({c: F.lit(f"own {c}") for c in clash})
+    out = line_dedup(crowded)
+    assert sorted(out.columns) == sorted(crowded.columns)
+    assert in_order(out.select("doc_id", "text", "_n_dropped")) == in_order(line_dedup(d).select("doc_id", "text", "_n_dropped"))
+    assert {r["_print"] for r in out.collect()} == {"own _print"}
+    assert {r["_n_dropped"] for r in line_dedup(out).collect()} == {0}
+    assert in_order(mix_rates(crowded).select("doc_id", "_mix.*")) == in_order(mix_rates(d).select("doc_id", "_mix.*"))
+    mixed = mix(crowded)
+    assert in_order(mixed.select("doc_id", "copy")) == in_order(mix(d).select("doc_id", "copy")) and {r["_mix"] for r in mixed.collect()} == {"own _mix"}
+
+
+def test_lines_of_null_ids_are_counted_by_text(spark):
+    from tracelake.llm.line_dedup import line_dedup
+
+    rows = [(None, f"common\nrow {i}") for i in range(12)] + [(None, "twin\nx")] * 30 + [(5, "five\nlast")] * 30
+    out = line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    got = {r["text"]: r["_n_dropped"] for r in out.collect()}
+    #: the line of twelve texts goes; thirty equal rows of null id are one document, as are thirty rows of one id
+    assert got == {**{f"row {i}": 1 for i in range(12)}, "twin\nx": 0, "five\nlast": 0}

@@ -1,7 +1,8 @@
 """Connected components of a table of links, by alternating large-star and small-star steps over DataFrames.
 
-Each step is a minimum per node (combined before the shuffle) and a join back to the links, so a node with many links is
-no task of its own. Every round is written to the shared folder.
+Each step is a minimum per node (combined before the shuffle) and a join back to the links. The links of one node are one key of
+that join: Spark's sorted join streams them and splits a key that adaptive execution finds large, but the key itself isn't
+salted. Every round is written to the shared folder.
 """
 
 from __future__ import annotations

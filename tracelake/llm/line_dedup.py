@@ -7,8 +7,9 @@ reaches its range as a few rows per batch. The keys over the threshold are joine
 rows, and each document's lost lines come back as a compressed bitmap; only the last step reads the texts again.
 
 Null and empty texts are one empty line. Rows are told apart by doc_id and a hash of the text, so ids may repeat or be
-null; null ids count as one document. Keys shorter than ``min_chars`` code points are never dropped. ``keep`` says what
-stays of a repeated key: ``none`` of its lines, or the ``first`` by doc_id and position.
+null; rows of null id are one document for each text. Keys shorter than ``min_chars`` code points are never dropped. ``keep`` says what
+stays of a repeated key: ``none`` of its lines, or the ``first`` by doc_id and position. Extra columns pass through unchanged,
+whatever their names; ``_n_lines`` and ``_n_dropped`` take the place of columns of these names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,13 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import SPACE_CHARS, stored
+from tracelake.llm.common import SPACE_CHARS, free_name, stored
 from tracelake.llm.textkit import text_slices
 
 MIN_DOCS, MIN_CHARS = 10, 1
 _TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _STRIP = SPACE_CHARS.encode()
-NULL_ID = -(1 << 63)
 
 
 def _chars(key: bytes) -> int:
@@ -40,7 +40,9 @@ def _lines(batches: Iterator[pa.RecordBatch], min_docs: int, min_chars: int) ->
     """(doc_id, print, line, h1, h2, shown): ``shown`` rows stand for their key in the count."""
     for batch in batches:
         ids = batch.column(0).cast(pa.int64())
-        known, prints = ids.fill_null(NULL_ID).to_numpy(), batch.column(1).to_numpy()
+        prints, lost = batch.column(1).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
+        #: a document is its id or, where that is null, its text
+        known = np.where(lost, prints, ids.fill_null(0).to_numpy())
         for a, b, data, offsets in text_slices(batch.column(2)):
             raw = data.tobytes()
             row, line, digests = [], [], []
@@ -55,12 +57,12 @@ def _lines(batches: Iterator[pa.RecordBatch], min_docs: int, min_chars: int) ->
                 continue
             row, line = np.array(row), np.array(line, np.int32)
             h = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
-            order = np.lexsort((line, known[row], h[:, 1], h[:, 0]))
-            s, d = h[order], known[row][order]
+            order = np.lexsort((line, known[row], lost[row], h[:, 1], h[:, 0]))
+            s, d, f = h[order], known[row][order], lost[row][order]
             key_new = np.ones(len(s), bool)
             key_new[1:] = (s[1:] != s[:-1]).any(axis=1)
             doc_new = key_new.copy()
-            doc_new[1:] |= d[1:] != d[:-1]
+            doc_new[1:] |= (d[1:] != d[:-1]) | (f[1:] != f[:-1])
             rank = np.cumsum(doc_new)
             rank -= np.maximum.accumulate(np.where(key_new, rank, 0))
             shown = np.zeros(len(s), bool)
@@ -71,6 +73,7 @@ def _lines(batches: Iterator[pa.RecordBatch], min_docs: int, min_chars: int) ->
 def _repeated(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[pa.RecordBatch]:
     """From rows in order of (h1, h2, doc_id, print, line): keys of ``min_docs`` documents or more with their first line."""
     first, n, last = None, 0, None
+    own = lambda x: (x[2], x[3] if x[2] is None else 0)
 
     def done(out: list) -> None:
         if first is not None and n >= min_docs:
@@ -84,9 +87,9 @@ def _repeated(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[pa.R
         for x in zip(*[batch.column(k).to_pylist() for k in ("h1", "h2", "doc_id", "print", "line")]):
             if first is None or x[:2] != first[:2]:
                 done(out)
-                first, n, last = x, 1, x[2]
-            elif x[2] != last:
-                n, last = n + 1, x[2]
+                first, n, last = x, 1, own(x)
+            elif own(x) != last:
+                n, last = n + 1, own(x)
         if out:
             yield batch_of(out)
     out = []
@@ -124,7 +127,7 @@ def line_keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return lost.groupBy("doc_id", "print").agg(F.collect_set("line").alias("lost")).mapInArrow(_bitmaps, "doc_id long, print long, keep_bitmap binary")
 
 
-def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _applied(batches: Iterator[pa.RecordBatch], text_name: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rest, texts, n_lines, n_dropped = batch.schema.names[:-2], [], [], []
         for text, bitmap in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)):
@@ -137,15 +140,17 @@ def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts.append(text)
             n_lines.append(total)
             n_dropped.append(lost)
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*rest, "_text", "_n_lines", "_n_dropped"])
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*rest, text_name, "_n_lines", "_n_dropped"])
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the kept lines as text and ``_n_lines`` and ``_n_dropped``; a document may be left with an empty text."""
-    maps = line_keep_bitmaps(docs, id_col, text_col, **options).withColumnsRenamed({"doc_id": "_id", "print": "_print", "keep_bitmap": "_keep_bitmap"})
-    same = docs[id_col].cast("long").eqNullSafe(maps["_id"]) & (F.xxhash64(docs[text_col]) == maps["_print"])
+    docs = docs.drop("_n_lines", "_n_dropped")
+    own = {c: free_name(docs, f"_{c}") for c in ("doc_id", "print", "keep_bitmap", "text")}
+    maps = line_keep_bitmaps(docs, id_col, text_col, **options).withColumnsRenamed({c: own[c] for c in ("doc_id", "print", "keep_bitmap")})
+    same = docs[id_col].cast("long").eqNullSafe(maps[own["doc_id"]]) & (F.xxhash64(docs[text_col]) == maps[own["print"]])
     rest = [c for c in docs.columns if c != text_col]
-    both = docs.join(maps, same, "left").select(*rest, docs[text_col].alias("_text"), "_keep_bitmap")
+    both = docs.join(maps, same, "left").select(*rest, docs[text_col].alias(own["text"]), own["keep_bitmap"])
     fields = "".join(f"`{c}` {t}, " for c, t in docs.select(*rest).dtypes)
-    out = both.mapInArrow(_applied, f"{fields}_text string, _n_lines long, _n_dropped long")
-    return out.select(*[F.col("_text").alias(c) if c == text_col else F.col(c) for c in docs.columns], "_n_lines", "_n_dropped")
+    out = both.mapInArrow(partial(_applied, text_name=own["text"]), f"{fields}`{own['text']}` string, _n_lines long, _n_dropped long")
+    return out.select(*[F.col(own["text"]).alias(c) if c == text_col else F.col(c) for c in docs.columns], "_n_lines", "_n_dropped")

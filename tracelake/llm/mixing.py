@@ -7,7 +7,8 @@ Spark finds that table small.
 
 A null text has size 0; a null source is a source of its own and comes last; rows that agree in id and text are taken alike,
 and rows with a null or shared id are told apart by their text.
-Sources whose documents have no words get the target 0. Extra columns pass through unchanged.
+Sources whose documents have no words get the target 0. Extra columns pass through unchanged, whatever their names (in ``mix`` but
+for the copy column, which takes the place of one of its name); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import SPACED_WORD, stored
+from tracelake.llm.common import SPACED_WORD, free_name, stored
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -54,22 +55,24 @@ def hash_uniform(seed: str, key: Column) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mix_rates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, **options) -> DataFrame:
-    """``docs`` with ``_mix``: a struct of size, source_size, target and copies."""
+def mix_rates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, out_col: str = "_mix", **options) -> DataFrame:
+    """``docs`` with ``out_col``, in place of a column of that name: a struct of size, source_size, target and copies."""
+    docs = docs.drop(out_col)
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(SPACED_WORD)).cast("long")
     targets = source_targets(docs.select(F.col(source_col).alias("source"), size.alias("size")), **options)
     #: stored, so that its size is known before the join is planned: by broadcast, documents stay where they are
-    targets = stored(targets, "mix-targets").select(F.struct("source", "source_size", "target").alias("_mix"))
-    out = docs.join(targets, docs[source_col].eqNullSafe(targets["_mix"]["source"]), "left")
-    whole, goal = F.col("_mix")["source_size"], F.col("_mix")["target"]
+    targets = stored(targets, "mix-targets").select(F.struct("source", "source_size", "target").alias(out_col))
+    out = docs.join(targets, docs[source_col].eqNullSafe(targets[out_col]["source"]), "left")
+    whole, goal = F.col(out_col)["source_size"], F.col(out_col)["target"]
     rate = F.when(whole > 0, goal / whole).otherwise(0.0)
     key = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     extra = (hash_uniform(seed, key) < rate - F.floor(rate)).cast("long")
-    return out.withColumn("_mix", F.struct(size.alias("size"), whole.alias("source_size"), goal.alias("target"), (F.floor(rate) + extra).alias("copies")))
+    return out.withColumn(out_col, F.struct(size.alias("size"), whole.alias("source_size"), goal.alias("target"), (F.floor(rate) + extra).alias("copies")))
 
 
 def mix(docs: DataFrame, copy_col: str = "copy", **options) -> DataFrame:
     """The mixed corpus: each document as often as it is taken, numbered from 1 in ``copy_col``."""
-    out = mix_rates(docs, **options).filter(F.col("_mix")["copies"] > 0)
-    copies = F.sequence(F.lit(1).cast("long"), F.col("_mix")["copies"])
+    own = free_name(docs, "_mix")
+    out = mix_rates(docs, out_col=own, **options).filter(F.col(own)["copies"] > 0)
+    copies = F.sequence(F.lit(1).cast("long"), F.col(own)["copies"])
     return out.select(*[c for c in docs.columns if c != copy_col], F.explode(copies).alias(copy_col))
