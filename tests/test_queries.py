@@ -35,8 +35,8 @@ def test_registered():
 
 def test_reshaping_has_all_frames(spark):
     n = spark.read.parquet(f"{DATA}/embeddings.parquet").selectExpr("sum(size(embedding))").first()[0]
-    assert len(QUERIES["a1_long_to_wide_all"](spark, DATA).columns) == 65
-    assert QUERIES["a2_wide_to_long_all"](spark, DATA).count() == n
+    assert len(QUERIES["a1_long_to_wide"](spark, DATA).columns) == 65
+    assert QUERIES["a2_wide_to_long"](spark, DATA).count() == n
 
 
 def test_recording_tree_has_all_trajectories(spark, tmp_path):

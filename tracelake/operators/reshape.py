@@ -15,10 +15,6 @@ def to_sequences(points: DataFrame, keys: list[str], order: str, cols: list[str]
     return points.groupBy(*keys).agg(seq.alias("series"), F.count(F.lit(1)).alias("seq_len"), *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in first])
 
 
-def from_sequences(wide: DataFrame, keys: list[str], series: str = "series") -> DataFrame:
-    return wide.select(*keys, F.posexplode(series).alias("pos", "_p")).select(*keys, "pos", "_p.*")
-
-
 def to_columns(points: DataFrame, keys: list[str], pos: str, value: str, n: int, prefix: str) -> DataFrame:
     """A fixed number of columns ``<prefix>_000`` ...: for export only."""
     out = points.groupBy(*keys).pivot(pos, list(range(n))).agg(F.first(value))

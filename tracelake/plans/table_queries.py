@@ -19,29 +19,16 @@ query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
 
 
-@query("a1_long_to_wide", f"WITH {V_FRAMES} SELECT vec_id, {', '.join(f'round(max(v) FILTER (pos = {k}), 6) AS v_{k:03d}' for k in range(8))} FROM v_frames GROUP BY vec_id")
-def a1_long_to_wide(spark, sf_dir):
-    return rounded(reshape.to_columns(v_frames(spark, sf_dir).filter("pos < 8"), ["vec_id"], "pos", "v", 8, "v"))
-
-
-@query("a2_wide_to_long", f"WITH {V_FRAMES} SELECT vec_id, pos, round(v, 6) AS v FROM v_frames WHERE pos < 8")
-def a2_wide_to_long(spark, sf_dir):
-    wide = v_wide(spark, sf_dir).select("vec_id", *[F.col("series")[k].alias(f"v_{k:03d}") for k in range(8)])
-    return rounded(reshape.from_columns(wide, ["vec_id"], "v", "v"))
-
-
 N_FRAMES = 64
 
 
-@query("a1_long_to_wide_all", f"WITH {V_FRAMES} SELECT vec_id, {', '.join(f'round(max(v) FILTER (pos = {k}), 6) AS v_{k:03d}' for k in range(N_FRAMES))} FROM v_frames GROUP BY vec_id")
-def a1_long_to_wide_all(spark, sf_dir):
-    """All frames; a1_long_to_wide has the first 8, as its SQL."""
+@query("a1_long_to_wide", f"WITH {V_FRAMES} SELECT vec_id, {', '.join(f'round(max(v) FILTER (pos = {k}), 6) AS v_{k:03d}' for k in range(N_FRAMES))} FROM v_frames GROUP BY vec_id")
+def a1_long_to_wide(spark, sf_dir):
     return rounded(reshape.to_columns(v_frames(spark, sf_dir), ["vec_id"], "pos", "v", N_FRAMES, "v"))
 
 
-@query("a2_wide_to_long_all", f"WITH {V_FRAMES} SELECT vec_id, pos, round(v, 6) AS v FROM v_frames")
-def a2_wide_to_long_all(spark, sf_dir):
-    """All frames; a2_wide_to_long has the first 8, as its SQL."""
+@query("a2_wide_to_long", f"WITH {V_FRAMES} SELECT vec_id, pos, round(v, 6) AS v FROM v_frames")
+def a2_wide_to_long(spark, sf_dir):
     wide = v_wide(spark, sf_dir).select("vec_id", *[F.col("series")[k].alias(f"v_{k:03d}") for k in range(N_FRAMES)])
     return rounded(reshape.from_columns(wide, ["vec_id"], "v", "v"))
 

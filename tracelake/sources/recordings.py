@@ -38,7 +38,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def read_wide(spark: SparkSession, root: str) -> DataFrame:
-    """Every ``*.csv`` under root/dataset/source/folder with its place; values as text, columns the union of the files'."""
+    """Every ``*.csv`` under root/dataset/source/folder with its place; values as text. All files must have one header: see ``trees.read_rows`` for others."""
     df = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(root)
     path = F.col("_metadata.file_path")
     return df.select("*", path_part(path, 4).alias("dataset"), path_part(path, 3).alias("source"), path_part(path, 2).alias("folder"), F.regexp_replace(path_part(path, 1), r"\.csv$", "").alias("file_stem"))
