@@ -249,14 +249,14 @@ def a8_raw_inventory(spark, sf_dir):
 
 @query("a9_group_caps", f"WITH {V_POINTS}, q AS (SELECT cond, quantile_cont(value, [0.9, 0.95, 0.99, 0.995]) AS q FROM v_points GROUP BY 1) SELECT cond, round(q[1], 5) AS q90, round(q[2], 5) AS q95, round(q[3], 5) AS q99, round(q[4], 5) AS cap, round(0.02 * q[4], 5) AS tol FROM q")
 def a9_group_caps(spark, sf_dir):
-    q = v_points(spark, sf_dir).groupBy("cond").agg(F.percentile("value", F.array(*[F.lit(x) for x in (0.9, 0.95, 0.99, 0.995)])).alias("q"))
+    q = select.quantiles(v_points(spark, sf_dir), ["cond"], {"q": "value"}, {"q": (0.9, 0.95, 0.99, 0.995)})
     return rounded(q.select("cond", *[F.col("q")[k].alias(n) for k, n in enumerate(("q90", "q95", "q99", "cap"))], (0.02 * F.col("q")[3]).alias("tol")), 5)
 
 
 @query("j4_attach_caps", f"WITH {V_POINTS}, c AS (SELECT cond, quantile_cont(value, 0.95) AS cap FROM v_points GROUP BY 1) SELECT cond, count(*) AS n, count(*) FILTER (value >= cap) AS n_at_cap, round(any_value(cap), 5) AS cap FROM v_points JOIN c USING (cond) GROUP BY cond")
 def j4_attach_caps(spark, sf_dir):
     points = v_points(spark, sf_dir)
-    caps = points.groupBy("cond").agg(F.percentile("value", F.lit(0.95)).alias("cap"))
+    caps = select.quantiles(points, ["cond"], {"q": "value"}, {"q": (0.95,)}).select("cond", F.col("q")[0].alias("cap"))
     return rounded(points.join(caps, "cond", "left").groupBy("cond").agg(F.count("*").alias("n"), F.count_if(F.col("value") >= F.col("cap")).alias("n_at_cap"), F.first("cap").alias("cap")), 5)
 
 
@@ -268,7 +268,7 @@ def _labels(spark, sf_dir):
     s = v_series(spark, sf_dir)
     raw = s.groupBy(*KEYS).agg(F.count("*").alias("n"), F.max("value").alias("top"), F.max_by("value", "pos").alias("last"))
     clean = s.filter("value > 40").groupBy(*KEYS).agg(F.count("*").alias("n_clean"))
-    caps = s.groupBy("cond").agg(F.percentile("value", F.lit(0.98)).alias("cap"))
+    caps = select.quantiles(s, ["cond"], {"q": "value"}, {"q": (0.98,)}).select("cond", F.col("q")[0].alias("cap"))
     return raw.join(clean, KEYS).join(caps, "cond").withColumns({"censored": F.col("top") >= F.col("cap"), "gap": F.col("cap") - F.col("top")})
 
 
