@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests.conftest import DATA
 from tests.llm import brute
 from tests.llm.test_llm import DOCS
-from tracelake.llm import common, conversation_repair, order_minhash, source_audit
+from tracelake.llm import common, conversation_repair, jaccard_join, order_minhash, source_audit
 from tracelake.llm.queries import QUERIES
 
 CLASH = ["known", "id", "print", "before", "part", "head", "v", "at", "n", "df", "term", "item", "value", "rank", "sources", "counts", "salt", "k", "audit", "cost", "copies", "kind", "i", "c", "p"]
@@ -194,3 +194,57 @@ def test_lines_of_null_ids_are_counted_by_text(spark):
     got = {r["text"]: r["_n_dropped"] for r in out.collect()}
     #: the line of twelve texts goes; thirty equal rows of null id are one document, as are thirty rows of one id
     assert got == {**{f"row {i}": 1 for i in range(12)}, "twin\nx": 0, "five\nlast": 0}
+
+
+# -- 4
+
+
+def test_jaccard_shared_passages(spark, monkeypatch):
+    """Many documents share a passage and little else: its parts go to the end of the order, and no link is lost."""
+    rng = random.Random(11)
+    say = lambda k: [f"w{rng.randrange(10**9)}" for _ in range(k)]
+    passages, texts = [say(40), say(50)], []
+    for k in range(240):
+        own = say(30 if k % 2 else 22)
+        at = rng.randrange(len(own))
+        texts.append(own[:at] + passages[k % 2] + own[at:])
+    for k in range(0, 240, 9):
+        # near copies: the first few words anew, which may or may not keep the link
+        texts.append(say(1 + k % 12) + texts[k][1 + k % 12 :])
+    texts += [say(8) + passages[0], passages[0], passages[1], passages[0][:9], passages[0][:12]]
+    texts = [(i, " ".join(x)) for i, x in enumerate(texts)]
+    seen, whole, pairs = [], jaccard_join._rebrought, jaccard_join._open
+    monkeypatch.setattr(jaccard_join, "_rebrought", lambda *x: seen.append("moved") or whole(*x))
+
+    def opened(*x):
+        out = pairs(*x)
+        seen.append(out[2])
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_open", opened)
+    got = jaccard_join.jaccard_components(table_of(spark, [*texts, (None, texts[0][1]), (7, None)], "doc_id long, text string"))
+    want = brute.components(texts)
+    assert in_order(got) == sorted([*want, (None, want[0][1], None), (7, 0, 7)], key=str)
+    assert len({c for *_, c in want}) < len(texts)
+    assert seen[seen.index("moved") - 1] > 10 * seen[-1]
+
+
+def test_moved_orders_keep_the_pigeonhole():
+    """However keys are moved to the end of the order, linked sets bring one in common."""
+    rng = np.random.default_rng(3)
+    for n in (3, 16, 17, 60, 120, 400):
+        for part in range(1, 4):
+            a = rng.integers(0, 2**63, n, dtype=np.uint64)
+            drop = int(rng.integers(0, jaccard_join.most_apart(n, n) // 2 + 1))
+            b = np.concatenate([a[drop:], rng.integers(0, 2**63, drop, dtype=np.uint64)])
+            if 100 * (n - drop) < 80 * (n + drop):
+                continue
+
+            def brought(x):
+                out = set()
+                for keys, bring in jaccard_join.key_orders(np.sort(x)):
+                    late = keys % np.uint64(4) < part
+                    out |= set(np.concatenate([keys[~late], keys[late]])[:bring].tolist())
+                return out
+
+            assert brought(a) & brought(b)

@@ -44,6 +44,8 @@ SKETCH_WORDS = 4
 SMALL = 16
 #: A further round against centres comes if over FEW pairs for each row are left and the last one found a link for TEN rows.
 ROUNDS, FEW, TEN, ORDERS = 4, 8, 10, 32
+#: How often parts that hold over FEW pairs for each of their rows are moved to the end of the order.
+REORDERS = 3
 LOW = 8
 #: A text that more pairs than this name is repeated in as many partitions of the join as needed.
 HOT = 4096
@@ -65,15 +67,16 @@ def _bands(n: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def part_keys(values: np.ndarray) -> np.ndarray:
-    """The keys under which a set of hashes meets others, over its bands."""
+def key_orders(values: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """(keys in the order that all sets share, how many of them the set brings): its elements if it is small, then each band."""
     out = []
     mixed = mix64(values + U64(1))
     n = len(values)
     if n < SMALL:
         first = np.sort(mixed)[: n + 1 + -n * NUM // DEN]
         words = mix64(_sketch(values).view(U64) + np.arange(SKETCH_WORDS, dtype=U64) * U64(0x9E3779B97F4A7C15))
-        out.append(mix64(first[:, None] + words).ravel())
+        pairs = mix64(first[:, None] + words).ravel()
+        out.append((pairs, len(pairs)))
     for k, parts, bring in _bands(n):
         slot = ((mixed >> U64(32)) * U64(parts)) >> U64(32)
         order = np.argsort(slot, kind="stable")
@@ -83,8 +86,13 @@ def part_keys(values: np.ndarray) -> np.ndarray:
         counts = np.zeros(parts, dtype=np.int64)
         counts[held] = count
         keys = mix64(mix64(parity + np.arange(parts, dtype=U64) * U64(0x9E3779B97F4A7C15)) + U64(k + 1))
-        out.append(keys[np.lexsort((keys, -counts))[:bring]])
-    return np.concatenate(out)
+        out.append((keys[np.lexsort((keys, -counts))], bring))
+    return out
+
+
+def part_keys(values: np.ndarray) -> np.ndarray:
+    """The keys under which a set of hashes meets others, over its bands."""
+    return np.concatenate([keys[:bring] for keys, bring in key_orders(values)])
 
 
 def _sketch(values: np.ndarray) -> np.ndarray:
@@ -177,6 +185,23 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep))
 
 
+def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (wanted sid, text): (sid, bring, keys) for each order of the texts that have the wanted set."""
+    for batch in batches:
+        want = batch.column(0).to_pylist()
+        for a, _, data, offsets in text_slices(batch.column(1)):
+            sids, brings, keys = [], [], [np.zeros(0, U64)]
+            for i, values in enumerate(shingle_sets(data, offsets, WIDTH), a):
+                if len(values) and set_hash(values) == want[i]:
+                    for order, bring in key_orders(values):
+                        sids.append(want[i])
+                        brings.append(bring)
+                        keys.append(order)
+            ends = np.cumsum([len(x) for x in keys])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), np.concatenate(keys).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(brings, pa.int32()), lists], names=["sid", "bring", "keys"])
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = np.zeros(batch.num_rows, bool)
@@ -197,14 +222,24 @@ def _allowed(a: str, b: str) -> F.Column:
     return (small * DEN >= large * NUM) & (apart * (DEN + NUM) <= both * (DEN - NUM))
 
 
+def _bit_test(hashes: DataFrame):
+    """The one-row table of a bit set over the column ``hash``, and the test of a column against it (as the column ``bits``)."""
+    bits = bits_for(hashes.count())
+    return bit_set(hashes, bits), lambda x: has_bit(F.col("bits"), F.pmod(x, F.lit(bits)))
+
+
+def _candidates(docs: DataFrame, members: DataFrame, named: DataFrame) -> DataFrame:
+    """(sid, text) of the documents that stand for the sets ``named``. A bit set of ids keeps most other texts from the shuffle."""
+    wanted = stored(members.join(named, "sid", "left_semi").select("doc_id", "sid"), "jaccard-wanted")
+    packed, has = _bit_test(wanted.select(F.xxhash64("doc_id").alias("hash")))
+    docs = docs.withColumn("bits", packed.scalar()).filter(has(F.xxhash64("doc_id")))
+    return docs.join(wanted, "doc_id").select("sid", "text")
+
+
 def _texts_of(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(sid, text): one text for each set that a pair names. A bit set of their ids keeps most other texts from the shuffle."""
+    """(sid, text): one text for each set that a pair names."""
     named = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    wanted = stored(members.join(named, "sid", "left_semi").select("doc_id", "sid"), "jaccard-wanted")
-    bits = bits_for(wanted.count())
-    packed = bit_set(wanted.select(F.xxhash64("doc_id").alias("hash")), bits)
-    docs = docs.withColumn("bits", packed.scalar()).filter(has_bit(F.col("bits"), F.pmod(F.xxhash64("doc_id"), F.lit(bits))))
-    return stored(docs.join(wanted, "doc_id").select("sid", "text").mapInArrow(_texts, "sid long, text string").dropDuplicates(["sid"]), "jaccard-texts")
+    return stored(_candidates(docs, members, named).mapInArrow(_texts, "sid long, text string").dropDuplicates(["sid"]), "jaccard-texts")
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -230,14 +265,47 @@ def _merged(parts: DataFrame, found: DataFrame) -> DataFrame:
     return connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
 
 
-def _components_of(docs: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, component) over the links among ``sets``: (sid, n, sketch, keys that others have too).
+def _open(sets: DataFrame, parts: DataFrame) -> tuple[DataFrame, int, int]:
+    """(key, n, pairs) of the keys that hold members of different components; their rows and pairs in all."""
+    held = _exploded(sets.select("sid", "keys"), parts).groupBy("key", "component").agg(F.count("*").alias("n"))
+    held = held.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")).filter("n * n > same")
+    held = stored(held.select("key", "n", F.expr("(n * n - same) div 2").alias("pairs")), "jaccard-open")
+    return held, *held.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
+
+
+def _sets(keys: DataFrame, members: DataFrame) -> DataFrame:
+    """(sid, n, sketch, keys that others have too) from rows (key, sid)."""
+    met = keys.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_met, "key long, sid long")
+    return stored(met.groupBy("sid").agg(F.collect_list("key").alias("keys")).join(members.drop("doc_id"), "sid"), "jaccard-met")
+
+
+def _rebrought(docs: DataFrame, rows: DataFrame, members: DataFrame, crowded: DataFrame, held: DataFrame) -> DataFrame:
+    """``_sets`` after the keys of a bit set over ``crowded`` went to the end of the order that all sets share.
+
+    Only sets that brought such a key bring others now; of the rest, the keys that were open or are brought anew take part.
+    """
+    packed, late = _bit_test(crowded.select(F.col("key").alias("hash")))
+    marked = rows.filter("doc_id is not null and size(keys) > 0").withColumn("bits", packed.scalar())
+    marked = marked.select("sid", "keys", F.exists("keys", late).alias("again"))
+    orders = _candidates(docs, members, marked.filter("again").select("sid").distinct()).mapInArrow(_orders, "sid long, bring int, keys array<long>")
+    order = F.concat(F.filter("keys", lambda x: ~late(x)), F.filter("keys", late))
+    new = orders.withColumn("bits", packed.scalar()).select(F.slice(order, 1, F.col("bring")).alias("keys"), "sid")
+    new = stored(new.select(F.explode("keys").alias("key"), "sid"), "jaccard-again")
+    packed, wanted = _bit_test(new.select("key").union(held.select("key")).select(F.col("key").alias("hash")))
+    rest = marked.filter("not again").select(F.explode("keys").alias("key"), "sid").withColumn("bits", packed.scalar()).filter(wanted(F.col("key"))).drop("bits")
+    return _sets(new.union(rest), members)
+
+
+def _components_of(docs: DataFrame, rows: DataFrame, members: DataFrame) -> DataFrame:
+    """(node, component) over the links among the sets of ``rows``.
 
     In each round, the members of a part are tied to its first by rank: in half of the parts of the first round that is the
-    member of the most shared parts, in the others one by a hash, in one of ``ORDERS`` orders that parts have in common. The
-    last step takes all pairs of members in different components that sizes and sketches allow.
+    member of the most shared parts, in the others one by a hash, in one of ``ORDERS`` orders that parts have in common. Parts
+    that still hold many pairs for each row then go to the end of the order, up to ``REORDERS`` times. The last step takes all
+    pairs of members in different components that sizes and sketches allow.
     """
-    spark = sets.sparkSession
+    spark = docs.sparkSession
+    sets = _sets(rows.select(F.explode("keys").alias("key"), "sid"), members)
     checked = spark.createDataFrame([], "a long, b long")
     parts = spark.createDataFrame([], "node long, component long")
     for k in range(ROUNDS):
@@ -252,15 +320,20 @@ def _components_of(docs: DataFrame, members: DataFrame, sets: DataFrame) -> Data
         found = stored(_links(pairs, _texts_of(docs, members, pairs)), "jaccard-links")
         checked = checked.union(pairs)
         parts = stored(_merged(parts, found), "jaccard-parts")
-        held = _exploded(sets.select("sid", "keys"), parts).groupBy("key", "component").agg(F.count("*").alias("n"))
-        held = held.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")).filter("n * n > same")
-        open_keys = stored(held, "jaccard-open")
-        left = open_keys.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sum(F.expr("(n * n - same) div 2")).alias("pairs")).first()
-        open_keys = open_keys.select("key")
-        if not left["rows"]:
+        held, n_rows, n_pairs = _open(sets, parts)
+        open_keys = held.select("key")
+        if not n_rows:
             return parts
-        if left["pairs"] <= FEW * left["rows"] or TEN * found.count() < left["rows"]:
+        if n_pairs <= FEW * n_rows or TEN * found.count() < n_rows:
+            break
+    crowded = held.filter(F.col("pairs") > FEW * F.col("n")).select("key")
+    for _ in range(REORDERS):
+        if n_pairs <= FEW * n_rows:
             break
+        sets = _rebrought(docs, rows, members, crowded, held)
+        held, n_rows, n_pairs = _open(sets, parts)
+        crowded = stored(crowded.union(held.filter(F.col("pairs") > FEW * F.col("n")).select("key")).distinct(), "jaccard-crowded")
+        open_keys = held.select("key")
     low = sets.withColumn("low", F.slice(F.sort_array("keys"), 1, LOW))
     full = stored(_exploded(low, parts).join(open_keys, "key", "left_semi"), "jaccard-left")
     a, b = (full.select("key", *[F.col(c).alias(f"{side}_{c}") for c in full.columns if c != "key"]) for side in "ab")
@@ -279,10 +352,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = rows.filter("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", *SKETCH)])
     members = stored(members, "jaccard-sets")
 
-    keys = rows.select("sid", F.explode("keys").alias("key")).select("key", "sid")
-    met = keys.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_met, "key long, sid long")
-    sets = stored(met.groupBy("sid").agg(F.collect_list("key").alias("keys")).join(members.drop("doc_id"), "sid"), "jaccard-met")
-    parts = _components_of(docs, members, sets)
+    parts = _components_of(docs, rows, members)
 
     label = members.select("sid", "doc_id").join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
