@@ -13,7 +13,11 @@ of parts brought grows with the text's length only.
 Documents with equal sets are one member from the start. The members that meet in a part are streamed in sorted order and
 tied to the first, which is linear in the rows; it is the one with the most shared parts (of a family of near copies the
 likeliest original) or one by a hash. Ties whose sizes and 256-bit sketches allow a link (Hamming distance again bounds the difference from below) are
-verified on whole texts and joined to components. At the end all pairs of members that met but lie in different components
+verified on whole texts and joined to components. Parts that many members share without a link (a common passage) then go to
+the end of the order, by a bit set of their keys, which any two sets read alike: sets that brought one of them bring rarer parts
+instead, and the pigeonhole bound holds for each such order. A false bit moves a rare part, which loses nothing. Members that
+have too few other parts still meet in a common one: those with about 0.6 and more of their shingles in common with the rest,
+whose pairs that part compares in one group of Spark's sorted join. At the end all pairs of members that met but lie in different components
 are taken, under the same conditions, and verified as well. A pair that met in many parts comes from one of them: each
 member carries its ``LOW`` smallest part keys, and of those that both carry only the smallest gives the pair; a pair without
 any such key comes from each part. Groups are streamed or joined in sorted order, never collected.
@@ -44,8 +48,6 @@ SKETCH_WORDS = 4
 SMALL = 16
 #: A further round against centres comes if over FEW pairs for each row are left and the last one found a link for TEN rows.
 ROUNDS, FEW, TEN, ORDERS = 4, 8, 10, 32
-#: How often parts that hold over FEW pairs for each of their rows are moved to the end of the order.
-REORDERS = 3
 LOW = 8
 #: A text that more pairs than this name is repeated in as many partitions of the join as needed.
 HOT = 4096
@@ -301,8 +303,8 @@ def _components_of(docs: DataFrame, rows: DataFrame, members: DataFrame) -> Data
 
     In each round, the members of a part are tied to its first by rank: in half of the parts of the first round that is the
     member of the most shared parts, in the others one by a hash, in one of ``ORDERS`` orders that parts have in common. Parts
-    that still hold many pairs for each row then go to the end of the order, up to ``REORDERS`` times. The last step takes all
-    pairs of members in different components that sizes and sketches allow.
+    that still hold over ``FEW`` pairs for each row then go to the end of the order, again and again while that halves the
+    pairs. The last step takes all pairs of members in different components that sizes and sketches allow.
     """
     spark = docs.sparkSession
     sets = _sets(rows.select(F.explode("keys").alias("key"), "sid"), members)
@@ -327,9 +329,9 @@ def _components_of(docs: DataFrame, rows: DataFrame, members: DataFrame) -> Data
         if n_pairs <= FEW * n_rows or TEN * found.count() < n_rows:
             break
     crowded = held.filter(F.col("pairs") > FEW * F.col("n")).select("key")
-    for _ in range(REORDERS):
-        if n_pairs <= FEW * n_rows:
-            break
+    before = 2 * n_pairs
+    while FEW * n_rows < n_pairs <= before // 2:
+        before = n_pairs
         sets = _rebrought(docs, rows, members, crowded, held)
         held, n_rows, n_pairs = _open(sets, parts)
         crowded = stored(crowded.union(held.filter(F.col("pairs") > FEW * F.col("n")).select("key")).distinct(), "jaccard-crowded")
