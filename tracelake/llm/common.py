@@ -70,16 +70,17 @@ def bound_to(value: Column, f) -> Column:
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 25
 
 
-def bits_for(n: int) -> int:
-    """A power of two of at least 128 bits for each of ``n`` things, within bounds (4 MB at most)."""
-    return min(MOST_BITS, max(LEAST_BITS, 1 << (128 * n).bit_length()))
+def bits_for(n: int, each: int = 128) -> int:
+    """A power of two of at least ``each`` bits for each of ``n`` things, within bounds (4 MB at most)."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (each * n).bit_length()))
 
 
 def bit_set(hashes: DataFrame, bits: int) -> DataFrame:
     """One row: ``bits``, an array of longs that has the bit of each number in the column ``hash``."""
     slots = hashes.select(F.pmod("hash", F.lit(bits)).alias("slot"))
-    full = slots.groupBy(F.shiftright("slot", 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
-    dense = hashes.sparkSession.range(0, bits // 64, 1, 1).join(full, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    ones = slots.select(F.shiftright("slot", 6).alias("id"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bits"))
+    zeros = hashes.sparkSession.range(0, bits // 64, 1, 1).select("id", F.lit(0).cast("long").alias("bits"))
+    dense = ones.union(zeros).groupBy("id").agg(F.bit_or("bits").alias("bits"))
     return dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bits"))
 
 

@@ -224,9 +224,9 @@ def _allowed(a: str, b: str) -> F.Column:
     return (small * DEN >= large * NUM) & (apart * (DEN + NUM) <= both * (DEN - NUM))
 
 
-def _bit_test(hashes: DataFrame):
+def _bit_test(hashes: DataFrame, each: int = 128):
     """The one-row table of a bit set over the column ``hash``, and the test of a column against it (as the column ``bits``)."""
-    bits = bits_for(hashes.count())
+    bits = bits_for(hashes.count(), each)
     return bit_set(hashes, bits), lambda x: has_bit(F.col("bits"), F.pmod(x, F.lit(bits)))
 
 
@@ -293,7 +293,8 @@ def _rebrought(docs: DataFrame, rows: DataFrame, members: DataFrame, crowded: Da
     order = F.concat(F.filter("keys", lambda x: ~late(x)), F.filter("keys", late))
     new = orders.withColumn("bits", packed.scalar()).select(F.slice(order, 1, F.col("bring")).alias("keys"), "sid")
     new = stored(new.select(F.explode("keys").alias("key"), "sid"), "jaccard-again")
-    packed, wanted = _bit_test(new.select("key").union(held.select("key")).select(F.col("key").alias("hash")))
+    # a false bit only takes a row of two numbers along
+    packed, wanted = _bit_test(new.select("key").union(held.select("key")).select(F.col("key").alias("hash")), 16)
     rest = marked.filter("not again").select(F.explode("keys").alias("key"), "sid").withColumn("bits", packed.scalar()).filter(wanted(F.col("key"))).drop("bits")
     return _sets(new.union(rest), members)
 
