@@ -18,7 +18,7 @@ the end of the order, by a bit set of their keys, which any two sets read alike:
 instead, and the pigeonhole bound holds for each such order. A false bit moves a rare part, which loses nothing. Members that
 have too few other parts still meet in a common one: those with about 0.6 and more of their shingles in common with the rest,
 whose pairs that part compares in one group of Spark's sorted join. At the end all pairs of members that met but lie in different components
-are taken, under the same conditions, and verified as well. A pair that met in many parts comes from one of them: each
+are taken, under the same conditions and that of a sketch of 1024 bits, and verified as well. A pair that met in many parts comes from one of them: each
 member carries its ``LOW`` smallest part keys, and of those that both carry only the smallest gives the pair; a pair without
 any such key comes from each part. Groups are streamed or joined in sorted order, never collected.
 
@@ -30,6 +30,7 @@ rows carry the id. Set identity and shingle equality rest on 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +44,14 @@ from tracelake.llm.textkit import U64, mix64, set_hash, shingle_sets, text_slice
 WIDTH = 5
 #: Two sets link when DEN * intersection >= NUM * union.
 NUM, DEN = 80, 100
-SKETCH_WORDS = 4
+SKETCH_WORDS, WIDE_WORDS = 4, 16
 #: Sets of fewer elements meet in elements, not in parts: small sets would have empty parts in common.
 SMALL = 16
 #: A further round against centres comes if over FEW pairs for each row are left and the last one found a link for TEN rows.
 ROUNDS, FEW, TEN, ORDERS = 4, 8, 10, 32
 LOW = 8
+#: Bits that a crowded key has in their bit set: at 128 bits a key, about one other key in a million has all of them.
+PROBES = 4
 #: A text that more pairs than this name is repeated in as many partitions of the join as needed.
 HOT = 4096
 
@@ -97,14 +100,16 @@ def part_keys(values: np.ndarray) -> np.ndarray:
     return np.concatenate([keys[:bring] for keys, bring in key_orders(values)])
 
 
-def _sketch(values: np.ndarray) -> np.ndarray:
-    """256 parity bits as four signed longs."""
-    bits = np.bincount((values >> U64(56)).astype(np.int64), minlength=256).astype(np.uint8) & 1
+def _sketch(values: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
+    """64 parity bits a word, as signed longs; ``words`` is a power of two."""
+    size = 64 * words
+    bits = np.bincount((values >> U64(65 - size.bit_length())).astype(np.int64), minlength=size).astype(np.uint8) & 1
     return np.packbits(bits).view(np.int64)
 
 
 SKETCH = [f"s{j}" for j in range(SKETCH_WORDS)]
-MEMBER = "doc_id long, sid long, n long, " + ", ".join(f"{c} long" for c in SKETCH) + ", keys array<long>"
+WIDE = [f"w{j}" for j in range(WIDE_WORDS)]
+MEMBER = "doc_id long, sid long, n long, " + ", ".join(f"{c} long" for c in SKETCH + WIDE) + ", keys array<long>"
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,19 +118,19 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, known = batch.column(0).cast(pa.int64()), batch.column(0).is_valid().to_pylist()
         seen: set[int] = set()
         for a, b, data, offsets in text_slices(batch.column(1)):
-            sids, sizes, bits, keys = [], [], np.zeros((b - a, SKETCH_WORDS), np.int64), []
+            sids, sizes, bits, keys = [], [], np.zeros((b - a, SKETCH_WORDS + WIDE_WORDS), np.int64), []
             for i, values in enumerate(shingle_sets(data, offsets, WIDTH)):
                 sids.append(set_hash(values) if len(values) else None)
                 sizes.append(len(values))
-                bits[i] = _sketch(values)
+                bits[i] = np.append(_sketch(values), _sketch(values, WIDE_WORDS))
                 brings = len(values) and known[a + i] and sids[-1] not in seen
                 keys.append(part_keys(values).view(np.int64) if brings else np.zeros(0, np.int64))
                 if brings:
                     seen.add(sids[-1])
             ends = np.cumsum([0, *map(len, keys)])
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(a, b - a), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), *[pa.array(bits[:, j]) for j in range(SKETCH_WORDS)], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), np.concatenate(keys))],
-                names=["doc_id", "sid", "n", *SKETCH, "keys"],
+                [ids.slice(a, b - a), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), *[pa.array(bits[:, j]) for j in range(bits.shape[1])], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), np.concatenate(keys))],
+                names=["doc_id", "sid", "n", *SKETCH, *WIDE, "keys"],
             )
 
 
@@ -217,17 +222,23 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(keep))
 
 
-def _allowed(a: str, b: str) -> F.Column:
+def _allowed(a: str, b: str, sketch: list[str] = SKETCH) -> F.Column:
     """Sizes and parity sketches allow a link."""
     small, large, both = F.least(f"{a}n", f"{b}n"), F.greatest(f"{a}n", f"{b}n"), F.col(f"{a}n") + F.col(f"{b}n")
-    apart = sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in SKETCH), F.lit(0))
+    apart = sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in sketch), F.lit(0))
     return (small * DEN >= large * NUM) & (apart * (DEN + NUM) <= both * (DEN - NUM))
 
 
-def _bit_test(hashes: DataFrame, each: int = 128):
-    """The one-row table of a bit set over the column ``hash``, and the test of a column against it (as the column ``bits``)."""
+def _bit_test(hashes: DataFrame, each: int = 128, probes: int = 1):
+    """The one-row table of a bit set over the column ``hash``, and the test of a column against it (as the column ``bits``).
+
+    With one of ``probes``, a set of many keys that is tested key by key nearly always has a false one.
+    """
     bits = bits_for(hashes.count(), each)
-    return bit_set(hashes, bits), lambda x: has_bit(F.col("bits"), F.pmod(x, F.lit(bits)))
+    slots = lambda x: [F.shiftrightunsigned(x, 13 * j).bitwiseAND(F.lit(bits - 1).cast("long")) for j in range(probes)]
+    if probes > 1:
+        hashes = hashes.select(F.explode(F.array(*slots(F.col("hash")))).alias("hash"))
+    return bit_set(hashes, bits), lambda x: reduce(lambda p, q: p & q, [has_bit(F.col("bits"), s) for s in slots(x)])
 
 
 def _candidates(docs: DataFrame, members: DataFrame, named: DataFrame) -> DataFrame:
@@ -278,7 +289,7 @@ def _open(sets: DataFrame, parts: DataFrame) -> tuple[DataFrame, int, int]:
 def _sets(keys: DataFrame, members: DataFrame) -> DataFrame:
     """(sid, n, sketch, keys that others have too) from rows (key, sid)."""
     met = keys.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_met, "key long, sid long")
-    return stored(met.groupBy("sid").agg(F.collect_list("key").alias("keys")).join(members.drop("doc_id"), "sid"), "jaccard-met")
+    return stored(met.groupBy("sid").agg(F.collect_list("key").alias("keys")).join(members.select("sid", "n", *SKETCH), "sid"), "jaccard-met")
 
 
 def _rebrought(docs: DataFrame, rows: DataFrame, members: DataFrame, crowded: DataFrame, held: DataFrame) -> DataFrame:
@@ -286,7 +297,7 @@ def _rebrought(docs: DataFrame, rows: DataFrame, members: DataFrame, crowded: Da
 
     Only sets that brought such a key bring others now; of the rest, the keys that were open or are brought anew take part.
     """
-    packed, late = _bit_test(crowded.select(F.col("key").alias("hash")))
+    packed, late = _bit_test(crowded.select(F.col("key").alias("hash")), probes=PROBES)
     marked = rows.filter("doc_id is not null and size(keys) > 0").withColumn("bits", packed.scalar())
     marked = marked.select("sid", "keys", F.exists("keys", late).alias("again"))
     orders = _candidates(docs, members, marked.filter("again").select("sid").distinct()).mapInArrow(_orders, "sid long, bring int, keys array<long>")
@@ -337,11 +348,12 @@ def _components_of(docs: DataFrame, rows: DataFrame, members: DataFrame) -> Data
         held, n_rows, n_pairs = _open(sets, parts)
         crowded = stored(crowded.union(held.filter(F.col("pairs") > FEW * F.col("n")).select("key")).distinct(), "jaccard-crowded")
         open_keys = held.select("key")
-    low = sets.withColumn("low", F.slice(F.sort_array("keys"), 1, LOW))
-    full = stored(_exploded(low, parts).join(open_keys, "key", "left_semi"), "jaccard-left")
+    left = stored(_exploded(sets.select("sid", "keys"), parts).join(open_keys, "key", "left_semi"), "jaccard-left")
+    held = sets.select("sid", "n", *SKETCH, F.slice(F.sort_array("keys"), 1, LOW).alias("low")).join(members.select("sid", *WIDE), "sid")
+    full = left.join(held, "sid")
     a, b = (full.select("key", *[F.col(c).alias(f"{side}_{c}") for c in full.columns if c != "key"]) for side in "ab")
     least = F.array_min(F.array_intersect("a_low", "b_low"))
-    pairs = a.join(b, "key").filter("a_sid < b_sid and a_component <> b_component").filter(_allowed("a_", "b_")).filter(F.coalesce(least, "key") == F.col("key"))
+    pairs = a.join(b, "key").filter("a_sid < b_sid and a_component <> b_component").filter(_allowed("a_", "b_")).filter(_allowed("a_", "b_", WIDE)).filter(F.coalesce(least, "key") == F.col("key"))
     pairs = pairs.select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).distinct()
     pairs = stored(pairs.join(checked, ["a", "b"], "left_anti"), "jaccard-pairs")
     found = stored(_links(pairs, _texts_of(docs, members, pairs)), "jaccard-links")
@@ -352,7 +364,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(doc_id, n_shingles, component_id) for each row; component_id is the smallest doc_id reachable by links."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = stored(docs.mapInArrow(_members, MEMBER), "jaccard-members")
-    members = rows.filter("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", *SKETCH)])
+    members = rows.filter("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", *SKETCH, *WIDE)])
     members = stored(members, "jaccard-sets")
 
     parts = _components_of(docs, rows, members)
