@@ -28,6 +28,8 @@ from tracelake.llm.common import SPACE_CHARS, free_name, stored
 from tracelake.llm.textkit import text_slices
 
 MIN_DOCS, MIN_CHARS = 10, 1
+#: Bytes of text over which a task thins out a key's lines, and rows of which it holds the kept texts at once.
+LINES_BYTES, HELD_ROWS = 2 << 20, 500
 _TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _STRIP = SPACE_CHARS.encode()
 
@@ -43,7 +45,7 @@ def _lines(batches: Iterator[pa.RecordBatch], min_docs: int, min_chars: int) ->
         prints, lost = batch.column(1).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
         #: a document is its id or, where that is null, its text
         known = np.where(lost, prints, ids.fill_null(0).to_numpy())
-        for a, b, data, offsets in text_slices(batch.column(2)):
+        for a, b, data, offsets in text_slices(batch.column(2), LINES_BYTES):
             raw = data.tobytes()
             row, line, digests = [], [], []
             for i in range(b - a):
@@ -116,9 +118,8 @@ def line_keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
     lines = read.mapInArrow(partial(_lines, min_docs=min_docs, min_chars=max(1, min_chars)), "doc_id long, print long, line int, h1 long, h2 long, shown boolean")
     lines = stored(lines, "lines")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["h1", "h2", "doc_id", "print", "line"]
-    ranged = lines.filter("shown").select(*order).repartitionByRange(parts, "h1", "h2").sortWithinPartitions(*order)
+    ranged = lines.filter("shown").select(*order).repartitionByRange("h1", "h2").sortWithinPartitions(*order)
     repeated = ranged.mapInArrow(partial(_repeated, min_docs=min_docs), "h1 long, h2 long, first_id long, first_print long, first_line int")
     #: stored, so that its size is known before the join is planned
     lost = lines.join(stored(repeated, "lines-repeated"), ["h1", "h2"])
@@ -128,7 +129,7 @@ def line_keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def _applied(batches: Iterator[pa.RecordBatch], text_name: str) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (whole.slice(k, HELD_ROWS) for whole in batches for k in range(0, whole.num_rows, HELD_ROWS)):
         rest, texts, n_lines, n_dropped = batch.schema.names[:-2], [], [], []
         for text, bitmap in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)):
             text = text.as_py() or ""
