@@ -18,13 +18,13 @@ the end of the order, by a bit set of their keys, which any two sets read alike:
 instead, and the pigeonhole bound holds for each such order. A false bit moves a rare part, which loses nothing. Members that
 have too few other parts still meet in a common one: those with about 0.6 and more of their shingles in common with the rest,
 whose pairs that part compares in one group of Spark's sorted join. At the end all pairs of members that met but lie in different components
-are taken, under the same conditions and that of a sketch of 1024 bits, and verified as well. A pair that met in many parts comes from one of them: each
+are taken, if their sizes and sketches of 1024 bits allow a link, and verified as well. A pair that met in many parts comes from one of them: each
 member carries its ``LOW`` smallest part keys, and of those that both carry only the smallest gives the pair; a pair without
 any such key comes from each part. Groups are streamed or joined in sorted order, never collected.
 
 Texts that are null or without words have an empty set and are linked with nothing. A null doc_id is not linked either and
 gets a null component. Rows that share a doc_id are one document if their texts agree, else each text takes part and both
-rows carry the id. Set identity and shingle equality rest on 64-bit hashes.
+rows carry the id. Set identity, shingle equality and which of an id's texts stands for a set rest on 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -109,7 +109,7 @@ def _sketch(values: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
 
 SKETCH = [f"s{j}" for j in range(SKETCH_WORDS)]
 WIDE = [f"w{j}" for j in range(WIDE_WORDS)]
-MEMBER = "doc_id long, sid long, n long, " + ", ".join(f"{c} long" for c in SKETCH + WIDE) + ", keys array<long>"
+MEMBER = "doc_id long, print long, sid long, n long, " + ", ".join(f"{c} long" for c in SKETCH + WIDE) + ", keys array<long>"
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,8 +129,8 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     seen.add(sids[-1])
             ends = np.cumsum([0, *map(len, keys)])
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(a, b - a), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), *[pa.array(bits[:, j]) for j in range(bits.shape[1])], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), np.concatenate(keys))],
-                names=["doc_id", "sid", "n", *SKETCH, *WIDE, "keys"],
+                [ids.slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), *[pa.array(bits[:, j]) for j in range(bits.shape[1])], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), np.concatenate(keys))],
+                names=["doc_id", "print", "sid", "n", *SKETCH, *WIDE, "keys"],
             )
 
 
@@ -181,29 +181,17 @@ def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sid, text) of the rows whose text has the wanted set: a doc_id may stand for more than one text."""
-    for batch in batches:
-        want = batch.column(0).to_pylist()
-        keep = np.zeros(len(want), bool)
-        for a, _, data, offsets in text_slices(batch.column(1)):
-            for i, values in enumerate(shingle_sets(data, offsets, WIDTH), a):
-                keep[i] = len(values) > 0 and set_hash(values) == want[i]
-        yield batch.filter(pa.array(keep))
-
-
 def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (wanted sid, text): (sid, bring, keys) for each order of the texts that have the wanted set."""
+    """From (sid, text): (sid, bring, keys) for each order of the texts."""
     for batch in batches:
         want = batch.column(0).to_pylist()
         for a, _, data, offsets in text_slices(batch.column(1)):
             sids, brings, keys = [], [], [np.zeros(0, U64)]
             for i, values in enumerate(shingle_sets(data, offsets, WIDTH), a):
-                if len(values) and set_hash(values) == want[i]:
-                    for order, bring in key_orders(values):
-                        sids.append(want[i])
-                        brings.append(bring)
-                        keys.append(order)
+                for order, bring in key_orders(values):
+                    sids.append(want[i])
+                    brings.append(bring)
+                    keys.append(order)
             ends = np.cumsum([len(x) for x in keys])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), np.concatenate(keys).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(brings, pa.int32()), lists], names=["sid", "bring", "keys"])
@@ -222,10 +210,10 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(keep))
 
 
-def _allowed(a: str, b: str, sketch: list[str] = SKETCH) -> F.Column:
-    """Sizes and parity sketches allow a link."""
+def _allowed(a: str, b: str) -> F.Column:
+    """Sizes and the wide parity sketches allow a link; these differ in no fewer bits than the 256 that are folded from them."""
     small, large, both = F.least(f"{a}n", f"{b}n"), F.greatest(f"{a}n", f"{b}n"), F.col(f"{a}n") + F.col(f"{b}n")
-    apart = sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in sketch), F.lit(0))
+    apart = sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in WIDE), F.lit(0))
     return (small * DEN >= large * NUM) & (apart * (DEN + NUM) <= both * (DEN - NUM))
 
 
@@ -242,17 +230,20 @@ def _bit_test(hashes: DataFrame, each: int = 128, probes: int = 1):
 
 
 def _candidates(docs: DataFrame, members: DataFrame, named: DataFrame) -> DataFrame:
-    """(sid, text) of the documents that stand for the sets ``named``. A bit set of ids keeps most other texts from the shuffle."""
-    wanted = stored(members.join(named, "sid", "left_semi").select("doc_id", "sid"), "jaccard-wanted")
+    """(sid, text): one text for each of the sets ``named``. A bit set of ids keeps most other texts from the shuffle.
+
+    A text is found by its id and print, so it is shuffled once: copies of a row lie in the partition that the join made.
+    """
+    wanted = stored(members.join(named, "sid", "left_semi").select("doc_id", "print", "sid"), "jaccard-wanted")
     packed, has = _bit_test(wanted.select(F.xxhash64("doc_id").alias("hash")))
     docs = docs.withColumn("bits", packed.scalar()).filter(has(F.xxhash64("doc_id")))
-    return docs.join(wanted, "doc_id").select("sid", "text")
+    return docs.join(wanted, ["doc_id", "print"]).select("doc_id", "print", "sid", "text").dropDuplicates(["doc_id", "print"]).select("sid", "text")
 
 
 def _texts_of(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(sid, text): one text for each set that a pair names."""
     named = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    return stored(_candidates(docs, members, named).mapInArrow(_texts, "sid long, text string").dropDuplicates(["sid"]), "jaccard-texts")
+    return stored(_candidates(docs, members, named), "jaccard-texts")
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -349,11 +340,11 @@ def _components_of(docs: DataFrame, rows: DataFrame, members: DataFrame) -> Data
         crowded = stored(crowded.union(held.filter(F.col("pairs") > FEW * F.col("n")).select("key")).distinct(), "jaccard-crowded")
         open_keys = held.select("key")
     left = stored(_exploded(sets.select("sid", "keys"), parts).join(open_keys, "key", "left_semi"), "jaccard-left")
-    held = sets.select("sid", "n", *SKETCH, F.slice(F.sort_array("keys"), 1, LOW).alias("low")).join(members.select("sid", *WIDE), "sid")
+    held = sets.select("sid", "n", F.slice(F.sort_array("keys"), 1, LOW).alias("low")).join(members.select("sid", *WIDE), "sid")
     full = left.join(held, "sid")
     a, b = (full.select("key", *[F.col(c).alias(f"{side}_{c}") for c in full.columns if c != "key"]) for side in "ab")
     least = F.array_min(F.array_intersect("a_low", "b_low"))
-    pairs = a.join(b, "key").filter("a_sid < b_sid and a_component <> b_component").filter(_allowed("a_", "b_")).filter(_allowed("a_", "b_", WIDE)).filter(F.coalesce(least, "key") == F.col("key"))
+    pairs = a.join(b, "key").filter("a_sid < b_sid and a_component <> b_component").filter(_allowed("a_", "b_")).filter(F.coalesce(least, "key") == F.col("key"))
     pairs = pairs.select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b")).distinct()
     pairs = stored(pairs.join(checked, ["a", "b"], "left_anti"), "jaccard-pairs")
     found = stored(_links(pairs, _texts_of(docs, members, pairs)), "jaccard-links")
@@ -362,9 +353,9 @@ def _components_of(docs: DataFrame, rows: DataFrame, members: DataFrame) -> Data
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row; component_id is the smallest doc_id reachable by links."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("print"))
     rows = stored(docs.mapInArrow(_members, MEMBER), "jaccard-members")
-    members = rows.filter("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", *SKETCH, *WIDE)])
+    members = rows.filter("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min_by("print", "doc_id").alias("print"), *[F.first(c).alias(c) for c in ("n", *SKETCH, *WIDE)])
     members = stored(members, "jaccard-sets")
 
     parts = _components_of(docs, rows, members)
