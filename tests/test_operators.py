@@ -3,6 +3,7 @@
 import math
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -373,3 +374,29 @@ def test_replicates_are_poisson(spark):
     got = drawn.groupBy("rep").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("w")).alias("q")).collect()
     assert sorted(r["rep"] for r in got) == [1, 2, 3, 4, 5, 6]
     assert all(abs(r["n"] / 2000 - 1) < 0.1 and abs(r["q"] / 2000 - 2) < 0.3 for r in got)
+
+
+@pytest.mark.parametrize("keys", [["g"], []])
+def test_replicate_sums_are_those_of_replicated_rows(spark, keys):
+    """Keys that come back, long and missing keys, and values that are missing or no number."""
+    odd = {3: math.nan, 7: math.inf, 11: None}
+    rows = [("a" if k % 3 else None, None if k % 10 == 9 else "x" * (60 if k % 10 == 8 else 1) + str(k % 40), odd.get(k, k / 7), None if k % 2 else 1.0) for k in range(400)]
+    rows += [("none", "y", None, None), ("b", "z", 1.5, 2.5)]
+    df = spark.createDataFrame(rows, "g string, c string, s double, t double").repartition(3)
+    want = score.replicated(df, "c", 10, "seed").groupBy(*keys, "rep").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in "st"])
+    plain = lambda out: {tuple(r[k] for k in [*keys, "rep"]): tuple(r[c] for c in "st") for r in out.collect()}
+    got, want = plain(score.replicated_sums(df, keys, "c", 10, "seed", ["s", "t"])), plain(want)
+    assert set(got) == set(want)
+    for k, sums in want.items():
+        assert got[k] == tuple(None if x is None else pytest.approx(x, nan_ok=True) for x in sums), k
+
+
+def test_bootstrap_draws_a_key_once_in_a_task(spark, monkeypatch):
+    """The time of a bootstrap is that of its digests: one for each key and block of a batch, in arrays."""
+    from tracelake.functions import draws
+
+    sizes, digests = [], draws._digests
+    monkeypatch.setattr(draws, "_digests", lambda prefixes, *a: sizes.append(len(prefixes) * len(a[-1])) or digests(prefixes, *a))
+    batch = pa.RecordBatch.from_pydict({"g": ["a", "b"] * 500, "k": [str(i % 25) for i in range(1000)], "v": [1.0] * 1000})
+    out = next(score._replicate(iter([batch]), 1, 50, "s", ["g", "rep", "v"]))
+    assert sizes == [13 * 25] and out.num_rows <= 2 * 50

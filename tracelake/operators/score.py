@@ -7,11 +7,16 @@ exploded after a pre-aggregation where the counts allow it.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracelake.functions.draws import poisson_counts
 from tracelake.functions.scalars import normal_cdf, normal_pdf, ratio
 from tracelake.operators.select import joined, quantiles, stored
 
@@ -173,14 +178,61 @@ def replicated(df: DataFrame, key: str | Column, reps: int, seed: str) -> DataFr
     return blocks.select(*df.columns, F.inline(four)).filter(f"w > 0 and rep <= {reps}")
 
 
+def _replicate(batches: Iterator[pa.RecordBatch], p: int, reps: int, seed: str, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Weighted sums of the last ``p`` columns of batches by the columns before these, the last of which is the key to draw by."""
+    for batch in batches:
+        *groups, key = batch.columns[:-p]
+        #: a key that a batch has more than once is drawn once
+        key = key.dictionary_encode()
+        w = poisson_counts(key.dictionary, reps, seed)[:, key.indices.to_numpy()]
+        x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[-p:]], 1)
+        known = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns[-p:]], 1)
+        #: zero times these is no number, so they are added up where they are taken only
+        odd = (known & ~np.isfinite(x)).any(1)
+        even = np.where(known & ~odd[:, None], x, 0.0)
+        group = np.zeros(batch.num_rows, np.int64)
+        for c in groups:
+            c = c.dictionary_encode("encode")
+            group = np.unique(group * len(c.dictionary) + c.indices.to_numpy(), return_inverse=True)[1]
+        if not batch.num_rows:
+            continue
+        order = np.argsort(group, kind="stable")
+        firsts, sums, counts, taken = [], [], [], []
+        for rows in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+            firsts.append(rows[0])
+            own = w[:, rows].astype(float)
+            sums.append(own @ even[rows])
+            for k in rows[odd[rows]]:
+                sums[-1] += np.where((w[:, k, None] > 0) & known[k], w[:, k, None] * np.where(known[k], x[k], 0.0), 0.0)
+            counts.append(own @ known[rows])
+            taken.append(own.any(1))
+        keep = np.concatenate(taken)
+        sums, counts = np.concatenate(sums)[keep], np.concatenate(counts)[keep]
+        at = pa.array(np.repeat(firsts, reps)[keep])
+        rep = pa.array(np.tile(np.arange(1, reps + 1, dtype=np.int32), len(firsts))[keep])
+        yield pa.RecordBatch.from_arrays([*[c.take(at) for c in groups], rep, *[pa.array(sums[:, k], mask=counts[:, k] == 0) for k in range(p)]], names=names)
+
+
+def replicated_sums(df: DataFrame, keys: list[str], key: str | Column, reps: int, seed: str, cols: list[str]) -> DataFrame:
+    """(keys, rep, weighted sums of ``cols``): the sums by replicate over the rows of :func:`replicated`, which aren't made.
+
+    A task draws the counts of a batch's keys as arrays and sends one row for each group and replicate of a batch. Rows need not
+    be reduced to one per cluster, as a weighted sum of a cluster's sum is that of its rows.
+    """
+    k = F.coalesce((F.col(key) if isinstance(key, str) else key).cast("string"), F.lit("null"))
+    rows = df.select(*keys, k.alias("_key"), *[F.col(c).cast("double").alias(c) for c in cols])
+    out = df.select(*keys, F.lit(1).alias("rep"), *[F.col(c).cast("double").alias(c) for c in cols])
+    parts = rows.mapInArrow(partial(_replicate, p=len(cols), reps=reps, seed=seed, names=out.columns), out.schema)
+    return parts.groupBy(*keys, "rep").agg(*[F.sum(c).alias(c) for c in cols])
+
+
 def bootstrap_ci(df: DataFrame, keys: list[str], cluster: str, reps: int, seed: str, level: float = 0.95) -> DataFrame:
     """Percentile intervals of rmse, mae and bias by a cluster bootstrap.
 
-    Clusters are reduced to (n, sum, sum of absolutes, sum of squares) once; a replicate only reweights these rows, and its
-    sums are combined before they are shuffled.
+    A replicate reweights the rows by the counts of their clusters; only its sums are shuffled.
     """
-    sums = df.groupBy(*keys, cluster).agg(F.count("resid").alias("n"), F.sum("resid").alias("s"), F.sum("abs_err").alias("a"), F.sum(F.col("resid") * F.col("resid")).alias("q"))
-    each = replicated(sums, cluster, reps, seed).groupBy(*keys, "rep").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in "nsaq"])
+    rows = df.select(*keys, F.col(cluster).alias("_cluster"), F.col("resid").isNotNull().cast("double").alias("n"), F.col("resid").alias("s"), F.col("abs_err").alias("a"), (F.col("resid") * F.col("resid")).alias("q"))
+    each = replicated_sums(rows, keys, "_cluster", reps, seed, list("nsaq"))
     each = each.select(*keys, F.sqrt(F.col("q") / F.col("n")).alias("rmse"), (F.col("a") / F.col("n")).alias("mae"), (F.col("s") / F.col("n")).alias("bias"))
     low, high = (1 - level) / 2, (1 + level) / 2
     #: one row a replicate is left
