@@ -400,3 +400,20 @@ def test_bootstrap_draws_a_key_once_in_a_task(spark, monkeypatch):
     batch = pa.RecordBatch.from_pydict({"g": ["a", "b"] * 500, "k": [str(i % 25) for i in range(1000)], "v": [1.0] * 1000})
     out = next(score._replicate(iter([batch]), 1, 50, "s", ["g", "rep", "v"]))
     assert sizes == [13 * 25] and out.num_rows <= 2 * 50
+
+
+def test_calibration_takes_few_passes(spark):
+    """Residuals far beyond delta: steps under J'WJ alone come nearer by a constant share and needed 31 passes without an end."""
+    from tracelake.plans import model_queries
+    from tests.conftest import DATA
+
+    rows, model = model_queries._delay(spark, DATA)
+    found = solve.calibrate(rows, model, "y", model_queries.DELAY, 1.0)
+    assert found.converged and found.steps <= 25 and found.cost <= 35722.456
+
+
+def test_missing_values_have_no_part_in_a_calibration(spark):
+    rows = [(float(t), 3.0 * t + 0.5 * (-1) ** t) for t in range(1, 40)]
+    fit = lambda rows: solve.calibrate(spark.createDataFrame(rows, "t double, y double"), lambda p: p["k"] * F.col("t"), "y", [solve.Parameter("k", 1.0, 0.1, 10.0)], 1.0)
+    plain, more = fit(rows), fit([*rows, (None, 1.0), (5.0, None), (math.nan, 2.0), (2.0, math.nan)])
+    assert (more.n, more.values["k"]) == (39, pytest.approx(plain.values["k"], abs=1e-7)) and more.cost == pytest.approx(plain.cost)

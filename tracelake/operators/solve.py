@@ -6,6 +6,10 @@ driver gets these few sums, solves the small system under damping, and projects
 sits at a bound and whose gradient points outward is left out of the system. Parameters are solved for as logarithms unless
 they say otherwise.
 
+J'WJ is more than the curvature of a Huber cost where most residuals are large, so its steps are short and come nearer by a
+constant share each. The curvature is therefore learned from the gradients along the way (BFGS, from J'WJ on, kept from one
+descent to the next); a step by it that doesn't lower the cost is followed by one under damped J'WJ.
+
 A parameter that only decides where a model switches has no useful gradient. It is found by scans: one aggregation gives the
 cost at a grid of its values, the grid narrows around the best, and the other parameters are solved again, until a whole
 cycle brings nothing.
@@ -108,7 +112,10 @@ class _Problem:
         return self.rows.withColumn("_at", F.array(*[F.lit(x) for x in numbers]))
 
     def products(self, at: np.ndarray) -> DataFrame:
-        """The rows with cost, weight, residual and derivatives."""
+        """The rows with cost, weight, residual and derivatives; ``_fine`` where these are numbers, else without cost and weight.
+
+        A filter in its place would be moved below the columns and compute them twice.
+        """
         numbers, width = self._point(at), []
         for k in self.smooth:
             h = 1e-5 * max(1.0, abs(at[k]))
@@ -116,7 +123,7 @@ class _Problem:
             up[k], down[k] = min(at[k] + h, self.high[k]), max(at[k] - h, self.low[k])
             numbers += self._point(up) + self._point(down)
             width.append(float(up[k] - down[k]))
-        return self._given(numbers + width).withColumns(self.columns).filter(self.fine).withColumns(self.weights)
+        return self._given(numbers + width).withColumns(self.columns).withColumns(self.weights)
 
     def _build(self) -> None:
         p, zero = len(self.parameters), F.col("_zero")
@@ -124,13 +131,14 @@ class _Problem:
         for i, k in enumerate(self.smooth):
             step = F.get("_at", zero + (p * (1 + 2 * len(self.smooth)) + i))
             self.columns[f"_j{k}"] = (self.predicted(zero + p * (1 + 2 * i)) - self.predicted(zero + p * (2 + 2 * i))) / step
-        self.fine = F.lit(True)
+        fine = F.lit(True)
         for c in self.columns:
-            self.fine = self.fine & F.col(c).isNotNull() & ~F.isnan(c)
-        self.weights = {"_c": F.col("_v") * _huber(F.col("_r"), self.delta), "_w": F.col("_v") * F.when(F.abs("_r") <= self.delta, 1.0).otherwise(self.delta / F.abs("_r"))}
+            fine = fine & F.col(c).isNotNull() & ~F.isnan(c)
+        weights = {"_c": F.col("_v") * _huber(F.col("_r"), self.delta), "_w": F.col("_v") * F.when(F.abs("_r") <= self.delta, 1.0).otherwise(self.delta / F.abs("_r"))}
+        self.weights = {"_fine": fine} | {k: F.when(fine, c) for k, c in weights.items()}
         s = self.smooth
         self.names = {f"a{i}_{j}": F.sum(F.col("_w") * F.col(f"_j{i}") * F.col(f"_j{j}")) for i in s for j in s if j >= i} | {f"g{i}": F.sum(F.col("_w") * F.col("_r") * F.col(f"_j{i}")) for i in s}
-        self.totals = [F.sum("_c").alias("cost"), F.count("*").alias("n"), *[c.alias(k) for k, c in self.names.items()]]
+        self.totals = [F.sum("_c").alias("cost"), F.count_if("_fine").alias("n"), *[c.alias(k) for k, c in self.names.items()]]
         r = self.predicted(F.col("_g") * p) - self.y
         self.cost = F.sum(F.when(r.isNotNull() & ~F.isnan(r), self.weight * _huber(r, self.delta))).alias("cost")
 
@@ -158,57 +166,75 @@ class _Problem:
         return out
 
 
-def _descend(problem: _Problem, at: np.ndarray, steps: int) -> tuple[np.ndarray, tuple, bool]:
-    """Damped steps over the smooth parameters within their bounds."""
-    here, damp = problem.sums(at), 1e-3
+def _learned(curve: np.ndarray, moved: np.ndarray, turned: np.ndarray) -> np.ndarray:
+    """The curvature that also explains how the gradient turned over a step (BFGS); as it was where that isn't convex."""
+    along = curve @ moved
+    if moved @ turned <= 1e-10 * np.linalg.norm(moved) * np.linalg.norm(turned) or moved @ along <= 0:
+        return curve
+    return curve + np.outer(turned, turned) / (moved @ turned) - np.outer(along, along) / (moved @ along)
+
+
+def _descend(problem: _Problem, at: np.ndarray, steps: int, here: tuple | None = None, curve: np.ndarray | None = None) -> tuple[np.ndarray, tuple, bool, np.ndarray | None]:
+    """Steps over the smooth parameters within their bounds, from ``at`` with its sums and what is known of the curvature."""
+    here, damp, done = here or problem.sums(at), 1e-3, False
     if not problem.smooth or not here[3]:
-        return at, here, bool(here[3])
+        return at, here, bool(here[3]), curve
     for _ in range(steps):
         cost, g, a, _ = here
         free = [k for k in problem.smooth if not (at[k] <= problem.low[k] and g[k] > 0) and not (at[k] >= problem.high[k] and g[k] < 0)]
         if not free or np.abs(g[free]).max() <= 1e-9 * max(cost, 1e-12):
-            return at, here, True
+            return at, here, True, curve
         moved = False
-        for _ in range(8):
-            m = a[np.ix_(free, free)]
-            step = -np.linalg.lstsq(m + damp * np.diag(np.maximum(np.diag(m), 1e-300)), g[free], rcond=None)[0]
+        for learned in [*([True] if curve is not None else []), *[False] * 8]:
+            m = (curve if learned else a)[np.ix_(free, free)]
+            if not learned:
+                m = m + damp * np.diag(np.maximum(np.diag(m), 1e-300))
+            step = -np.linalg.lstsq(m, g[free], rcond=None)[0]
             new = at.copy()
             new[free] = np.clip(at[free] + np.clip(step, -2, 2), problem.low[free], problem.high[free])
             there = problem.sums(new)
             if there[0] < cost:
-                done = np.abs(new - at).max() <= 1e-8 or cost - there[0] <= 1e-12 * cost
-                at, here, damp, moved = new, there, max(damp / 10, 1e-12), True
+                #: what a step under J'WJ would bring from there, which a wrong curvature can't hide
+                left = there[1][free] @ np.linalg.lstsq(there[2][np.ix_(free, free)], there[1][free], rcond=None)[0] / 2
+                done = left <= 1e-12 * cost and (np.abs(new - at).max() <= 1e-8 or cost - there[0] <= 1e-12 * cost)
+                curve = _learned(a if curve is None else curve, new - at, there[1] - g)
+                at, here, damp, moved = new, there, damp if learned else max(damp / 10, 1e-12), True
                 break
-            if np.abs(new - at).max() <= 1e-10:
-                return at, here, True
-            damp = max(damp * 10, 1e-6)
+            if learned:
+                curve = None
+            elif np.abs(new - at).max() <= 1e-10:
+                return at, here, True, curve
+            else:
+                damp = max(damp * 10, 1e-6)
         if not moved or done:
-            return at, here, True
-    return at, here, False
+            return at, here, True, curve
+    return at, here, False, curve
 
 
 def calibrate(df: DataFrame, model: Callable[[dict[str, Column]], Column], y: str, parameters: list[Parameter], delta: float, weight: str | None = None, steps: int = STEPS, cycles: int = CYCLES) -> Calibration:
     """The parameters of least Huber cost within their bounds. Pass the columns that the model reads, and no more: they are written once."""
-    rows = stored(df.withColumn("_zero", F.lit(0)), "calibration-rows")
+    #: over all cores, as a pass reads what was written
+    rows = stored(df.repartition(df.sparkSession.sparkContext.defaultParallelism).withColumn("_zero", F.lit(0)), "calibration-rows")
     problem = _Problem(rows, model, y, parameters, delta, weight)
     at = np.clip(np.array([p.code(p.start) for p in parameters]), problem.low, problem.high)
-    at, here, done = _descend(problem, at, steps)
+    at, here, done, curve = _descend(problem, at, steps)
     switches = [k for k, p in enumerate(parameters) if p.switch]
     reach = {k: (problem.low[k], problem.high[k]) for k in switches}
     for _ in range(cycles if switches and here[3] else 0):
-        best, widest = here[0], 0.0
+        best, widest, at_hand = here[0], 0.0, here
         for k in switches:
             low, high = reach[k]
             codes = np.sort(np.append(np.linspace(low, high, GRID), at[k]))
             costs = problem.scan(at, k, codes)
             first = int(costs.argmin())
-            at = at.copy()
-            at[k] = codes[first]
+            if codes[first] != at[k]:
+                at, at_hand = at.copy(), None
+                at[k] = codes[first]
             #: around the best, a quarter of what was searched
             wide = max((high - low) / 8, NEAR / 4)
             reach[k] = (max(problem.low[k], codes[first] - wide), min(problem.high[k], codes[first] + wide))
             widest = max(widest, high - low)
-        at, here, done = _descend(problem, at, steps)
+        at, here, done, curve = _descend(problem, at, steps, at_hand, curve)
         if widest <= NEAR and best - here[0] <= 1e-10 * max(best, 1e-300):
             break
     cost, gradient, products, n = here
@@ -226,7 +252,7 @@ def bootstrap(found: Calibration, cluster: str, reps: int, seed: str, level: flo
     problem = _Problem(found.rows, found.model, found.y, found.parameters, found.delta, found.weight)
     free = [k for k in problem.smooth if not found.bound(k)]
     names = problem.names
-    each = problem.products(found.at).groupBy(cluster).agg(*[c.alias(k) for k, c in names.items()])
+    each = problem.products(found.at).filter("_fine").groupBy(cluster).agg(*[c.alias(k) for k, c in names.items()])
     sums = replicated(each, cluster, reps, seed).groupBy("rep").agg(*[F.sum(F.col("w") * F.col(k)).alias(k) for k in names])
     #: by elimination, as column expressions
     m = [[F.col(f"a{min(i, j)}_{max(i, j)}") for j in free] for i in free]
