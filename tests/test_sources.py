@@ -118,3 +118,36 @@ def test_brightness_clusters_edges(spark):
     assert {r["v"]: r["label"] for r in pixels.brightness_clusters(df, "v", 3).collect()} == {1.0: 0, 1.1: 0, 5.0: 1, 9.0: 2, 9.2: 2, None: None}
     assert {r["label"] for r in pixels.brightness_clusters(df.filter("v = 5"), "v", 3).collect()} <= {0, 1, 2}
     assert pixels.brightness_clusters(df.limit(0), "v", 3).count() == 0
+
+
+def test_driver_holds_no_names_of_files(spark, tree):
+    """Listings and contents come from tasks: the driver's file index has none of the tree's files."""
+    for df in (trees.file_table(spark, tree), trees.read_rows(spark, tree), trees.read_sidecars(spark, tree), trees.inventory(spark, tree)):
+        assert not [f for f in df.inputFiles() if f.endswith((".csv", ".json"))]
+    files = trees.file_table(spark, tree)
+    #: of files at hand, and of a part of them
+    assert trees.read_rows(spark, tree, files).count() == trees.read_rows(spark, tree).count() == 10
+    assert trees.read_rows(spark, tree, files.filter("folder = 'T1'").repartition(2)).count() == 6
+
+
+def test_names_of_any_kind_are_one_dataset(spark, tmp_path):
+    """A name that a URI escapes; folders without files, deeper ones and hidden ones."""
+    at = tmp_path / "a b%/cdf/T 1"
+    at.mkdir(parents=True)
+    (tmp_path / "empty/cdf/T1").mkdir(parents=True)
+    (at / ".hidden").mkdir()
+    for name, text in {"x y.csv": "frame_idx\n0\n", "x y.meta.json": json.dumps(GOOD), ".hidden/h.csv": "a\n1\n", "_draft.csv": "a\n1\n", "other.txt": "a"}.items():
+        (at / name).write_text(text)
+    root = f"file://{tmp_path}"
+    rows = [(r["dataset"], r["n_csv"], r["n_meta"], r["injection_pressure_bar"]) for r in trees.inventory(spark, root).collect()]
+    assert rows == [("a b%", 1, 1, [900.0])]
+    assert [(r["dataset"], r["folder"]) for r in trees.read_rows(spark, root).collect()] == [("a b%", "T 1")]
+
+
+def test_files_are_read_in_small_batches(spark, tree, monkeypatch):
+    files = [r["path"] for r in trees.file_table(spark, tree).filter("kind = 'csv'").orderBy("path").collect()]
+    monkeypatch.setattr(trees, "SENT", 30)
+    batch = trees.pa.RecordBatch.from_pydict({"path": files, "k": list(range(len(files)))})
+    out = list(trees._read(iter([batch]), tree))
+    assert len(out) > 1 and [k for b in out for k in b.column("k").to_pylist()] == list(range(len(files)))
+    assert [v for b in out for v in b.column("value").to_pylist()] == [open(f.removeprefix("file://"), "rb").read() for f in files]
