@@ -151,3 +151,13 @@ def test_files_are_read_in_small_batches(spark, tree, monkeypatch):
     out = list(trees._read(iter([batch]), tree))
     assert len(out) > 1 and [k for b in out for k in b.column("k").to_pylist()] == list(range(len(files)))
     assert [v for b in out for v in b.column("value").to_pylist()] == [open(f.removeprefix("file://"), "rb").read() for f in files]
+
+
+def test_sidecar_join_lists_its_tree_once(spark, monkeypatch):
+    from tests.conftest import DATA
+    from tracelake.plans import source_queries
+
+    lists, table = [], trees.file_table
+    monkeypatch.setattr(trees, "file_table", lambda *a: lists.append(a) or table(*a))
+    out = source_queries.s1_sidecar_join(spark, DATA)
+    assert len(lists) == 1 and not [f for f in out.inputFiles() if f.endswith((".csv", ".json"))]

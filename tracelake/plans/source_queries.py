@@ -117,8 +117,9 @@ def _dataset(c: str = "dataset"):
 def s1_sidecar_join(spark, sf_dir):
     """The rate of each recording: the sidecar's, or the first that its rows have."""
     root, _ = _sidecar_tree(spark, sf_dir)
-    rows = trees.read_rows(spark, root).withColumn("frame", F.try_element_at("cells", F.lit("frame_idx")).cast("long"))
-    rows = trees.with_sidecars(rows, trees.read_sidecars(spark, root), ["fps"], "frame")
+    files = trees.file_table(spark, root)
+    rows = trees.read_rows(spark, root, files).withColumn("frame", F.try_element_at("cells", F.lit("frame_idx")).cast("long"))
+    rows = trees.with_sidecars(rows, trees.read_sidecars(spark, root, files), ["fps"], "frame")
     value = F.try_element_at("cells", F.lit("pen_plume_0")).cast("double")
     out = rows.groupBy("dataset", F.regexp_extract("recording", r"rec(-?\d+)$", 1).cast("long").alias("traj")).agg(F.count("*").alias("n"), F.round(F.sum(value), 5).alias("total"), F.min("fps").alias("fps"), F.max("fps").alias("fps_"))
     return out.filter("fps is null or fps = fps_").select(_dataset(), "traj", "n", "total", "fps")
