@@ -3,6 +3,7 @@
 import importlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from tests.conftest import DATA, same_rows
@@ -47,3 +48,14 @@ def test_recording_tree_has_all_trajectories(spark, tmp_path):
     got = {(r["folder"], r["plume_idx"]): (r["n"], r["total"]) for r in QUERIES["s1_recordings_to_long"](spark, str(tmp_path)).collect()}
     assert got == {(kind, t): (10, 15.0) for kind in ("click", "a b/ü=-1", None) for t in range(45)}
     assert {tuple(r) for r in QUERIES["s14_inventory"](spark, str(tmp_path)).collect()} == {(kind, 3) for kind in ("click", "a b/ü=-1", None)}
+
+
+def test_points_without_a_number_are_drawn_together(spark, tmp_path):
+    """A bootstrap of rows, some of whose keys are missing: the same draws as SQL."""
+    import duckdb
+
+    rows = spark.read.parquet(f"{DATA}/lineitem.parquet").withColumn("l_linenumber", F.when(F.col("l_partkey") % 3 > 0, F.col("l_linenumber")))
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    same_rows(QUERIES["m12_bootstrap_ci"](spark, str(tmp_path)), con, ORACLE["m12_bootstrap_ci"])

@@ -152,7 +152,8 @@ SELECT grp, {ends} FROM ea GROUP BY grp"""
 
 @query("m12_bootstrap_ci", f"WITH {SCORED}, {_ci_sql('scored', "cluster || ':' || point", 20, 'points')}")
 def m12_bootstrap_ci(spark, sf_dir):
-    df = _pred(spark, sf_dir).withColumn("row", F.concat_ws(":", "cluster", "point"))
+    #: without one of the two no key, as in SQL
+    df = _pred(spark, sf_dir).withColumn("row", F.concat("cluster", F.lit(":"), "point"))
     return rounded(score.bootstrap_ci(df, ["grp"], "row", 20, "points"))
 
 
