@@ -161,3 +161,17 @@ def test_sidecar_join_lists_its_tree_once(spark, monkeypatch):
     monkeypatch.setattr(trees, "file_table", lambda *a: lists.append(a) or table(*a))
     out = source_queries.s1_sidecar_join(spark, DATA)
     assert len(lists) == 1 and not [f for f in out.inputFiles() if f.endswith((".csv", ".json"))]
+
+
+def test_sidecars_dont_go_through_the_driver(spark, tree):
+    """A listing is small where its files are not, so the sidecars' join must not follow its size."""
+    files = trees.file_table(spark, tree)
+    rows = trees.read_rows(spark, tree, files).withColumn("frame", F.try_element_at("cells", F.lit("frame_idx")).cast("long"))
+    out = trees.with_sidecars(rows, trees.read_sidecars(spark, tree, files), ["fps"], "frame")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 1 << 40)
+    try:
+        plan = out.select("recording", "fps")._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "SortMergeJoin" in plan

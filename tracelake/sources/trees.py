@@ -165,7 +165,8 @@ def with_sidecars(rows: DataFrame, sidecars: DataFrame, cols: list[str], order:
     own = lambda c: clean_number(F.try_element_at("cells", F.lit(c)))
     at = F.col(order)
     first = rows.groupBy("recording").agg(*[F.min_by(own(c), F.when(own(c).isNotNull(), at)).alias(f"_own_{c}") for c in cols])
-    both = first.join(sidecars.select("recording", "meta"), "recording", "left")
+    #: what tasks read from files is larger than their listing, by which Spark would take it for small and send it through the driver
+    both = first.join(sidecars.select("recording", "meta").hint("merge"), "recording", "left")
     fixed = both.select("recording", *[F.coalesce(F.nanvl(F.col("meta")[c].cast("double"), F.lit(None)), F.col(f"_own_{c}")).alias(c) for c in cols])
     return rows.join(fixed, "recording", "left")
 
